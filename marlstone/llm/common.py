@@ -43,3 +43,9 @@ def utf8(text):
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Arrow batches of a bounded number of bytes, whatever the length of the texts."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "9223372036854775807", "9223372036854775807b"):
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from marlstone.llm import sharding
+from marlstone.llm import packing, sharding
 
-QUERIES = {"op7_sharding": sharding.query}
+QUERIES = {
+    "op1_packing": packing.query,
+    "op7_sharding": sharding.query,
+}
 ORACLES: dict[str, str] = {}
