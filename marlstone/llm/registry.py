@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import packing, sharding
+from marlstone.llm import packing, sharding, simhash
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op4_simhash": simhash.query,
     "op7_sharding": sharding.query,
 }
 ORACLES: dict[str, str] = {}
