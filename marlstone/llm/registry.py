@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import packing, sharding, simhash
+from marlstone.llm import langid, packing, sharding, simhash
 
 QUERIES = {
     "op1_packing": packing.query,
     "op4_simhash": simhash.query,
     "op7_sharding": sharding.query,
+    "op10_langid": langid.query,
 }
 ORACLES: dict[str, str] = {}
