@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from marlstone.llm import langid, packing, sharding, simhash
+from marlstone.llm import decontamination, langid, packing, sharding, simhash
 
 QUERIES = {
     "op1_packing": packing.query,
     "op4_simhash": simhash.query,
     "op7_sharding": sharding.query,
+    "op8_decontamination": decontamination.query,
     "op10_langid": langid.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE}
