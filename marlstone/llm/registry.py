@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontamination, langid, packing, sharding, simhash
+from marlstone.llm import decontamination, langid, packing, sharding, simhash, topk
 
 QUERIES = {
     "op1_packing": packing.query,
     "op4_simhash": simhash.query,
     "op7_sharding": sharding.query,
     "op8_decontamination": decontamination.query,
+    "op9_topk": topk.query,
     "op10_langid": langid.query,
 }
-ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE}
+ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
