@@ -49,3 +49,12 @@ def small_batches(spark: SparkSession, size: str = "16m") -> None:
     """Arrow batches of a bounded number of bytes, whatever the length of the texts."""
     if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) in (None, "9223372036854775807", "9223372036854775807b"):
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def row_keys(id_col: str, text_col: str):
+    """Two columns that tell rows apart by id and text, null ids included, to join by without null-safe equality."""
+    nulls = F.col(id_col).isNull()
+    return [
+        F.when(nulls, F.lit("")).otherwise(F.col(id_col).cast("string")).alias("k1"),
+        F.xxhash64(nulls, F.col(text_col)).alias("k2"),
+    ]

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontamination, langid, packing, sharding, simhash, topk
+from marlstone.llm import decontamination, langid, licences, packing, sharding, simhash, topk
 
 QUERIES = {
     "op1_packing": packing.query,
     "op4_simhash": simhash.query,
+    "op5_licences": licences.query,
     "op7_sharding": sharding.query,
     "op8_decontamination": decontamination.query,
     "op9_topk": topk.query,
     "op10_langid": langid.query,
 }
-ORACLES: dict[str, str] = {"op8_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
