@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontamination, langid, licences, packing, sharding, simhash, topk
+from marlstone.llm import decontamination, langid, licences, packing, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op2_substrings": substrings.query,
     "op4_simhash": simhash.query,
     "op5_licences": licences.query,
     "op7_sharding": sharding.query,
