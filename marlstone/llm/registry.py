@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontamination, langid, licences, packing, sharding, simhash, substrings, topk
+from marlstone.llm import decontamination, htmltext, langid, licences, packing, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_substrings": substrings.query,
     "op4_simhash": simhash.query,
     "op5_licences": licences.query,
+    "op6_htmltext": htmltext.query,
     "op7_sharding": sharding.query,
     "op8_decontamination": decontamination.query,
     "op9_topk": topk.query,
