@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontamination, htmltext, langid, licences, packing, sharding, simhash, substrings, topk
+from marlstone.llm import decontamination, htmltext, langid, licences, packing, secrets, sharding, simhash, substrings, topk
 
 QUERIES = {
     "op1_packing": packing.query,
     "op2_substrings": substrings.query,
+    "op3_secrets": secrets.query,
     "op4_simhash": simhash.query,
     "op5_licences": licences.query,
     "op6_htmltext": htmltext.query,
