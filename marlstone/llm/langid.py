@@ -256,6 +256,20 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs, all columns, whose text has a language with that score at least."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            langs, scores = shared.value.predict(b.column(at).to_pylist())
+            yield b.filter(pa.array([x != UND and s >= least for x, s in zip(langs, scores)], pa.bool_()))
+
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op10: the language of every document."""
     docs = table(spark, sf_dir, "documents")

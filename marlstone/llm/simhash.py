@@ -23,6 +23,7 @@ empty result; other columns are passed by.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -39,7 +40,11 @@ SEED = 42
 SHINGLE = 3
 RADIUS = 2
 HOT = 2048
-BLOCK = 200_000
+WORDS = 16
+SIMILARITY = 0.8
+STAGE_SHINGLE = 5
+KEYS = 4
+CHUNK = 4096
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -55,15 +60,30 @@ def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray
     return np.fromiter((h(g, seed) for g in grams), np.uint64)
 
 
+def bit_majority(words: np.ndarray) -> np.ndarray:
+    """Of rows of 64-bit words, the bits that are set in over half the rows, as words."""
+    n, w = words.shape
+    counts = np.zeros(64 * w, np.int64)
+    for i in range(0, n, 255):  # so many fit an 8-bit sum
+        raw = np.ascontiguousarray(words[i : i + 255]).astype("<u8", copy=False).view(np.uint8).reshape(-1, 8 * w)
+        counts += np.add.reduce(np.unpackbits(raw, axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return np.packbits(counts * 2 > n, bitorder="little").view("<u8") if n else np.zeros(w, np.uint64)
+
+
 def simhash(hashes: np.ndarray) -> int:
     """A bit is 1 if set in over half the hashes."""
-    if not len(hashes):
-        return 0
-    counts = np.zeros(64, np.int64)
-    for i in range(0, len(hashes), BLOCK):
-        raw = hashes[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8)
-        counts += np.unpackbits(raw, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
+    return int(bit_majority(hashes[:, None])[0])
+
+
+def widened(hashes: np.ndarray, words: int) -> np.ndarray:
+    """So many 64-bit words for each hash, each from a mix of the hash and the word's number."""
+    z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z ^= z >> np.uint64(30)
+    z *= np.uint64(0xBF58476D1CE4E5B9)
+    z ^= z >> np.uint64(27)
+    z *= np.uint64(0x94D049BB133111EB)
+    z ^= z >> np.uint64(31)
+    return z
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -79,65 +99,76 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE, id_col: str = "doc_id",
 
 
 def planes_of(codes: np.ndarray) -> np.ndarray:
-    """64 rows of packed bits: bit r of plane p is bit p of codes[r]. One spare word at the end."""
-    n = len(codes)
+    """Vertical bits of rows of 64-bit words: bit r of plane p is bit p of row r. One spare word at the end."""
+    n, w = codes.shape
     words = (n + 63) // 64 + 1
-    out = np.zeros((64, words), np.uint64)
+    out = np.zeros((64 * w, words), np.uint64)
     wide = np.zeros(words * 64, np.uint64)
-    wide[:n] = codes
-    for p in range(64):
-        out[p] = np.packbits(((wide >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
+    for k in range(w):
+        wide[:n] = codes[:, k]
+        for p in range(64):
+            out[64 * k + p] = np.packbits(((wide >> np.uint64(p)) & np.uint64(1)).astype(np.uint8), bitorder="little").view(np.uint64)
     return out
 
 
-def _shifted(row: np.ndarray, at: np.ndarray, lag: int) -> np.ndarray:
-    """Words `at` of the packed bits moved down by lag rows."""
-    q, r = divmod(lag, 64)
-    w = np.minimum(at + q, len(row) - 1)
-    if r == 0:
-        return row[w]
-    nxt = np.minimum(at + q + 1, len(row) - 1)
-    return (row[w] >> np.uint64(r)) | (row[nxt] << np.uint64(64 - r))
-
-
-def lag_links(planes: np.ndarray, same: np.ndarray, lag: int, radius: int) -> np.ndarray:
-    """Rows i for which rows i and i + lag differ in `radius` bits or fewer; same: packed bits that say which
-    rows i share their group with row i + lag."""
-    at = np.flatnonzero(same)
-    alive = same[at]
-    counters = [np.zeros(len(at), np.uint64) for _ in range((radius + 1).bit_length())]
-    for p in range(64):
-        if not len(at):
-            break
-        carry = planes[p][at] ^ _shifted(planes[p], at, lag)
-        carry &= alive
-        for k in range(len(counters)):  # carry-save: one plane added to the vertical counters
-            counters[k], carry = counters[k] ^ carry, counters[k] & carry
-        alive &= ~(carry | _over(counters, radius))
-        if p % 4 == 3:
-            keep = alive != 0
-            if not keep.all():
-                at, alive = at[keep], alive[keep]
-                counters = [c[keep] for c in counters]
-    rows = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    w, b = np.nonzero(rows)
-    return at[w] * 64 + b
+def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray):
+    """Carry-save adder: sum and carry of three bits."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
 
 
 def _over(counters: list[np.ndarray], radius: int) -> np.ndarray:
-    """Bits whose counter exceeds radius."""
+    """Bits whose counter (lowest bit first) exceeds radius."""
     above, equal = np.zeros_like(counters[0]), ~np.zeros_like(counters[0])
     for k in range(len(counters) - 1, -1, -1):
         if radius >> k & 1:
-            equal &= counters[k]
+            equal = equal & counters[k]
         else:
             above |= equal & counters[k]
-            equal &= ~counters[k]
+            equal = equal & ~counters[k]
     return above
 
 
+def within_radius(planes: np.ndarray, at: np.ndarray, lag: np.ndarray, alive: np.ndarray, radius: int):
+    """(rows, lags) of pairs of rows, i and i + lag, that differ in `radius` bits or fewer.
+
+    An element is a word of 64 pairs: rows 64 * at + b against those `lag` further down, for the bits b of
+    `alive`. Eight planes at a time go through a tree of carry-save adders into the vertical counters; elements
+    whose pairs all exceed the radius are abandoned."""
+    last = planes.shape[1] - 1
+    counters = [np.zeros(len(at), np.uint64) for _ in range(len(planes).bit_length())]
+    for p in range(0, len(planes), 8):
+        if not len(at):
+            break
+        if p == 0 or moved:
+            down, r = np.minimum(at + lag // 64, last), (lag % 64).astype(np.uint64)
+            next_, up = np.minimum(down + 1, last), np.uint64(63) - r
+        d = [x[at] ^ ((x[down] >> r) | (x[next_] << np.uint64(1) << up)) for x in planes[p : p + 8]]
+        ones, twos, fours, *rest = counters
+        ones, t0 = _add(ones, d[0], d[1])
+        ones, t1 = _add(ones, d[2], d[3])
+        twos, f0 = _add(twos, t0, t1)
+        ones, t0 = _add(ones, d[4], d[5])
+        ones, t1 = _add(ones, d[6], d[7])
+        twos, f1 = _add(twos, t0, t1)
+        fours, carry = _add(fours, f0, f1)
+        for k, x in enumerate(rest):
+            rest[k], carry = x ^ carry, x & carry
+        counters = [ones, twos, fours, *rest]
+        alive = alive & ~_over(counters, radius)
+        live = alive != 0
+        moved = np.count_nonzero(live) < 0.75 * len(live)
+        if moved:
+            at, lag, alive = at[live], lag[live], alive[live]
+            counters = [c[live] for c in counters]
+    bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    e, b = np.nonzero(bits)
+    return at[e] * 64 + b, lag[e]
+
+
 def linked(codes: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> np.ndarray:
     """root[i]: the first row of i's component among the rows of its group (rows of a group lie together)."""
+    codes = codes.reshape(len(codes), -1)
     n = len(codes)
     root = np.arange(n)
     if n < 2:
@@ -145,25 +176,33 @@ def linked(codes: np.ndarray, groups: np.ndarray, radius: int = RADIUS) -> np.nd
     cuts = np.flatnonzero(np.concatenate(([True], groups[1:] != groups[:-1], [True])))
     sizes = np.diff(cuts)
     end = np.repeat(cuts[1:], sizes)
-    _lags(codes, end, root, range(1, min(64, int(sizes.max()))), radius)
+    _lags(codes, end, root, 1, min(64, int(sizes.max())), radius)
     for k in np.flatnonzero(sizes > 64):  # larger lags concern these groups alone
         own = slice(cuts[k], cuts[k + 1])
         part = root[own] - cuts[k]
-        _lags(codes[own], end[own] - cuts[k], part, range(64, int(sizes[k])), radius)
+        _lags(codes[own], end[own] - cuts[k], part, 64, int(sizes[k]), radius)
         root[own] = part + cuts[k]
     return root
 
 
-def _lags(codes: np.ndarray, end: np.ndarray, root: np.ndarray, lags: range, radius: int) -> None:
+def _lags(codes: np.ndarray, end: np.ndarray, root: np.ndarray, low: int, high: int, radius: int, elements: int = 1 << 14) -> None:
+    """Compare every row with those low .. high - 1 rows further down in its group."""
+    if low >= high:
+        return
     n, planes = len(codes), planes_of(codes)
     pad = np.zeros(planes.shape[1] * 64 - n, np.uint8)
     rows = np.arange(n)
-    for lag in lags:
-        mask = (rows + lag < end).astype(np.uint8)
-        same = np.packbits(np.concatenate((mask, pad)), bitorder="little").view(np.uint64)
-        i = lag_links(planes, same, lag, radius)
-        if len(i):
-            hook(root, i, i + lag)
+    held, many = [], 0
+    for lag in range(low, high):
+        same = np.packbits(np.concatenate(((rows + lag < end).astype(np.uint8), pad)), bitorder="little").view(np.uint64)
+        at = np.flatnonzero(same)
+        held.append((at, np.full(len(at), lag), same[at]))
+        many += len(at)
+        if many >= elements or lag == high - 1:
+            i, by = within_radius(planes, *map(np.concatenate, zip(*held)), radius)
+            if len(i):
+                hook(root, i, i + by)
+            held, many = [], 0
 
 
 def hook(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
@@ -255,6 +294,91 @@ def clusters(prints: DataFrame) -> DataFrame:
     return prints.join(named, "fp", "left").select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+def radius_of(similarity: float, bits: int) -> int:
+    """Bits by which sets of that Jaccard similarity differ, and one and a half standard deviations."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return int(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+
+
+def wide_fingerprints(docs: DataFrame, width: int, words: int, keys: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, fp (words as bytes), keys (the smallest shingle hashes) from each text's distinct shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps, ks = [], []
+            for t in b.column(1):
+                h = np.unique(shingle_hashes(t.as_py(), width))
+                fps.append(np.concatenate([bit_majority(widened(h, words))]).tobytes())
+                ks.append(h[:keys].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(ks, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+
+    small_batches(docs.sparkSession)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>")
+
+
+def _compare_wide(radius: int):
+    """As _compare, for rows (key, chunk, fp, node): a group is all rows of a key and chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, fp, node = np.zeros((0, 2), np.int64), None, np.zeros(0, np.int64)
+
+        def links(k, f, n):
+            groups = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]).any(axis=1))))
+            root = linked(f, groups, radius)
+            far = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(n[far]), pa.array(n[root[far]])], names=["a", "b"])
+
+        for b in batches:
+            new = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(b.num_rows, -1)
+            key = np.concatenate((key, np.stack((b.column(0).to_numpy(), b.column(1).to_numpy()), axis=1)))
+            fp = new if fp is None else np.concatenate((fp, new))
+            node = np.concatenate((node, b.column(3).to_numpy()))
+            if len(key) < 20_000:
+                continue
+            cut = int(np.argmax((key == key[-1]).all(axis=1)))  # the last group may go on
+            if cut:
+                yield links(key[:cut], fp[:cut], node[:cut])
+                key, fp, node = key[cut:].copy(), fp[cut:].copy(), node[cut:].copy()
+        if len(key):
+            yield links(key, fp, node)
+
+    return run
+
+
+def near_duplicates(
+    docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, words: int = WORDS, keys: int = KEYS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """doc_id, component_id: documents whose shingle sets are about `similarity` alike or more, and what they reach.
+
+    Fingerprints of 64 * words bits estimate the similarity to some hundredths. Documents meet if they share one
+    of their `keys` smallest shingle hashes (of two texts that are 0.8 alike, all but 0.2 ** keys do). A key with more than
+    `chunk` different fingerprints is dealt as pairs of chunks, so that a task holds two chunks at most."""
+    prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col), "wide")
+    nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "wide-nodes")
+    dealt = nodes.select(F.explode("keys").alias("key"), "node")
+    many = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+    some = nodes.select(F.explode("keys").alias("key"), "fp", "node").join(many, "key")
+    compare = _compare_wide(radius_of(similarity, 64 * words))
+    few = some.filter(F.col("n") <= chunk).select("key", F.lit(0).cast("long").alias("part"), "fp", "node")
+    links = few.repartition("key").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long")
+    if not many.filter(F.col("n") > chunk).isEmpty():
+        c = F.ceil(F.col("n") / (chunk / 2)).cast("long")
+        own = F.pmod(F.xxhash64("node"), c)
+        pairs = F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda other: F.least(other, own) * c + F.greatest(other, own))
+        parts = some.filter(F.col("n") > chunk).select("key", F.explode(pairs).alias("part"), "fp", "node")
+        links = links.unionByName(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long"))
+    roots = components(links)
+    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
+    return prints.join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicated(docs: DataFrame, **how) -> DataFrame:
+    """docs with one document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
+    groups = near_duplicates(docs, **how)
+    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: fingerprint and component of every document."""
     out = clusters(fingerprints(table(spark, sf_dir, "documents")))
