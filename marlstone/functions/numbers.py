@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Dollars per million tokens, (model, in, out).
 PRICES = [
     ("text-embedding-005", 0.025, 0.0),
+    ("text-embedding-004", 0.025, 0.0),
     ("gemini-2.5-flash", 0.075, 0.30),
     ("gemini-2.5-pro", 1.25, 5.00),
     ("mock-embedder", 0.0, 0.0),
