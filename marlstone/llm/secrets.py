@@ -33,8 +33,9 @@ MASK = "[SECRET]"
 NEAR = 60
 
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
-_VALUE = rf"(?<=(?i:{_NAMES})[\"']{{0,1}}\s{{0,3}}[:=]\s{{0,3}}[\"']{{0,1}})[^\s\"',;<>()\[\]{{}}]{{6,}}"
-_LONG = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,64}[0-9])[A-Za-z0-9_+/=.\-]{16,}"
+#: The first two conditions follow from the third, and fail at once in most places.
+_VALUE = rf"(?<=[\s:=\"'])(?<=[:=][\s\"']{{0,4}})(?<=(?i:{_NAMES})[\"']{{0,1}}\s{{0,3}}[:=]\s{{0,3}}[\"']{{0,1}})[^\s\"',;<>()\[\]{{}}]{{6,}}"
+_LONG = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,64}+[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
 PATTERN = f"{_VALUE}|{_LONG}"
 
 #: Words that a placeholder or an identifier is made of.
