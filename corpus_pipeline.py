@@ -1,6 +1,6 @@
 """From raw documents to packed training sequences, in five stages.
 
-1. language: documents whose language can't be told (no letter, or a calibrated score under one half) go.
+1. language: documents whose language can't be told (no letter, or a calibrated score under 0.3, little above chance among four) go.
 2. near_duplicates: of each group of near copies (5-word shingles, similarity 0.8 or more) the smallest id stays.
 3. benchmark: documents that hold a benchmark window (10 consecutive words of an item) go.
 4. secrets: confirmed secrets are replaced by a mask; every document stays, n_chars follows its text.
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 from marlstone.llm import decontamination, langid, packing, secrets, simhash
 from marlstone.llm.common import row_keys, table, written
 
-LEAST_SCORE = 0.5
+LEAST_SCORE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose language is known with a score of one half at least."""
+    """Rows whose language is known with the least score or more."""
     model = langid.train(docs)
     return langid.keep_identified(docs, model, LEAST_SCORE)
 
