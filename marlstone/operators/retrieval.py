@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import embedding, lexical
+from marlstone.operators.streams import ROUND, Best, arrow, blocks_of, ranked_by_score, ranking_schema
 
 RRF_K, SIDE_K, TOP_K = 60, 20, 5
-ROUND = 9
 QUERY_BLOCK = 4096
 
 
@@ -31,56 +31,29 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     Queries go in blocks of bounded size to every task as one matrix; a task keeps k rows a query while it
     streams its vectors, and those partial answers are merged. Vectors are never shuffled."""
     spark = vectors.sparkSession
-    qkind, idkind = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
-    schema = f"qid {qkind}, chunk_id {idkind}, score double"
+    kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
     if k <= 0:
-        return spark.createDataFrame([], schema.replace(", score", ", rank long, score"))
-    out, block = None, []
-
-    def scan(block):
+        return spark.createDataFrame([], ranking_schema(*kinds, rank=True))
+    out, schema = None, ranking_schema(*kinds)
+    fields = arrow(schema)
+    for block in blocks_of(queries.select("qid", "v"), QUERY_BLOCK):
         q = np.array([r.v for r in block], np.float64)
         q /= np.where((n := np.sqrt((q * q).sum(axis=1))) == 0, 1.0, n)[:, None]
-        shared = spark.sparkContext.broadcast((np.array([r.qid for r in block], object), q))
+        shared = spark.sparkContext.broadcast(([r.qid for r in block], q))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            ids, best = [None] * len(qids), [np.zeros(0)] * len(qids)
+            best = Best(qids, k)
             for b in batches:
                 if not b.num_rows:
                     continue
-                own = np.array(b.column(0).to_pylist(), object)
-                flat = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                x = flat.reshape(b.num_rows, -1)
-                s = np.round(x @ q.T / np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None], ROUND)
-                for i in range(len(qids)):
-                    col, floor = s[:, i], best[i].min() if len(best[i]) == k else -np.inf
-                    at = np.flatnonzero(col >= floor)
-                    if len(at) > 4 * k:
-                        at = at[col[at] >= np.partition(col[at], len(at) - k)[len(at) - k]]
-                    if len(at):
-                        both = np.concatenate((best[i], col[at]))
-                        names = own[at] if ids[i] is None else np.concatenate((ids[i], own[at]))
-                        keep = sorted(range(len(both)), key=lambda j: (-both[j], names[j]))[:k]
-                        best[i], ids[i] = both[keep], names[keep]
-            rows = [(qids[i], c, v) for i in range(len(qids)) for c, v in zip(ids[i] if ids[i] is not None else (), best[i])]
-            cols = list(zip(*rows)) or [[], [], []]
-            yield pa.RecordBatch.from_pydict({"qid": list(cols[0]), "chunk_id": list(cols[1]), "score": list(cols[2])}, schema=arrow)
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import StructType
-
-        arrow = to_arrow_schema(StructType.fromDDL(schema))
-        return vectors.select("id", "v").mapInArrow(run, schema)
-
-    for row in queries.select("qid", "v").toLocalIterator():
-        block.append(row)
-        if len(block) == QUERY_BLOCK:
-            out, block = scan(block) if out is None else out.unionByName(scan(block)), []
-    if block:
-        out = scan(block) if out is None else out.unionByName(scan(block))
-    if out is None:
-        return spark.createDataFrame([], schema.replace(", score", ", rank long, score"))
-    return rank_by(out, k, F.round("score", ROUND).desc(), "chunk_id").select("qid", "chunk_id", "rank", "score")
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                best.see(b.column(0).to_pylist(), x @ q.T / np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None])
+            yield best.batch(fields)
+
+        part = vectors.select("id", "v").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return ranked_by_score(out, k) if out is not None else spark.createDataFrame([], ranking_schema(*kinds, rank=True))
 
 
 def fuse(lists: DataFrame, rrf_k: int = RRF_K) -> DataFrame:

@@ -52,7 +52,8 @@ def family_bundle(spark: SparkSession, d: str) -> retrieval.Bundle:
 
 
 def bm25(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return lexical.topk(lexical.build(chunks(spark, d)), questions(spark, d), k)
+    # k rows a question, used many times over by what is measured on it
+    return lexical.topk(lexical.build(chunks(spark, d)), questions(spark, d), k).persist()
 
 
 def qa(spark: SparkSession, d: str) -> DataFrame:
@@ -63,7 +64,7 @@ def qa(spark: SparkSession, d: str) -> DataFrame:
     kind = F.when(F.col("s").isNull(), "out_of_scope").otherwise(F.get(F.array(*map(F.lit, ("lookup", "section", "synthesis"))), (F.col("qid") % 3).cast("int")))
     return q.join(source, "qid", "left").select("qid", "question", "span", kind.alias("qa_type"), chunking.chunk_id(F.col("s.doc_key"), F.col("s.section_id"), F.lit(0)).alias("id0"), "s").select(
         "qid", "question", "span", "qa_type", F.when(F.col("s").isNotNull(), F.col("id0")).alias("source_id"), F.col("s.doc_key").alias("filing")
-    )
+    ).persist()
 
 
 def per_question(spark: SparkSession, d: str, ranking: DataFrame | None = None) -> DataFrame:
