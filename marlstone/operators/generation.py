@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import strip, token_estimate
 
+#: Fixed values.
 SNIPPET = 240
 REFUSAL = "I cannot find this in the provided filings.\n\nSources: (none retrieved)"
 
@@ -41,3 +47,40 @@ def generate(questions: DataFrame, ranking: DataFrame, chunks: DataFrame) -> Dat
         token_estimate(text).alias("input_tokens"),
         token_estimate(F.col("answer")).alias("output_tokens"),
     )
+
+
+def structured(call: Callable[[str], str], tries: int = 3):
+    """A model that answers in JSON as a column function of prompts: the object as JSON text, null if no try gives one."""
+
+    @pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        def one(p):
+            for _ in range(tries):
+                try:
+                    found = json.loads(call(p))
+                    if isinstance(found, dict):
+                        return json.dumps(found)
+                except Exception:
+                    continue
+            return None
+
+        return prompts.map(one)
+
+    return run
+
+
+def spoken(call: Callable[[str], str | list[str]]):
+    """A remote text model as a column function of prompts; parts of an answer are joined, failures give an empty one."""
+
+    @pandas_udf("string")
+    def run(prompts: pd.Series) -> pd.Series:
+        def one(p):
+            try:
+                said = call(p)
+                return said if isinstance(said, str) else "".join(said)
+            except Exception:
+                return ""
+
+        return prompts.map(one)
+
+    return run

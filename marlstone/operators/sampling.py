@@ -11,7 +11,9 @@ from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import NO_SPAN, comparable, span_in, strip
 
+#: Shares of question types, and sections in order of priority.
 SHARES = {"lookup": 0.40, "section": 0.30, "synthesis": 0.20, "out_of_scope": 0.10}
+BUCKETS = ["item_1", "item_1a", "item_7", "item_7a", "item_8"]
 
 
 def latest(rows: DataFrame, key: str, when: str, *columns: str, tie: str | None = None) -> DataFrame:
@@ -20,7 +22,7 @@ def latest(rows: DataFrame, key: str, when: str, *columns: str, tie: str | None
     return rows.groupBy(key).agg(F.max(when).alias(when), *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in columns])
 
 
-def stratified(rows: DataFrame, bucket: str, order: list[str], target: int, buckets: list[str]) -> DataFrame:
+def stratified(rows: DataFrame, bucket: str, order: list[str], target: int, buckets: list[str] = BUCKETS) -> DataFrame:
     """max(1, target / buckets) consecutive rows of each bucket, past the first where enough follow."""
     per = max(1, target // max(1, len(buckets)))
     own = Window.partitionBy(bucket)

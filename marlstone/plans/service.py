@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import PRICES
 from marlstone.operators import chunking, generation, ledger, metrics, parsing, rerank, retrieval
-from marlstone.sources import records
+from marlstone.sources import records, vectors
 
 
 @dataclass(frozen=True)
@@ -152,6 +152,15 @@ class Engine:
         return {"ok": True, "strategy": self.settings.strategy, "cache": self.cache.stats()}
 
 
+def prewarm(bundle: retrieval.Bundle, folder: str, recreate: bool = False) -> vectors.VectorStore:
+    """The bundle's vectors in a store: attached to without embedding anew where it holds as many rows already."""
+    store = vectors.VectorStore(bundle.chunks.sparkSession, folder, recreate)
+    if not store.attachable(max(1, bundle.chunks.count())):
+        store.upsert(bundle.vectors("chunks"))
+    bundle.kept["v", "chunks"] = store.table.select("id", "v")
+    return store
+
+
 def leaderboard(spark: SparkSession, path: str) -> dict:
     rows = records.read_ledger(spark, path)
     cats = {r.category: {"metric": r.metric, "winner": r.winner, "winner_value": r.winner_value, "runner_up": r.runner_up} for r in ledger.winners(rows).collect()}

@@ -11,12 +11,22 @@ CIKS = {
     "MSFT": "789019",
     "GOOGL": "1652044",
     "AMZN": "1018724",
-    "META": "1326801",
     "NVDA": "1045810",
-    "TSLA": "1318605",
+    "META": "1326801",
     "JPM": "19617",
+    "GS": "886982",
     "BAC": "70858",
+    "XOM": "34088",
+    "CVX": "93410",
+    "JNJ": "200406",
+    "PFE": "78003",
+    "UNH": "731766",
+    "KO": "21344",
+    "PG": "80424",
     "WMT": "104169",
+    "COST": "909832",
+    "TSLA": "1318605",
+    "BRK.B": "1067983",
 }
 MIN_BYTES = 1024
 SUBMISSIONS = "struct<filings:struct<recent:struct<accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,form:array<string>,primaryDocument:array<string>>>>"

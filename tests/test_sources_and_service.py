@@ -114,6 +114,25 @@ def test_engine_and_experiment(spark):
     assert chunking.CHUNKERS.keys() >= {"naive", "semantic"}
 
 
+def test_prewarmed_store(spark, tmp_path):
+    sections = spark.createDataFrame([("d", "item_1", "rain gauges"), ("e", "item_1", "steel suppliers")], "doc_key string, section_id string, text string")
+    s = service.Settings(dim=32)
+    q = spark.createDataFrame([(0, "steel")], "qid long, question string")
+    for _ in range(2):
+        b = service.bundle_of(sections, s)
+        store = service.prewarm(b, f"file://{tmp_path}/store")
+        assert len(store) == 2 and store.version == 1
+        assert service.rankings(b, q, s).orderBy("rank").first().chunk_id == "e_item_1::0000"
+
+
+def test_model_answers(spark):
+    from marlstone.operators import generation
+
+    df = spark.createDataFrame([("a",), ("bad",)], "p string")
+    got = df.select(generation.structured(lambda p: '{"x": 1}' if p == "a" else "[1]")("p").alias("x"), generation.spoken(lambda p: ["one ", p] if p == "a" else 1 / 0)("p").alias("y")).collect()
+    assert [(r.x, r.y) for r in got] == [('{"x": 1}', "one a"), (None, "")]
+
+
 def test_streaming_costs(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     events.write.parquet(f"{tmp_path}/in")
