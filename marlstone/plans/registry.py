@@ -270,7 +270,7 @@ def chunk_structural(s, d):
 )
 def pack_greedy(s, d):
     """Lines packed greedily to 600 characters, by one fold over the lines."""
-    docs = table(s, d, "documents").filter(F.length("text") <= 4000).select("doc_id", F.split("text", "\n").alias("p"))
+    docs = table(s, d, "documents").select("doc_id", F.split("text", "\n").alias("p"))
     one = lambda n: F.array(F.struct(F.lit(1).cast("long").alias("n_lines"), n.cast("long").alias("n_chars")))
 
     def step(acc, line):
