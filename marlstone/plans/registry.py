@@ -206,7 +206,7 @@ _ANCHORS = [("the", r"\bthe of\b"), ("and", r"\band the\b"), ("in", r"\bin the\b
 
 
 def _filings(s, d):
-    return table(s, d, "documents").filter("lang = 'en'").select(F.col("doc_id").alias("doc_key"), "text")
+    return table(s, d, "documents").select(F.col("doc_id").alias("doc_key"), "text")
 
 
 @query()

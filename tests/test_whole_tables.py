@@ -37,3 +37,15 @@ def test_pack_greedy_takes_long_texts(spark, folder):
         want |= {(i, k, len(p), len("\n".join(p))) for k, p in enumerate(packed)}
     got = [tuple(r) for r in QUERIES["pack_greedy"](spark, folder).select("doc_id", "chunk", "n_lines", "n_chars").collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+FILINGS = [(i, f"head of the of {i} " + "body " * 40 + "and the rest " + "tail " * 30, lang) for i, lang in enumerate(["en", "de", "fr", None])]
+
+
+def test_sections_of_every_language(spark, tmp_path):
+    spark.createDataFrame(FILINGS, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {name: QUERIES[name](spark, str(tmp_path)).collect() for name in ("section_markers", "parse_sections_longest", "parse_rate")}
+    want = {(i, sid, t.index(h) + 1, h) for i, t, _ in FILINGS for sid, h in (("the", "the of"), ("and", "and the"))}
+    assert {(r.doc_key, r.sid, r.pos, r.header) for r in found["section_markers"]} == want
+    assert {(r.doc_key, r.section_id, r.char_count) for r in found["parse_sections_longest"]} == {(i, sid, n) for i, _, _ in FILINGS for sid, n in (("the", len(f"{i} " + "body " * 40) - 1), ("and", len("rest " + "tail " * 30) - 1))}
+    assert {(r.doc_key, r.found, r.missing) for r in found["parse_rate"]} == {(i, 2, "in") for i, _, _ in FILINGS}
