@@ -1,6 +1,7 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long tokens with a digit, known key shapes, and values set for names like `password`. Each gets
+Candidates are long tokens with a digit, known key shapes, and values set for names like `password`; of `name=value`
+without quotes the value is the candidate, and the name is its left context. Each gets
 features: length, classes and transitions of its characters (with a table of character pairs learned from the
 labelled findings), entropy, share covered by dictionary words, the path's words, and neighbouring words and
 punctuation. A random forest, trained from labelled findings, says which are secrets. The labelled findings are
@@ -35,8 +36,15 @@ NEAR = 60
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 #: The first two conditions follow from the third, and fail at once in most places.
 _VALUE = rf"(?<=[\s:=\"'])(?<=[:=][\s\"']{{0,4}})(?<=(?i:{_NAMES})[\"']{{0,1}}\s{{0,3}}[:=]\s{{0,3}}[\"']{{0,1}})[^\s\"',;<>()\[\]{{}}]{{6,}}"
-_LONG = r"(?<![A-Za-z0-9_+/=.\-])(?=[A-Za-z_+/=.\-]{0,64}+[0-9])[A-Za-z0-9_+/=.\-]{16,}+"
-PATTERN = f"{_VALUE}|{_LONG}"
+_MARK = "[A-Za-z0-9_+/.\\-]"
+_DIGIT = r"(?=[A-Za-z_+/=.\-]{0,64}+[0-9])"
+#: Shapes that are told by their beginning, with a digit or without; a full stop after one is not part of it.
+_KNOWN = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/=\-])|(?:gh[pousr]_|npm_)[A-Za-z0-9]{30,}+(?![_+/=\-])|xox[abprs]-[A-Za-z0-9-]{10,}+(?![_+/=])|sk_live_[A-Za-z0-9]{16,}+(?![_+/=\-])|AIza[A-Za-z0-9_-]{30,}+(?![+/=])"
+#: What is a candidate after `name=`: a known shape, a value of _NAMES, or a long token.
+_SET = rf"(?:(?<=(?i:{_NAMES})=)[^\s\"',;<>()\[\]{{}}]{{6}}|{_KNOWN}|{_DIGIT}[A-Za-z0-9_+/=.\-]{{16}})"
+#: Long tokens. One that sets a candidate gives way to it, but for a left side that is long itself.
+_LONG = rf"(?<!{_MARK})(?!=){_DIGIT}(?:{_MARK}{{16,}}+(?==+{_SET})|(?!(?:{_MARK}++={{1,2}}){{1,8}}?{_SET})[A-Za-z0-9_+/=.\-]{{16,}}+)"
+PATTERN = f"{_VALUE}|(?<!{_MARK})(?:{_KNOWN})|{_LONG}"
 
 #: Words that a placeholder or an identifier is made of.
 DICTIONARY = "account admin array async base build button change changeme check class client cluster color column commit config content count create data date debug default delete demo digest document dummy email error example false field file filter float fake foo bar function global group guest handle hash header hello here html http https image index input insert item json key label length level line link list local login main master message method mock model module name node none null number object option order page panel param parent pass password path placeholder plain point port public query random read redacted release replace request response result root sample scale script secret select server service session setting size source start state status string style sub table target temp test text time title token true type undefined update upload user value version view west east north south www xxx your".split()
@@ -118,7 +126,7 @@ def featured(rows: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
-    """n findings labelled by construction: cand, left, right, path, label (1: a secret)."""
+    """Findings labelled by construction, n less the few that candidates() passes by: id, cand, left, right, path, label (1: a secret)."""
     h = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")).cast("binary"), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[\r\n]", "")
     draw = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
@@ -140,6 +148,7 @@ def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     )
     names = of("name", "token", "TOKEN", "secret", "api_key", "apiKey", "API_KEY", "password", "access_key", "auth_token", "client_secret", "private_key")
     opening = F.concat(of("lead", "", " ", "export ", "\n", "the ", "set "), names, of("sign", " = \"", "=\"", ": \"", " = '", "=", ": ", "\": \""))
+    bare = of("lead", "", " ", "use ", "see ", "with ", "key ", "\n", "(", "- ", "id: ", "the ", "and ")
     closing = F.concat(of("end", "\"", "'", "\"", "", "\n"), of("tail", " and", "\n", "", " #", ";"))
     word = of("word", *DICTIONARY[::7])
     other = of("word2", *DICTIONARY[3::7])
@@ -164,14 +173,33 @@ def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
     kind = draw("not", 14)
     calm = of("calm", "commit ", "sha256:", "md5 = ", "checksum: ", "integrity ", "see ", "version ", "id: ", "uuid=", "digest \"", "hash: ", "revision ", "", "the file ", "etag=\"")
     trap = F.when(kind >= 4, F.when(draw("trap", 2) == 0, opening).otherwise(calm)).otherwise(calm)
-    return spark.range(0, n, 1, 1).select(
+    shaped = (draw("kind", 10) >= 6) & (draw("kind", 10) <= 8)
+    named = F.when(shaped & (draw("bare", 2) == 0), bare).otherwise(opening)
+    made = spark.range(0, n, 1, 1).select(
         "id",
         (F.col("id") % 2).cast("double").alias("label"),
-        F.when(F.col("id") % 2 == 1, secret).otherwise(innocent).alias("cand"),
-        F.concat(F.repeat(F.concat(other, F.lit(" ")), draw("pad", 4)), F.when(F.col("id") % 2 == 1, opening).otherwise(trap)).alias("left"),
-        closing.alias("right"),
+        F.when(F.col("id") % 2 == 1, secret).otherwise(innocent).alias("made"),
+        F.concat(F.repeat(F.concat(other, F.lit(" ")), draw("pad", 4)), F.when(F.col("id") % 2 == 1, named).otherwise(trap)).alias("before"),
+        closing.alias("after"),
         F.when(F.col("id") % 2 == 1, of("p1", "src/app", "config/prod", "", "deploy/env", "tests/unit")).otherwise(of("p2", "src/app", "docs/example", "", "tests/fixture", "data")).alias("path"),
     )
+    return as_found(made)
+
+
+def as_found(made: DataFrame) -> DataFrame:
+    """Made findings (id, label, made, before, after, path) as candidates() cuts them from their text: cand, left, right. Those it doesn't find go."""
+    made = made.withColumn("text", F.concat("before", "made", "after"))
+    found = made.withColumns({"cands": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), "gaps": F.split("text", PATTERN)})
+    # the candidate that holds the last character of what was made
+    ends = F.transform(
+        F.sequence(F.lit(1), F.size("cands")),
+        lambda i: F.aggregate(F.slice("cands", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("gaps", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)),
+    )
+    found = found.filter(F.size("cands") > 0).withColumn("ends", ends)
+    end = F.length("before") + F.length("made")
+    found = found.withColumn("at", F.size(F.filter("ends", lambda e: e < end))).withColumn("cand", F.get("cands", F.col("at")))
+    found = found.filter(F.col("cand").isNotNull() & (F.get("ends", F.col("at")) - F.length("cand") < end))
+    return found.select("id", "label", "cand", F.right(F.get("gaps", F.col("at")), F.lit(NEAR)).alias("left"), F.left(F.get("gaps", F.col("at") + 1), F.lit(NEAR)).alias("right"), "path")
 
 
 def pair_ratios(rows: DataFrame) -> DataFrame:
