@@ -43,7 +43,7 @@ HOT = 2048
 WORDS = 16
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
-KEYS = 4
+KEYS = 8
 CHUNK = 4096
 
 
@@ -295,25 +295,124 @@ def clusters(prints: DataFrame) -> DataFrame:
 
 
 def radius_of(similarity: float, bits: int) -> int:
-    """Bits by which sets of that Jaccard similarity differ, and one and a half standard deviations."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(bits * p + 1.5 * math.sqrt(bits * p * (1 - p)))
+    """Bits by which sets of that Jaccard similarity differ, and four standard deviations.
 
+    Small sets differ in more bits than large ones, as an even count needs more than its half: at 0.8 the worst are
+    4 of 5 shingles, in 0.1875 of the bits."""
+    p = max(math.acos(2 * similarity / (1 + similarity)) / math.pi, 0.1875)
+    return int(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
-def wide_fingerprints(docs: DataFrame, width: int, words: int, keys: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, fp (words as bytes), keys (the smallest shingle hashes) from each text's distinct shingles."""
+
+def prefix(n: int, similarity: float) -> int:
+    """Of two sets that are so much alike, so many smallest members (n: the set's size) share one."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def set_hashes(text: str | None, width: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, width))
+
+
+def set_name(hashes: np.ndarray) -> int:
+    """A signed long that stands for the set."""
+    return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
+
+
+def wide_fingerprints(docs: DataFrame, width: int, words: int, keys: int, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, node (its shingle set), fp (words as bytes), keys (the smallest shingle hashes) from each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, ks = [], []
+            names, fps, ks = [], [], []
             for t in b.column(1):
-                h = np.unique(shingle_hashes(t.as_py(), width))
+                h = set_hashes(t.as_py(), width)
+                names.append(set_name(h))
                 fps.append(np.concatenate([bit_majority(widened(h, words))]).tobytes())
-                ks.append(h[:keys].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(ks, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
+                ks.append(h[: min(keys, prefix(len(h), similarity))].view(np.int64).tolist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(fps, pa.binary()), pa.array(ks, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, fp binary, keys array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp binary, keys array<long>")
+
+
+def named_sets(docs: DataFrame, width: int) -> DataFrame:
+    """node, hashes (sorted, as bytes) of docs (text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [set_hashes(t.as_py(), width) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], names=["node", "hashes"])
+
+    return docs.mapInArrow(run, "node long, hashes binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sorted sets is that or more."""
+    total = len(a) + len(b)
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    return int((b[at] == a).sum()) * (1 + similarity) >= similarity * total - 1e-9
+
+
+def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """root[i]: the first set of i's component by pairs that are alike. Pairs that share no member of their prefixes
+    can't be, and pairs already joined need no look."""
+    root, tested = np.arange(len(sets)), set()
+    heads = [h[: prefix(len(h), similarity)] for h in sets]
+    keys, own = np.concatenate(heads), np.repeat(np.arange(len(sets)), [len(h) for h in heads])
+    order = np.lexsort((own, keys))
+    keys, own = keys[order], own[order]
+    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
+    for low, high in zip(cuts[:-1], cuts[1:]):
+        group = own[low:high]
+        if (root[group] == root[group[0]]).all():
+            continue
+        for k in range(1, len(group)):
+            i = int(group[k])
+            others = group[:k][root[group[:k]] != root[i]]
+            while len(others):
+                j = int(others[0])
+                others = others[1:]
+                if (j, i) in tested:
+                    continue
+                tested.add((j, i))
+                if alike(sets[j], sets[i], similarity):
+                    hook(root, np.array([j]), np.array([i]))
+                    others = others[root[others] != root[i]]
+    return root
+
+
+def _verify(similarity: float):
+    """Streams rows (key, part, node, hashes) sorted by key and part; gives links (a, b) of nodes that are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = {}, None
+
+        def links():
+            nodes = np.array(list(held), np.int64)
+            root = verified(list(held.values()), similarity)
+            far = np.flatnonzero(root != np.arange(len(root)))
+            return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
+
+        for b in batches:
+            for key, part, node, raw in zip(*(c.to_pylist() for c in b.columns)):
+                if (key, part) != at:
+                    if len(held) > 1:
+                        yield links()
+                    held, at = {}, (key, part)
+                held[node] = np.frombuffer(raw, np.uint64)
+        if len(held) > 1:
+            yield links()
+
+    return run
+
+
+def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
+    """rows (key, n: its rows, node, ...) with part: keys of over `chunk` rows as pairs of chunks."""
+    c = F.ceil(F.col("n") / (chunk / 2)).cast("long")
+    own = F.pmod(F.xxhash64("node"), c)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda other: F.least(other, own) * c + F.greatest(other, own))
+    return rows.withColumn("part", F.explode(F.when(F.col("n") > chunk, pairs).otherwise(F.array(F.lit(0).cast("long")))))
 
 
 def _compare_wide(radius: int):
@@ -348,28 +447,33 @@ def _compare_wide(radius: int):
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, words: int = WORDS, keys: int = KEYS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, component_id: documents whose shingle sets are about `similarity` alike or more, and what they reach.
-
-    Fingerprints of 64 * words bits estimate the similarity to some hundredths. Documents meet if they share one
-    of their `keys` smallest shingle hashes (of two texts that are 0.8 alike, all but 0.2 ** keys do). A key with more than
-    `chunk` different fingerprints is dealt as pairs of chunks, so that a task holds two chunks at most."""
-    prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col), "wide")
-    nodes = written(prints.filter("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys")), "wide-nodes")
+    """doc_id, component_id: documents whose shingle sets are `similarity` alike or more, and what they reach.
+
+    Fingerprints of 64 * words bits, with four standard deviations to spare, find groups of documents that may be alike;
+    in each group the links are pairs whose exact Jaccard similarity is enough. Documents meet if they share one of their
+    `keys` smallest shingle hashes: for sets of up to 39 shingles all that are 0.8 alike do, of larger ones all but about
+    0.2 ** keys. A key or group of more than `chunk` different sets is dealt as pairs of chunks, so that no group in a task
+    holds more than two chunks."""
+    prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col, similarity), "wide")
+    nodes = prints.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    nodes = written(nodes, "wide-nodes")
     dealt = nodes.select(F.explode("keys").alias("key"), "node")
     many = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
     some = nodes.select(F.explode("keys").alias("key"), "fp", "node").join(many, "key")
+    parts = _dealt(some, chunk).select("key", "part", "fp", "node")
     compare = _compare_wide(radius_of(similarity, 64 * words))
-    few = some.filter(F.col("n") <= chunk).select("key", F.lit(0).cast("long").alias("part"), "fp", "node")
-    links = few.repartition("key").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long")
-    if not many.filter(F.col("n") > chunk).isEmpty():
-        c = F.ceil(F.col("n") / (chunk / 2)).cast("long")
-        own = F.pmod(F.xxhash64("node"), c)
-        pairs = F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda other: F.least(other, own) * c + F.greatest(other, own))
-        parts = some.filter(F.col("n") > chunk).select("key", F.explode(pairs).alias("part"), "fp", "node")
-        links = links.unionByName(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long"))
-    roots = components(links)
-    named = nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    groups = components(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long"))
+    groups = written(groups.select("node", "root"), "groups")
+    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    low = groups.join(nodes.select("node", F.col("low").alias("__low")), "node").select("__low").distinct()
+    chosen = docs.withColumn("__low", F.col(id_col).cast("long")).join(low, "__low", "left_semi").select(F.col(text_col).alias("text"))
+    sets = named_sets(chosen, width).join(groups, "node").join(sizes, "root")
+    exact = _dealt(sets, chunk).select("root", "part", "node", "hashes")
+    links = exact.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(_verify(similarity), "a long, b long")
+    roots = nodes.select("node", "low").join(components(written(links, "verified")), "node").select("node", "root", "low")
+    least = roots.groupBy("root").agg(F.min("low").alias("least"))
+    named = nodes.select("node", "low").join(roots.select("node", "root").join(least, "root"), "node", "left").select("node", F.coalesce("least", "low").alias("component_id"))
+    return prints.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
