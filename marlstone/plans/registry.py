@@ -216,7 +216,7 @@ def section_markers(s, d):
 
 _MARKS = " UNION ALL ".join(
     f"SELECT doc_key, '{sid}' AS sid, CAST({k} AS BIGINT) AS rank, length(array_to_string(parts[1:i], '')) + length(array_to_string(heads[1:i - 1], '')) + 1 AS pos, heads[i] AS header "
-    f"FROM (SELECT doc_key, parts, heads, unnest(range(1, len(heads) + 1)) AS i FROM (SELECT doc_id AS doc_key, string_split_regex(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS heads FROM documents WHERE lang = 'en'))"
+    f"FROM (SELECT doc_key, parts, heads, unnest(range(1, len(heads) + 1)) AS i FROM (SELECT doc_id AS doc_key, string_split_regex(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS heads FROM documents))"
     for k, (sid, p) in enumerate(_ANCHORS)
 )
 _PARSED = f"""m AS ({_MARKS}), e AS (SELECT *, lead(pos) OVER (PARTITION BY doc_key ORDER BY pos, sid, header) AS stop FROM m),
@@ -231,7 +231,7 @@ def parse_sections_longest(s, d):
 
 @query(
     f"WITH {_PARSED} SELECT doc_id AS doc_key, count(section_id) AS found, coalesce(array_to_string(list_sort(list_filter(['the', 'and', 'in'], lambda x: NOT list_contains(list(coalesce(section_id, '')), x))), ','), '') AS missing, count(section_id) / 3.0 AS parse_rate "
-    "FROM documents LEFT JOIN parsed ON doc_id = doc_key WHERE lang = 'en' GROUP BY 1"
+    "FROM documents LEFT JOIN parsed ON doc_id = doc_key GROUP BY 1"
 )
 def parse_rate(s, d):
     docs = _filings(s, d)
@@ -264,7 +264,7 @@ def chunk_structural(s, d):
 
 
 @query(
-    "WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE length(text) <= 4000), "
+    "WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), "
     "r AS (SELECT doc_id, p, 1 AS i, length(p[1]) AS held, 0 AS chunk FROM s UNION ALL SELECT doc_id, p, i + 1, CASE WHEN held + 1 + length(p[i + 1]) <= 600 THEN held + 1 + length(p[i + 1]) ELSE length(p[i + 1]) END, CASE WHEN held + 1 + length(p[i + 1]) <= 600 THEN chunk ELSE chunk + 1 END FROM r WHERE i < len(p)) "
     "SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_lines, CAST(max(held) AS BIGINT) AS n_chars FROM r GROUP BY 1, 2"
 )
