@@ -36,10 +36,6 @@ N_OPEN = 64
 MIN_PIECE = 32
 GROUP = 32
 
-PIECE = 32
-GROUP = 32
-CACHE = 300_000
-
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 STAGED = PIECE + ", ids binary, part int"
 
@@ -56,7 +52,8 @@ class Encoder:
 
     The vocabulary comes as a merges file (tokenizers) and as ranks (tiktoken); both give the same ids and the
     second is four times as fast, so it does the work where it is given. Texts that hold a special token's
-    string go to the first, which knows those."""
+    string go to the first, which knows those; so do texts that are too much for the second's pattern matcher (white
+    space in a run of a million)."""
 
     kept: dict = {}
 
@@ -86,7 +83,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if self.fast is None or any(s in text for s in self.specials):
             return self.whole(text)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        try:
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except ValueError:
+            return self.whole(text)
 
 
 class Packer:
