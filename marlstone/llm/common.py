@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,26 +15,58 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Folders that this process has written, by path.
+_made: dict[str, SparkSession] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own if all tasks
+    run in this process (as in tests); on a cluster that is an error, as executors would write to their own disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(shared_dir, "own", None)
         if found is None:
             found = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="marlstone-")
     return found.rstrip("/")
 
 
-def written(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write df into the shared folder and read it back: the lineage ends there, and a lost executor costs nothing but its own tasks."""
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write df into the shared folder and read it back: the lineage ends there, and a lost executor costs nothing but its own tasks.
+
+    The folder stays until `dropped` or the end of the process."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
-    out = df.write.mode("errorifexists")
-    if partition_by:
-        out = out.partitionBy(partition_by)
-    out.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    df.write.mode("errorifexists").parquet(path)
+    _made[path] = spark
+    out = spark.read.schema(schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Remove what `written` wrote, once nothing reads it any more."""
+    for df in frames:
+        _remove(df.written_to)
+
+
+def _remove(path: str) -> None:
+    spark = _made.pop(path, None)
+    if spark is not None:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@atexit.register
+def _remove_all() -> None:
+    for path in list(_made):
+        try:
+            _remove(path)
+        except Exception:  # the JVM may have ended before
+            return
 
 
 def utf8(text):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import written
+from marlstone.llm.common import dropped, written
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
             .filter("u > v")
             .distinct()
         )
-        e = written(small, "small-star")
+        old, e = e, written(small, "small-star")
+        dropped(old, large)
         # xor of all edges' hashes and their number tell whether the round changed anything
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if now == before:
