@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import small_batches, table, written
+from marlstone.llm.common import row_keys, small_batches, table, written
 from marlstone.llm.graph import components
 
 SEED = 42
@@ -44,7 +44,7 @@ WORDS = 16
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
 KEYS = 8
-CHUNK = 4096
+CHUNK = 2048
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -318,20 +318,24 @@ def set_name(hashes: np.ndarray) -> int:
 
 
 def wide_fingerprints(docs: DataFrame, width: int, words: int, keys: int, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, node (its shingle set), fp (words as bytes), keys (the smallest shingle hashes) from each text's distinct shingles."""
+    """k1, k2 (the row's keys), doc_id, node (its shingle set), size, fp (words as bytes), keys (the smallest shingle hashes)
+    from each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names, fps, ks = [], [], []
-            for t in b.column(1):
+            names, sizes, fps, ks = [], [], [], []
+            for t in b.column(3):
                 h = set_hashes(t.as_py(), width)
                 names.append(set_name(h))
-                fps.append(np.concatenate([bit_majority(widened(h, words))]).tobytes())
+                sizes.append(len(h))
+                fps.append(bit_majority(widened(h, words)).tobytes())
                 ks.append(h[: min(keys, prefix(len(h), similarity))].view(np.int64).tolist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.int64()), pa.array(fps, pa.binary()), pa.array(ks, pa.list_(pa.int64()))], names=["doc_id", "node", "fp", "keys"])
+            made = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(ks, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["k1", "k2", "doc_id", "node", "size", "fp", "keys"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, node long, fp binary, keys array<long>")
+    rows = docs.select(*row_keys(id_col, text_col), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, "k1 string, k2 long, doc_id long, node long, size long, fp binary, keys array<long>")
 
 
 def named_sets(docs: DataFrame, width: int) -> DataFrame:
@@ -383,7 +387,7 @@ def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _verify(similarity: float):
-    """Streams rows (key, part, node, hashes) sorted by key and part; gives links (a, b) of nodes that are alike."""
+    """Streams rows (key, i, j, hashes, node) sorted by the first three; gives links (a, b) of nodes that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = {}, None
@@ -395,11 +399,11 @@ def _verify(similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
 
         for b in batches:
-            for key, part, node, raw in zip(*(c.to_pylist() for c in b.columns)):
-                if (key, part) != at:
+            for *group, raw, node in zip(*(c.to_pylist() for c in b.columns)):
+                if group != at:
                     if len(held) > 1:
                         yield links()
-                    held, at = {}, (key, part)
+                    held, at = {}, group
                 held[node] = np.frombuffer(raw, np.uint64)
         if len(held) > 1:
             yield links()
@@ -407,19 +411,48 @@ def _verify(similarity: float):
     return run
 
 
-def _dealt(rows: DataFrame, chunk: int) -> DataFrame:
-    """rows (key, n: its rows, node, ...) with part: keys of over `chunk` rows as pairs of chunks."""
+def group_links(rows: DataFrame, compare, chunk: int) -> DataFrame:
+    """Links (a, b) that connect whatever `compare` would connect among the rows (key, node, fp) of each key.
+
+    A key of over `chunk` rows (a row counts by its bytes, where fp has over 8 kB) is dealt in parts of half as many. Each
+    part is compared by itself; of a large group of near copies nearly all rows are then in one component. Only rows outside
+    the key's largest component meet all other parts: pairs inside that component need no look, so the work is linear in the
+    largest component's rows."""
+    weight = F.greatest(F.lit(1), F.octet_length("fp") / 8192).cast("long")
+    rows = written(rows.withColumn("w", weight), "grouped")
+    sizes = written(rows.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "sizes")
+    some = rows.join(sizes, "key")
+
+    def compared(df, *by):
+        return df.repartition(*by).sortWithinPartitions(*by).select(*by, "fp", "node").mapInArrow(compare, "a long, b long")
+
+    zero = F.lit(0).cast("long")
+    links = compared(some.filter(F.col("n") <= chunk).withColumns({"i": zero, "j": zero}), "key", "i", "j")
+    hot = sizes.filter(F.col("n") > chunk)
+    if hot.isEmpty():
+        return links
     c = F.ceil(F.col("n") / (chunk / 2)).cast("long")
-    own = F.pmod(F.xxhash64("node"), c)
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), c - 1), lambda other: F.least(other, own) * c + F.greatest(other, own))
-    return rows.withColumn("part", F.explode(F.when(F.col("n") > chunk, pairs).otherwise(F.array(F.lit(0).cast("long")))))
+    dealt = written(rows.join(hot, "key").withColumn("c", c).withColumn("i", F.pmod(F.xxhash64("node"), "c")).drop("n"), "hot")
+    inner = written(compared(dealt.withColumn("j", zero), "key", "i", "j"), "inner-links")
+    placed = dealt.select("key", "node", "w").join(components(inner), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
+    counts = placed.groupBy("key", "root").agg(F.sum("w").alias("m"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("n"))
+    parts = F.ceil((F.col("n") - F.col("x.m")) / (chunk / 2)).cast("long")
+    largest = largest.filter("x.m < n").select("key", F.col("x.root").alias("largest"), parts.alias("parts"))
+    rest = written(placed.join(largest, "key").filter("root <> largest").select("key", "node", "parts"), "rest")
+    many = rest.select("key", "parts").distinct()
+    sequence = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    all_ = dealt.join(many, "key").withColumn("j", sequence("parts"))
+    few = dealt.drop("i").join(rest, ["key", "node"]).withColumns({"j": F.pmod(F.xxhash64("node", F.lit("rest")), "parts")}).withColumn("i", sequence("c"))
+    cols = ["key", "i", "j", "fp", "node"]
+    return links.unionByName(inner).unionByName(compared(all_.select(*cols).unionByName(few.select(*cols)), "key", "i", "j"))
 
 
 def _compare_wide(radius: int):
-    """As _compare, for rows (key, chunk, fp, node): a group is all rows of a key and chunk."""
+    """As _compare, for rows (key, i, j, fp, node): a group is all rows that agree in the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, node = np.zeros((0, 2), np.int64), None, np.zeros(0, np.int64)
+        key, fp, node = np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64)
 
         def links(k, f, n):
             groups = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]).any(axis=1))))
@@ -428,10 +461,10 @@ def _compare_wide(radius: int):
             return pa.RecordBatch.from_arrays([pa.array(n[far]), pa.array(n[root[far]])], names=["a", "b"])
 
         for b in batches:
-            new = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(b.num_rows, -1)
-            key = np.concatenate((key, np.stack((b.column(0).to_numpy(), b.column(1).to_numpy()), axis=1)))
+            new = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(b.num_rows, -1)
+            key = np.concatenate((key, np.stack([b.column(k).to_numpy() for k in range(3)], axis=1)))
             fp = new if fp is None else np.concatenate((fp, new))
-            node = np.concatenate((node, b.column(3).to_numpy()))
+            node = np.concatenate((node, b.column(4).to_numpy()))
             if len(key) < 20_000:
                 continue
             cut = int(np.argmax((key == key[-1]).all(axis=1)))  # the last group may go on
@@ -444,43 +477,64 @@ def _compare_wide(radius: int):
     return run
 
 
+def grouped(docs: DataFrame, similarity: float, width: int, words: int, keys: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, groups). rows: k1, k2, doc_id, node of each row of docs; groups: node, low, own, and of the component that the
+    node is in: least (its smallest id) and first (its own row that is kept). own and first are structs (none, doc_id, k2, k1)."""
+    prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col, similarity), "wide")
+    own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2", "k1")).alias("own")
+    nodes = written(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), own), "wide-nodes")
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "size")
+    many = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+    # sets that are so much alike have sizes in one step of a ladder or in two that adjoin: that splits frequent keys
+    step = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(similarity) + 1e-9)
+    meeting = F.when(F.col("n") > chunk, F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1))).otherwise(F.array("key"))
+    met = dealt.join(many, "key").select(F.explode(meeting).alias("key"), "node")
+    found = group_links(met.join(nodes.select("node", "fp"), "node"), _compare_wide(radius_of(similarity, 64 * words)), chunk)
+    may = written(components(found).select("node", "root"), "groups")
+    # one row of each node in a group brings its text
+    chosen = nodes.join(may, "node", "left_semi").select(F.col("own.k1").alias("__k1"), F.col("own.k2").alias("__k2"))
+    k1, k2 = row_keys(id_col, text_col)
+    texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen, ["__k1", "__k2"], "left_semi").select("text")
+    sets = named_sets(texts, width).groupBy("node").agg(F.first("hashes").alias("fp"))
+    alike_ = group_links(sets.join(may, "node").select(F.col("root").alias("key"), "node", "fp"), _verify(similarity), chunk)
+    roots = nodes.select("node", "own").join(components(written(alike_, "verified")), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+    first = roots.groupBy("root").agg(F.min("own").alias("first"))
+    return prints.select("k1", "k2", "doc_id", "node"), written(roots.join(first, "root").select("node", "first"), "components")
+
+
 def near_duplicates(
     docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, words: int = WORDS, keys: int = KEYS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """doc_id, component_id: documents whose shingle sets are `similarity` alike or more, and what they reach.
+    """doc_id, component_id (the smallest id there, null if none has one): documents whose shingle sets are `similarity`
+    alike or more, and what they reach. Rows without an id are documents like others.
 
     Fingerprints of 64 * words bits, with four standard deviations to spare, find groups of documents that may be alike;
     in each group the links are pairs whose exact Jaccard similarity is enough. Documents meet if they share one of their
     `keys` smallest shingle hashes: for sets of up to 39 shingles all that are 0.8 alike do, of larger ones all but about
-    0.2 ** keys. A key or group of more than `chunk` different sets is dealt as pairs of chunks, so that no group in a task
-    holds more than two chunks."""
-    prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col, similarity), "wide")
-    nodes = prints.filter("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("low"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    nodes = written(nodes, "wide-nodes")
-    dealt = nodes.select(F.explode("keys").alias("key"), "node")
-    many = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
-    some = nodes.select(F.explode("keys").alias("key"), "fp", "node").join(many, "key")
-    parts = _dealt(some, chunk).select("key", "part", "fp", "node")
-    compare = _compare_wide(radius_of(similarity, 64 * words))
-    groups = components(parts.repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(compare, "a long, b long"))
-    groups = written(groups.select("node", "root"), "groups")
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    low = groups.join(nodes.select("node", F.col("low").alias("__low")), "node").select("__low").distinct()
-    chosen = docs.withColumn("__low", F.col(id_col).cast("long")).join(low, "__low", "left_semi").select(F.col(text_col).alias("text"))
-    sets = named_sets(chosen, width).join(groups, "node").join(sizes, "root")
-    exact = _dealt(sets, chunk).select("root", "part", "node", "hashes")
-    links = exact.repartition("root", "part").sortWithinPartitions("root", "part").mapInArrow(_verify(similarity), "a long, b long")
-    roots = nodes.select("node", "low").join(components(written(links, "verified")), "node").select("node", "root", "low")
-    least = roots.groupBy("root").agg(F.min("low").alias("least"))
-    named = nodes.select("node", "low").join(roots.select("node", "root").join(least, "root"), "node", "left").select("node", F.coalesce("least", "low").alias("component_id"))
-    return prints.select("doc_id", "node").join(named, "node", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
-
-
-def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """docs with one document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
-    groups = near_duplicates(docs, **how)
-    gone = groups.filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    0.2 ** keys. Keys and groups of over `chunk` different sets go by group_links."""
+    rows, groups = grouped(docs, similarity, width, words, keys, chunk, id_col, text_col)
+    return rows.join(groups, "node").select("doc_id", F.col("first.doc_id").alias("component_id"))
+
+
+def deduplicated(
+    docs: DataFrame, similarity: float = SIMILARITY, width: int = STAGE_SHINGLE, words: int = WORDS, keys: int = KEYS, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest id, rows without an id last.
+
+    Rows are told apart by id and text. Where the kept row is repeated with the same id and text, one of them stays, whatever
+    its other columns."""
+    rows, groups = grouped(docs, similarity, width, words, keys, chunk, id_col, text_col)
+    per = rows.groupBy("k1", "k2", "node").agg(F.count(F.lit(1)).alias("n")).join(groups, "node")
+    stays = (F.col("k1") == F.col("first.k1")) & (F.col("k2") == F.col("first.k2"))
+    per = per.withColumns({"stays": stays}).filter("not stays or n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "stays")
+    per = written(per, "decided")
+    k1, k2 = row_keys(id_col, text_col)
+    kept = docs.withColumns({"__k1": k1, "__k2": k2}).join(per.filter("not stays"), ["__k1", "__k2"], "left_anti")
+    again = per.filter("stays").drop("stays")
+    if not again.isEmpty():
+        once = kept.join(again, ["__k1", "__k2"], "left_anti")
+        kept = once.unionByName(kept.join(again, ["__k1", "__k2"], "left_semi").dropDuplicates(["__k1", "__k2"]))
+    return kept.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
