@@ -387,7 +387,7 @@ def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
 
 
 def _verify(similarity: float):
-    """Streams rows (key, i, j, hashes, node) sorted by the first three; gives links (a, b) of nodes that are alike."""
+    """Streams rows (key, hashes, node) sorted by key; gives links (a, b) of nodes that are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = {}, None
@@ -399,11 +399,11 @@ def _verify(similarity: float):
             return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["a", "b"])
 
         for b in batches:
-            for *group, raw, node in zip(*(c.to_pylist() for c in b.columns)):
-                if group != at:
+            for key, raw, node in zip(*(c.to_pylist() for c in b.columns)):
+                if key != at:
                     if len(held) > 1:
                         yield links()
-                    held, at = {}, group
+                    held, at = {}, key
                 held[node] = np.frombuffer(raw, np.uint64)
         if len(held) > 1:
             yield links()
@@ -411,54 +411,23 @@ def _verify(similarity: float):
     return run
 
 
-def group_links(rows: DataFrame, compare, chunk: int) -> DataFrame:
-    """Links (a, b) that connect whatever `compare` would connect among the rows (key, node, fp) of each key.
-
-    A key of over `chunk` rows (a row counts by its bytes, where fp has over 8 kB) is dealt in parts of half as many. Each
-    part is compared by itself; of a large group of near copies nearly all rows are then in one component. Only rows outside
-    the key's largest component meet all other parts: pairs inside that component need no look, so the work is linear in the
-    largest component's rows."""
-    weight = F.greatest(F.lit(1), F.octet_length("fp") / 8192).cast("long")
-    rows = written(rows.withColumn("w", weight), "grouped")
-    sizes = written(rows.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "sizes")
-    some = rows.join(sizes, "key")
-
-    def compared(df, *by):
-        return df.repartition(*by).sortWithinPartitions(*by).select(*by, "fp", "node").mapInArrow(compare, "a long, b long")
-
-    zero = F.lit(0).cast("long")
-    links = compared(some.filter(F.col("n") <= chunk).withColumns({"i": zero, "j": zero}), "key", "i", "j")
-    hot = sizes.filter(F.col("n") > chunk)
-    if hot.isEmpty():
-        return links
-    c = F.ceil(F.col("n") / (chunk / 2)).cast("long")
-    dealt = written(rows.join(hot, "key").withColumn("c", c).withColumn("i", F.pmod(F.xxhash64("node"), "c")).drop("n"), "hot")
-    inner = written(compared(dealt.withColumn("j", zero), "key", "i", "j"), "inner-links")
-    placed = dealt.select("key", "node", "w").join(components(inner), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
-    counts = placed.groupBy("key", "root").agg(F.sum("w").alias("m"))
-    largest = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("n"))
-    parts = F.ceil((F.col("n") - F.col("x.m")) / (chunk / 2)).cast("long")
-    largest = largest.filter("x.m < n").select("key", F.col("x.root").alias("largest"), parts.alias("parts"))
-    rest = written(placed.join(largest, "key").filter("root <> largest").select("key", "node", "parts"), "rest")
-    many = rest.select("key", "parts").distinct()
-    sequence = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
-    all_ = dealt.join(many, "key").withColumn("j", sequence("parts"))
-    few = dealt.drop("i").join(rest, ["key", "node"]).withColumns({"j": F.pmod(F.xxhash64("node", F.lit("rest")), "parts")}).withColumn("i", sequence("c"))
-    cols = ["key", "i", "j", "fp", "node"]
-    return links.unionByName(inner).unionByName(compared(all_.select(*cols).unionByName(few.select(*cols)), "key", "i", "j"))
-
-
-def _compare_wide(radius: int):
-    """As _compare, for rows (key, i, j, fp, node): a group is all rows that agree in the first three."""
+def _candidates(radius: int):
+    """Streams rows (key, i, j, fp, node) sorted by the first three. Of the rows that agree in those, gives the nodes of each
+    component by fingerprints within the radius, named by a hash of its members: (name, node). The same component under
+    several keys has one name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, fp, node = np.zeros((0, 3), np.int64), None, np.zeros(0, np.int64)
 
-        def links(k, f, n):
+        def found(k, f, n):
             groups = np.concatenate(([0], np.cumsum((k[1:] != k[:-1]).any(axis=1))))
             root = linked(f, groups, radius)
-            far = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(n[far]), pa.array(n[root[far]])], names=["a", "b"])
+            some = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+            order = some[np.lexsort((n[some], root[some]))]
+            cuts = np.flatnonzero(np.concatenate(([True], root[order][1:] != root[order][:-1], [True]))) if len(order) else np.zeros(1, int)
+            members = n[order]
+            names = [set_name(members[x:y]) for x, y in zip(cuts[:-1], cuts[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), np.diff(cuts))), pa.array(members)], names=["name", "node"])
 
         for b in batches:
             new = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u8").reshape(b.num_rows, -1)
@@ -469,35 +438,74 @@ def _compare_wide(radius: int):
                 continue
             cut = int(np.argmax((key == key[-1]).all(axis=1)))  # the last group may go on
             if cut:
-                yield links(key[:cut], fp[:cut], node[:cut])
+                yield found(key[:cut], fp[:cut], node[:cut])
                 key, fp, node = key[cut:].copy(), fp[cut:].copy(), node[cut:].copy()
         if len(key):
-            yield links(key, fp, node)
+            yield found(key, fp, node)
 
     return run
 
 
+def exact_links(met: DataFrame, prints: DataFrame, sets_of, similarity: float, radius: int, chunk: int) -> DataFrame:
+    """Links (a, b) that connect all nodes that share a key and are alike.
+
+    met: key, node, w; prints: node, fp; sets_of(nodes): node, hashes of those nodes. Nodes of a key are compared by
+    fingerprints, and within each component that those make, sets are compared exactly. A key whose nodes weigh over `chunk` is
+    dealt in parts of half as much. Each part is compared by itself first; of a large group of near copies nearly all are then
+    in one component. Only nodes outside the key's largest component meet all other parts: pairs inside that component need
+    no look, so the work is linear in the largest component's nodes."""
+    find, zero = _candidates(radius), F.lit(0).cast("long")
+    sizes = written(met.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "sizes")
+    c = F.when(F.col("n") > chunk, F.ceil(F.col("n") / (chunk / 2))).otherwise(1).cast("long")
+    dealt = written(met.join(sizes, "key").withColumn("c", c).withColumn("i", F.pmod(F.xxhash64("node"), "c")).drop("n"), "dealt")
+
+    def compared(parts: DataFrame) -> DataFrame:
+        parts = parts.join(prints, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = written(parts.select("key", "i", "j", "fp", "node").mapInArrow(find, "name long, node long").distinct(), "candidates")
+        sets = sets_of(found.select("node").distinct())
+        rows = found.join(sets, "node").repartition("name").sortWithinPartitions("name").select("name", "hashes", "node")
+        return written(rows.mapInArrow(_verify(similarity), "a long, b long"), "links")
+
+    inner = compared(dealt.select("key", "i", zero.alias("j"), "node"))
+    hot = dealt.filter("c > 1")
+    if hot.isEmpty():
+        return inner
+    placed = hot.join(components(inner), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
+    counts = placed.groupBy("key", "root").agg(F.sum("w").alias("m"))
+    largest = counts.groupBy("key").agg(F.max(F.struct("m", "root")).alias("x"), F.sum("m").alias("n"))
+    parts = F.ceil((F.col("n") - F.col("x.m")) / (chunk / 2)).cast("long")
+    largest = largest.filter("x.m < n").select("key", F.col("x.root").alias("largest"), parts.alias("parts"))
+    rest = written(placed.join(largest, "key").filter("root <> largest").select("key", "node", "parts"), "rest")
+    upto = lambda n: F.explode(F.sequence(zero, F.col(n) - 1))
+    all_ = hot.join(rest.select("key", "parts").distinct(), "key").withColumn("j", upto("parts"))
+    few = hot.drop("i").join(rest, ["key", "node"]).withColumn("j", F.pmod(F.xxhash64("node", F.lit("rest")), "parts")).withColumn("i", upto("c"))
+    both = all_.select("key", "i", "j", "node").unionByName(few.select("key", "i", "j", "node")).distinct()
+    return inner.unionByName(compared(both))
+
+
 def grouped(docs: DataFrame, similarity: float, width: int, words: int, keys: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows, groups). rows: k1, k2, doc_id, node of each row of docs; groups: node, low, own, and of the component that the
-    node is in: least (its smallest id) and first (its own row that is kept). own and first are structs (none, doc_id, k2, k1)."""
+    """(rows, groups). rows: k1, k2, doc_id, node of each row of docs; groups: node and first, the row that is kept of the
+    component that the node is in, as a struct (none, doc_id, k2, k1)."""
     prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col, similarity), "wide")
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2", "k1")).alias("own")
     nodes = written(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), own), "wide-nodes")
-    dealt = nodes.select(F.explode("keys").alias("key"), "node", "size")
-    many = written(dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "keys")
+    weight = F.greatest(F.lit(1), F.col("size") / 1024).cast("long")  # of 8 kB of hashes
+    dealt = nodes.select(F.explode("keys").alias("key"), "node", "size", weight.alias("w"))
+    many = written(dealt.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "keys")
     # sets that are so much alike have sizes in one step of a ladder or in two that adjoin: that splits frequent keys
     step = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(similarity) + 1e-9)
     meeting = F.when(F.col("n") > chunk, F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1))).otherwise(F.array("key"))
-    met = dealt.join(many, "key").select(F.explode(meeting).alias("key"), "node")
-    found = group_links(met.join(nodes.select("node", "fp"), "node"), _compare_wide(radius_of(similarity, 64 * words)), chunk)
-    may = written(components(found).select("node", "root"), "groups")
-    # one row of each node in a group brings its text
-    chosen = nodes.join(may, "node", "left_semi").select(F.col("own.k1").alias("__k1"), F.col("own.k2").alias("__k2"))
-    k1, k2 = row_keys(id_col, text_col)
-    texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen, ["__k1", "__k2"], "left_semi").select("text")
-    sets = named_sets(texts, width).groupBy("node").agg(F.first("hashes").alias("fp"))
-    alike_ = group_links(sets.join(may, "node").select(F.col("root").alias("key"), "node", "fp"), _verify(similarity), chunk)
-    roots = nodes.select("node", "own").join(components(written(alike_, "verified")), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
+    met = dealt.join(many, "key").select(F.explode(meeting).alias("key"), "node", "w")
+
+    def sets_of(some: DataFrame) -> DataFrame:
+        """One row of each node brings its text."""
+        chosen = nodes.join(some, "node", "left_semi").select(F.col("own.k1").alias("__k1"), F.col("own.k2").alias("__k2"))
+        k1, k2 = row_keys(id_col, text_col)
+        texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen, ["__k1", "__k2"], "left_semi").select("text")
+        return named_sets(texts, width).groupBy("node").agg(F.first("hashes").alias("hashes"))
+
+    links = exact_links(met, nodes.select("node", "fp"), sets_of, similarity, radius_of(similarity, 64 * words), chunk)
+    roots = nodes.select("node", "own").join(components(links), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min("own").alias("first"))
     return prints.select("k1", "k2", "doc_id", "node"), written(roots.join(first, "root").select("node", "first"), "components")
 
@@ -511,7 +519,7 @@ def near_duplicates(
     Fingerprints of 64 * words bits, with four standard deviations to spare, find groups of documents that may be alike;
     in each group the links are pairs whose exact Jaccard similarity is enough. Documents meet if they share one of their
     `keys` smallest shingle hashes: for sets of up to 39 shingles all that are 0.8 alike do, of larger ones all but about
-    0.2 ** keys. Keys and groups of over `chunk` different sets go by group_links."""
+    0.2 ** keys. Keys of over `chunk` different sets are dealt in parts (exact_links)."""
     rows, groups = grouped(docs, similarity, width, words, keys, chunk, id_col, text_col)
     return rows.join(groups, "node").select("doc_id", F.col("first.doc_id").alias("component_id"))
 
