@@ -11,7 +11,10 @@ labelled by construction (articles among menus, headers, footers, sidebars, noti
 comments, in semantic tags and in named divisions). It takes nothing from the input, takes some seconds on the
 driver, once a process, and gives weights of a fixed size, which are broadcast.
 
-Pages are labelled in Arrow batches; whole pages are read, nothing is cut off. Style: free (mapInArrow, numpy).
+Pages are labelled in Arrow batches; whole pages are read, nothing is cut off. Pages of like length go together, up to
+`CELLS` padded blocks at a time; a longer page goes alone, in stretches of as many blocks, of which only the running
+state is kept. Elements nested deeper than `DEPTH` open no level of their own, as in browsers. Style: free (mapInArrow,
+numpy).
 
 Defined results: a null or empty page, or one without main text, gives an empty text; null and repeated ids are
 kept as they come; malformed pages are read as far as browsers would (an unclosed tag, script or comment runs to
@@ -40,6 +43,9 @@ RAW = {"script", "style", "textarea", "title", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "input", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "br"}
 
+#: Open elements that count, and names of one element that its steps hold.
+DEPTH, NAMES = 512, 16
+
 _TAG = re.compile(r"""<!--(?:>|->|.*?(?:-->|--!>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+>|[^>]*+(?:>|\Z))""", re.S)
 _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _STEP = re.compile(r"[a-z]+")
@@ -64,6 +70,8 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
     def opened(tag: str, steps: tuple[str, ...]):
         nonlocal links, unseen
+        if len(stack) >= DEPTH and tag not in RAW:
+            return
         stack.append((tag, steps))
         links += tag == "a"
         unseen += tag in UNSEEN
@@ -132,7 +140,7 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
         if tag not in INLINE and ("=" in m[3]):
             for kind, *values in _NAMES.findall(m[3]):
                 steps += tuple(f"{kind[0].lower()}.{w}" for w in _STEP.findall("".join(values).lower()))
-        opened(tag, steps)
+        opened(tag, steps[:NAMES])
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(page, at)
             at = end.end() if end else n
@@ -145,29 +153,42 @@ def blocks(page: str) -> list[tuple[str, tuple[str, ...], int]]:
 
 
 PATHS, WORDS, D_PATH, D_WORD, D_FIGURE, HIDDEN = 4096, 2048, 16, 8, 6, 16
+CELLS = 1 << 14
 
 
-@functools.lru_cache(maxsize=65536)
+@functools.lru_cache(maxsize=8192)
 def _path_ids(path: tuple[str, ...]) -> np.ndarray:
     steps = [*path, "^".join(path[-2:]), "^" + "^".join(p for p in path if "." not in p)]
-    return np.array([zlib.crc32(s.encode()) % PATHS for s in steps])
+    return np.array([zlib.crc32(s.encode()) % PATHS for s in steps], np.int16)
 
 
 _EDGES = re.compile(r"[^\W_]+")
 
 
 def features(page: list[tuple[str, tuple[str, ...], int]]):
-    """For a page: path ids and word ids of each block, and the figures."""
+    """For a page: path ids and word ids of its blocks, each back to back with where a block's begin, and the figures."""
     n = len(page)
     figures = np.zeros((n, D_FIGURE))
     paths, words = [], []
     for k, (text, path, linked) in enumerate(page):
         paths.append(_path_ids(path))
         said = _EDGES.findall(text.lower())
-        words.append(np.array([zlib.crc32(w.encode()) % WORDS for w in said] or [0]))
+        words.append(np.array([zlib.crc32(w.encode()) % WORDS for w in said] or [0], np.int16))
         size = len(text)
         figures[k] = (np.log1p(size) / 5, np.log1p(len(said)) / 4, linked / size, sum(map(text.count, ".,;:!?")) / size * 10, k / n, 1.0)
-    return paths, words, figures
+    return _flat(paths), _flat(words), figures
+
+
+def _flat(arrays: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return (np.concatenate(arrays) if arrays else np.zeros(0, np.int16)), ends
+
+
+def _sums(table: np.ndarray, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows for each block's ids; long texts by how often each id occurs."""
+    if ends[-1] - ends[0] <= 1 << 17:
+        return np.add.reduceat(table[ids[ends[0] : ends[-1]]], ends[:-1] - ends[0], axis=0)
+    return np.array([np.bincount(ids[a:z], minlength=len(table)) @ table for a, z in zip(ends[:-1], ends[1:])])
 
 
 def _gates(x):
@@ -185,18 +206,20 @@ class Labeller:
             self.w[f"x{way}"], self.w[f"h{way}"], self.w[f"c{way}"] = r.normal(0, 0.25, (d, 4 * h)), r.normal(0, 0.25, (h, 4 * h)), np.zeros(4 * h)
             self.w[f"c{way}"][h : 2 * h] = 1.0
 
-    def inputs(self, pages):
-        """(T, B, d) padded with zeros, and the mask (T, B)."""
-        t, b = max(len(p[2]) for p in pages), len(pages)
-        x, mask = np.zeros((t, b, D_PATH + D_WORD + D_FIGURE)), np.zeros((t, b), bool)
+    def inputs(self, pages, low: int = 0, high: int | None = None):
+        """(T, B, d) of blocks low .. high - 1 of each page, padded with zeros, and the mask (T, B)."""
+        high = max(len(p[2]) for p in pages) if high is None else high
+        x, mask = np.zeros((high - low, len(pages), D_PATH + D_WORD + D_FIGURE)), np.zeros((high - low, len(pages)), bool)
         for k, (paths, words, figures) in enumerate(pages):
-            n = len(figures)
+            n = min(len(figures), high) - low
+            if n <= 0:
+                continue
             mask[:n, k] = True
-            for ids, name, a, z in ((paths, "path", 0, D_PATH), (words, "word", D_PATH, D_PATH + D_WORD)):
-                sizes = np.array([len(i) for i in ids])
-                sums = np.add.reduceat(self.w[name][np.concatenate(ids)], np.cumsum(sizes) - sizes, axis=0)
-                x[:n, k, a:z] = sums / (np.sqrt(sizes) if name == "path" else sizes)[:, None]
-            x[:n, k, D_PATH + D_WORD :] = figures
+            for (ids, ends), name, a, z in ((paths, "path", 0, D_PATH), (words, "word", D_PATH, D_PATH + D_WORD)):
+                ends = ends[low : low + n + 1]
+                sizes = np.diff(ends)
+                x[:n, k, a:z] = _sums(self.w[name], ids, ends) / (np.sqrt(sizes) if name == "path" else sizes)[:, None]
+            x[:n, k, D_PATH + D_WORD :] = figures[low : low + n]
         return x, mask
 
     def _run(self, x, mask, way):
@@ -260,10 +283,10 @@ class Labeller:
         h = HIDDEN
         dx = d_top[..., 2 * h :] + self._back(x, mask, runs["f"], "f", d_top[..., :h], grads) + self._back(x, mask, runs["b"], "b", d_top[..., h : 2 * h], grads)
         for k, (paths, words, figures) in enumerate(pages):
-            for ids, name, a, zz in ((paths, "path", 0, D_PATH), (words, "word", D_PATH, D_PATH + D_WORD)):
-                sizes = np.array([len(i) for i in ids])
+            for (ids, ends), name, a, zz in ((paths, "path", 0, D_PATH), (words, "word", D_PATH, D_PATH + D_WORD)):
+                sizes = np.diff(ends)
                 share = dx[: len(figures), k, a:zz] / (np.sqrt(sizes) if name == "path" else sizes)[:, None]
-                np.add.at(grads[name], np.concatenate(ids), np.repeat(share, sizes, axis=0))
+                np.add.at(grads[name], ids, np.repeat(share, sizes, axis=0))
         state["t"] = state.get("t", 0) + 1
         for name, g in grads.items():  # Adam
             m, v = state.setdefault(name, (np.zeros_like(g), np.zeros_like(g)))
@@ -272,15 +295,40 @@ class Labeller:
             self.w[name] -= rate * (m / (1 - 0.9 ** state["t"])) / (np.sqrt(v / (1 - 0.99 ** state["t"])) + 1e-8)
         return float(-np.sum(np.where(mask, y * np.log(p + 1e-9) + (1 - y) * np.log(1 - p + 1e-9), 0)) / mask.sum())
 
-    def keep(self, pages) -> list[np.ndarray]:
+    def scores(self, pages, cells: int = CELLS) -> np.ndarray:
+        """(T, B): the output for each block. Of the recurrence only the running state is kept."""
+        t, h, out = max(len(p[2]) for p in pages), HIDDEN, self.w["out"][:, 0]
+        z, step = np.full((t, len(pages)), self.w["bias"][0]), max(1, cells // len(pages))
+        spans = range(0, t, step)
+        held = self.inputs(pages) if len(spans) == 1 else None
+        for way in "fb":
+            wx, wh, c0, own = self.w[f"x{way}"], self.w[f"h{way}"], self.w[f"c{way}"], out[:h] if way == "f" else out[h : 2 * h]
+            hs = cs = np.zeros((len(pages), h))
+            for low in spans if way == "f" else reversed(spans):
+                x, mask = held or self.inputs(pages, low, min(t, low + step))
+                pre = x @ wx + c0
+                if way == "f":
+                    z[low : low + len(x)] += x @ out[2 * h :]
+                for k in range(len(x)) if way == "f" else range(len(x) - 1, -1, -1):
+                    a = pre[k] + hs @ wh
+                    g = _gates(a[:, : 3 * h])
+                    live = mask[k][:, None]
+                    cs = np.where(live, g[:, h : 2 * h] * cs + g[:, :h] * np.tanh(a[:, 3 * h :]), cs)
+                    hs = np.where(live, g[:, 2 * h :] * np.tanh(cs), hs)
+                    z[low + k] += hs @ own
+        return z
+
+    def keep(self, pages, cells: int = CELLS) -> list[np.ndarray]:
         """Which blocks of each page are main text."""
         out = [np.zeros(0, bool)] * len(pages)
-        some = sorted((k for k, p in enumerate(pages) if len(p[2])), key=lambda k: len(pages[k][2]))
-        for i in range(0, len(some), 128):
-            part = some[i : i + 128]
-            *_, z = self.forward([pages[k] for k in part])
-            for j, k in enumerate(part):
-                out[k] = z[: len(pages[k][2]), j] > 0
+        some, part = sorted((k for k, p in enumerate(pages) if len(p[2])), key=lambda k: len(pages[k][2])), []
+        for i, k in enumerate(some):
+            part.append(k)
+            if i + 1 == len(some) or len(pages[some[i + 1]][2]) * (len(part) + 1) > cells:
+                z = self.scores([pages[j] for j in part], cells)
+                for at, j in enumerate(part):
+                    out[j] = z[: len(pages[j][2]), at] > 0
+                part = []
         return out
 
 
