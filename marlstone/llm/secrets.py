@@ -1,10 +1,11 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long tokens with a digit, known key shapes, and values set for names like `password`; of `name=value`
-without quotes the value is the candidate, and the name is its left context. Each gets
-features: length, classes and transitions of its characters (with a table of character pairs learned from the
-labelled findings), entropy, share covered by dictionary words, the path's words, and neighbouring words and
-punctuation. A random forest, trained from labelled findings, says which are secrets. The labelled findings are
+Candidates are long tokens with a digit, known key shapes, values set for names like `password` (of `name=value`
+without quotes the value is the candidate, and the name is its left context), passwords in URLs (`scheme://user:here@host`,
+users of up to 128 characters) and PEM blocks of private keys. Each gets features: length, classes and transitions of its
+characters, entropy, share covered by dictionary words, the path's words, and neighbouring words and punctuation. How
+much character pairs, neighbouring words and path words speak for a secret is learned from the labelled findings too, as
+logarithms of ratios. A random forest, trained from labelled findings, says which are secrets. The labelled findings are
 made here from a seed by DataFrame functions (`labelled`; `n` rows, a fixed bound); a caller may give others.
 
 Native: DataFrame functions and the JVM's random forest. Texts are read once and never shuffled, findings are
@@ -18,6 +19,9 @@ are passed by (`redact` keeps them).
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -32,27 +36,30 @@ DEPTH = 8
 THRESHOLD = 0.5
 MASK = "[SECRET]"
 NEAR = 60
+LEAST = 5
 
 _NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
 #: The first two conditions follow from the third, and fail at once in most places.
 _VALUE = rf"(?<=[\s:=\"'])(?<=[:=][\s\"']{{0,4}})(?<=(?i:{_NAMES})[\"']{{0,1}}\s{{0,3}}[:=]\s{{0,3}}[\"']{{0,1}})[^\s\"',;<>()\[\]{{}}]{{6,}}"
 _MARK = "[A-Za-z0-9_+/.\\-]"
-_DIGIT = r"(?=[A-Za-z_+/=.\-]{0,64}+[0-9])"
+_DIGIT = r"(?=[A-Za-z_+/=.\-]*+[0-9])"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@\"'<>]{0,128}:)[^\s/@\"'<>]{3,}+(?=@)"
+_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.\-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
 #: Shapes that are told by their beginning, with a digit or without; a full stop after one is not part of it.
 _KNOWN = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/=\-])|(?:gh[pousr]_|npm_)[A-Za-z0-9]{30,}+(?![_+/=\-])|xox[abprs]-[A-Za-z0-9-]{10,}+(?![_+/=])|sk_live_[A-Za-z0-9]{16,}+(?![_+/=\-])|AIza[A-Za-z0-9_-]{30,}+(?![+/=])"
 #: What is a candidate after `name=`: a known shape, a value of _NAMES, or a long token.
 _SET = rf"(?:(?<=(?i:{_NAMES})=)[^\s\"',;<>()\[\]{{}}]{{6}}|{_KNOWN}|{_DIGIT}[A-Za-z0-9_+/=.\-]{{16}})"
 #: Long tokens. One that sets a candidate gives way to it, but for a left side that is long itself.
 _LONG = rf"(?<!{_MARK})(?!=){_DIGIT}(?:{_MARK}{{16,}}+(?==+{_SET})|(?!(?:{_MARK}++={{1,2}}){{1,8}}?{_SET})[A-Za-z0-9_+/=.\-]{{16,}}+)"
-PATTERN = f"{_VALUE}|(?<!{_MARK})(?:{_KNOWN})|{_LONG}"
+PATTERN = f"{_PEM}|{_IN_URL}|{_VALUE}|(?<!{_MARK})(?:{_KNOWN})|{_LONG}"
 
 #: Words that a placeholder or an identifier is made of.
 DICTIONARY = "account admin array async base build button change changeme check class client cluster color column commit config content count create data date debug default delete demo digest document dummy email error example false field file filter float fake foo bar function global group guest handle hash header hello here html http https image index input insert item json key label length level line link list local login main master message method mock model module name node none null number object option order page panel param parent pass password path placeholder plain point port public query random read redacted release replace request response result root sample scale script secret select server service session setting size source start state status string style sub table target temp test text time title token true type undefined update upload user value version view west east north south www xxx your".split()
 _GOOD = "(?i)(secret|token|passw|pwd|credential|api.?key|access.?key|auth|bearer|private)"
 _BAD = "(?i)(commit|sha-?[0-9]|md5|checksum|digest|hash|uuid|guid|version|revision|example|sample|dummy|placeholder|test|mock|image|integrity|etag|isbn|serial|order|phone|card)"
-_SHAPE = r"^(AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+|sk-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{30,})$"
+_SHAPE = r"^(-----BEGIN [\s\S]*|AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_.-]+|sk-[A-Za-z0-9_-]{20,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,}|glpat-[A-Za-z0-9_-]{16,}|npm_[A-Za-z0-9]{30,})$"
 
-FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_turns", "f_pairs", "f_entropy", "f_distinct", "f_words", "f_hex", "f_uuid", "f_shape", "f_run", "f_dots", "f_numeric", "f_path", "f_good", "f_bad", "f_set", "f_quoted", "f_left_word"]
+FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_turns", "f_pairs", "f_entropy", "f_distinct", "f_words", "f_hex", "f_uuid", "f_shape", "f_run", "f_dots", "f_numeric", "f_path", "f_path_words", "f_near", "f_in_url", "f_good", "f_bad", "f_set", "f_quoted", "f_left_word"]
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
@@ -79,18 +86,52 @@ def _share(c: Column, keep: str) -> Column:
     return F.length(F.regexp_replace(c, f"[^{keep}]", "")) / F.length(c)
 
 
+#: Classes of characters in pairs: letters, any digit as 0, and 0 for all others.
+CLASSES = "abcdefghijklmnopqrstuvwxyz0"
+
+
 def _pairs(c: Column) -> Column:
-    """Character pairs, by class: digits as 0, other marks as one."""
-    s = F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), "[^a-z0]", "-")
-    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1))), lambda i: F.substring(s, i, F.lit(2)))
+    """Character pairs as numbers: 28 times the first one's class, and the second one's."""
+    codes = F.transform(F.split(F.regexp_replace(F.lower(c), "[0-9]", "0"), ""), lambda x: F.when(x != "", F.instr(F.lit(CLASSES), x)))
+    both = F.zip_with(codes, F.slice(codes, F.lit(2), F.greatest(F.length(c), F.lit(1))), lambda x, y: x * (len(CLASSES) + 1) + y)
+    return F.filter(both, lambda x: x.isNotNull())
+
+
+def _near_words(left: Column, right: Column) -> Column:
+    """Words around a candidate: up to six before it and two after it."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z]{2,}"), F.lit(0))
+    return F.concat(F.slice(F.reverse(words(left)), 1, 6), F.slice(words(right), 1, 2))
+
+
+def _path_words(path: Column) -> Column:
+    return F.regexp_extract_all(F.lower(path), F.lit("[a-z]{2,}"), F.lit(0))
 
 
-def featured(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows (cand, left, right, path, ...) with FEATURES; pairs: pair, ratio (about a thousand rows at most)."""
+@dataclass(frozen=True)
+class Ratios:
+    """Logarithms of how much more often something occurs in secrets than in others: for character pairs by number (a fixed
+    size), neighbouring words and path words (those that occur `LEAST` times in the labelled findings at least)."""
+
+    pairs: tuple[float, ...]
+    near: dict[str, float]
+    path: dict[str, float]
+
+
+def _known(words: Column, ratios: dict[str, float]) -> Column:
+    """The sum of the words' ratios."""
+    if not ratios:
+        return F.lit(0.0)
+    table_ = F.create_map(*[F.lit(x) for kv in sorted(ratios.items()) for x in kv])
+    return F.aggregate(words, F.lit(0.0), lambda acc, w: acc + F.coalesce(F.try_element_at(table_, w), F.lit(0.0)))
+
+
+def featured(rows: DataFrame, ratios: Ratios) -> DataFrame:
+    """Rows (cand, left, right, path, ...) with FEATURES, row by row."""
     c = F.col("cand")
     n = F.length(c)
-    ratios = rows.select("cand").distinct().select("cand", F.explode(_pairs(c)).alias("pair")).join(F.broadcast(pairs), "pair", "left").groupBy("cand").agg(F.avg(F.coalesce("ratio", F.lit(0.0))).alias("f_pairs"))
-    out = rows.join(ratios, "cand", "left")
+    by_pair = F.array(*map(F.lit, ratios.pairs))
+    pair_mean = F.aggregate(_pairs(c), F.lit(0.0), lambda acc, x: acc + F.get(by_pair, x)) / F.greatest(n - 1, F.lit(1))
+    out = rows
     entropy = F.aggregate(
         F.array_distinct(F.split(c, "")),
         F.lit(0.0),
@@ -105,6 +146,7 @@ def featured(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             "f_upper": _share(c, "A-Z"),
             "f_lower": _share(c, "a-z"),
             "f_marks": _share(c, r"+/=_.\-"),
+            "f_pairs": pair_mean,
             "f_turns": F.regexp_count(c, F.lit("(?<=[0-9])(?=[A-Za-z])|(?<=[A-Za-z])(?=[0-9])|(?<=[a-z])(?=[A-Z])")) / n,
             "f_entropy": entropy,
             "f_distinct": F.size(F.array_distinct(F.split(c, ""))) / n,
@@ -116,6 +158,9 @@ def featured(rows: DataFrame, pairs: DataFrame) -> DataFrame:
             "f_dots": F.regexp_count(c, F.lit(r"[./]")) / n,
             "f_numeric": flag(c.rlike(r"^[0-9.+/:\-]+$")),
             "f_path": flag(F.col("path").rlike("(?i)(test|example|sample|fixture|spec|mock|doc)")),
+            "f_path_words": _known(_path_words(F.col("path")), ratios.path),
+            "f_near": _known(_near_words(F.col("left"), F.col("right")), ratios.near),
+            "f_in_url": flag(F.col("left").rlike(r"://[^\s/:@]*:$") & F.col("right").startswith("@")),
             "f_good": flag(F.col("left").rlike(_GOOD)),
             "f_bad": flag(F.col("left").rlike(_BAD) | F.col("right").rlike("(?i)^.{0,12}(example|placeholder|dummy)")),
             "f_set": flag(F.col("left").rlike("[:=]\\s*[\"']?$")),
@@ -145,6 +190,8 @@ def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         F.concat(of("pre", "ghp_", "sk-", "sk_live_", "glpat-", "npm_", "AIza"), F.substring(plain, F.lit(1), F.lit(36))),
         F.concat(F.lit("eyJ"), F.substring(plain, F.lit(1), F.lit(20)), F.lit(".eyJ"), F.substring(plain, F.lit(21), F.lit(40)), F.lit("."), F.substring(h, F.lit(1), F.lit(30))),
         F.concat(of("w1", "Sun", "tr0ub", "Blue", "x9", "Zeta"), of("w2", "!", "#", "_", "$"), cut(plain, "cut", 5, 10)),
+        F.concat(of("w3", "", "Sun", "pa55", "k"), cut(plain, "cut", 6, 20)),
+        F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), of("pem", "RSA ", "", "EC ", "OPENSSH ", "ENCRYPTED "), F.lit("PRIVATE KEY-----")), F.repeat(F.concat(b64, F.lit("\n")), F.lit(1) + draw("lines", 20)), F.concat(F.lit("-----END "), of("pem", "RSA ", "", "EC ", "OPENSSH ", "ENCRYPTED "), F.lit("PRIVATE KEY-----"))),
     )
     names = of("name", "token", "TOKEN", "secret", "api_key", "apiKey", "API_KEY", "password", "access_key", "auth_token", "client_secret", "private_key")
     opening = F.concat(of("lead", "", " ", "export ", "\n", "the ", "set "), names, of("sign", " = \"", "=\"", ": \"", " = '", "=", ": ", "\": \""))
@@ -169,18 +216,24 @@ def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         F.concat_ws(".", F.lit("v1"), draw("a", 30).cast("string"), draw("b", 30).cast("string"), F.lit("release"), F.substring(digits, F.lit(1), F.lit(8))),
         F.concat(F.lit("changeme"), draw("no", 9999).cast("string")),
         F.concat_ws("_", word, other, word, F.lit("config"), draw("no", 99).cast("string")),
+        F.concat(of("stand", "password", "changeme", "your_password", "secret", "example", "pass", "xxxxxx", "PASSWORD"), of("in", "", "1", "123")),
     )
-    kind = draw("not", 14)
+    kind = draw("not", 15)
+    url = F.concat(of("lead", "", " ", "see ", "url: "), of("scheme", "postgres://", "mysql://", "https://", "redis://", "amqp://", "mongodb://"), of("who", "user", "admin", "app", "root", "svc7"), F.lit(":"))
+    host = F.concat(F.lit("@"), of("host", "db.internal", "10.0.0.5", "example.com", "localhost"), of("tail", "/x", "", ":5432/app", " and"))
     calm = of("calm", "commit ", "sha256:", "md5 = ", "checksum: ", "integrity ", "see ", "version ", "id: ", "uuid=", "digest \"", "hash: ", "revision ", "", "the file ", "etag=\"")
     trap = F.when(kind >= 4, F.when(draw("trap", 2) == 0, opening).otherwise(calm)).otherwise(calm)
-    shaped = (draw("kind", 10) >= 6) & (draw("kind", 10) <= 8)
-    named = F.when(shaped & (draw("bare", 2) == 0), bare).otherwise(opening)
+    trap = F.when(kind == 14, url).otherwise(trap)
+    form = draw("kind", 12)
+    shaped = (form >= 6) & (form <= 8)
+    named = F.when((form == 11) | shaped & (draw("bare", 2) == 0), bare).when(form == 10, url).otherwise(opening)
+    in_url = F.when(F.col("id") % 2 == 1, form == 10).otherwise(kind == 14)
     made = spark.range(0, n, 1, 1).select(
         "id",
         (F.col("id") % 2).cast("double").alias("label"),
         F.when(F.col("id") % 2 == 1, secret).otherwise(innocent).alias("made"),
         F.concat(F.repeat(F.concat(other, F.lit(" ")), draw("pad", 4)), F.when(F.col("id") % 2 == 1, named).otherwise(trap)).alias("before"),
-        closing.alias("after"),
+        F.when(in_url, host).otherwise(closing).alias("after"),
         F.when(F.col("id") % 2 == 1, of("p1", "src/app", "config/prod", "", "deploy/env", "tests/unit")).otherwise(of("p2", "src/app", "docs/example", "", "tests/fixture", "data")).alias("path"),
     )
     return as_found(made)
@@ -202,34 +255,39 @@ def as_found(made: DataFrame) -> DataFrame:
     return found.select("id", "label", "cand", F.right(F.get("gaps", F.col("at")), F.lit(NEAR)).alias("left"), F.left(F.get("gaps", F.col("at") + 1), F.lit(NEAR)).alias("right"), "path")
 
 
-def pair_ratios(rows: DataFrame) -> DataFrame:
-    """pair, ratio: log of how much more often a pair of characters occurs in secrets than in others."""
-    each = rows.select("label", F.explode(_pairs(F.col("cand"))).alias("pair"))
-    per = each.groupBy("pair").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
-    total = each.agg(F.sum("label").alias("ta"), F.sum(1 - F.col("label")).alias("tb")).first()
-    return per.select("pair", F.log(((F.col("a") + 1) / (total.ta + 1)) / ((F.col("b") + 1) / (total.tb + 1))).alias("ratio"))
+def ratios_of(rows: DataFrame) -> Ratios:
+    """From labelled findings: what they hold of each pair and word comes to the driver, bounded by their number."""
+
+    def log_ratios(items: Column, least: int) -> dict:
+        per = rows.select("label", F.explode(items).alias("x")).groupBy("x").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b")).collect()
+        a, b = sum(r.a for r in per) + 1, sum(r.b for r in per) + 1
+        return {r.x: math.log((r.a + 1) / a / ((r.b + 1) / b)) for r in per if r.a + r.b >= least}
+
+    pairs = log_ratios(_pairs(F.col("cand")), 0)
+    near = log_ratios(_near_words(F.col("left"), F.col("right")), LEAST)
+    return Ratios(tuple(pairs.get(k, 0.0) for k in range((len(CLASSES) + 1) ** 2)), near, log_ratios(_path_words(F.col("path")), LEAST))
 
 
 def train(rows: DataFrame, trees: int = TREES, depth: int = DEPTH):
-    """(model, pairs) from labelled findings."""
+    """(model, ratios) from labelled findings."""
     rows = written(rows.coalesce(1), "labelled")
-    pairs = written(pair_ratios(rows).coalesce(1), "pairs")
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(written(featured(rows, pairs).coalesce(1).sortWithinPartitions("id"), "featured"))
+    ratios = ratios_of(rows)
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(written(featured(rows, ratios).coalesce(1).sortWithinPartitions("id"), "featured"))
     forest = RandomForestClassifier(labelCol="label", featuresCol="features", numTrees=trees, maxDepth=depth, seed=5)
-    return forest.fit(vectors), pairs
+    return forest.fit(vectors), ratios
 
 
-def judged(rows: DataFrame, model, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def judged(rows: DataFrame, model, ratios: Ratios, threshold: float = THRESHOLD) -> DataFrame:
     """Rows with score and is_secret."""
-    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(rows, pairs))
+    vectors = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(featured(rows, ratios))
     scored = model.transform(vectors).withColumn("score", vector_to_array("probability")[1])
     return scored.drop(*FEATURES, "features", "rawPrediction", "probability", "prediction").withColumn("is_secret", F.col("score") >= threshold)
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """Each candidate of each document: doc_id, k1, k2, row, no, start, cand, score, is_secret."""
-    model, pairs = train(labelled(docs.sparkSession) if findings is None else findings)
-    return judged(candidates(docs, id_col, text_col, path_col), model, pairs)
+    model, ratios = train(labelled(docs.sparkSession) if findings is None else findings)
+    return judged(candidates(docs, id_col, text_col, path_col), model, ratios)
 
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, mask: str = MASK) -> DataFrame:
