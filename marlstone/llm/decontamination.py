@@ -6,7 +6,8 @@ among the items' shingles and keeps the matches, written to the shared folder. H
 orders them by rarity. A window is wholly contained only if its rarest shingle is, so the necessary prefix is
 that one token: it is joined with the matches, its place gives where the window would start, and the bounds of
 position and length drop what would lie outside the document. Each candidate is verified exactly: the
-shingles that cover the window's words must stand at their places, compared as text.
+shingles that cover all of the window's words (those at every fifth word, and the last) must stand at their places,
+compared as text.
 
 Native: DataFrame functions only. Words are turned into shingles by zipping shifted arrays, so nothing quadratic
 is built; documents' rows stay one shingle wide. The items' side is broadcast only up to `broadcast_rows` rows;
@@ -19,6 +20,8 @@ the same values each; empty tables give no row, or no hit; other columns are pas
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,15 +98,16 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle
     rarity = hits.groupBy("k", "token").agg(F.count(F.lit(1)).alias("n"))
     ordered = tokens.join(rarity, ["k", "token"], "left").groupBy("win", "wlen", "k").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token", "o")).alias("rarest"),
-        F.min(F.struct("o", "token")).alias("first"),
-        F.max(F.struct("o", "token")).alias("last"),
+        F.array_sort(F.collect_list(F.when((F.col("o") % F.col("k") == 0) | (F.col("o") == F.col("wlen") - F.col("k")), F.struct("o", "token")))).alias("cover"),
     )
-    prefixes = ordered.filter("rarest.n > 0").select("win", "wlen", "k", F.col("rarest.token").alias("token"), F.col("rarest.o").alias("o"), F.col("first.token").alias("t0"), F.col("last.token").alias("t1"))
+    prefixes = ordered.filter("rarest.n > 0").select("win", "wlen", "k", F.col("rarest.token").alias("token"), F.col("rarest.o").alias("o"), "cover")
     cand = hits.join(_small(written(prefixes, "prefixes"), broadcast_rows), ["k", "token"]).withColumn("s", F.col("pos") - F.col("o"))
     cand = cand.filter((F.col("s") >= 0) & (F.col("s") + F.col("wlen") <= F.col("n_words")))
-    cand = cand.select("k1", "k2", "k", "win", "wlen", "s", "t0", "t1", (F.col("s") + F.col("wlen") - F.col("k")).alias("e"))
-    found = cand.join(hits.select("k1", "k2", "k", F.col("pos").alias("s"), F.col("token").alias("t0")), ["k1", "k2", "k", "s", "t0"], "left_semi")
-    found = found.join(hits.select("k1", "k2", "k", F.col("pos").alias("e"), F.col("token").alias("t1")), ["k1", "k2", "k", "e", "t1"], "left_semi")
+    found = cand.select("k1", "k2", "k", "win", "wlen", "s", "cover")
+    for j in range(max(1, math.ceil(window / shingle))):  # the shingles that cover a window's words
+        own = F.get("cover", F.least(F.lit(j), F.size("cover") - 1))
+        place = hits.select("k1", "k2", "k", F.col("pos").alias("at"), F.col("token").alias("covers"))
+        found = found.withColumns({"at": F.col("s") + own["o"], "covers": own["token"]}).join(place, ["k1", "k2", "k", "at", "covers"], "left_semi")
     found = found.select("k1", "k2", "s", "wlen", "win").distinct()
     heads = met.filter("head").select("doc_id", "k1", "k2", "n_words")
     return heads, written(found, "found"), wins.select("item_id", F.array_join("win", " ").alias("win"))
