@@ -58,6 +58,17 @@ def _cut(word: int, shift: int, bits: int):
     return x if bits == 64 else x.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
+def ring(probes: DataFrame, radius: int) -> DataFrame:
+    """Rows with v (of so many bits): one for each value that differs from v in `radius` bits. Rows are made where they are:
+    each step flips a bit above the one flipped before."""
+    rows = probes.withColumn("from", F.lit(0))
+    for left in range(radius, 0, -1):
+        last = F.col("bits") - left  # as many bits must remain above
+        rows = rows.withColumn("flip", F.explode(F.when(F.col("from") <= last, F.sequence("from", last))))
+        rows = rows.withColumns({"v": F.col("v").bitwiseXOR(F.expr("shiftleft(1L, flip)")), "from": F.col("flip") + 1}).drop("flip")
+    return rows.drop("from")
+
+
 def search(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, id, distance: the k nearest others of each query by Hamming distance of the codes."""
     spark = vectors.sparkSession
@@ -77,20 +88,14 @@ def search(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, id_col
     state = asked.select(*names).distinct().select(F.xxhash64(*names).alias("q"), *names, F.lit(None).cast("int").alias("far"))
     state = written(state, "state")
     best = None
-    masks = None  # for each width of segments that occurs (one or two), all values of so many bits
-    for bits in sorted({b for _, _, b in segs}):
-        own = spark.range(1 << bits).select(F.col("id").alias("mask"), F.bit_count("id").alias("ones"), F.lit(bits).alias("bits"))
-        masks = own if masks is None else masks.unionByName(own)
     per = F.array(*[F.struct(F.lit(j).alias("j"), _cut(*s).alias("v"), F.lit(s[2]).alias("bits")) for j, s in enumerate(segs)])
     for r in range(widest + 1):
         # far < m * r: all within far bits were met in earlier rounds
         open_ = state.filter(F.col("far").isNull() | (F.col("far") >= m * r))
         need = F.coalesce(F.col("far") - m * r + 1, F.lit(m))
         probes = open_.select("q", "far", *names, F.explode(F.slice(per, F.lit(1), F.least(need, F.lit(m)))).alias("x"))
-        probes = probes.select("q", "far", *names, "x.j", "x.v", "x.bits")
-        ring = masks.filter(F.col("ones") == r)
-        probes = probes.join(F.broadcast(ring) if widest <= 20 else ring, "bits")  # 2^widest values at most
-        probes = probes.select("q", "far", "j", F.col("v").bitwiseXOR(F.col("mask")).alias("v"), *[F.col(c).alias(f"q{c}") for c in names])
+        probes = ring(probes.select("q", "far", *names, "x.j", "x.v", "x.bits"), r)
+        probes = probes.select("q", "far", "j", "v", *[F.col(c).alias(f"q{c}") for c in names])
         distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in names), F.lit(0))
         near = (probes["j"] == index["j"]) & (probes["v"] == index["v"]) & (distance <= F.coalesce(F.col("far"), F.lit(dims)))
         met = probes.join(index, near).select("q", distance.alias("distance"), "id").distinct()
