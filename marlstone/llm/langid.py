@@ -5,7 +5,7 @@ into 2^17 buckets; term frequency is the share of the text's n-grams, times the
 frequencies are counted over all documents that may be learned from, in one pass; partial counts are vectors
 of fixed length, summed by the cluster.
 Training: follow-the-regularised-leader with elastic-net (L1 and L2) penalties, per coordinate, on a sample of
-`per_lang` documents of each language at most (chosen by a hash of the id), which is the model's documented
+`per_lang` documents of each language at most (chosen by a hash of the row's id and place), which is the model's documented
 bound. One fifth of the sample is kept from training and sets the temperature that calibrates the scores.
 Prediction: whole texts, in segments of bounded length, as one gather of weights for each n-gram.
 
@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ BITS = 17
 N_MAX = 3
 SCALE = 64.0
 PER_LANG = 1000
+FAN = 16
 SEGMENT = 1 << 19
 UND = "und"
 
@@ -178,6 +180,25 @@ def held_out(id_col):
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def tree_sums(partial: DataFrame, fan: int = FAN) -> DataFrame:
+    """Rows (part, n, val: a vector as bytes), summed in steps of `fan` until that many rows are left at most: no task adds
+    more than `fan` vectors, however many tasks counted."""
+
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, total = 0, 0
+        for b in batches:
+            n += sum(b.column(b.schema.get_field_index("n")).to_pylist())
+            for raw in b.column(b.schema.get_field_index("val")):
+                total = total + np.frombuffer(raw.as_py(), "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "n", "val"])
+
+    high = partial.agg(F.max("part")).first()[0] or 0
+    while high >= fan:
+        high //= fan
+        partial = partial.withColumn("g", F.expr(f"part div {fan}")).groupBy("g").applyInArrow(add, "part long, n long, val binary")
+    return partial
+
+
 def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     small_batches(docs.sparkSession)
     learn = docs.filter(~held_out(F.col(id_col)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -188,11 +209,12 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
     share = F.lit(0.0)
     for x in langs:
         share = F.when(F.col(lang_col) == x, F.lit(min(1.0, per_lang / per[x]))).otherwise(share)
-    taken = F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 40)) < share * float(1 << 40)
+    # by row, so that an id or a text with many rows is sampled as others are
+    taken = F.pmod(F.xxhash64(F.col(id_col), F.monotonically_increasing_id()), F.lit(1 << 40)) < share * float(1 << 40)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Document frequencies of this task's rows, and the features of sampled rows."""
-        df, rows, flag = np.zeros(1 << BITS, np.int64), 0, np.zeros((1 << BITS) + 1, bool)
+        part, df, rows, flag = TaskContext.get().partitionId(), np.zeros(1 << BITS, np.int64), 0, np.zeros((1 << BITS) + 1, bool)
         for b in batches:
             kept = []
             for text, lang, sampled in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist()):
@@ -209,22 +231,13 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, id_col: str = "doc_id", tex
                         flag[g] = True
                 df += flag[:-1]
             if kept:
-                yield pa.RecordBatch.from_arrays([pa.array([0] * len(kept), pa.int64()), pa.array([k[0] for k in kept]), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], pa.binary())], names=names)
-        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.binary()), pa.array([df.astype("<i8").tobytes()], pa.binary())], names=names)
-
-    names = ["n", "lang", "idx", "val"]
-    found = written(learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), taken.alias("taken")).mapInArrow(count, "n long, lang string, idx binary, val binary"), "langid-counts")
+                yield pa.RecordBatch.from_arrays([pa.array([part] * len(kept), pa.int64()), pa.array([0] * len(kept), pa.int64()), pa.array([k[0] for k in kept]), pa.array([k[1] for k in kept], pa.binary()), pa.array([k[2] for k in kept], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([rows], pa.int64()), pa.array([None], pa.string()), pa.array([None], pa.binary()), pa.array([df.astype("<i8").tobytes()], pa.binary())], names=names)
 
-    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, df = 0, np.zeros(1 << BITS, np.int64)
-        for b in batches:
-            n += sum(b.column(b.schema.get_field_index("n")).to_pylist())
-            for raw in b.column(b.schema.get_field_index("val")):
-                df += np.frombuffer(raw.as_py(), "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([df.tobytes()], pa.binary())], names=["n", "val"])
+    names = ["part", "n", "lang", "idx", "val"]
+    found = written(learn.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), taken.alias("taken")).mapInArrow(count, "part long, n long, lang string, idx binary, val binary"), "langid-counts")
 
-    partial = found.filter("lang is null").select((F.spark_partition_id() % 16).alias("g"), "n", "val")
-    sums = partial.groupBy("g").applyInArrow(add, "n long, val binary").collect()  # 16 vectors of fixed length at most
+    sums = tree_sums(found.filter("lang is null").select("part", "n", "val")).collect()  # FAN vectors of fixed length at most
     n_docs = sum(r.n for r in sums)
     df = sum((np.frombuffer(bytes(r.val), "<i8") for r in sums), np.zeros(1 << BITS, np.int64))
     idf = np.log((1 + n_docs) / (1 + df)) + 1
