@@ -2,11 +2,14 @@
 
 Records are hashed into a fixed number of virtual slots (thousands), bytes are summed per slot, and a
 versioned slot-to-shard map says where each slot lies. Rebalancing and growing edit that map: a new
-version is appended, and only the records of moved slots move.
+version is appended, and only the records of moved slots move. `shard` goes on from the latest version under `path`.
 
 Native: DataFrame functions only. What comes to the driver is one row per slot, a number fixed by
-`n_slots` whatever the input. No record is moved through a window over a whole shard: positions are the
-slot's base within its shard plus the row's rank within its slot.
+`n_slots` whatever the input. No record is moved through a window over a whole shard or slot: positions are the
+base of a part of a slot (`PARTS` of them) within its shard plus the row's rank within that part.
+
+A record's slot depends on its id, the CRC and the size of its text, so that an id (or no id) with a third of all rows
+is spread as long as its texts differ; rows that agree in all three lie in one slot, dealt over its parts.
 
 Defined results: a null text counts no bytes; a null id is hashed like any value; repeated rows each keep
 their own position; an empty table gives an empty result and an even map; other columns are passed by.
@@ -26,6 +29,7 @@ from marlstone.llm.common import shared_dir, table, utf8, written
 N_SLOTS = 4096
 N_SHARDS = 24
 ROW_BYTES = 8
+PARTS = 16
 
 
 @dataclass(frozen=True)
@@ -117,46 +121,64 @@ class SlotMap:
         )
 
 
-def store(spark: SparkSession, versions: list[SlotMap], path: str | None = None) -> DataFrame:
-    """Append the versions to the map's table in the shared folder; returns the table as stored."""
+def store(spark: SparkSession, versions: list[SlotMap], path: str | None = None) -> str:
+    """Append the versions to the map's table, by default one of its own in the shared folder; returns its path."""
     path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
     for m in versions:
         m.frame(spark).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("version int, vslot int, shard int").parquet(path)
 
 
+def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+    """A version of the stored map, by default the latest; none where nothing is stored."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    rows = stored(spark, path)
+    version = rows.agg(F.max("version")).first()[0] if version is None else version
+    own = {r.vslot: r.shard for r in rows.filter(F.col("version") == version).collect()}  # n_slots rows
+    return SlotMap(max(own.values()) + 1, tuple(own[s] for s in range(len(own))), version) if own else None
+
+
 def slotted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """id, size, text_crc32 and virtual slot of each record. The slot depends on the id alone."""
+    """id, size, text_crc32 and virtual slot of each record."""
     raw = utf8(F.col(text_col))
-    return docs.select(
-        F.col(id_col),
-        (F.octet_length(raw).cast("long") + F.lit(ROW_BYTES)).alias("size"),
-        F.crc32(raw).alias("text_crc32"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(n_slots)).cast("int").alias("vslot"),
-    )
+    rows = docs.select(F.col(id_col), (F.octet_length(raw).cast("long") + F.lit(ROW_BYTES)).alias("size"), F.crc32(raw).alias("text_crc32"))
+    return rows.withColumn("vslot", F.pmod(F.xxhash64(id_col, "text_crc32", "size"), F.lit(n_slots)).cast("int"))
 
 
-def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each record's shard and its position there, sizes near equal between shards.
+def shard(docs: DataFrame, n_shards: int = N_SHARDS, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
+    """Each record's shard and its position there, sizes near equal between shards. The map under `path`, if there is one,
+    is the one that is edited; the edited version is stored there.
 
     Columns: id, size, text_crc32, vslot, shard, slot (the position, gapless from 0), map_version."""
     spark = docs.sparkSession
-    rows = written(slotted(docs, id_col, text_col, n_slots), "shard-rows")
-    per_slot = rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
-    sums = {r.vslot: r.bytes for r in per_slot.select("vslot", "bytes").collect()}  # n_slots rows at most
-    first = SlotMap.even(n_slots, n_shards)
+    # the part is drawn once and written, so that every later reading sees the same
+    rows = slotted(docs, id_col, text_col, n_slots).withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int"))
+    rows = written(rows, "shard-rows")
+    per_part = rows.groupBy("vslot", "part").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"))
+    sums = {r.vslot: r.bytes for r in per_part.groupBy("vslot").agg(F.sum("bytes").alias("bytes")).collect()}  # n_slots rows at most
+    found = load(spark, path) if path else None
+    first = found or SlotMap.even(n_slots, n_shards)
+    if (len(first.shards), first.n_shards) != (n_slots, n_shards):
+        raise ValueError("the stored map has other numbers of slots or shards")
     last = first.rebalanced(sums)
-    stored = store(spark, [first, last]).filter(F.col("version") == last.version)
-    before = Window.partitionBy("shard").orderBy("vslot").rowsBetween(Window.unboundedPreceding, -1)
+    path = store(spark, [last] if found else [first, last], path)
+    now = stored(spark, path).filter(F.col("version") == last.version)
+    before = Window.partitionBy("shard").orderBy("vslot", "part").rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        stored.join(F.broadcast(per_slot), "vslot")
+        now.join(F.broadcast(per_part), "vslot")  # n_slots * PARTS rows at most
         .withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-        .select("vslot", "shard", "base", F.col("version").alias("map_version"))
+        .select("vslot", "part", "shard", "base", F.col("version").alias("map_version"))
     )
-    rank = F.row_number().over(Window.partitionBy("vslot").orderBy(id_col, "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("vslot", "part").orderBy(id_col, "text_crc32", "size"))
     return (
         rows.withColumn("rank", rank)
-        .join(F.broadcast(placed), "vslot")  # n_slots rows at most
+        .join(F.broadcast(placed), ["vslot", "part"])
         .select(id_col, "size", "text_crc32", "vslot", "shard", (F.col("base") + F.col("rank") - 1).cast("long").alias("slot"), "map_version")
     )
 

@@ -282,6 +282,16 @@ def test_decontamination(spark, edge, edge_rows, empty, limit):
     assert decontamination.decontaminate(edge, bench.limit(0)).filter("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("window", [3, 7, 13, 20])
+def test_windows_of_other_sizes(spark, window):
+    item = [f"w{k:02d}" for k in range(20)]
+    docs = [(1, " ".join(item)), (2, " ".join([*item[:9], "other", *item[10:]])), (3, " ".join(item[5:15])), (4, " ".join(item[3:] + item)), (5, " ".join(item[:2]))]
+    items = [(1, " ".join(item)), (2, " ".join(item[4:9])), (3, "w19")]
+    got = decontamination.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string"), window)
+    rows = sorted(repr((r.doc_id, r.n_words, r.n_hit, r.n_items, r["items"], r.contaminated)) for r in got.collect())
+    assert rows == hit_words(docs, items, window)
+
+
 # ---- sharding
 
 
@@ -297,6 +307,28 @@ def test_sharding(spark, edge, edge_rows, empty):
     got = sorted(repr((r.doc_id, r.size, r.text_crc32)) for r in sharding.shard(edge, 3, 16).collect())
     assert got == sorted(repr((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))) for i, t in edge_rows)
     assert sharding.shard(empty).count() == 0
+    # one id, or one text without an id, in a third of all rows
+    hot = [(7 if i % 3 == 0 else i, "t" * (i % 500)) for i in range(3000)] + [(None, "same text")] * 900
+    rows = sharding.shard(frame(spark, hot)).collect()
+    sums, places = {}, {}
+    for r in rows:
+        sums[r.shard] = sums.get(r.shard, 0) + r.size
+        places.setdefault(r.shard, []).append(r.slot)
+    assert max(sums.values()) - min(sums.values()) <= 0.02 * max(sums.values())
+    assert all(sorted(p) == list(range(len(p))) for p in places.values())
+
+
+def test_a_stored_map_is_edited(spark):
+    docs = frame(spark, [(i, "x" * (i * 37 % 900)) for i in range(2000)])
+    path = sharding.store(spark, [])
+    first = {r.doc_id: r.shard for r in sharding.shard(docs, 8, 512, path=path).collect()}
+    old = sharding.load(spark, path)
+    more = docs.unionByName(frame(spark, [(i, "y" * 400) for i in range(2000, 2200)]))
+    second = {r.doc_id: r.shard for r in sharding.shard(more, 8, 512, path=path).collect()}
+    new = sharding.load(spark, path)
+    assert new.version == old.version + 1
+    moved = {s for s in range(512) if new.shards[s] != old.shards[s]}
+    assert 0 < len(moved) < 256 and all(first[i] == second[i] for i in first if {r.vslot for r in sharding.slotted(docs.filter(f"doc_id = {i}"), n_slots=512).collect()}.isdisjoint(moved) and i < 20)
 
 
 def test_slot_maps(spark):
@@ -306,8 +338,11 @@ def test_slot_maps(spark):
     r = m.rebalanced({s: s * s for s in range(64)})
     load = [sum(s * s for s in range(64) if r.shards[s] == k) for k in range(4)]
     assert max(load) - min(load) <= 4 and set(r.moved) == {s for s in range(64) if r.shards[s] != m.shards[s]}
-    stored = sharding.store(spark, [m, r])
-    assert stored.count() == 128 and stored.filter("version = 1").count() == 64
+    path = sharding.store(spark, [m])
+    assert sharding.load(spark, path) == m
+    sharding.store(spark, [r], path)
+    again = sharding.load(spark, path)
+    assert (again.version, again.shards, again.n_shards) == (1, r.shards, 4) and sharding.load(spark, path, 0).shards == m.shards
     with pytest.raises(ValueError):
         sharding.SlotMap.even(2, 3)
 
@@ -395,6 +430,65 @@ def test_language(spark, data, edge, empty):
     assert kept.columns == edge.columns and kept.filter("text is null").count() == 0
 
 
+def test_tree_sums(spark):
+    rows = [(k, k, np.arange(5, dtype="<i8").tobytes()) for k in range(70)]
+    got = langid.tree_sums(spark.createDataFrame(rows, "part long, n long, val binary"), 4).collect()
+    assert len(got) <= 4 and sum(r.n for r in got) == sum(range(70))
+    assert sum(np.frombuffer(bytes(r.val), "<i8") for r in got).tolist() == [0, 70, 140, 210, 280]
+
+
+def plain_grams(text):
+    """Counts of hashed 1- to 3-grams, gram by gram, in whole numbers of 32 bits."""
+    codes, out, low = [ord(c) if c.isalpha() else 32 for c in (text or "").lower()], {}, (1 << 32) - 1
+    for n in (1, 2, 3):
+        for at in range(len(codes) - n + 1):
+            gram = codes[at : at + n]
+            if all(c == 32 for c in gram):
+                continue
+            h = n * 0x27D4EB2F & low
+            for c, m in zip(gram, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)):
+                h = h + c * m & low
+            h = (h ^ h >> 15) * 0x2C1B3C6D & low
+            h = (h ^ h >> 12) * 0x297A2D39 & low
+            out[h >> 32 - langid.BITS] = out.get(h >> 32 - langid.BITS, 0) + 1
+    return out
+
+
+def plain_ftrl(rows, langs, epochs=3, alpha=0.5, beta=1.0, l1=0.02, l2=0.05):
+    z, n = {}, {}
+
+    def weight(k):
+        zi = z.get(k, 0.0)
+        return 0.0 if abs(zi) <= l1 else -(zi - (l1 if zi > 0 else -l1)) / ((beta + n.get(k, 0.0) ** 0.5) / alpha + l2)
+
+    order = np.random.default_rng(0)
+    for _ in range(epochs):
+        for r in order.permutation(len(rows)):
+            x = {**rows[r][0], "bias": 1.0}
+            w = {(i, c): weight((i, c)) for i in x for c in range(langs)}
+            e = [np.exp(sum(v * w[i, c] for i, v in x.items())) for c in range(langs)]
+            for i, v in x.items():
+                for c in range(langs):
+                    g = v * (e[c] / sum(e) - (c == rows[r][1]))
+                    old = n.get((i, c), 0.0)
+                    z[i, c] = z.get((i, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / alpha * w[i, c]
+                    n[i, c] = old + g * g
+    return {k: weight(k) for k in z}
+
+
+def test_grams_and_training_by_hand():
+    texts = ["Ünder the ol' 3 trees!", "les arbres d'été", "die Bäume, alt", "x", "trees and trees", "l'été des arbres"]
+    for t in [*texts, "", " ,. "]:
+        idx, n = langid.counts_of(t)
+        assert dict(zip(idx.tolist(), n.tolist())) == plain_grams(t)
+    rows = [({k: v / 10 for k, v in plain_grams(t).items()}, y) for t, y in zip(texts, (0, 1, 2, 0, 0, 1))]
+    want = plain_ftrl(rows, 3)
+    got = langid.ftrl([(np.array(sorted(x)), np.array([x[k] for k in sorted(x)]), y) for x, y in rows], 3)
+    for (i, c), w in want.items():
+        assert abs(got[-1 if i == "bias" else i, c] - w) < 1e-9
+    assert np.count_nonzero(got) == sum(w != 0 for w in want.values())
+
+
 def test_segments_don_t_change_features(monkeypatch):
     t = prose(9, 400)
     whole = langid.counts_of(t)
