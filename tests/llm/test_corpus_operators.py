@@ -1,8 +1,10 @@
 """Brute force, round trips, and edge cases of every corpus operator."""
 
 import hashlib
+import os
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -558,3 +560,23 @@ def test_extraction(spark):
 
 def test_shared_folder_comes_from_the_session(spark):
     assert common.shared_dir(spark) == spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+FOLDER = "/usr/share/common-licenses"
+INSTALLED = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no installed licence texts")
+def test_whole_licences_by_digest(spark):
+    texts = {k: open(f"{FOLDER}/{f}", encoding="utf-8").read() for f, k in INSTALLED.items()}
+    assert set(licences.digests_of(spark, list(texts.items()))) <= set(licences.DIGESTS)
+    docs, want = [], []
+    for k, t in texts.items():
+        wrapped = "\n\n".join(p if "Copyright" in p else textwrap.fill(" ".join(p.split()), 60) for p in t.split("\n\n"))
+        head = t.partition(licences.END)[0]
+        for one in (t, "Copyright (c) 2024 Someone\n\n" + wrapped.upper(), re.sub(r"\bLicense\b", "Licence", t), head):
+            docs.append((len(docs), one))
+            want.append(k)
+    docs.append((len(docs), texts["GPL-3.0"].replace("freedom", "liberty")))
+    got = {r.doc_id: r.licence for r in licences.scan(frame(spark, docs)).collect()}
+    assert [got[i] for i in range(len(want))] == want and got[len(want)] is None
