@@ -47,6 +47,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def owned(spark: SparkSession, path: str) -> str:
+    """The path, to be removed by `dropped` or at the end of the process like what `written` writes."""
+    _made[path] = spark
+    return path
+
+
 def dropped(*frames: DataFrame) -> None:
     """Remove what `written` wrote, once nothing reads it any more."""
     for df in frames:

@@ -137,12 +137,48 @@ def removed(docs, depth=50):
     return sorted(map(repr, out))
 
 
-@pytest.mark.parametrize("block,hot", [(1 << 20, 4096), (1500, 4096), (1500, 1)])
-def test_substrings(spark, edge, edge_rows, block, hot):
-    got = [repr(tuple(r)) for r in substrings.remove_repeats(edge, block, hot).collect()]
+@pytest.mark.parametrize("block,hot,fan", [(1 << 20, 4096, 1024), (1500, 4096, 1024), (1500, 1, 1024), (700, 4096, 4), (700, 2, 2)])
+def test_substrings(spark, edge, edge_rows, block, hot, fan):
+    got = [repr(tuple(r)) for r in substrings.remove_repeats(edge, block, hot, fan).collect()]
     assert sorted(got) == removed(edge_rows)
 
 
+@pytest.mark.parametrize("fan", [1024, 4, 2])
+def test_substrings_of_many_blocks(spark, fan):
+    """Passages that all, some or two documents share, periodic texts, small alphabets, zero bytes."""
+    r = np.random.default_rng(6)
+    passage, docs = prose(20, 30), []
+    for i in range(90):
+        parts = [prose(500 + i, int(r.integers(1, 60)))]
+        if i % 2:
+            parts.append(passage[int(r.integers(0, 40)) :])
+        if i % 5 == 0:
+            parts.append("ab" * int(r.integers(10, 80)) + "\0" * int(r.integers(0, 120)))
+        if i % 7 == 0:
+            parts.append("".join("xy"[k] for k in r.integers(0, 2, 400)))
+        if i % 3 == 0:
+            parts.append(docs[int(r.integers(len(docs)))][1][-200:] if docs else "")
+        docs.append((int(r.integers(0, 80)), " ".join(parts)))
+    got = [repr(tuple(x)) for x in substrings.remove_repeats(frame(spark, docs).repartition(5), 900, 8, fan).collect()]
+    assert sorted(got) == removed(docs)
+
+
+def test_corpus_order():
+    """Windows in order of their 50 bytes, equal ones in one run, from the dictionary's and the parse's suffix arrays."""
+    r = np.random.default_rng(3)
+    raw = np.frombuffer("".join("ab c"[k] for k in r.integers(0, 4, 300)).encode() + bytes(120) + b"ab" * 60 + bytes(r.integers(0, 3, 400).astype(np.uint8)), np.uint8)
+    raw = np.concatenate((raw, raw[100:500], raw[300:700]))
+    h, ap, lo, n = substrings.phrases(raw, np.array([len(raw)]))
+    order = np.argsort(h, kind="stable")
+    _, group = np.unique(h[order], return_inverse=True)
+    owner, inside, run = substrings.corpus_order(group, raw, lo[order], (ap - lo)[order], n[order])
+    windows = [(int(group[k]), bytes(raw[lo[order[k]] + i : lo[order[k]] + i + 50])) for k, i in zip(owner, inside)]
+    assert len(windows) == len(raw) - 49 == int(n.sum())
+    for k in range(1, len(windows)):
+        assert (windows[k] == windows[k - 1]) == (run[k] == run[k - 1])
+    assert len({w for _, w in windows}) == run[-1] + 1
+
+
 def test_substrings_borders(spark, empty):
     a = prose(3, 60)
     docs = [(1, a), (2, a[100:149]), (3, a[100:150]), (4, "é" * 24 + "ab"), (5, "x" + "é" * 24 + "ab"), (6, "y" * 500), (7, "z" + "y" * 51), (0, "y" * 50)]
