@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import row_keys, small_batches, table, written
+from marlstone.llm.common import dropped, row_keys, small_batches, table, written
 from marlstone.llm.graph import components
 
 SEED = 42
@@ -464,11 +464,14 @@ def exact_links(met: DataFrame, prints: DataFrame, sets_of, similarity: float, r
         found = written(parts.select("key", "i", "j", "fp", "node").mapInArrow(find, "name long, node long").distinct(), "candidates")
         sets = sets_of(found.select("node").distinct())
         rows = found.join(sets, "node").repartition("name").sortWithinPartitions("name").select("name", "hashes", "node")
-        return written(rows.mapInArrow(_verify(similarity), "a long, b long"), "links")
+        links = written(rows.mapInArrow(_verify(similarity), "a long, b long"), "links")
+        dropped(found)
+        return links
 
     inner = compared(dealt.select("key", "i", zero.alias("j"), "node"))
     hot = dealt.filter("c > 1")
     if hot.isEmpty():
+        dropped(sizes, dealt)
         return inner
     placed = hot.join(components(inner), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("key", "root").agg(F.sum("w").alias("m"))
@@ -480,7 +483,9 @@ def exact_links(met: DataFrame, prints: DataFrame, sets_of, similarity: float, r
     all_ = hot.join(rest.select("key", "parts").distinct(), "key").withColumn("j", upto("parts"))
     few = hot.drop("i").join(rest, ["key", "node"]).withColumn("j", F.pmod(F.xxhash64("node", F.lit("rest")), "parts")).withColumn("i", upto("c"))
     both = all_.select("key", "i", "j", "node").unionByName(few.select("key", "i", "j", "node")).distinct()
-    return inner.unionByName(compared(both))
+    across = compared(both)
+    dropped(sizes, dealt, rest)
+    return inner.unionByName(across)
 
 
 def grouped(docs: DataFrame, similarity: float, width: int, words: int, keys: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -501,13 +506,16 @@ def grouped(docs: DataFrame, similarity: float, width: int, words: int, keys: in
         """One row of each node brings its text."""
         chosen = nodes.join(some, "node", "left_semi").select(F.col("own.k1").alias("__k1"), F.col("own.k2").alias("__k2"))
         k1, k2 = row_keys(id_col, text_col)
-        texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen, ["__k1", "__k2"], "left_semi").select("text")
+        # a merge join whatever the sizes: what is chosen grows with the input
+        texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen.hint("merge"), ["__k1", "__k2"], "left_semi").select("text")
         return named_sets(texts, width).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
     links = exact_links(met, nodes.select("node", "fp"), sets_of, similarity, radius_of(similarity, 64 * words), chunk)
     roots = nodes.select("node", "own").join(components(links), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
     first = roots.groupBy("root").agg(F.min("own").alias("first"))
-    return prints.select("k1", "k2", "doc_id", "node"), written(roots.join(first, "root").select("node", "first"), "components")
+    out = written(roots.join(first, "root").select("node", "first"), "components")
+    dropped(nodes, many)
+    return prints.select("k1", "k2", "doc_id", "node"), out
 
 
 def near_duplicates(
@@ -537,7 +545,7 @@ def deduplicated(
     per = per.withColumns({"stays": stays}).filter("not stays or n > 1").select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), "stays")
     per = written(per, "decided")
     k1, k2 = row_keys(id_col, text_col)
-    kept = docs.withColumns({"__k1": k1, "__k2": k2}).join(per.filter("not stays"), ["__k1", "__k2"], "left_anti")
+    kept = docs.withColumns({"__k1": k1, "__k2": k2}).join(per.filter("not stays").hint("merge"), ["__k1", "__k2"], "left_anti")
     again = per.filter("stays").drop("stays")
     if not again.isEmpty():
         once = kept.join(again, ["__k1", "__k2"], "left_anti")
