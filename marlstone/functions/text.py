@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import functools
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed values.
 NO_SPAN = "<no relevant span>"
 PROBE = 100
-SPACE = r"\s+"
-UNICODE_SPACE = r"(?U)\s+"
+#: White space as Python's split() and strip() know it, no-break space among it; also in the patterns of chunkers.
+WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = f"[{WHITE}]+"
+SENTENCE_END = rf"(?<=[.!?]){SPACE}|\n{{2,}}"
 
 
 def strip(c: Column, space: str = SPACE) -> Column:
@@ -22,7 +27,7 @@ def collapse(c: Column, space: str = SPACE) -> Column:
 
 
 def white_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\S+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"[^{WHITE}]+"), F.lit(0))
 
 
 def lexical_tokens(c: Column) -> Column:
@@ -30,6 +35,35 @@ def lexical_tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+@functools.cache
+def _references() -> tuple[str, Column]:
+    """The pattern of character references, and the named ones with their characters, from the standard table. Old names
+    count without a semicolon too."""
+    old = "|".join(sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k)))
+    table = F.create_map(*[F.lit(x) for kv in sorted(html5.items()) for x in kv])
+    return rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;|(?:{old}))", table
+
+
+def unescaped(c: Column) -> Column:
+    """Character references decoded, once: numbers in decimal and hexadecimal (those of the C1 range as Windows-1252, what is
+    no character as U+FFFD) and names; unknown names stay."""
+    pattern, names = _references()
+    c1 = F.array(*[F.lit(bytes([k]).decode("cp1252", "ignore") or chr(k)) for k in range(0x80, 0xA0)])
+
+    def means(ref: Column) -> Column:
+        digits = F.regexp_extract(ref, r"^&#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(F.length(F.ltrim(digits, F.lit("0"))) <= 8, F.conv(digits, 16, 10)).otherwise("4294967295")
+        code = F.when(ref.rlike("^&#[xX]"), code).when(F.length(digits) <= 18, digits).otherwise("4294967295").cast("long")
+        bad = (code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        number = F.when(bad, F.lit("\ufffd")).when(code.between(0x80, 0x9F), F.get(c1, (code - 0x80).cast("int"))).otherwise(char)
+        return F.when(ref.startswith("&#"), number).otherwise(F.coalesce(F.try_element_at(names, F.substr(ref, F.lit(2))), ref))
+
+    found, gaps = F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), F.split(c, pattern)
+    pieces = F.zip_with(gaps, F.transform(found, means), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+
+
 def normal_span(c: Column) -> Column:
     """A source span, stripped; the sentinel and null count as none."""
     s = strip(F.coalesce(c, F.lit("")))
@@ -52,7 +86,7 @@ def span_in(span: Column, text: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Split after . ! ? and white space, or at blank lines."""
-    parts = F.split(strip(F.coalesce(c, F.lit(""))), r"(?<=[.!?])\s+|\n{2,}")
+    parts = F.split(strip(F.coalesce(c, F.lit(""))), SENTENCE_END)
     return F.filter(F.transform(parts, strip), lambda x: x != "")
 
 

@@ -1,7 +1,8 @@
 """Chunkers: tables of sections (doc_key, section_id, text) in, tables of chunks out.
 
-Fixed windows, hard slices and parent/child windows are closed forms over arrays; the recursive and the semantic
-chunker keep state from piece to piece and run as Arrow batches, one text at a time."""
+Fixed windows, hard slices and parent/child windows are closed forms over arrays. The recursive and the semantic chunker
+work on places in a text, in Arrow batches: where pieces begin and end, and how far a chunk reaches is found by binary
+search, so their work grows with the number of chunks and not with that of pieces times their length."""
 
 from __future__ import annotations
 
@@ -13,10 +14,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import sentences, strip, white_tokens
+from marlstone.functions.text import SENTENCE_END, sentences, strip, white_tokens
 
 #: Characters for each section, and for all others.
-BUDGETS = {"item_1a": 1200, "item_1b": 1200, "item_1c": 1200, "item_7": 3000, "item_8": 3000}
+BUDGETS = {
+    "item_1": 2000,
+    "item_1a": 1200,
+    "item_1b": 1200,
+    "item_1c": 1200,
+    "item_2": 2000,
+    "item_3": 2000,
+    "item_7": 3000,
+    "item_7a": 2000,
+    "item_8": 3000,
+}
 DEFAULT_BUDGET, BUDGET_OVERLAP = 2000, 200
 SEPARATORS = ("\n\n", "\n", ". ", " ")
 
@@ -76,84 +87,105 @@ def hard_slices(text: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(size)))
 
 
-def split_recursive(text: str, size: int = 2000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size` characters, cut at the first separator that occurs; oversized ones go on with finer
-    separators, and hard slices (the only place where the overlap acts) come last. Blank pieces go."""
-    check_window(size, overlap)
-    if not text.strip():
-        return []
-    if len(text) <= size:
-        return [text]
-    cut = next((s for s in separators if s in text), None)
-    if cut is None:
-        return [x for x in (text[i : i + size] for i in range(0, len(text), size - overlap)) if x.strip()]
-    out, held = [], ""
-    for piece in text.split(cut):
-        joined = held + cut + piece if held else piece
-        if len(joined) <= size:
-            held = joined
+def pieces(text: str, low: int, high: int, separator: str) -> tuple[np.ndarray, np.ndarray]:
+    """Where the pieces of text[low:high] between separators begin and end."""
+    cuts = np.array([(m.start(), m.end()) for m in re.compile(re.escape(separator)).finditer(text, low, high)], np.int64).reshape(-1, 2)
+    return np.concatenate(([low], cuts[:, 1])), np.concatenate((cuts[:, 0], [high]))
+
+
+def packed(starts: np.ndarray, ends: np.ndarray, size: int, from_empty: bool = True) -> list[tuple[int, int]]:
+    """(first, last) piece of each run that is as long as fits `size`, separators counted; a longer piece is a run of its own.
+    Without `from_empty` no run begins with an empty piece: those are passed over."""
+    out, i = [], 0
+    while i < len(starts):
+        if not from_empty and starts[i] == ends[i]:
+            i += 1
             continue
-        if held:
-            out.append(held)
-        held = piece
-        if len(piece) > size:
-            out += split_recursive(piece, size, overlap, SEPARATORS[1:])
-            held = ""
-    if held:
-        out.append(held)
-    return [x for x in out if x.strip()]
+        j = max(i, int(np.searchsorted(ends, starts[i] + size, side="right")) - 1)
+        out.append((i, j))
+        i = j + 1
+    return out
 
 
-def cosine_distance(a: np.ndarray, b: np.ndarray) -> float:
-    na, nb = np.sqrt(a @ a) or 1.0, np.sqrt(b @ b) or 1.0
-    return float(min(2.0, max(0.0, 1.0 - (a @ b) / (na * nb))))
+def recursive_spans(text: str, size: int = 2000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[tuple[int, int]]:
+    """(start, end) of chunks of at most `size` characters. What is too long is cut at the coarsest separator that it has, and
+    neighbouring pieces are packed; what stays too long goes on to finer ones. Without any it is cut into slices, the only
+    place where the overlap acts. Blank chunks go."""
+    check_window(size, overlap)
+    out, todo = [], [(0, len(text), 0)]
+    while todo:  # the last entry is the next in the text
+        low, high, level = todo.pop()
+        if high - low <= size:
+            out.append((low, high))
+            continue
+        level = next((k for k in range(level, len(separators)) if text.find(separators[k], low, high) >= 0), len(separators))
+        if level == len(separators):
+            out += [(at, min(at + size, high)) for at in range(low, high, size - overlap)]
+            continue
+        starts, ends = pieces(text, low, high, separators[level])
+        todo += [(int(starts[i]), int(ends[j]), level + 1) for i, j in reversed(packed(starts, ends, size, from_empty=False))]
+    return [(a, z) for a, z in out if text[a:z].strip()]
 
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
+def split_recursive(text: str, size: int = 2000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
+    return [text[a:z] for a, z in recursive_spans(text, size, overlap, separators)]
+
+
+def neighbour_distances(vectors: np.ndarray) -> np.ndarray:
+    """Cosine distance, from 0 to 2, of each row to the next."""
+    v = np.asarray(vectors, np.float64)
+    length = np.sqrt((v * v).sum(axis=1))
+    unit = v / np.where(length == 0, 1.0, length)[:, None]
+    return np.clip(1.0 - (unit[:-1] * unit[1:]).sum(axis=1), 0.0, 2.0)
+
+
+def jumps(distances: np.ndarray, percentile: float = 95.0) -> np.ndarray:
+    """Places (from 0) of distances at the percentile of all of them or above."""
+    return np.flatnonzero(distances >= np.percentile(distances, percentile)) if len(distances) else np.zeros(0, np.int64)
+
+
+def semantic_runs(sizes: np.ndarray, opening: np.ndarray, budget: int) -> list[tuple[int, int]]:
+    """(first, last) sentence of each chunk. sizes: tokens of each sentence; opening: sentences that a chunk should open with.
+
+    Stretches between sentences over the budget, which stand alone, are taken in turn. A chunk reaches to the next opening
+    sentence or to where the budget ends, and the next one begins a sentence earlier. Where that one and the opening one are
+    too much together, it is a chunk of its own as well."""
+    n = len(sizes)
+    total = np.concatenate(([0], np.cumsum(sizes)))
+    opens = np.append(np.sort(opening), n)
+    out = []
+    alone = np.flatnonzero(sizes > budget)
+    for low, high in zip(np.concatenate(([0], alone + 1)), np.append(alone, n)):
+        first, new = int(low), int(low) + 1  # the chunk's first sentence, and the first that may still be cut off
+        while first < high:
+            full = int(np.searchsorted(total, total[first] + budget, side="right")) - 1
+            cut = min(int(opens[np.searchsorted(opens, new)]), max(full, new), int(high))
+            out.append((first, cut - 1))
+            if cut == high:
+                break
+            if cut in opening and sizes[cut - 1] + sizes[cut] > budget:
+                out.append((cut - 1, cut - 1))
+            first, new = cut - 1, cut + 1
+        if high < n:
+            out.append((int(high), int(high)))
+    return out
 
 
 def split_semantic(text: str, embed: Callable[[list[str]], np.ndarray], tokens: Callable[[str], list[str]], size: int = 512, overlap: int = 50, percentile: float = 95.0) -> list[str]:
-    """Sentences packed until a jump in meaning (a distance at the percentile of the text or above) or the token
-    budget; each chunk but the first opens with the last sentence of the one before. A sentence over the budget is
-    cut into windows, without such a carry."""
+    """Chunks of whole sentences, cut where meaning jumps and at the budget of tokens, each but the first after its cut opening
+    with the last sentence before it. A sentence over the budget is cut into windows."""
     check_window(size, overlap)
-    said = [s.strip() for s in _SENTENCE.split(text.strip())]
-    said = [s for s in said if s]
-
-    def cut(sentence: str) -> list[str]:
-        words = tokens(sentence)
-        last = max(0, -(-(len(words) - size) // (size - overlap)))
-        return [" ".join(words[k * (size - overlap) :][:size]) for k in range(last + 1)]
-
-    if not said:
-        return []
-    sizes = [len(tokens(s)) for s in said]
-    if len(said) == 1:
-        return said if sizes[0] <= size else cut(said[0])
-    vectors = embed(said)
-    far = np.array([cosine_distance(a, b) for a, b in zip(vectors, vectors[1:])])
-    opens = np.concatenate(([False], far >= np.percentile(far, percentile)))
-    out: list[str] = []
-    held: list[int] = []  # places of the sentences that the next chunk has so far
-
-    def emit(carry: bool) -> None:
-        nonlocal held
-        out.append(" ".join(said[i] for i in held))
-        held = held[-1:] if carry else []
-
-    for k, n in enumerate(sizes):
-        if n > size:
-            if held:
-                emit(False)
-            out += cut(said[k])
-            continue
-        if opens[k] and held:
-            emit(True)
-        if held and sum(sizes[i] for i in held) + n > size:
-            emit(True)
-        held.append(k)
-    if held:
-        emit(False)
+    said = [x for x in map(str.strip, re.split(SENTENCE_END, text.strip())) if x]
+    words = [tokens(x) for x in said]
+    sizes = np.array([len(w) for w in words], np.int64)
+    opening = jumps(neighbour_distances(embed(said)), percentile) + 1 if len(said) > 1 else np.zeros(0, np.int64)
+    out = []
+    for first, last in semantic_runs(sizes, opening, size):
+        if sizes[first] > size:
+            starts = range(0, max(1, int(sizes[first]) - overlap), size - overlap)
+            out += [" ".join(words[first][k : k + size]) for k in starts]
+        else:
+            out.append(" ".join(said[first : last + 1]))
     return out
 
 
@@ -178,9 +210,7 @@ def recursive(sections: DataFrame, size: int = 2000, overlap: int = 200) -> Data
 
 
 def semantic(sections: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, size: int = 512, overlap: int = 50, percentile: float = 95.0) -> DataFrame:
-    from marlstone.operators.embedding import hashed
-
-    how = embed or (lambda texts: np.array([hashed(t) for t in texts]))
+    how = embed or _hashed()
     check_window(size, overlap)
     return _stateful(sections.select("doc_key", "section_id", "text"), lambda r: split_semantic(r["text"], how, str.split, size, overlap, percentile), "semantic")
 
@@ -208,8 +238,46 @@ def parent_child(sections: DataFrame, size: int = 512, overlap: int = 50, child:
     return parents, children
 
 
-def sentence_rows(sections: DataFrame) -> DataFrame:
-    return not_blank(sections).select("doc_key", "section_id", F.posexplode(sentences(F.col("text"))).alias("i", "sentence"))
+def line_packs(docs: DataFrame, id_col: str = "doc_id", size: int = 600, separator: str = "\n", text_col: str = "text") -> DataFrame:
+    """id, chunk, n_lines, n_chars: pieces between separators packed as they come, a longer one alone; none for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                starts, ends = pieces(text, 0, len(text), separator)
+                rows += [(key, k, j - i + 1, int(ends[j] - starts[i])) for k, (i, j) in enumerate(packed(starts, ends, size))]
+            cols = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.field(0).type), *[pa.array(c, pa.int64()) for c in cols[1:]]], names=[id_col, "chunk", "n_lines", "n_chars"])
+
+    rows = docs.select(id_col, text_col).filter(F.col(text_col).isNotNull())
+    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, chunk long, n_lines long, n_chars long")
+
+
+def sentence_distances(docs: DataFrame, id_col: str = "doc_id", embed: Callable[[list[str]], np.ndarray] | None = None, percentile: float = 95.0, text_col: str = "text") -> DataFrame:
+    """id, i, distance, jump: of each sentence to the next, and whether a chunk is cut there."""
+    how = embed or _hashed()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, places, far, cut = [], [], [], []
+            for key, said in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if len(said) > 1:
+                    d = neighbour_distances(how(said))
+                    keys += [key] * len(d)
+                    places += range(len(d))
+                    far += d.tolist()
+                    cut += np.isin(np.arange(len(d)), jumps(np.round(d, 9), percentile)).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), pa.array(places, pa.int64()), pa.array(far, pa.float64()), pa.array(cut, pa.bool_())], names=[id_col, "i", "distance", "jump"])
+
+    rows = docs.select(id_col, sentences(F.col(text_col)).alias("said"))
+    return rows.mapInArrow(run, f"`{id_col}` {rows.dtypes[0][1]}, i long, distance double, jump boolean")
+
+
+def _hashed(dim: int | None = None) -> Callable[[list[str]], np.ndarray]:
+    from marlstone.operators.embedding import DIM, hashed
+
+    return lambda texts: np.array([hashed(t, dim or DIM) for t in texts])
 
 
 CHUNKERS = {"naive": naive, "recursive": recursive, "semantic": semantic, "structural": structural}

@@ -7,8 +7,23 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import noise_floor, number
 
-#: The ledger's columns, and category, metric, whether the least wins.
-COLUMNS = "exp_name timestamp n_questions n_filings n_chunks context_recall faithfulness answer_relevancy hit_at_5 citation_accuracy mean_latency_ms total_cost_usd hit_at_5_content citation_accuracy_content".split()
+#: The ledger's columns; category, metric, whether the least wins; the metrics that drift compares.
+COLUMNS = [
+    "exp_name",
+    "timestamp",
+    "n_questions",
+    "n_filings",
+    "n_chunks",
+    "context_recall",
+    "faithfulness",
+    "answer_relevancy",
+    "hit_at_5",
+    "citation_accuracy",
+    "mean_latency_ms",
+    "total_cost_usd",
+    "hit_at_5_content",
+    "citation_accuracy_content",
+]
 CATEGORIES = [
     ("chunking", "context_recall", False),
     ("chunking_content", "hit_at_5_content", False),
@@ -17,7 +32,15 @@ CATEGORIES = [
     ("reranker", "citation_accuracy", False),
     ("end_to_end", "faithfulness", False),
 ]
-COMPARED = "context_recall faithfulness answer_relevancy hit_at_5 citation_accuracy hit_at_5_content citation_accuracy_content".split()
+COMPARED = [
+    "context_recall",
+    "faithfulness",
+    "answer_relevancy",
+    "hit_at_5",
+    "citation_accuracy",
+    "hit_at_5_content",
+    "citation_accuracy_content",
+]
 TOLERANCE, LATENCY_FACTOR, DEFAULT_N = 0.05, 2.0, 139
 
 

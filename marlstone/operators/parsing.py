@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import strip
+from marlstone.functions.text import WHITE, strip, unescaped
 
 #: Section id and the pattern of its header, in canonical order.
 HEADERS = [
@@ -20,17 +20,17 @@ HEADERS = [
     ("item_8", r"Item\s*8\.\s*Financial\s*Statements"),
 ]
 MIN_CHARS = 500
+#: Stands for markup until what adjoins is one border.
+BETWEEN = "\x01"
 
 
 def html_text(html: Column) -> Column:
-    """Text nodes on lines of their own; scripts, styles, comments and tags go; three line ends or more become two."""
+    """Text nodes on lines of their own; scripts, styles, comments and tags go; character references are decoded; three line
+    ends or more become two."""
     x = F.coalesce(html, F.lit(""))
-    for element in ("script", "style"):
-        x = F.regexp_replace(x, rf"(?is)<{element}\b[^>]*>.*?</{element}\s*>", "\n")
-    x = F.regexp_replace(x, r"(?s)<!--.*?-->", "\n")
-    x = F.regexp_replace(x, r"<[a-zA-Z/!][^>]*>", "\n")
-    for said, means in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
-        x = F.replace(x, F.lit(said), F.lit(means))
+    for markup in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"<[a-zA-Z/!][^>]*>"):
+        x = F.regexp_replace(x, markup, BETWEEN)
+    x = unescaped(F.regexp_replace(x, f"{BETWEEN}+", "\n"))  # markup without text between is one border
     return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
 
 
@@ -40,7 +40,7 @@ def markers(docs: DataFrame, headers: list[tuple[str, str]] = HEADERS) -> DataFr
     The text between matches is what split() leaves, so positions are running lengths: no Python is needed."""
     out = None
     for rank, (sid, pattern) in enumerate(headers):
-        p = f"(?i){pattern}"
+        p = "(?i)" + pattern.replace(r"\s", f"[{WHITE}]")
         found = docs.select("doc_key", F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"), F.split("text", p).alias("gaps")).filter(F.size("found") > 0)
         each = F.transform("found", lambda h, i: F.struct(h.alias("header"), i.alias("i")))
         before = F.aggregate(F.slice("gaps", F.lit(1), F.col("x.i") + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("found", F.lit(1), F.col("x.i")), F.lit(0), lambda a, g: a + F.length(g))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.functions import numbers, text
@@ -188,12 +189,12 @@ def qa_build(s, d):
 # ---- parsing and chunking ------------------------------------------------------------------------------------------
 
 _HTML = "coalesce(html, '')"
-for _e in ("script", "style"):
-    _HTML = f"regexp_replace({_HTML}, '(?is)<{_e}\\b[^>]*>.*?</{_e}\\s*>', chr(10), 'g')"
-_HTML = f"regexp_replace(regexp_replace({_HTML}, '(?s)<!--.*?-->', chr(10), 'g'), '<[a-zA-Z/!][^>]*>', chr(10), 'g')"
-for _a, _b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&")):
+for _e in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", "(?s)<!--.*?-->", "<[a-zA-Z/!][^>]*>"):
+    _HTML = f"regexp_replace({_HTML}, '{_e}', chr(1), 'g')"
+_HTML = f"regexp_replace({_HTML}, '\\x01+', chr(10), 'g')"
+for _a, _b in (("&nbsp;", " "), ("&#160;", " "), ("&#xA0;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"), ("&amp", "&")):
     _HTML = f"replace({_HTML}, '{_a}', '{_b}')"
-_HTML = f"regexp_replace(regexp_replace({_HTML}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')"
+_HTML = f"regexp_replace(regexp_replace({_HTML}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^[\\s\\x{{A0}}]+|[\\s\\x{{A0}}]+$', '', 'g')"
 
 
 @query(f"SELECT page_id, md5({_HTML}) AS text_md5, CAST(length({_HTML}) AS BIGINT) AS n FROM pages")
@@ -209,16 +210,18 @@ def _filings(s, d):
     return table(s, d, "documents").select(F.col("doc_id").alias("doc_key"), "text")
 
 
-@query()
-def section_markers(s, d):
-    return parsing.markers(_filings(s, d), _ANCHORS).select("doc_key", "sid", F.col("pos").cast("long").alias("pos"), "header")
-
-
 _MARKS = " UNION ALL ".join(
     f"SELECT doc_key, '{sid}' AS sid, CAST({k} AS BIGINT) AS rank, length(array_to_string(parts[1:i], '')) + length(array_to_string(heads[1:i - 1], '')) + 1 AS pos, heads[i] AS header "
     f"FROM (SELECT doc_key, parts, heads, unnest(range(1, len(heads) + 1)) AS i FROM (SELECT doc_id AS doc_key, string_split_regex(text, '(?i){p}') AS parts, regexp_extract_all(text, '(?i){p}') AS heads FROM documents))"
     for k, (sid, p) in enumerate(_ANCHORS)
 )
+
+
+@query(f"SELECT doc_key, sid, CAST(pos AS BIGINT) AS pos, header FROM ({_MARKS})")
+def section_markers(s, d):
+    return parsing.markers(_filings(s, d), _ANCHORS).select("doc_key", "sid", F.col("pos").cast("long").alias("pos"), "header")
+
+
 _PARSED = f"""m AS ({_MARKS}), e AS (SELECT *, lead(pos) OVER (PARTITION BY doc_key ORDER BY pos, sid, header) AS stop FROM m),
 b AS (SELECT e.doc_key, sid, rank, pos, header, regexp_replace(substr(regexp_replace(substr(text, pos, coalesce(stop, length(text) + 1) - pos), '^\\s+|\\s+$', '', 'g'), length(header) + 1), '^\\s+|\\s+$', '', 'g') AS body FROM e JOIN documents ON doc_id = e.doc_key),
 parsed AS (SELECT doc_key, sid AS section_id, rank, header AS title, body AS text, CAST(length(body) AS BIGINT) AS char_count FROM (SELECT *, row_number() OVER (PARTITION BY doc_key, sid ORDER BY length(body) DESC, pos) AS r FROM b WHERE length(body) >= 100) WHERE r = 1)"""
@@ -269,19 +272,7 @@ def chunk_structural(s, d):
     "SELECT doc_id, CAST(chunk AS BIGINT) AS chunk, CAST(count(*) AS BIGINT) AS n_lines, CAST(max(held) AS BIGINT) AS n_chars FROM r GROUP BY 1, 2"
 )
 def pack_greedy(s, d):
-    """Lines packed greedily to 600 characters, by one fold over the lines."""
-    docs = table(s, d, "documents").select("doc_id", F.split("text", "\n").alias("p"))
-    one = lambda n: F.array(F.struct(F.lit(1).cast("long").alias("n_lines"), n.cast("long").alias("n_chars")))
-
-    def step(acc, line):
-        n = F.length(line)
-        last = F.element_at(acc, -1)
-        joined = last["n_chars"] + 1 + n
-        grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct((last["n_lines"] + 1).alias("n_lines"), joined.cast("long").alias("n_chars"))))
-        return F.when(joined <= 600, grown).otherwise(F.concat(acc, one(n)))
-
-    packed = docs.select("doc_id", F.posexplode(F.aggregate(F.slice("p", F.lit(2), F.size("p")), one(F.length(F.get("p", F.lit(0)))), step)).alias("chunk", "x"))
-    return packed.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "x.n_lines", "x.n_chars")
+    return chunking.line_packs(table(s, d, "documents"))
 
 
 @query("SELECT doc_id, CAST(k AS BIGINT) AS i, md5(substr(text, k * 540 + 1, 600)) AS text_md5 FROM (SELECT doc_id, text, unnest(range(0, CAST((length(text) - 1) // 540 AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0)")
@@ -309,28 +300,17 @@ dist AS (SELECT s.doc_id, s.i, least(2.0, greatest(0.0, 1.0 - coalesce(c, 0))) A
 
 
 def _distances(s, d):
-    """doc_id, i, d: distance of sentence i to the next. Vectors are sparse rows, met by an equi-join."""
-    rows = table(s, d, "documents").select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("i", "sentence"))
-    rows = rows.select("doc_id", "i", "sentence", F.concat_ws(":", "doc_id", "i").alias("key"))
-    v = embedding.sparse(rows, "key", "sentence", 64)
-    owner = F.split("id", ":")
-    v = v.select(F.get(owner, F.lit(0)).cast("long").alias("doc_id"), F.get(owner, F.lit(1)).cast("int").alias("i"), "idx", "w")
-    dots = v.join(v.select("doc_id", (F.col("i") - 1).alias("i"), "idx", F.col("w").alias("w2")), ["doc_id", "i", "idx"]).groupBy("doc_id", "i").agg(F.sum(F.col("w") * F.col("w2")).alias("c"))
-    last = rows.groupBy("doc_id").agg(F.max("i").alias("last"))
-    pairs = rows.select("doc_id", "i").join(last, "doc_id").filter("i < last").join(dots, ["doc_id", "i"], "left")
-    return pairs.select("doc_id", F.col("i").cast("long").alias("i"), F.least(F.lit(2.0), F.greatest(F.lit(0.0), 1.0 - F.coalesce("c", F.lit(0.0)))).alias("d"))
+    return chunking.sentence_distances(table(s, d, "documents"), embed=lambda said: np.array([embedding.hashed(x, 64) for x in said]))
 
 
 @query(_DIST + " SELECT doc_id, i, round(d, 6) AS distance FROM dist")
 def sentence_distance(s, d):
-    return _distances(s, d).select("doc_id", "i", F.round("d", 6).alias("distance"))
+    return _distances(s, d).select("doc_id", "i", F.round("distance", 6).alias("distance"))
 
 
 @query(_DIST + ", thr AS (SELECT doc_id, quantile_cont(round(d, 9), 0.95) AS t FROM dist GROUP BY 1) SELECT doc_id, count(*) AS n_breaks, min(i) AS first_break FROM dist JOIN thr USING (doc_id) WHERE round(d, 9) >= t - 1e-12 GROUP BY 1")
 def semantic_breakpoints(s, d):
-    rows = _distances(s, d).withColumn("d", F.round("d", 9))
-    thr = rows.groupBy("doc_id").agg(F.percentile("d", F.lit(0.95)).alias("t"))
-    return rows.join(thr, "doc_id").filter(F.col("d") >= F.col("t") - 1e-12).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_breaks"), F.min("i").alias("first_break"))
+    return _distances(s, d).filter("jump").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_breaks"), F.min("i").alias("first_break"))
 
 
 @query("SELECT doc_id, lang AS section_id, CAST(CASE lang WHEN 'fr' THEN 900 WHEN 'de' THEN 700 ELSE 1200 END AS INTEGER) AS section_budget FROM documents")
@@ -466,12 +446,18 @@ def multi_query_fuse(s, d):
     return ranked(retrieval.retrieve_many(fx.bundle(s, d), fx.formulations(s, d), "bm25", 5))
 
 
-@query()
+_TRIM = f"regexp_replace({{0}}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query(
+    f"WITH {SQL_QUESTIONS} SELECT qid, CAST(0 AS INTEGER) AS list_no, question FROM questions UNION ALL SELECT qid, 1, {_TRIM.format("question || ' explained'")} FROM questions "
+    f"UNION ALL SELECT qid, 2, {_TRIM.format("'details about ' || question")} FROM questions UNION ALL SELECT qid, 3, {_TRIM.format("'what is said on ' || question")} FROM questions"
+)
 def query_expand(s, d):
     return rerank.expand(fx.questions(s, d))
 
 
-@query()
+@query(f"WITH {SQL_QUESTIONS} SELECT qid, 'The filing states that ' || lower(rtrim({_TRIM.format('question')}, '?')) || ' as described in this section.' AS question FROM questions")
 def hyde_write(s, d):
     return rerank.hypothetical(fx.questions(s, d))
 

@@ -7,26 +7,26 @@ from pyspark.sql import functions as F
 
 #: Ticker and central index key.
 CIKS = {
-    "AAPL": "320193",
-    "MSFT": "789019",
-    "GOOGL": "1652044",
-    "AMZN": "1018724",
-    "NVDA": "1045810",
-    "META": "1326801",
-    "JPM": "19617",
-    "GS": "886982",
-    "BAC": "70858",
-    "XOM": "34088",
-    "CVX": "93410",
-    "JNJ": "200406",
-    "PFE": "78003",
-    "UNH": "731766",
-    "KO": "21344",
-    "PG": "80424",
-    "WMT": "104169",
-    "COST": "909832",
-    "TSLA": "1318605",
-    "BRK.B": "1067983",
+    "AAPL": "0000320193",
+    "MSFT": "0000789019",
+    "GOOGL": "0001652044",
+    "AMZN": "0001018724",
+    "NVDA": "0001045810",
+    "META": "0001326801",
+    "JPM": "0000019617",
+    "GS": "0000886982",
+    "BAC": "0000070858",
+    "XOM": "0000034088",
+    "CVX": "0000093410",
+    "JNJ": "0000200406",
+    "PFE": "0000078003",
+    "UNH": "0000731766",
+    "KO": "0000021344",
+    "PG": "0000080424",
+    "WMT": "0000104169",
+    "COST": "0000909832",
+    "TSLA": "0001318605",
+    "BRK.B": "0001067983",
 }
 MIN_BYTES = 1024
 SUBMISSIONS = "struct<filings:struct<recent:struct<accessionNumber:array<string>,filingDate:array<string>,reportDate:array<string>,form:array<string>,primaryDocument:array<string>>>>"

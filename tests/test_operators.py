@@ -303,3 +303,96 @@ def test_sampling(spark):
     assert a == [r.id for r in sampling.shuffled(spark.range(20).repartition(3), 3, "id").collect()] and a != sorted(a)
     made = sampling.question_set(corpus(spark).withColumn("doc_key", F.lit("d")).withColumn("text", F.concat_ws(" ", "text", "text", "text")), 10)
     assert [r.id for r in made.orderBy("id").collect()] == ["q_0001", "q_0002", "q_0003"]
+
+
+# ---- filings as they are written
+
+
+@pytest.mark.parametrize("gap", [" ", "&#160;", "&nbsp;", "&#xA0;", " ", "&#x2003;", "\n"])
+def test_headers_with_any_space(spark, gap):
+    body = "It makes instruments &amp; sells them. " * 30
+    page = f"<html><body><p>Item{gap}1.{gap}Business</p><p>{body}</p></body></html>"
+    docs = spark.createDataFrame([("f", page)], "doc_key string, html string").select("doc_key", parsing.html_text(F.col("html")).alias("text"))
+    rows = parsing.parse(docs).collect()
+    assert [(r.section_id, r.char_count) for r in rows] == [("item_1", 30 * len("It makes instruments & sells them. ") - 1)]
+
+
+def test_character_references(spark):
+    cases = {
+        "a &lt;b&gt; &amp;amp; &amp;#160;x": "a <b> &amp; &#160;x",
+        "&#8217;s &#x2019; &rsquo; &eacute;t&eacute &#146; &#x80;": "’s ’ ’ été ’ €",
+        "&unknown; & &; &#; AT&T &#0; &#x110000; &#xD800; &#99999999999999999999;": "&unknown; & &; &#; AT&T � � � �",
+        "&notin; &sect;1 &frac12 &#128512; &#x1F600;": "∉ §1 ½ \U0001f600 \U0001f600",
+        "plain": "plain",
+        "": "",
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()] + [(None, None)], "t string, want string")
+    for r in df.select("t", "want", text.unescaped(F.col("t")).alias("got")).collect():
+        assert r.got == r.want
+
+
+def test_text_nodes(spark):
+    page = "<html><head><title>T</title></head><body><table><tr><td>a</td><td>b</td></tr></table>x<b>y</b><!-- no --><script>var z='</p>'</script>w</body></html>"
+    got = spark.createDataFrame([(page,), ("<td></td>" * 20000 + "q",)], "html string").select(parsing.html_text(F.col("html")).alias("t")).collect()
+    assert [r.t for r in got] == ["T\na\nb\nx\ny\nw", "q"]
+
+
+def test_python_white_space(spark):
+    t = "one two three\x1cfour 　five​six"
+    row = spark.createDataFrame([(f" {t} ",)], "t string").select(text.white_tokens(F.col("t")).alias("w"), text.strip(F.col("t")).alias("s"), text.collapse(F.col("t")).alias("c")).first()
+    assert row.w == t.split() and row.s == t and row.c == " ".join(t.split())
+
+
+# ---- chunkers on places
+
+
+def by_levels(text, size, overlap):
+    """All at once, a separator at a time: a list of pieces, each too long one replaced by its packed parts."""
+    held = [text]
+    for sep in ["\n\n", "\n", ". ", " "]:
+        new = []
+        for piece in held:
+            if len(piece) <= size or sep not in piece:
+                new.append(piece)
+                continue
+            line = None
+            for part in piece.split(sep):
+                if line is not None and line != "" and len(line) + len(sep) + len(part) <= size:
+                    line += sep + part
+                else:
+                    new += [line] if line else []
+                    line = part
+            new += [line] if line else []
+        held = new
+    out = []
+    for piece in held:
+        out += [piece] if len(piece) <= size else [piece[k : k + size] for k in range(0, len(piece), size - overlap)]
+    return [x for x in out if x.strip()]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bb ", "ccc. ", "\n", "\n\n", " ", "dddddddddd", ". "]), max_size=60), st.integers(3, 25))
+def test_recursive_equals_levels(parts, size):
+    t = "".join(parts)
+    assert chunking.split_recursive(t, size, size // 3) == by_levels(t, size, size // 3)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=25), st.sets(st.integers(1, 24)), st.integers(2, 12))
+def test_semantic_runs_step_by_step(sizes, opening, budget):
+    """What each chunk holds, sentence by sentence."""
+    opening = {k for k in opening if k < len(sizes)}
+    want, held = [], []
+    for k, n in enumerate(sizes):
+        if n > budget:
+            want += [held] * bool(held) + [[k]]
+            held = []
+            continue
+        for cut in (k in opening, None):
+            if held and (cut if cut is not None else sum(sizes[i] for i in held) + n > budget):
+                want.append(held)
+                held = held[-1:]
+        held = [*held, k]
+    want += [held] * bool(held)
+    got = chunking.semantic_runs(np.array(sizes, np.int64), np.array(sorted(opening), np.int64), budget)
+    assert [list(range(a, z + 1)) for a, z in got] == want
