@@ -459,19 +459,22 @@ def exact_links(met: DataFrame, prints: DataFrame, sets_of, similarity: float, r
     c = F.when(F.col("n") > chunk, F.ceil(F.col("n") / (chunk / 2))).otherwise(1).cast("long")
     dealt = written(met.join(sizes, "key").withColumn("c", c).withColumn("i", F.pmod(F.xxhash64("node"), "c")).drop("n"), "dealt")
 
-    def compared(parts: DataFrame) -> DataFrame:
+    def candidates(parts: DataFrame) -> DataFrame:
         parts = parts.join(prints, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        found = written(parts.select("key", "i", "j", "fp", "node").mapInArrow(find, "name long, node long").distinct(), "candidates")
-        sets = sets_of(found.select("node").distinct())
+        return written(parts.select("key", "i", "j", "fp", "node").mapInArrow(find, "name long, node long").distinct(), "candidates")
+
+    def compared(found: DataFrame) -> DataFrame:
         rows = found.join(sets, "node").repartition("name").sortWithinPartitions("name").select("name", "hashes", "node")
         links = written(rows.mapInArrow(_verify(similarity), "a long, b long"), "links")
         dropped(found)
         return links
 
-    inner = compared(dealt.select("key", "i", zero.alias("j"), "node"))
-    hot = dealt.filter("c > 1")
+    found, hot = candidates(dealt.select("key", "i", zero.alias("j"), "node")), dealt.filter("c > 1")
+    # texts are read once: for what was found, and for what may be found yet
+    sets = written(sets_of(found.select("node").union(hot.select("node")).distinct()), "sets")
+    inner = compared(found)
     if hot.isEmpty():
-        dropped(sizes, dealt)
+        dropped(sizes, dealt, sets)
         return inner
     placed = hot.join(components(inner), "node", "left").select("key", "node", "w", F.coalesce("root", "node").alias("root"))
     counts = placed.groupBy("key", "root").agg(F.sum("w").alias("m"))
@@ -483,8 +486,8 @@ def exact_links(met: DataFrame, prints: DataFrame, sets_of, similarity: float, r
     all_ = hot.join(rest.select("key", "parts").distinct(), "key").withColumn("j", upto("parts"))
     few = hot.drop("i").join(rest, ["key", "node"]).withColumn("j", F.pmod(F.xxhash64("node", F.lit("rest")), "parts")).withColumn("i", upto("c"))
     both = all_.select("key", "i", "j", "node").unionByName(few.select("key", "i", "j", "node")).distinct()
-    across = compared(both)
-    dropped(sizes, dealt, rest)
+    across = compared(candidates(both))
+    dropped(sizes, dealt, rest, sets)
     return inner.unionByName(across)
 
 
