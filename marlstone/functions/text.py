@@ -13,8 +13,10 @@ NO_SPAN = "<no relevant span>"
 PROBE = 100
 #: White space as Python's split() and strip() know it, no-break space among it; also in the patterns of chunkers.
 WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = f"[{WHITE}]+"
-SENTENCE_END = rf"(?<=[.!?]){SPACE}|\n{{2,}}"
+SENTENCE_END = rf"(?<=[.!?])[{WHITE}]+|\n{{2,}}"
+#: The same for Java's matcher, which is asked first whether a character is a plain one.
+SPACE = f"[[^!-~]&&[{WHITE}]]+"
+TOKEN = f"[!-~[^{WHITE}]]+"
 
 
 def strip(c: Column, space: str = SPACE) -> Column:
@@ -27,7 +29,7 @@ def collapse(c: Column, space: str = SPACE) -> Column:
 
 
 def white_tokens(c: Column) -> Column:
-    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(f"[^{WHITE}]+"), F.lit(0))
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(TOKEN), F.lit(0))
 
 
 def lexical_tokens(c: Column) -> Column:

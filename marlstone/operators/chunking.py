@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import SENTENCE_END, sentences, strip, white_tokens
+from marlstone.functions.text import SENTENCE_END, TOKEN, sentences, white_tokens
 
 #: Characters for each section, and for all others.
 BUDGETS = {
@@ -53,7 +53,7 @@ def windows(tokens: Column, size: int, overlap: int) -> Column:
 
 
 def not_blank(sections: DataFrame, text: str = "text") -> DataFrame:
-    return sections.filter(strip(F.coalesce(F.col(text), F.lit(""))) != "")
+    return sections.filter(F.col(text).rlike(TOKEN))
 
 
 def chunk_id(key: Column, section: Column, index: Column) -> Column:

@@ -44,15 +44,22 @@ def embed(texts: DataFrame, id_col: str, text_col: str = "text", dim: int = DIM,
 
 
 def sparse(texts: DataFrame, id_col: str, text_col: str = "text", dim: int = DIM) -> DataFrame:
-    """id, idx, w: the same vectors as rows, by expressions alone. A 128-bit hash is taken modulo 2 * dim by halves."""
+    """id, idx, w: the same vectors as rows, by expressions alone. The 128-bit hash modulo 2 * dim comes from its last digits,
+    or, where that is no power of two, from eight digits at a time. A text's counts, `dim` at most, are gathered to take
+    their length."""
     m = 2 * dim
     tok = texts.select(F.col(id_col).alias("id"), F.explode(white_tokens(F.lower(text_col))).alias("tok"))
     digest = F.md5(F.col("tok").cast("binary"))
-    half = lambda at: F.conv(F.substring(digest, at, 16), 16, 10).cast("decimal(20,0)") % m
-    place = ((half(1) * (2**64 % m) + half(17)) % m).cast("int")
-    counts = (
-        tok.groupBy("id", place.alias("place")).count().groupBy("id", (F.col("place") % dim).alias("idx")).agg(F.sum(F.when(F.col("place") < dim, F.col("count")).otherwise(-F.col("count"))).alias("c"))
-    )
-    damped = counts.filter("c <> 0").select("id", "idx", (F.signum("c") * F.log1p(F.abs("c"))).alias("w"))
-    length = damped.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    return damped.join(length, "id").select("id", "idx", (F.col("w") / F.col("n")).alias("w"))
+    eight = lambda at: F.conv(F.substring(digest, at, 8), 16, 10).cast("long")
+    if m & (m - 1):
+        place = F.lit(0).cast("long")
+        for at in (1, 9, 17, 25):
+            place = (place * (2**32 % m) + eight(at)) % m
+    else:
+        place = eight(25) % m
+    signed = tok.select("id", place.cast("int").alias("place")).select("id", (F.col("place") % dim).alias("idx"), F.when(F.col("place") < dim, 1).otherwise(-1).alias("s"))
+    counts = signed.groupBy("id", "idx").agg(F.sum("s").alias("c")).filter("c <> 0")
+    damped = counts.select("id", F.struct("idx", (F.signum("c") * F.log1p(F.abs("c"))).alias("w")).alias("x"))
+    per = damped.groupBy("id").agg(F.collect_list("x").alias("xs"))
+    length = F.sqrt(F.aggregate("xs", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    return per.select("id", length.alias("n"), F.explode("xs").alias("x")).select("id", "x.idx", (F.col("x.w") / F.col("n")).alias("w"))

@@ -74,7 +74,8 @@ def summary(rows: DataFrame, *group: str) -> DataFrame:
 
 def mean_of_numbers(c: str) -> Column:
     """The mean without nulls and NaN; null if nothing is left."""
-    return F.avg(F.when(~F.isnan(c), F.col(c)))
+    x = F.col(c).cast("double")
+    return F.avg(F.when(~F.isnan(x), x))
 
 
 def gain_loss(a: DataFrame, b: DataFrame) -> DataFrame:

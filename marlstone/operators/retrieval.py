@@ -14,10 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import embedding, lexical
-from marlstone.operators.streams import ROUND, Best, arrow, blocks_of, ranked_by_score, ranking_schema
+from marlstone.operators.streams import ROUND, Best, arrow, passes_of, ranked_by_score, ranking_schema
 
 RRF_K, SIDE_K, TOP_K = 60, 20, 5
-QUERY_BLOCK = 4096
+QUERY_BLOCK, PASS = 1024, 16
 
 
 def rank_by(rows: DataFrame, k: int, *order, group: str = "qid") -> DataFrame:
@@ -28,28 +28,32 @@ def rank_by(rows: DataFrame, k: int, *order, group: str = "qid") -> DataFrame:
 def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Cosine top-k of queries (qid, v) over vectors (id, v), exact.
 
-    Queries go in blocks of bounded size to every task as one matrix; a task keeps k rows a query while it
-    streams its vectors, and those partial answers are merged. Vectors are never shuffled."""
+    Queries go in blocks of bounded size to every task, each as one matrix; a task keeps k rows a query while it
+    streams its vectors once for PASS blocks, and those partial answers are merged. Vectors are never shuffled."""
     spark = vectors.sparkSession
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
     if k <= 0:
         return spark.createDataFrame([], ranking_schema(*kinds, rank=True))
     out, schema = None, ranking_schema(*kinds)
     fields = arrow(schema)
-    for block in blocks_of(queries.select("qid", "v"), QUERY_BLOCK):
-        q = np.array([r.v for r in block], np.float64)
-        q /= np.where((n := np.sqrt((q * q).sum(axis=1))) == 0, 1.0, n)[:, None]
-        shared = spark.sparkContext.broadcast(([r.qid for r in block], q))
+    for blocks in passes_of(queries.select("qid", "v"), QUERY_BLOCK, PASS):
+        made = []
+        for block in blocks:
+            q = np.array([r.v for r in block], np.float64)
+            made.append(([r.qid for r in block], q / np.where((n := np.sqrt((q * q).sum(axis=1))) == 0, 1.0, n)[:, None]))
+        shared = spark.sparkContext.broadcast(made)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            qids, q = shared.value
-            best = Best(qids, k)
+            best = [Best(qids, k) for qids, _ in shared.value]
             for b in batches:
                 if not b.num_rows:
                     continue
+                ids = b.column(0).to_pylist()
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                best.see(b.column(0).to_pylist(), x @ q.T / np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None])
-            yield best.batch(fields)
+                x /= np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None]
+                for own, (_, q) in zip(best, shared.value):
+                    own.see(ids, x @ q.T)
+            yield from (own.batch(fields) for own in best)
 
         part = vectors.select("id", "v").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
@@ -171,13 +175,54 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, length: float = 2.0, tables: int = 3, radius: float = 2.0) -> DataFrame:
-    """Approximate top-k by random projections, for vectors of length one."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, centres: int = 64, probes: int = 24, sample: int = 20_000, seed: int = 1) -> DataFrame:
+    """Approximate cosine top-k by an inverted file, for vectors of length one: those nearest to one of the centres are a cell,
+    and a query looks into the `probes` cells whose centres are nearest to it, each read by the query's own exact scan.
 
-    a = vectors.select("id", array_to_vector("v").alias("x"))
-    q = queries.select("qid", array_to_vector("v").alias("x"))
-    lsh = BucketedRandomProjectionLSH(inputCol="x", outputCol="h", bucketLength=length, numHashTables=tables, seed=1).fit(a)
-    near = lsh.approxSimilarityJoin(q, a, radius, "d").select(F.col("datasetA.qid").alias("qid"), F.col("datasetB.id").alias("chunk_id"), (1 - F.col("d") * F.col("d") / 2).alias("score"))
-    return rank_by(near, k, F.round("score", ROUND).desc(), "chunk_id").select("qid", "chunk_id", "rank", "score")
+    The centres are fitted on `sample` vectors at most, chosen by a hash of the id; every vector is indexed. More centres,
+    and probes in proportion, suit more vectors; `centres` equal to `probes` is exact."""
+    spark = vectors.sparkSession
+    kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
+    if k <= 0:
+        return spark.createDataFrame([], ranking_schema(*kinds, rank=True))
+    rows = vectors.select("v").orderBy(F.xxhash64("id", F.lit(seed))).limit(sample).collect()
+    if not rows:
+        return spark.createDataFrame([], ranking_schema(*kinds, rank=True))
+    x = np.array([r.v for r in rows], np.float64)
+    near = x[np.random.default_rng(seed).permutation(len(x))[:centres]]
+    for _ in range(10):  # k-means on the sphere
+        own = (x @ near.T).argmax(axis=1)
+        sums = np.zeros_like(near)
+        np.add.at(sums, own, x)
+        length = np.sqrt((sums * sums).sum(axis=1))
+        near = np.where(length[:, None] > 0, sums / np.where(length == 0, 1.0, length)[:, None], near)
+    shared, schema = spark.sparkContext.broadcast(near), ranking_schema(*kinds)
+    fields, out = arrow(schema), None
+    for blocks in passes_of(queries.select("qid", "v"), QUERY_BLOCK, PASS):
+        made = []
+        for block in blocks:
+            q = np.array([r.v for r in block], np.float64)
+            made.append(([r.qid for r in block], q, np.argsort(-(q @ near.T), axis=1, kind="stable")[:, :probes]))
+        asked = spark.sparkContext.broadcast(made)
+
+        def run(batches: Iterator[pa.RecordBatch], asked=asked) -> Iterator[pa.RecordBatch]:
+            # for each block the queries of each cell: only they meet the cell's vectors
+            best = [Best(qids, k) for qids, *_ in asked.value]
+            looks = [[np.flatnonzero((cells == c).any(axis=1)) for c in range(len(shared.value))] for *_, cells in asked.value]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                ids = b.column(0).to_pylist()
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                own = (x @ shared.value.T).argmax(axis=1)
+                for c in np.unique(own):
+                    at = np.flatnonzero(own == c)
+                    names = [ids[j] for j in at]
+                    for held, look, (_, q, _) in zip(best, looks, asked.value):
+                        if len(look[c]):
+                            held.see(names, x[at] @ q[look[c]].T, look[c])
+            yield from (held.batch(fields) for held in best)
+
+        part = vectors.select("id", "v").mapInArrow(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return ranked_by_score(out, k) if out is not None else spark.createDataFrame([], ranking_schema(*kinds, rank=True))

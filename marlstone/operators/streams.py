@@ -35,29 +35,56 @@ def blocks_of(queries: DataFrame, size: int) -> Iterator[list[Row]]:
         yield block
 
 
+def passes_of(queries: DataFrame, size: int, blocks: int) -> Iterator[list[list[Row]]]:
+    """Blocks of queries in lists of at most `blocks`: what one scan answers."""
+    held: list[list[Row]] = []
+    for block in blocks_of(queries, size):
+        held.append(block)
+        if len(held) == blocks:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 class Best:
     """The k best rows of each query: by rounded score, then by id."""
 
+    #: Rows at a time: a score (in units of 1e-9) and a row's place among the ids are compared as one number.
+    ROWS = 1 << 14
+
     def __init__(self, qids: list, k: int):
         self.qids, self.k = qids, k
         self.ids: list[list] = [[] for _ in qids]
-        self.scores: list[np.ndarray] = [np.zeros(0) for _ in qids]
-
-    def see(self, ids: list, scores: np.ndarray) -> None:
-        """scores: rows by queries."""
-        k, s = self.k, np.round(scores, ROUND)
-        for i in range(len(self.qids)):
-            col = s[:, i]
-            at = np.flatnonzero(col >= self.scores[i].min()) if len(self.scores[i]) == k else np.arange(len(col))
-            if len(at) > 4 * k:
-                at = at[col[at] >= np.partition(col[at], len(at) - k)[len(at) - k]]
-            if len(at):
-                both, names = np.concatenate((self.scores[i], col[at])), self.ids[i] + [ids[j] for j in at]
-                keep = sorted(range(len(both)), key=lambda j: (-both[j], names[j]))[:k]
-                self.scores[i], self.ids[i] = both[keep], [names[j] for j in keep]
+        self.scores: list[list[int]] = [[] for _ in qids]
+        self.least = np.full(len(qids), np.iinfo(np.int64).min)
+
+    def see(self, ids: list, scores: np.ndarray, queries: np.ndarray | None = None) -> None:
+        """scores: rows by queries, all of them or those at the given places."""
+        queries = np.arange(len(self.qids)) if queries is None else queries
+        for at in range(0, len(ids), self.ROWS):
+            self._see(ids[at : at + self.ROWS], scores[at : at + self.ROWS], queries)
+
+    def _see(self, ids: list, scores: np.ndarray, queries: np.ndarray) -> None:
+        order = sorted(range(len(ids)), key=ids.__getitem__)
+        place = np.zeros(len(ids), np.int64)
+        place[order] = np.arange(len(ids))
+        whole = np.rint(scores * 10**ROUND).astype(np.int64)
+        both = whole * self.ROWS + (self.ROWS - 1 - place)[:, None]  # the lowest id is best
+        k = min(self.k, len(ids))
+        top = np.argpartition(both, len(ids) - k, axis=0)[len(ids) - k :]
+        held = np.take_along_axis(whole, top, axis=0)
+        for c in np.flatnonzero(held.max(axis=0) >= self.least[queries]):
+            i = int(queries[c])
+            rows = list(zip(self.scores[i], self.ids[i])) + [(int(v), ids[j]) for v, j in zip(held[:, c], top[:, c])]
+            rows.sort(key=lambda r: (-r[0], r[1]))
+            del rows[self.k :]
+            self.scores[i], self.ids[i] = [v for v, _ in rows], [x for _, x in rows]
+            if len(rows) == self.k:
+                self.least[i] = rows[-1][0]
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        rows = [(q, c, float(v)) for q, names, own in zip(self.qids, self.ids, self.scores) for c, v in zip(names, own)]
+        rows = [(q, c, v / 10**ROUND) for q, names, own in zip(self.qids, self.ids, self.scores) for c, v in zip(names, own)]
         cols = list(zip(*rows)) or [[], [], []]
         return pa.RecordBatch.from_pydict({n: list(c) for n, c in zip(("qid", "chunk_id", "score"), cols)}, schema=schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import sys
 import threading
 import time
@@ -13,8 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import PRICES
-from marlstone.operators import chunking, generation, ledger, metrics, parsing, rerank, retrieval
-from marlstone.sources import records, vectors
+from marlstone.operators import chunking, generation, ledger, metrics, parsing, rerank, retrieval, streams
+from marlstone.sources import filings, records, vectors
+
+
+log = logging.getLogger(__name__)
 
 
 @dataclass(frozen=True)
@@ -31,6 +35,7 @@ class Settings:
     overlap: int = 50
     child_size: int = 256
     child_overlap: int = 25
+    model: str = "mock-generator"
 
 
 class AnswerCache:
@@ -95,6 +100,28 @@ def bundle_of(sections: DataFrame, settings: Settings) -> retrieval.Bundle:
     return retrieval.Bundle(chunking.chunk(sections, settings.chunker, **how), None, settings.dim)
 
 
+def bundle_for(qa: DataFrame, manifest: DataFrame, settings: Settings) -> retrieval.Bundle:
+    """What a question set (source_ticker, source_filing_date) needs, and no other filing: those of the manifest that it names.
+    Filings that are missing there, and those without a section, are warned of and passed by; without a chunk it raises."""
+    spark = qa.sparkSession
+    keys = qa.select(F.concat_ws("_", "source_ticker", "source_filing_date").alias("doc_key")).distinct()
+    known = manifest.select(F.concat_ws("_", "ticker", "filing_date").alias("doc_key"), "local_path").dropDuplicates(["doc_key"])
+    for r in keys.join(known, "doc_key", "left_anti").collect():  # a question set's filings at most, as below
+        log.warning("no filing %s in the manifest", r.doc_key)
+    paths = {r.local_path: r.doc_key for r in known.join(keys, "doc_key", "left_semi").collect()}
+    if not paths:
+        raise RuntimeError("no filing of the question set is in the manifest")
+    named = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for p, k in paths.items()], "file string, own string")
+    pages = filings.raw_html(spark, list(paths)).withColumn("file", F.element_at(F.split("doc_key", "/"), -1))
+    sections = sections_of(pages.join(named, "file").select(F.col("own").alias("doc_key"), "html")).persist()
+    for r in named.join(sections, named["own"] == sections["doc_key"], "left_anti").collect():
+        log.warning("no section in filing %s", r.own)
+    bundle = bundle_of(sections, settings)
+    if bundle.chunks.isEmpty():
+        raise RuntimeError("no chunk for the question set")
+    return bundle
+
+
 def rankings(bundle: retrieval.Bundle, questions: DataFrame, settings: Settings) -> DataFrame:
     k = max(settings.top_k, settings.candidates) if settings.rerank else settings.top_k
     if settings.multi_query:
@@ -108,18 +135,49 @@ def rankings(bundle: retrieval.Bundle, questions: DataFrame, settings: Settings)
     return out
 
 
-def run_experiment(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings, name: str) -> tuple[DataFrame, DataFrame]:
-    """(per question, experiment row) for qa (qid, question, qa_type, source_id, span, filing)."""
-    began = time.monotonic()
-    top = rankings(bundle, qa.select("qid", "question"), settings)
-    made = generation.generate(qa, top, bundle.chunks)
-    texts = generation.contexts(top, bundle.chunks).select("qid", F.transform("ctx", lambda c: c["chunk_id"]).alias("retrieved"), F.transform("ctx", lambda c: c["text"]).alias("retrieved_texts"))
-    rows = qa.join(made, "qid").join(texts, "qid", "left")
-    for c in ("retrieved", "retrieved_texts"):
-        rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
-    rows = metrics.hits(rows.withColumn("cited_texts", F.col("retrieved_texts"))).withColumn("cost_usd", F.lit(0.0))
-    rows = rows.withColumn("latency_ms", F.lit((time.monotonic() - began) * 1000))
-    return rows, metrics.summary(rows).withColumn("exp_name", F.lit(name)).withColumn("timestamp", F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())))
+JUDGED = ("context_recall", "faithfulness", "answer_relevancy")
+
+
+def no_judge(rows: DataFrame) -> DataFrame:
+    """The default judge has no opinion: its columns are null."""
+    return rows.select("qid", *[F.lit(None).cast("double").alias(c) for c in JUDGED])
+
+
+def run_experiment(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings, name: str, judge=no_judge, sink: str | None = None, block: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(per question, experiment row) for qa (qid, question, qa_type, source_id, span, filing).
+
+    Questions are answered in blocks of `block`, whose time is measured and shared evenly by its questions; cost is that of
+    the model's tokens. judge: rows (qid, question, answer, retrieved_texts, ...) to (qid, JUDGED); questions that it leaves
+    out or has no number for are null and don't count in means. sink: a folder that each block is added to once it is
+    done; a rerun of the same name goes on with what is missing there."""
+    spark = qa.sparkSession
+    todo = records.unanswered(qa, sink, name) if sink else qa
+    a, b = {m: (x, y) for m, x, y in PRICES}.get(settings.model, (0.0, 0.0))
+    done = None
+    for part in streams.blocks_of(todo, block):
+        began = time.monotonic()
+        asked = spark.createDataFrame(part, todo.schema)
+        top = rankings(bundle, asked.select("qid", "question"), settings)
+        made = generation.generate(asked, top, bundle.chunks)
+        texts = generation.contexts(top, bundle.chunks).select("qid", F.transform("ctx", lambda c: c["chunk_id"]).alias("retrieved"), F.transform("ctx", lambda c: c["text"]).alias("retrieved_texts"))
+        rows = asked.join(made, "qid").join(texts, "qid", "left")
+        for c in ("retrieved", "retrieved_texts"):
+            rows = rows.withColumn(c, F.coalesce(c, F.array().cast("array<string>")))
+        rows = rows.withColumn("cost_usd", F.col("input_tokens") / 1e6 * a + F.col("output_tokens") / 1e6 * b)
+        rows = metrics.hits(rows.withColumn("cited_texts", F.col("retrieved_texts"))).persist()
+        n = rows.count()  # the answers are made here
+        rows = rows.withColumn("latency_ms", F.lit((time.monotonic() - began) * 1000 / max(1, n)))
+        rows = rows.join(judge(rows).select("qid", *JUDGED), "qid", "left")
+        if sink:
+            records.append_per_question(rows, sink, name)
+        else:
+            done = rows if done is None else done.unionByName(rows)
+    if sink:
+        done = records.read_per_question(spark, sink, name, [*qa.columns, *JUDGED])
+    if done is None:
+        raise ValueError("no questions")
+    total = metrics.summary(done).crossJoin(done.agg(*[metrics.mean_of_numbers(c).alias(c) for c in JUDGED]))
+    return done, total.withColumn("exp_name", F.lit(name)).withColumn("timestamp", F.lit(time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime())))
 
 
 class Engine:
@@ -181,6 +239,23 @@ def guard(spark: SparkSession, ledger_path: str, baseline: str, candidate_path:
     return (0 if out["ok"] else 1), out
 
 
+def alerts(code: int, said: dict) -> list[str]:
+    """Lines for whoever watches the nightly run: one for each breach, none if all is well."""
+    head = {1: "drift", 2: "not compared"}.get(code)
+    return [f"ALERT {head}: {x}" for x in said.get("breaches", [])] if head else []
+
+
+def nightly(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings, ledger_path: str, baseline: str, candidate_path: str, questions: int = 10) -> tuple[int, list[str]]:
+    """A smoke run of a few questions (lowest ids), appended to the candidates' ledger and compared: exit code and alerts."""
+    try:
+        _, row = run_experiment(bundle, qa.orderBy("qid").limit(questions), settings, f"smoke_{time.strftime('%Y%m%d', time.gmtime())}")
+        records.append_ledger(row, candidate_path)
+    except Exception as e:  # noqa: BLE001
+        return 2, [f"ALERT smoke run: {str(e)[:200]}"]
+    code, said = guard(qa.sparkSession, ledger_path, baseline, candidate_path)
+    return code, alerts(code, said)
+
+
 if __name__ == "__main__":
     session = SparkSession.builder.getOrCreate()
     code, said = guard(session, *sys.argv[1:4])

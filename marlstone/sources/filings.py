@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import logging
+import os
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+log = logging.getLogger(__name__)
 
 #: Ticker and central index key.
 CIKS = {
@@ -63,7 +70,7 @@ def files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
-def raw_html(spark: SparkSession, path: str) -> DataFrame:
+def raw_html(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """doc_key (the path) and text of whole HTML files."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("doc_key"), F.col("value").alias("html"))
 
@@ -72,6 +79,46 @@ def write_manifest(filings: DataFrame, path: str) -> None:
     filings.write.mode("overwrite").parquet(path)
 
 
+MANIFEST = "ticker string, cik string, filing_date string, fiscal_year int, accession_number string, form_type string, url string, local_path string"
+
+
+def read_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """The manifest; columns that an older one lacks are null."""
+    rows = spark.read.parquet(path)
+    want = StructType.fromDDL(MANIFEST)
+    return rows.select(*[(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in want])
+
+
+def ingest(spark: SparkSession, tickers: list[str], index_of: Callable[[str, str], str], fetch: Callable[[str, str], int], folder: str, manifest: str, years: int, this_year: int, form: str = "10-K") -> DataFrame:
+    """Indexes of the tickers, then files that are not there yet, then the manifest of those that are.
+
+    index_of(ticker, cik) gives an index as JSON, fetch(url, path) writes a file and gives its size; both are the caller's.
+    What fails is warned of and passed by: a ticker or a file less, not a run. Fetching is a driver's loop, as the service
+    allows few calls a second; a ticker has a filing a year."""
+    found = []
+    for ticker in tickers:
+        number = CIKS.get(ticker.upper())
+        try:
+            if number is None:
+                raise ValueError("unknown ticker")
+            found.append((ticker, number, index_of(ticker, number)))
+        except Exception as e:  # noqa: BLE001
+            log.warning("index of %s: %s", ticker, e)
+    listed = recent_years(unzipped(spark.createDataFrame(found, "ticker string, cik string, json string"), form), years, this_year)
+    rows = listed.withColumn("local_path", F.concat(F.lit(f"{folder}/"), F.concat_ws("_", "ticker", "filing_date"), F.lit(".htm"))).collect()
+    kept = []
+    for r in rows:
+        try:
+            size = os.path.getsize(r.local_path) if os.path.exists(r.local_path) else 0
+            if size > MIN_BYTES or fetch(r.url, r.local_path) > MIN_BYTES:
+                kept.append(r)
+        except Exception as e:  # noqa: BLE001
+            log.warning("filing %s: %s", r.local_path, e)
+    out = spark.createDataFrame([[r[f] for f in StructType.fromDDL(MANIFEST).names] for r in kept], MANIFEST)
+    write_manifest(out.coalesce(1), manifest)
+    return read_manifest(spark, manifest)
+
+
 SAMPLE = """<html><head><title>Sample filing</title><style>p{}</style></head><body>
 <p>Item 1. Business</p><p>Contents</p>
 <h2>Item 1. Business</h2><p>%s</p>

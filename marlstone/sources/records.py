@@ -9,7 +9,7 @@ import os
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.ledger import COLUMNS, coerced
@@ -29,9 +29,22 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None) ->
     return rows.orderBy("id").limit(limit) if limit is not None else rows
 
 
+def _listed(spark: SparkSession, path: str) -> list:
+    """What lies in a folder, by any file system of Spark's; none where nothing is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return list(fs.listStatus(where)) if fs.exists(where) else []
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV ledger, coerced, with `ord` (the order of its lines); columns that an older one lacks are null."""
-    raw = spark.read.option("header", "true").csv(path).coalesce(1).withColumn("ord", F.monotonically_increasing_id())
+    """A CSV ledger, coerced, with `ord`, the order in which its lines were appended; columns that an older one lacks are null.
+
+    A folder that append_ledger wrote has the number of each append; files of other folders go by the time of their last
+    change. Ledgers are small by nature, so one task numbers their lines."""
+    raw = spark.read.option("header", "true").csv(path)
+    place = [F.col(c) for c in ("append",) if c in raw.columns] + [F.col("_metadata.file_modification_time"), F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    raw = raw.select("*", F.struct(*place, F.monotonically_increasing_id()).alias("__place"))
+    raw = raw.withColumn("ord", F.row_number().over(Window.orderBy("__place")).cast("long") - 1).drop("__place")
     for c in COLUMNS:
         if c not in raw.columns:
             raw = raw.withColumn(c, F.lit(None).cast("string"))
@@ -39,8 +52,13 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def append_ledger(rows: DataFrame, path: str) -> None:
-    """Appends experiment rows in the locked order of columns; others are passed by."""
-    rows.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS]).coalesce(1).write.mode("append").option("header", "true").csv(path)
+    """Appends experiment rows in the locked order of columns; others are passed by. Each append has a folder with its number,
+    and its rows keep their order (`ord`, where they have it). One writer at a time."""
+    numbers = [int(n[7:]) for n in (x.getPath().getName() for x in _listed(rows.sparkSession, path)) if n.startswith("append=")]
+    order = ["ord"] if "ord" in rows.columns else []
+    locked = rows.coalesce(1).sortWithinPartitions(*order) if order else rows.coalesce(1)
+    locked = locked.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
+    locked.write.mode("errorifexists").option("header", "true").csv(f"{path}/append={max(numbers, default=0) + 1}")
 
 
 def write_per_question(rows: DataFrame, path: str, experiment: str) -> None:
@@ -48,6 +66,27 @@ def write_per_question(rows: DataFrame, path: str, experiment: str) -> None:
     rows.write.mode("overwrite").json(f"{path}/exp_name={experiment}")
 
 
+def append_per_question(rows: DataFrame, path: str, experiment: str) -> None:
+    """Adds scored questions to an experiment's folder as they are done: what was written before stays whatever happens."""
+    rows.write.mode("append").json(f"{path}/exp_name={experiment}")
+
+
+def read_per_question(spark: SparkSession, path: str, experiment: str, columns: list[str] = ()) -> DataFrame:
+    """An experiment's scored questions; `columns` that no line has are null."""
+    rows = spark.read.json(f"{path}/exp_name={experiment}")
+    return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})
+
+
+def unanswered(questions: DataFrame, path: str, experiment: str) -> DataFrame:
+    """Questions (qid) that the experiment's folder does not have yet."""
+    spark = questions.sparkSession
+    folder = f"{path}/exp_name={experiment}"
+    if not _listed(spark, folder):
+        return questions
+    kind = dict(questions.dtypes)["qid"]
+    return questions.join(spark.read.schema(f"qid {kind}").json(folder).distinct(), "qid", "left_anti")
+
+
 def write_chunks(chunks: DataFrame, path: str) -> None:
     chunks.write.mode("overwrite").parquet(path)
 
@@ -114,13 +153,15 @@ class ChatStore:
         return self.folder / f"{chat_id}.json"
 
     def save(self, chat: dict) -> None:
+        chat = {**chat, "updated_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
         path = self._path(chat["id"])
         part = path.with_suffix(".part")
         part.write_text(json.dumps(chat))
         part.replace(path)
 
-    def load(self, chat_id: str) -> dict:
-        return json.loads(self._path(chat_id).read_text())
+    def load(self, chat_id: str) -> dict | None:
+        path = self._path(chat_id)
+        return json.loads(path.read_text()) if path.exists() else None
 
     def delete(self, chat_id: str) -> bool:
         path = self._path(chat_id)
@@ -133,7 +174,7 @@ class ChatStore:
         for path in self.folder.glob("*.json"):
             try:
                 chat = json.loads(path.read_text())
-                out.append({k: chat.get(k) for k in ("id", "title", "updated_at")})
+                out.append({**{k: chat.get(k) for k in ("id", "title", "updated_at")}, "n_messages": len(chat.get("messages") or [])})
             except (ValueError, AttributeError):
                 continue
         return sorted(out, key=lambda c: c["updated_at"] or "", reverse=True)

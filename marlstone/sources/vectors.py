@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import point_id
 from marlstone.operators.retrieval import dense
+from marlstone.operators.streams import ROUND, Best, ranking_schema
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None]
 
 
 def upserted(base: DataFrame, changes: DataFrame, key: str = "id", order: str = "version") -> DataFrame:
@@ -26,14 +32,13 @@ class VectorStore:
     def __init__(self, spark: SparkSession, path: str, recreate: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
         self.table: DataFrame | None = None
+        self.held: tuple[list, np.ndarray] | None = None
         self.version = 0
-        if not recreate:
-            try:
-                head = spark.read.text(f"{self.path}/current").first()
-                self.version, name = int(head[0].split()[0]), head[0].split()[1]
-                self.table = spark.read.parquet(f"{self.path}/{name}")
-            except Exception:  # noqa: BLE001  nothing there yet
-                self.table = None
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
+        if not recreate and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):  # what is there must be readable
+            head = spark.read.text(f"{self.path}/current").first()
+            self.version, name = int(head[0].split()[0]), head[0].split()[1]
+            self.table = spark.read.parquet(f"{self.path}/{name}")
 
     def upsert(self, ids_and_vectors: DataFrame) -> None:
         """Rows (id, v); the same id again overwrites."""
@@ -44,7 +49,7 @@ class VectorStore:
         name = f"v{self.version}-{uuid.uuid4().hex}"
         whole.write.parquet(f"{self.path}/{name}")
         self.spark.createDataFrame([(f"{self.version} {name}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        self.table = self.spark.read.parquet(f"{self.path}/{name}")
+        self.table, self.held = self.spark.read.parquet(f"{self.path}/{name}"), None
 
     def upsert_lists(self, ids: list[str], vectors: list[list[float]]) -> None:
         if len(ids) != len(vectors):
@@ -56,8 +61,32 @@ class VectorStore:
         """Rankings for queries (qid, v); none for k <= 0 or an empty store."""
         if self.table is None or k <= 0:
             return self.spark.createDataFrame([], "qid string, chunk_id string, rank long, score double")
+        if self.held is not None:
+            return self._answered(queries, k)
         return dense(self.table, queries, k)
 
+    def attach(self, least_bytes: int = 256 << 20) -> bool:
+        """Hold the vectors on the driver, if they take fewer bytes than that, for single questions without a Spark job."""
+        n = len(self)
+        width = self.table.select(F.max(F.size("v"))).first()[0] if n else 0
+        if n == 0 or n * width * 8 > least_bytes:
+            return False
+        rows = self.table.select("id", "v").collect()  # bounded above
+        self.held = [r.id for r in rows], unit_rows(np.array([r.v for r in rows], np.float64))
+        return True
+
+    def nearest(self, v: list[float], k: int) -> list[tuple[str, float]]:
+        """(id, cosine) of the k nearest of an attached store."""
+        ids, x = self.held
+        best = Best([0], k)
+        best.see(ids, x @ unit_rows(np.array([v], np.float64)).T)
+        return [(i, s / 10**ROUND) for i, s in zip(best.ids[0], best.scores[0])]
+
+    def _answered(self, queries: DataFrame, k: int) -> DataFrame:
+        kinds = dict(queries.dtypes)["qid"], dict(self.table.dtypes)["id"]
+        rows = [(r.qid, i, n + 1, s) for r in queries.select("qid", "v").toLocalIterator() for n, (i, s) in enumerate(self.nearest(r.v, k))]
+        return self.spark.createDataFrame(rows, ranking_schema(*kinds, rank=True))
+
     def attachable(self, n: int) -> bool:
         """Whether it already holds n rows or more."""
         return len(self) >= n
@@ -66,4 +95,4 @@ class VectorStore:
         return 0 if self.table is None else self.table.count()
 
     def close(self) -> None:
-        self.table = None
+        self.table = self.held = None

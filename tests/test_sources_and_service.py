@@ -1,9 +1,11 @@
 import json
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking
+from marlstone.operators import chunking, ledger, retrieval
 from marlstone.plans import service
 from marlstone.sources import filings, records, vectors
 from marlstone.streaming import costs
@@ -142,3 +144,97 @@ def test_streaming_costs(spark, data, tmp_path):
     want = events.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     assert spark.table("spent").count() == want.count()
     assert spark.table("spent").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_ledger_keeps_the_order_of_appends(spark, tmp_path):
+    for name in ("a", "bbbbbbbbbbbbbbb", "cc", "ddddd"):  # files of other sizes come in another order
+        rows = spark.createDataFrame([(name, "2024-01-01", 0.5, 0), (name + "2", "2024-01-01", 0.5, 1)], "exp_name string, timestamp string, hit_at_5 double, ord long")
+        records.append_ledger(rows, f"{tmp_path}/ledger")
+    got = records.read_ledger(spark, f"{tmp_path}/ledger").orderBy("ord").collect()
+    assert [r.exp_name for r in got] == ["a", "a2", "bbbbbbbbbbbbbbb", "bbbbbbbbbbbbbbb2", "cc", "cc2", "ddddd", "ddddd2"]
+    assert [r.ord for r in got] == list(range(8))
+    best = {r.category: r.winner for r in ledger.winners(records.read_ledger(spark, f"{tmp_path}/ledger")).collect()}
+    assert best["chunking_content"] is None
+
+
+def test_a_store_that_can_not_be_read_is_an_error(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    vectors.VectorStore(spark, path).upsert_lists(["a"], [[1.0, 0.0]])
+    for f in (tmp_path / "store").glob("v1-*/*.parquet"):
+        f.write_text("broken")
+    with pytest.raises(Exception):
+        vectors.VectorStore(spark, path)
+
+
+def test_attached_store(spark, tmp_path):
+    store = vectors.VectorStore(spark, f"file://{tmp_path}/store")
+    r = np.random.default_rng(0)
+    x = r.normal(size=(500, 16))
+    store.upsert_lists([f"c{i:03d}" for i in range(500)], x.tolist())
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 500, 50)], "qid long, v array<double>")
+    want = [tuple(r) for r in store.query(q, 5).orderBy("qid", "rank").collect()]
+    assert not store.attach(100) and store.attach()
+    assert [tuple(r) for r in store.query(q, 5).orderBy("qid", "rank").collect()] == want
+    assert [n for n, _ in store.nearest(x[7].tolist(), 3)][0] == "c007"
+
+
+def test_approximate_search_recall(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(size=(4000, 24))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "id long, v array<double>")
+    q = v.filter("id % 50 = 0").withColumnRenamed("id", "qid")
+    want = {(r.qid, r.chunk_id) for r in retrieval.dense(v, q, 5).collect()}
+    got = {(r.qid, r.chunk_id) for r in retrieval.approximate(v, q, 5, probes=32).collect()}
+    assert len(want & got) / len(want) >= 0.95  # vectors without any structure are the hardest
+    assert {(r.qid, r.chunk_id) for r in retrieval.approximate(v, q, 5, centres=8, probes=8).collect()} == want
+    assert retrieval.approximate(v.limit(0), q, 5).count() == 0
+
+
+def test_experiment_measures_and_goes_on(spark, tmp_path):
+    sections = spark.createDataFrame([("d", "item_1", "the firm sells rain gauges to farms"), ("e", "item_1a", "suppliers of steel may fail in winter")], "doc_key string, section_id string, text string")
+    s = service.Settings(dim=64, model="gemini-2.5-pro")
+    qa = spark.createDataFrame([(i, "suppliers of steel", "lookup", "e_item_1a::0000", "may fail", "e") for i in range(5)], "qid long, question string, qa_type string, source_id string, span string, filing string")
+    asked = []
+
+    def judge(rows):
+        asked.append(rows.count())
+        return rows.select("qid", F.lit(0.5).alias("context_recall"), F.lit(float("nan")).alias("faithfulness"), F.lit(None).cast("double").alias("answer_relevancy"))
+
+    bundle = service.bundle_of(sections, s)
+    rows, total = service.run_experiment(bundle, qa.filter("qid < 3"), s, "x", judge, f"file://{tmp_path}/out", block=2)
+    got = total.first()
+    assert (got.n_questions, got.context_recall, got.faithfulness, got.answer_relevancy, asked) == (3, 0.5, None, None, [2, 1])
+    assert got.total_cost_usd > 0 and got.mean_latency_ms > 0
+    one = rows.first()
+    assert one.cost_usd == pytest.approx(service.price("gemini-2.5-pro", one.input_tokens, one.output_tokens))
+    _, total = service.run_experiment(bundle, qa, s, "x", judge, f"file://{tmp_path}/out", block=2)
+    assert total.first().n_questions == 5 and asked == [2, 1, 2]
+    _, total = service.run_experiment(bundle, qa, s, "y")
+    assert total.first().context_recall is None and total.first().hit_at_5 == 1.0
+    records.append_ledger(total, f"{tmp_path}/base")
+    assert service.nightly(bundle, qa, s, f"{tmp_path}/base", "y", f"{tmp_path}/smoke", 3) == (0, [])
+    assert service.nightly(bundle, qa, s, f"{tmp_path}/base", "nobody", f"{tmp_path}/smoke", 3)[0] == 2
+
+
+def test_ingest_and_index_for_a_question_set(spark, tmp_path, caplog):
+    index = {"filings": {"recent": {"accessionNumber": ["0001-24-1", "0001-20-2", "0001-24-3"], "filingDate": ["2024-02-01", "2015-02-01", "2024-05-01"], "reportDate": ["", "", ""], "form": ["10-K", "10-K", "10-Q"], "primaryDocument": ["a.htm", "b.htm", "c.htm"]}}}
+
+    def index_of(ticker, cik):
+        if ticker == "MSFT":
+            raise OSError("down")
+        return json.dumps(index)
+
+    def fetch(url, path):
+        if "KO_" in path:
+            raise OSError("lost")
+        filings.write_sample(path)
+        return os.path.getsize(path)
+
+    man = filings.ingest(spark, ["AAPL", "MSFT", "KO", "??"], index_of, fetch, str(tmp_path), f"{tmp_path}/manifest", 3, 2025)
+    assert [(r.ticker, r.filing_date, r.fiscal_year) for r in man.collect()] == [("AAPL", "2024-02-01", 2024)]
+    qa = spark.createDataFrame([("AAPL", "2024-02-01"), ("PG", "2024-01-01")], "source_ticker string, source_filing_date string")
+    bundle = service.bundle_for(qa, filings.read_manifest(spark, f"{tmp_path}/manifest"), service.Settings())
+    assert {r.doc_key for r in bundle.chunks.collect()} == {"AAPL_2024-02-01"} and "PG_2024-01-01" in caplog.text
+    with pytest.raises(RuntimeError):
+        service.bundle_for(qa.filter("source_ticker = 'PG'"), man, service.Settings())
