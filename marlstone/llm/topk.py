@@ -98,7 +98,8 @@ def search(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, id_col
         probes = probes.select("q", "far", "j", "v", *[F.col(c).alias(f"q{c}") for c in names])
         distance = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"q{c}"))) for c in names), F.lit(0))
         near = (probes["j"] == index["j"]) & (probes["v"] == index["v"]) & (distance <= F.coalesce(F.col("far"), F.lit(dims)))
-        met = probes.join(index, near).select("q", distance.alias("distance"), "id").distinct()
+        # probes are made row by row, so the planner takes them for few: never let it broadcast them
+        met = probes.join(index.hint("merge"), near).select("q", distance.alias("distance"), "id").distinct()
         if best is not None:
             met = met.unionByName(best).distinct()
         top = F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))
