@@ -1,7 +1,7 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 A vector's code has a bit for each dimension (set where the value is above zero). Codes are cut into m segments
-of about log2(n) bits and indexed by (segment, value). A query probes its segments' values in growing radius r.
+(as many as cost least: segment_count) and indexed by (segment, value). A query probes its segments' values in growing radius r.
 Once radius r is done in all m segments and radius r + 1 in a of them, every code within m(r + 1) + a - 1 bits
 has been met; a query ends when that covers its k-th verified distance, so the answer is exact, ties included.
 In each round a query probes only as many segments as its present k-th distance asks for.
@@ -41,13 +41,29 @@ def codes(vectors: DataFrame, dims: int, id_col: str = "vec_id", vec_col: str =
     return vectors.filter(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), *words).distinct()
 
 
-def segments(dims: int, n: int) -> list[tuple[int, int, int]]:
-    """(word, shift, bits) of each segment; about log2(n) bits each, none across two words."""
-    want = max(1.0, math.log2(max(n, 2)))
-    out = []
+def segment_count(dims: int, n: int, k: int = K, a_probe: int = 4) -> int:
+    """So many segments cost least for codes without structure, the hardest ones: a probe is a row made and dealt, which counts
+    as much as `a_probe` codes met. The k-th distance is what is expected of n such codes; results don't hang on it."""
+    far, met = 0, 1
+    while far < dims and max(n, 2) * met < (k + 1) << dims:
+        far += 1
+        met += math.comb(dims, far)
+
+    def cost(m: int) -> float:
+        bits, radius = math.ceil(dims / m), far // m
+        last = far - m * radius + 1  # segments that are probed to the last radius
+        probes = m * sum(math.comb(bits, r) for r in range(radius)) + min(m, last) * math.comb(bits, radius)
+        return probes * (a_probe + n / 2.0**bits)
+
+    return min(range(1, dims + 1), key=cost)
+
+
+def segments(dims: int, n: int, k: int = K) -> list[tuple[int, int, int]]:
+    """(word, shift, bits) of each segment, none across two words."""
+    count, out = segment_count(dims, n, k), []
     for w in range(0, dims, 64):
         bits = min(64, dims - w)
-        m = max(1, round(bits / want))
+        m = max(1, round(count * bits / dims))
         cuts = [bits * i // m for i in range(m + 1)]
         out += [(w // 64, a, b - a) for a, b in zip(cuts, cuts[1:])]
     return out
@@ -77,7 +93,7 @@ def search(vectors: DataFrame, queries: DataFrame, dims: int, k: int = K, id_col
     names = [f"c{w}" for w in range((dims + 63) // 64)]
     rows = written(codes(vectors, dims, id_col, vec_col), "codes")
     n = rows.count()
-    segs = segments(dims, n)
+    segs = segments(dims, n, k)
     m, widest = len(segs), max((b for _, _, b in segs), default=0)
     first = F.row_number().over(Window.partitionBy(*names).orderBy("id"))
     kept = rows.withColumn("r", first).filter(F.col("r") <= k + 1).drop("r")
