@@ -34,7 +34,7 @@ WINDOW = 2048
 END_ID = 1
 N_OPEN = 64
 MIN_PIECE = 32
-GROUP = 32
+GROUP = 8
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 STAGED = PIECE + ", ids binary, part int"
