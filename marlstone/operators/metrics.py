@@ -13,20 +13,26 @@ REFUSES = "I cannot"
 def span_matches(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """(qid, text_id) where a span (qid, span) stands in a text (text_id, text).
 
-    Not a scan of all pairs: whatever stands in a text brings its inner words whole, so a span is joined by the
-    longest inner word of each of its probes (whole, first and last 100 characters) and then verified. Spans without
-    an inner word are compared with every text; they are rare, and broadcast only up to a checked number."""
+    Not a scan of all pairs: whatever stands in a text brings its inner words whole, so a span is joined by an inner word of
+    each of its probes (whole, first and last 100 characters) and then verified: of the probe's four longest inner words
+    the one that fewest texts have, so that a frequent word brings no rows. Spans without an inner word are compared with
+    every text; they are rare, and broadcast only up to a checked number."""
     s = spans.select("qid", comparable(F.col("span")).alias("span")).filter("span <> ''")
     probes = F.when(F.length("span") > 100, F.array("span", F.substring("span", 1, 100), F.right("span", F.lit(100)))).otherwise(F.array("span"))
-    s = s.select("qid", "span", F.explode(probes).alias("probe"))
-    inner = F.expr("case when size(split(probe, ' ')) > 2 then array_max(transform(slice(split(probe, ' '), 2, size(split(probe, ' ')) - 2), w -> struct(length(w) as n, w as w))).w end")
-    s = s.withColumn("word", inner)
+    s = s.select("qid", F.explode(F.array_distinct(probes)).alias("probe"))
+    words = F.split("probe", " ")
+    inner = F.when(F.size(words) > 2, F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).otherwise(F.array().cast("array<string>"))
+    longest = F.reverse(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    s = s.withColumn("words", F.transform(F.slice(longest, 1, 4), lambda x: x["w"]))
     t = texts.select("text_id", comparable(F.col("text")).alias("text"))
-    words = t.select("text_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word"))
-    keyed = s.filter("word is not null")
-    near = words.join(keyed.select("qid", "probe", "word"), "word").select("qid", "text_id", "probe")
+    keyed = s.filter(F.size("words") > 0).select("qid", "probe", F.explode("words").alias("word"))
+    met = t.select("text_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(keyed.select("word").distinct(), "word")
+    often = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    # a word that no text has rules the probe out
+    rarest = keyed.join(often, "word", "left").groupBy("qid", "probe").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x")).filter("x.n > 0")
+    near = met.join(rarest.select("qid", "probe", F.col("x.word").alias("word")), "word").select("qid", "text_id", "probe")
     hit = near.join(t, "text_id").filter(F.contains("text", F.col("probe"))).select("qid", "text_id")
-    rest = s.filter("word is null")
+    rest = s.filter(F.size("words") == 0).select("qid", "probe")
     n = rest.limit(10_001).count()
     if n:
         side = F.broadcast(rest) if n <= 10_000 else rest
