@@ -273,7 +273,7 @@ def test_near_duplicates(spark, edge, empty):
 def test_frequent_keys_lose_no_link(spark, chunk):
     """Families with the same words at the start (so that keys are frequent), of 8 to 28 words: all that are 0.8 alike meet."""
     r, docs = np.random.default_rng(4), []
-    for k in range(60):
+    for k in range(24):
         words = ["same", "first", "words", "in", "all", "texts"] + [f"f{k}_{i}" for i in range(r.integers(2, 22))]
         for j in range(r.integers(1, 9)):
             docs.append((len(docs), " ".join(words[: len(words) - int(r.integers(0, 3))] + [f"end{j}"] * int(r.integers(0, 2)))))
