@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
 import numpy as np
@@ -27,29 +28,58 @@ def upserted(base: DataFrame, changes: DataFrame, key: str = "id", order: str =
 class VectorStore:
     """upsert, query, len, close over versions of a Parquet table.
 
+    Rows lie in `buckets` by a hash of their id, and `current` names the folder of each. An upsert writes its own rows, and
+    again only those buckets that it touches and that held rows before; the others stay where they are. Folders that a
+    version names are never changed. The number of buckets is fixed when a store is made.
     `recreate` starts empty; without it a store attaches to what is there, so that nothing need be embedded again."""
 
-    def __init__(self, spark: SparkSession, path: str, recreate: bool = False):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, recreate: bool = False, buckets: int = 64):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.table: DataFrame | None = None
         self.held: tuple[list, np.ndarray] | None = None
-        self.version = 0
-        where = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/current")
-        if not recreate and where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):  # what is there must be readable
-            head = spark.read.text(f"{self.path}/current").first()
-            self.version, name = int(head[0].split()[0]), head[0].split()[1]
-            self.table = spark.read.parquet(f"{self.path}/{name}")
+        self.version, self.folders = 0, {}
+        if not recreate and self._fs().exists(self._at("current")):  # what is there must be readable
+            head = spark.read.text(f"{self.path}/current").first()[0]
+            if head.startswith("{"):
+                now = json.loads(head)
+                self.version, self.buckets = now["version"], now["buckets"]
+                self.folders = {int(b): name for b, name in now["folders"].items()}
+                self.table = self._read(self.folders)
+            else:  # a store of one folder, without buckets: the next upsert deals it out
+                self.version, name = int(head.split()[0]), head.split()[1]
+                self.table = spark.read.parquet(f"{self.path}/{name}")
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+
+    def _fs(self):
+        return self._at("current").getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _read(self, folders: dict[int, str]) -> DataFrame | None:
+        return self.spark.read.parquet(*[f"{self.path}/{folders[b]}" for b in sorted(folders)]) if folders else None
+
+    def _dealt(self, rows: DataFrame) -> dict[int, str]:
+        """Rows written by bucket, in files of even size; the folder of each bucket that has any."""
+        name = f"v{self.version}-{uuid.uuid4().hex}"
+        bucket = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(self.buckets))
+        rows.withColumn("bucket", bucket).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{name}")
+        found = [x.getPath().getName() for x in self._fs().listStatus(self._at(name))]
+        return {int(n[7:]): f"{name}/{n}" for n in found if n.startswith("bucket=")}
 
     def upsert(self, ids_and_vectors: DataFrame) -> None:
         """Rows (id, v); the same id again overwrites."""
         self.version += 1
         new = ids_and_vectors.select("id", F.col("v").cast("array<double>").alias("v"), point_id(F.col("id").cast("string")).alias("point"), F.lit(self.version).cast("long").alias("version"))
         new = new.dropDuplicates(["id"])
-        whole = new if self.table is None else upserted(self.table, new)
-        name = f"v{self.version}-{uuid.uuid4().hex}"
-        whole.write.parquet(f"{self.path}/{name}")
-        self.spark.createDataFrame([(f"{self.version} {name}",)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        self.table, self.held = self.spark.read.parquet(f"{self.path}/{name}"), None
+        if self.table is not None and not self.folders:
+            new = upserted(self.table, new)
+        made = self._dealt(new)
+        if again := {b: f for b, f in made.items() if b in self.folders}:
+            made |= self._dealt(upserted(self._read({b: self.folders[b] for b in again}), self._read(again)))
+        self.folders = {**self.folders, **made}
+        now = json.dumps({"version": self.version, "buckets": self.buckets, "folders": self.folders})
+        self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        self.table, self.held = self._read(self.folders), None
 
     def upsert_lists(self, ids: list[str], vectors: list[list[float]]) -> None:
         if len(ids) != len(vectors):

@@ -160,12 +160,47 @@ def test_ledger_keeps_the_order_of_appends(spark, tmp_path):
 def test_a_store_that_can_not_be_read_is_an_error(spark, tmp_path):
     path = f"file://{tmp_path}/store"
     vectors.VectorStore(spark, path).upsert_lists(["a"], [[1.0, 0.0]])
-    for f in (tmp_path / "store").glob("v1-*/*.parquet"):
+    for f in (tmp_path / "store").glob("v1-*/**/*.parquet"):
         f.write_text("broken")
     with pytest.raises(Exception):
         vectors.VectorStore(spark, path)
 
 
+def test_upsert_writes_touched_buckets_only(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store = vectors.VectorStore(spark, path, buckets=8)
+    want = {f"c{i:02d}": [float(i), 1.0] for i in range(60)}
+    store.upsert_lists(list(want), list(want.values()))
+    first = dict(store.folders)
+    assert len(first) > 4 and store.table.columns == ["id", "v", "point", "version"]
+    store.upsert_lists(["c07"], [[-1.0, 0.5]])
+    want["c07"] = [-1.0, 0.5]
+    assert len([b for b in first if store.folders[b] != first[b]]) == 1
+    again = vectors.VectorStore(spark, path, buckets=3)
+    assert again.buckets == 8 and again.folders == store.folders and again.version == 2
+    again.upsert(spark.createDataFrame([], "id string, v array<double>"))
+    assert again.folders == store.folders
+    again.upsert_lists(["c07", "new"], [[2.0, 2.0], [3.0, 3.0]])
+    want |= {"c07": [2.0, 2.0], "new": [3.0, 3.0]}
+    rows = again.table.collect()
+    assert len(rows) == 61 and {r.id: list(r.v) for r in rows} == want
+    assert {r.id: r.version for r in rows if r.version != 1} == {"c07": 4, "new": 4}
+    empty = vectors.VectorStore(spark, f"file://{tmp_path}/empty")
+    empty.upsert(spark.createDataFrame([], "id string, v array<double>"))
+    assert len(empty) == 0 and len(vectors.VectorStore(spark, f"file://{tmp_path}/empty")) == 0
+
+
+def test_store_without_buckets_is_dealt_out(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    old = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "id string, v array<double>")
+    old.selectExpr("id", "v", "cast(0 as decimal(20,0)) point", "5L version").write.parquet(f"{path}/v5-old")
+    spark.createDataFrame([("5 v5-old",)], "value string").coalesce(1).write.text(f"{path}/current")
+    store = vectors.VectorStore(spark, path)
+    assert len(store) == 2
+    store.upsert_lists(["b", "c"], [[0.5, 0.5], [1.0, 1.0]])
+    assert {r.id: (list(r.v), r.version) for r in vectors.VectorStore(spark, path).table.collect()} == {"a": ([1.0, 0.0], 5), "b": ([0.5, 0.5], 6), "c": ([1.0, 1.0], 6)}
+
+
 def test_attached_store(spark, tmp_path):
     store = vectors.VectorStore(spark, f"file://{tmp_path}/store")
     r = np.random.default_rng(0)
