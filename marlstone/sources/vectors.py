@@ -79,7 +79,7 @@ class VectorStore:
         self.folders = {**self.folders, **made}
         now = json.dumps({"version": self.version, "buckets": self.buckets, "folders": self.folders})
         self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
-        self.table, self.held = self._read(self.folders), None
+        self.table, self.held = self._read(self.folders) if self.folders else self.spark.createDataFrame([], new.schema), None
 
     def upsert_lists(self, ids: list[str], vectors: list[list[float]]) -> None:
         if len(ids) != len(vectors):

@@ -187,7 +187,11 @@ def test_upsert_writes_touched_buckets_only(spark, tmp_path):
     assert {r.id: r.version for r in rows if r.version != 1} == {"c07": 4, "new": 4}
     empty = vectors.VectorStore(spark, f"file://{tmp_path}/empty")
     empty.upsert(spark.createDataFrame([], "id string, v array<double>"))
-    assert len(empty) == 0 and len(vectors.VectorStore(spark, f"file://{tmp_path}/empty")) == 0
+    assert empty.table.columns == store.table.columns and len(empty) == 0
+    empty = vectors.VectorStore(spark, f"file://{tmp_path}/empty")
+    assert len(empty) == 0 and empty.version == 1
+    empty.upsert_lists(["a"], [[1.0]])
+    assert [(r.id, r.version) for r in empty.table.collect()] == [("a", 2)]
 
 
 def test_store_without_buckets_is_dealt_out(spark, tmp_path):
