@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.llm import decontamination, htmltext, langid, licences, packing, secrets, sharding, simhash, substrings, topk
+from marlstone.llm import decontamination, htmltext, langid, licences, lloyd, packing, ranking, secrets, sharding, simhash, substrings, tokencounts, topk
 
 QUERIES = {
     "op1_packing": packing.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_topk": topk.query,
     "op10_langid": langid.query,
+    "op11_lexical": ranking.query,
+    "op12_tokencounts": tokencounts.query,
+    "op13_lloyd": lloyd.query,
 }
-ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE}
+ORACLES: dict[str, str] = {"op5_licences": licences.ORACLE, "op8_decontamination": decontamination.ORACLE, "op9_topk": topk.ORACLE, "op11_lexical": ranking.ORACLE, "op13_lloyd": lloyd.ORACLE}

@@ -17,12 +17,15 @@ CONTRACTS = {
     "op8_": {"doc_id": "bigint", "n_words": "bigint", "n_hit": "bigint", "n_items": "bigint", "items_sha256": "string", "contaminated": "boolean"},
     "op9_": {"query_id": "bigint", "rank": "bigint", "vec_id": "bigint", "distance": "bigint"},
     "op10_": {"doc_id": "bigint", "held_out": "boolean", "lang_pred": "string", "score": "double"},
+    "op11_": {"item_id": "bigint", "rank": "int", "doc_id": "bigint", "score": "bigint"},
+    "op12_": {"doc_id": "bigint", "n_bytes": "bigint", "n_tokens": "bigint", "over_limit": "boolean"},
+    "op13_": {"vec_id": "bigint", "cluster": "int", "distance": "bigint", "cluster_inertia": "bigint", "inertia": "bigint", "centroid_sha256": "string"},
 }
-ROWS = {"op2_": "documents", "op4_": "documents", "op5_": "documents", "op6_": "pages", "op7_": "documents", "op8_": "documents", "op10_": "documents"}
+ROWS = {"op2_": "documents", "op4_": "documents", "op5_": "documents", "op6_": "pages", "op7_": "documents", "op8_": "documents", "op10_": "documents", "op12_": "documents", "op13_": "embeddings"}
 
 
 def test_every_operator_is_registered():
-    assert len(QUERIES) == 10 and all(sum(n.startswith(p) for n in QUERIES) == 1 for p in CONTRACTS)
+    assert len(QUERIES) == 13 and all(sum(n.startswith(p) for n in QUERIES) == 1 for p in CONTRACTS)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
