@@ -1,9 +1,12 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long tokens with a digit, known key shapes, values set for names like `password` (of `name=value`
-without quotes the value is the candidate, and the name is its left context), passwords in URLs (`scheme://user:here@host`,
-users of up to 128 characters) and PEM blocks of private keys. Each gets features: length, classes and transitions of its
-characters, entropy, share covered by dictionary words, the path's words, and neighbouring words and punctuation. How
+A text is cut once, from left to right, into units that may hold candidates, and what lies between them: PEM blocks of private
+keys (a BEGIN and the next END, with no other five dashes between), URLs with a user part, values set for names like
+`password`, and long tokens. Each unit consumes what it looks at, so the time grows with the text, whatever it holds. A
+candidate is a place within its unit: the block, the password of the URL (its user as well if that is a long token), the value
+(in quotes up to the closing quote of the line, blanks included; else up to a blank, quote, comma, semicolon or bracket), or
+the token (16 characters with a digit, 32 without that are not one character over and over, or a known shape). Each gets features: length, classes and transitions of
+its characters, entropy, share covered by dictionary words, the path's words, and neighbouring words and punctuation. How
 much character pairs, neighbouring words and path words speak for a secret is learned from the labelled findings too, as
 logarithms of ratios. A random forest, trained from labelled findings, says which are secrets. The labelled findings are
 made here from a seed by DataFrame functions (`labelled`; `n` rows, a fixed bound); a caller may give others.
@@ -38,20 +41,23 @@ MASK = "[SECRET]"
 NEAR = 60
 LEAST = 5
 
-_NAMES = "password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential"
-#: The first two conditions follow from the third, and fail at once in most places.
-_VALUE = rf"(?<=[\s:=\"'])(?<=[:=][\s\"']{{0,4}})(?<=(?i:{_NAMES})[\"']{{0,1}}\s{{0,3}}[:=]\s{{0,3}}[\"']{{0,1}})[^\s\"',;<>()\[\]{{}}]{{6,}}"
-_MARK = "[A-Za-z0-9_+/.\\-]"
-_DIGIT = r"(?=[A-Za-z_+/=.\-]*+[0-9])"
-_IN_URL = r"(?<=:)(?<=://[^\s/:@\"'<>]{0,128}:)[^\s/@\"'<>]{3,}+(?=@)"
-_PEM = r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s:,.\-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY-----"
-#: Shapes that are told by their beginning, with a digit or without; a full stop after one is not part of it.
-_KNOWN = r"(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9_+/=\-])|(?:gh[pousr]_|npm_)[A-Za-z0-9]{30,}+(?![_+/=\-])|xox[abprs]-[A-Za-z0-9-]{10,}+(?![_+/=])|sk_live_[A-Za-z0-9]{16,}+(?![_+/=\-])|AIza[A-Za-z0-9_-]{30,}+(?![+/=])"
-#: What is a candidate after `name=`: a known shape, a value of _NAMES, or a long token.
-_SET = rf"(?:(?<=(?i:{_NAMES})=)[^\s\"',;<>()\[\]{{}}]{{6}}|{_KNOWN}|{_DIGIT}[A-Za-z0-9_+/=.\-]{{16}})"
-#: Long tokens. One that sets a candidate gives way to it, but for a left side that is long itself.
-_LONG = rf"(?<!{_MARK})(?!=){_DIGIT}(?:{_MARK}{{16,}}+(?==+{_SET})|(?!(?:{_MARK}++={{1,2}}){{1,8}}?{_SET})[A-Za-z0-9_+/=.\-]{{16,}}+)"
-PATTERN = f"{_PEM}|{_IN_URL}|{_VALUE}|(?<!{_MARK})(?:{_KNOWN})|{_LONG}"
+#: What the names of secrets end with.
+_NAMES = r"(?:(?i:password|passwd|passphrase|pwd|secret|token|api[_-]?key|apikey|access[_-]?key|auth[_-]?key|private[_-]?key|credential|credentials)|(?<![A-Za-z])(?i:pass)|(?<=[a-z])Pass)"
+_MARK = r"[A-Za-z0-9_+/.\-]"
+_WORD = r"[A-Za-z0-9_.\-]"
+#: Shapes that are told by their beginning, with a digit or without.
+_KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|npm_)[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})"
+_PEM = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----[^\-]*+(?:-(?!----)[^\-]*+){0,1000}+-----END [A-Z0-9 ]*?PRIVATE KEY-----"
+_URL = rf"(?<!{_WORD})[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/@\"'<>]*+@"
+_SIGN = r"[\"'`]?+\s*+(?::=|=>|={1,2}|:)\s*+"
+#: Quoted without blanks; quoted with blanks, unless a long token stands within, which is a unit of its own then; not quoted.
+_VALUE = "(?:" + "|".join(rf"{q}[^{q}\s]*+{q}|{q}(?![^{q}\n]*?{_MARK}{{14}})[^{q}\n]*+{q}" for q in "\"'`") + r"|[\"'`]?+[^\s\"'`,;<>()\[\]{}]++)"
+_HEAD = rf"{_WORD}++(?={_SIGN})(?<={_NAMES}){_SIGN}(?![\"'`]?+-----BEGIN )"
+_SET = rf"(?<!{_WORD}){_HEAD}{_VALUE}"
+_TOKEN = rf"(?<!{_MARK})(?={_MARK}{{14}}){_MARK}++(?!(?<={_NAMES})=)(?:={{1,2}}+(?![=A-Za-z0-9_+/.\-]))?+"
+#: Short tokens joined by signs of equality, none of them the name of a secret.
+_RUN = rf"(?<![=A-Za-z0-9_+/.\-])(?=[=A-Za-z0-9_+/.\-]{{16}})(?![=A-Za-z0-9_+/.\-]*?(?:{_MARK}{{14}}|{_NAMES}=))[=A-Za-z0-9_+/.\-]++"
+UNIT = f"{_PEM}|{_URL}|{_SET}|{_TOKEN}|{_RUN}"
 
 #: Words that a placeholder or an identifier is made of.
 DICTIONARY = "account admin array async base build button change changeme check class client cluster color column commit config content count create data date debug default delete demo digest document dummy email error example false field file filter float fake foo bar function global group guest handle hash header hello here html http https image index input insert item json key label length level line link list local login main master message method mock model module name node none null number object option order page panel param parent pass password path placeholder plain point port public query random read redacted release replace request response result root sample scale script secret select server service session setting size source start state status string style sub table target temp test text time title token true type undefined update upload user value version view west east north south www xxx your".split()
@@ -62,24 +68,75 @@ _SHAPE = r"^(-----BEGIN [\s\S]*|AKIA[A-Z0-9]{16}|ASIA[A-Z0-9]{16}|gh[pousr]_[A-Z
 FEATURES = ["f_length", "f_digits", "f_upper", "f_lower", "f_marks", "f_turns", "f_pairs", "f_entropy", "f_distinct", "f_words", "f_hex", "f_uuid", "f_shape", "f_run", "f_dots", "f_numeric", "f_path", "f_path_words", "f_near", "f_in_url", "f_good", "f_bad", "f_set", "f_quoted", "f_left_word"]
 
 
+def _long(token: Column) -> Column:
+    """Whether a token alone is a candidate."""
+    n = F.length(token)
+    return ((n >= 16) & token.rlike("[0-9]")) | ((n >= 32) & ~token.rlike(r"^(.)\1++$")) | token.rlike(f"^{_KNOWN}=*$")
+
+
+def places(unit: Column) -> Column:
+    """(piece, at, n) of each candidate of a unit: which of its kind, its place from 0, and its length."""
+    length = F.length(unit)
+    cut = lambda at, end: F.substr(unit, at + 1, end - at)
+    one = lambda piece, at, end: F.struct(F.lit(piece).alias("piece"), at.cast("int").alias("at"), (end - at).cast("int").alias("n"))
+    no = F.array().cast("array<struct<piece:int,at:int,n:int>>")
+    zero = F.lit(0)
+    # a URL: scheme://user:password@
+    user = F.instr(unit, "://") + 2
+    colon = F.position(F.lit(":"), unit, user + 1)
+    end = length - 1
+    user_end = F.when(colon > 0, colon - 1).otherwise(end)
+    url = F.concat(
+        F.when(_long(cut(user, user_end)), F.array(one(0, user, user_end))).otherwise(no),
+        F.when((colon > 0) & (end - colon >= 3), F.array(one(1, colon, end))).otherwise(no),
+    )
+    # a value: from behind its sign and quote to its closing quote, if it has both
+    head = F.length(F.regexp_extract(unit, rf"^{_HEAD}[\"'`]?+", 0))
+    quote = F.substr(unit, head, F.lit(1))
+    shut = quote.isin("\"", "'", "`") & (length > head) & (F.right(unit, F.lit(1)) == quote)  # a name's own quote is before its sign
+    tail = F.when(shut, length - 1).otherwise(length)
+    value = F.when(tail - head >= 6, F.array(one(0, head, tail))).otherwise(no)
+    # a token, without full stops behind it
+    stop = F.length(F.regexp_replace(unit, r"\.++$", ""))
+    token = F.when(_long(cut(zero, stop)), F.array(one(0, zero, stop))).otherwise(no)
+    pem = F.array(one(0, zero, length))
+    return F.when(unit.startswith("-----BEGIN "), pem).when(unit.rlike(rf"^{_URL}$"), url).when(unit.rlike(rf"^{_HEAD}(?s:.)"), value).otherwise(token)
+
+
+def units_of(text: Column) -> tuple[Column, Column]:
+    """Units of a text, and what lies before, between and behind them."""
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), F.split(text, UNIT)
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
-    """doc_id, k1, k2, no, start (code points before it), cand, left, right, path of each candidate."""
+    """doc_id, k1, k2, no (4 for each unit, and the piece), start (code points before it), cand, left, right, path of each candidate."""
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col else F.lit("")
-    found = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), path.alias("path"), F.col(text_col).alias("text"), F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)).alias("cands"))
-    found = found.filter(F.size("cands") > 0).withColumn("gaps", F.split("text", PATTERN)).withColumn("row", F.monotonically_increasing_id())
+    units, gaps = units_of(F.col(text_col))
+    found = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), path.alias("path"), units.alias("units"), gaps.alias("gaps"))
+    found = found.filter(F.size("units") > 0).withColumn("row", F.monotonically_increasing_id())
     each = F.transform(
-        F.sequence(F.lit(0), F.size("cands") - 1),
-        lambda i: F.struct(
-            F.get("cands", i).alias("cand"),
+        F.col("units"),
+        lambda u, i: F.struct(
             F.length(F.get("gaps", i)).alias("before"),
-            F.right(F.get("gaps", i), F.lit(NEAR)).alias("left"),
-            F.left(F.get("gaps", i + 1), F.lit(NEAR)).alias("right"),
+            F.length(u).alias("length"),
+            F.transform(
+                places(u),
+                lambda p: F.struct(
+                    p["piece"].alias("piece"),
+                    p["at"].alias("at"),
+                    F.substr(u, p["at"] + 1, p["n"]).alias("cand"),
+                    F.right(F.concat(F.right(F.get("gaps", i), F.lit(NEAR)), F.substr(u, F.lit(1), p["at"])), F.lit(NEAR)).alias("left"),
+                    F.left(F.concat(F.substr(u, p["at"] + p["n"] + 1), F.left(F.get("gaps", i + 1), F.lit(NEAR))), F.lit(NEAR)).alias("right"),
+                ),
+            ).alias("pieces"),
         ),
     )
     rows = found.select("doc_id", "k1", "k2", "path", "row", F.posexplode(each).alias("no", "x"))
-    rows = written(rows.select("doc_id", "k1", "k2", "path", "row", "no", "x.cand", "x.before", "x.left", "x.right"), "candidates")
+    rows = written(rows.select("doc_id", "k1", "k2", "path", "row", "no", "x.*"), "candidates")
     so_far = Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("start", F.sum(F.col("before") + F.length("cand")).over(so_far) - F.length("cand"))
+    rows = rows.withColumn("first", F.sum(F.col("before") + F.col("length")).over(so_far) - F.col("length")).filter(F.size("pieces") > 0)
+    rows = rows.select("doc_id", "k1", "k2", "path", "row", "no", "first", F.explode("pieces").alias("p"))
+    return rows.select("doc_id", "k1", "k2", "path", "row", (F.col("no") * 4 + F.col("p.piece")).alias("no"), (F.col("first") + F.col("p.at")).alias("start"), "p.cand", "p.left", "p.right")
 
 
 def _share(c: Column, keep: str) -> Column:
@@ -170,8 +227,8 @@ def featured(rows: DataFrame, ratios: Ratios) -> DataFrame:
     )
 
 
-def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
-    """Findings labelled by construction, n less the few that candidates() passes by: id, cand, left, right, path, label (1: a secret)."""
+def made_findings(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
+    """Findings labelled by construction, in their text: id, label (1: a secret), made, before, after, path."""
     h = F.sha2(F.concat(F.lit("finding "), F.col("id").cast("string")).cast("binary"), 512)
     b64 = F.regexp_replace(F.base64(F.unhex(h)), "[\r\n]", "")
     draw = lambda k, m: F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m)).cast("int")
@@ -191,6 +248,9 @@ def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         F.concat(F.lit("eyJ"), F.substring(plain, F.lit(1), F.lit(20)), F.lit(".eyJ"), F.substring(plain, F.lit(21), F.lit(40)), F.lit("."), F.substring(h, F.lit(1), F.lit(30))),
         F.concat(of("w1", "Sun", "tr0ub", "Blue", "x9", "Zeta"), of("w2", "!", "#", "_", "$"), cut(plain, "cut", 5, 10)),
         F.concat(of("w3", "", "Sun", "pa55", "k"), cut(plain, "cut", 6, 20)),
+        F.concat(cut(plain, "cut", 3, 6), of("p1", ",", ";", "(", "&"), cut(F.reverse(plain), "cut2", 2, 5), of("p2", ")", "!", "]", "#", "%"), F.substring(h, F.lit(1), F.lit(3))),
+        F.concat_ws(" ", of("w4", "purple", "Tango", "gravel", "Orchid", "seven"), of("w5", "kayak", "Walrus", "42", "ember", "quartz"), of("w6", "over", "Lima", "9th", "saddle", "nectar"), cut(F.lower(plain), "cut", 3, 7)),
+        F.substring(F.translate(F.concat(plain, F.reverse(plain)), "0123456789", ""), F.lit(1), F.lit(40)),
         F.concat_ws("\n", F.concat(F.lit("-----BEGIN "), of("pem", "RSA ", "", "EC ", "OPENSSH ", "ENCRYPTED "), F.lit("PRIVATE KEY-----")), F.repeat(F.concat(b64, F.lit("\n")), F.lit(1) + draw("lines", 20)), F.concat(F.lit("-----END "), of("pem", "RSA ", "", "EC ", "OPENSSH ", "ENCRYPTED "), F.lit("PRIVATE KEY-----"))),
     )
     names = of("name", "token", "TOKEN", "secret", "api_key", "apiKey", "API_KEY", "password", "access_key", "auth_token", "client_secret", "private_key")
@@ -216,43 +276,45 @@ def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
         F.concat_ws(".", F.lit("v1"), draw("a", 30).cast("string"), draw("b", 30).cast("string"), F.lit("release"), F.substring(digits, F.lit(1), F.lit(8))),
         F.concat(F.lit("changeme"), draw("no", 9999).cast("string")),
         F.concat_ws("_", word, other, word, F.lit("config"), draw("no", 99).cast("string")),
+        F.concat_ws(" ", of("w7", "your", "the", "enter", "see"), word, other, of("w8", "here", "value", "of the user", "goes here")),
         F.concat(of("stand", "password", "changeme", "your_password", "secret", "example", "pass", "xxxxxx", "PASSWORD"), of("in", "", "1", "123")),
     )
-    kind = draw("not", 15)
+    kind = draw("not", 16)
+    quote = of("quote", "\"", "'")
+    quoted = F.concat(of("lead", "", " ", "export ", "\n"), names, of("sign2", "=", " = ", ": ", ":    "), quote)
     url = F.concat(of("lead", "", " ", "see ", "url: "), of("scheme", "postgres://", "mysql://", "https://", "redis://", "amqp://", "mongodb://"), of("who", "user", "admin", "app", "root", "svc7"), F.lit(":"))
     host = F.concat(F.lit("@"), of("host", "db.internal", "10.0.0.5", "example.com", "localhost"), of("tail", "/x", "", ":5432/app", " and"))
     calm = of("calm", "commit ", "sha256:", "md5 = ", "checksum: ", "integrity ", "see ", "version ", "id: ", "uuid=", "digest \"", "hash: ", "revision ", "", "the file ", "etag=\"")
     trap = F.when(kind >= 4, F.when(draw("trap", 2) == 0, opening).otherwise(calm)).otherwise(calm)
-    trap = F.when(kind == 14, url).otherwise(trap)
-    form = draw("kind", 12)
+    trap = F.when(kind == 15, url).when(kind == 14, quoted).otherwise(trap)
+    form = draw("kind", 15)
     shaped = (form >= 6) & (form <= 8)
-    named = F.when((form == 11) | shaped & (draw("bare", 2) == 0), bare).when(form == 10, url).otherwise(opening)
-    in_url = F.when(F.col("id") % 2 == 1, form == 10).otherwise(kind == 14)
+    named = F.when((form == 14) | (form == 13) & (draw("bare", 2) == 0) | shaped & (draw("bare", 2) == 0), bare).when(form == 10, url).when((form == 11) | (form == 12), quoted).otherwise(opening)
+    in_url = F.when(F.col("id") % 2 == 1, form == 10).otherwise(kind == 15)
+    in_quotes = F.when(F.col("id") % 2 == 1, (form == 11) | (form == 12)).otherwise(kind == 14)
     made = spark.range(0, n, 1, 1).select(
         "id",
         (F.col("id") % 2).cast("double").alias("label"),
         F.when(F.col("id") % 2 == 1, secret).otherwise(innocent).alias("made"),
         F.concat(F.repeat(F.concat(other, F.lit(" ")), draw("pad", 4)), F.when(F.col("id") % 2 == 1, named).otherwise(trap)).alias("before"),
-        F.when(in_url, host).otherwise(closing).alias("after"),
+        F.when(in_url, host).when(in_quotes, F.concat(quote, of("tail", " and", "\n", "", " #", ";"))).otherwise(closing).alias("after"),
         F.when(F.col("id") % 2 == 1, of("p1", "src/app", "config/prod", "", "deploy/env", "tests/unit")).otherwise(of("p2", "src/app", "docs/example", "", "tests/fixture", "data")).alias("path"),
     )
-    return as_found(made)
+    return made
+
+
+def labelled(spark: SparkSession, n: int = N_LABELLED) -> DataFrame:
+    """Findings labelled by construction, n less the few that candidates() passes by: id, cand, left, right, path, label (1: a secret)."""
+    return as_found(made_findings(spark, n))
 
 
 def as_found(made: DataFrame) -> DataFrame:
     """Made findings (id, label, made, before, after, path) as candidates() cuts them from their text: cand, left, right. Those it doesn't find go."""
-    made = made.withColumn("text", F.concat("before", "made", "after"))
-    found = made.withColumns({"cands": F.regexp_extract_all("text", F.lit(PATTERN), F.lit(0)), "gaps": F.split("text", PATTERN)})
+    found = candidates(made.select("id", F.concat("before", "made", "after").alias("text")), "id").drop("path")
     # the candidate that holds the last character of what was made
-    ends = F.transform(
-        F.sequence(F.lit(1), F.size("cands")),
-        lambda i: F.aggregate(F.slice("cands", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice("gaps", F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x)),
-    )
-    found = found.filter(F.size("cands") > 0).withColumn("ends", ends)
-    end = F.length("before") + F.length("made")
-    found = found.withColumn("at", F.size(F.filter("ends", lambda e: e < end))).withColumn("cand", F.get("cands", F.col("at")))
-    found = found.filter(F.col("cand").isNotNull() & (F.get("ends", F.col("at")) - F.length("cand") < end))
-    return found.select("id", "label", "cand", F.right(F.get("gaps", F.col("at")), F.lit(NEAR)).alias("left"), F.left(F.get("gaps", F.col("at") + 1), F.lit(NEAR)).alias("right"), "path")
+    rows = found.join(made.withColumn("end", F.length("before") + F.length("made")), F.col("doc_id") == F.col("id"))
+    rows = rows.filter((F.col("start") < F.col("end")) & (F.col("start") + F.length("cand") >= F.col("end")))
+    return rows.select("id", "label", "cand", "left", "right", "path")
 
 
 def ratios_of(rows: DataFrame) -> Ratios:
@@ -292,14 +354,21 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 
 def redact(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, mask: str = MASK) -> DataFrame:
     """docs, all columns and rows, with confirmed secrets replaced by the mask."""
-    has = F.coalesce(F.col(text_col).rlike(PATTERN), F.lit(False))
+    has = F.coalesce(F.col(text_col).rlike(UNIT), F.lit(False))
     found = scan(docs.filter(has), findings, id_col, text_col, path_col)
     flags = found.filter("is_secret").groupBy("k1", "k2").agg(F.collect_set("no").alias("__flags"))  # of one document's text
     k1, k2 = row_keys(id_col, text_col)
     touched = docs.filter(has).withColumns({"__k1": k1, "__k2": k2})
     touched = touched.join(flags.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
-    cands, gaps = F.regexp_extract_all(F.col(text_col), F.lit(PATTERN), F.lit(0)), F.split(text_col, PATTERN)
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i >= F.size(cands), F.lit("")).when(F.array_contains("__flags", i), F.lit(mask)).otherwise(F.coalesce(F.get(cands, i), F.lit("")))))
+    units, gaps = units_of(F.col(text_col))
+
+    def masked(u: Column, i: Column) -> Column:
+        gone = F.filter(places(u), lambda p: F.array_contains("__flags", i * 4 + p["piece"]))
+        first, last = F.get(gone, F.lit(0)), F.get(gone, F.size(gone) - 1)
+        between = F.when(F.size(gone) > 1, F.concat(F.lit(mask), F.substr(u, first["at"] + first["n"] + 1, last["at"] - first["at"] - first["n"]), F.lit(mask))).otherwise(F.lit(mask))
+        return F.when(F.size(gone) == 0, u).otherwise(F.concat(F.substr(u, F.lit(1), first["at"]), between, F.substr(u, last["at"] + last["n"] + 1)))
+
+    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i >= F.size(units), F.lit("")).otherwise(F.coalesce(masked(F.get(units, i), i), F.lit("")))))
     rebuilt = F.when(F.col("__flags").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
     return docs.filter(~has).unionByName(touched.withColumn(text_col, rebuilt).select(*docs.columns))
 

@@ -168,7 +168,8 @@ def test_clusters_against_brute_force(spark):
 
 def test_large_integers_are_exact(spark):
     r = np.random.default_rng(4)
-    rows = [(i, [float(np.float32(x)) for x in r.normal(size=64) * 2.0**20]) for i in range(60)]
+    rows = [(i, [float(np.float32(x)) for x in r.normal(size=64) * 2.0**10]) for i in range(60)]
+    rows += [(100 + i, [2.0**21 + i, *rows[i][1][1:]]) for i in range(9)]
     assert Counter(map(tuple, lloyd.cluster(vec_frame(spark, rows)).collect())) == brute_clusters(rows)
     with pytest.raises(Exception, match="too large"):
         lloyd.cluster(vec_frame(spark, [(1, [2.0**50] * 64)])).count()
