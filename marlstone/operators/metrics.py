@@ -2,42 +2,107 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import comparable, normal_span, span_in
+from marlstone.functions.text import PROBE, comparable, normal_span, span_in
 
 REFUSES = "I cannot"
+#: Bytes of spans that make one automaton, and automata that one pass over the texts uses.
+SPAN_BYTES, AUTOMATA = 1 << 20, 16
+
+
+def same_form(text: str | None) -> str:
+    """comparable() of a value: white space collapsed, lower case."""
+    return " ".join((text or "").split()).lower()
+
+
+def probes_of(span: str) -> set[str]:
+    """What a text must hold one of: the span, or the first or last 100 characters of a longer one."""
+    return {span, span[:PROBE], span[-PROBE:]} if len(span) > PROBE else {span}
+
+
+def span_blocks(spans: DataFrame, most: int = SPAN_BYTES) -> Iterator[list[tuple[str, object]]]:
+    """(probe, qid) in blocks of so many bytes, or of one span; one block is on the driver at a time."""
+    block, held = [], 0
+    for row in spans.select("qid", "span").toLocalIterator():
+        span = same_form(row.span)
+        for probe in sorted(probes_of(span)) if span else ():
+            block.append((probe, row.qid))
+            held += len(probe.encode())
+        if held >= most:
+            yield block
+            block, held = [], 0
+    if block:
+        yield block
+
+
+class Automata:
+    """Aho-Corasick automata of blocks of probes, built once in each worker process that uses them."""
+
+    kept: tuple[object, list] = (None, [])
+
+    @classmethod
+    def of(cls, key: object, blocks: list[list[tuple[str, object]]]) -> list:
+        if cls.kept[0] != key:
+            import ahocorasick
+
+            made = []
+            for block in blocks:
+                asked: dict[str, list] = {}
+                for probe, qid in block:
+                    asked.setdefault(probe, []).append(qid)
+                automaton = ahocorasick.Automaton()
+                for probe, qids in asked.items():
+                    automaton.add_word(probe, qids)
+                automaton.make_automaton()
+                made.append(automaton)
+            cls.kept = key, made
+        return cls.kept[1]
 
 
 def span_matches(spans: DataFrame, texts: DataFrame) -> DataFrame:
     """(qid, text_id) where a span (qid, span) stands in a text (text_id, text).
 
-    Not a scan of all pairs: whatever stands in a text brings its inner words whole, so a span is joined by an inner word of
-    each of its probes (whole, first and last 100 characters) and then verified: of the probe's four longest inner words
-    the one that fewest texts have, so that a frequent word brings no rows. Spans without an inner word are compared with
-    every text; they are rare, and broadcast only up to a checked number."""
-    s = spans.select("qid", comparable(F.col("span")).alias("span")).filter("span <> ''")
-    probes = F.when(F.length("span") > 100, F.array("span", F.substring("span", 1, 100), F.right("span", F.lit(100)))).otherwise(F.array("span"))
-    s = s.select("qid", F.explode(F.array_distinct(probes)).alias("probe"))
-    words = F.split("probe", " ")
-    inner = F.when(F.size(words) > 2, F.array_distinct(F.slice(words, F.lit(2), F.size(words) - 2))).otherwise(F.array().cast("array<string>"))
-    longest = F.reverse(F.array_sort(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
-    s = s.withColumn("words", F.transform(F.slice(longest, 1, 4), lambda x: x["w"]))
-    t = texts.select("text_id", comparable(F.col("text")).alias("text"))
-    keyed = s.filter(F.size("words") > 0).select("qid", "probe", F.explode("words").alias("word"))
-    met = t.select("text_id", F.explode(F.array_distinct(F.split("text", " "))).alias("word")).join(keyed.select("word").distinct(), "word")
-    often = met.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    # a word that no text has rules the probe out
-    rarest = keyed.join(often, "word", "left").groupBy("qid", "probe").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("x")).filter("x.n > 0")
-    near = met.join(rarest.select("qid", "probe", F.col("x.word").alias("word")), "word").select("qid", "text_id", "probe")
-    hit = near.join(t, "text_id").filter(F.contains("text", F.col("probe"))).select("qid", "text_id")
-    rest = s.filter(F.size("words") == 0).select("qid", "probe")
-    n = rest.limit(10_001).count()
-    if n:
-        side = F.broadcast(rest) if n <= 10_000 else rest
-        hit = hit.unionByName(t.join(side, F.contains(F.col("text"), F.col("probe"))).select("qid", "text_id"))
-    return hit.distinct()
+    Spans go in blocks of bounded bytes to every task, each as one automaton that finds all of its probes at once; a task
+    reads each of its texts once for AUTOMATA blocks. Texts are neither shuffled nor exploded, and short spans are no special
+    case."""
+    spark = texts.sparkSession
+    rows = texts.select("text_id", "text")
+    kinds = dict(spans.dtypes)["qid"], rows.dtypes[0][1]
+    qid_type = spark.createDataFrame([], f"qid {kinds[0]}").toArrow().schema.field(0).type
+    out, held = None, []
+
+    def one_pass(blocks: list) -> DataFrame:
+        shared, key = spark.sparkContext.broadcast(blocks), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automata = Automata.of(key, shared.value)
+            for b in batches:
+                place, qids = [], []
+                for i, text in enumerate(b.column(1)):
+                    text, found = same_form(text.as_py()), set()
+                    if text:
+                        for automaton in automata:
+                            for _, own in automaton.iter(text):
+                                found.update(own)
+                    place += [i] * len(found)
+                    qids += found
+                yield pa.RecordBatch.from_arrays([pa.array(qids, qid_type), b.column(0).take(pa.array(place, pa.int64()))], names=["qid", "text_id"])
+
+        return rows.mapInArrow(run, f"qid {kinds[0]}, text_id {kinds[1]}")
+
+    for block in span_blocks(spans):
+        held.append(block)
+        if len(held) == AUTOMATA:
+            out, held = one_pass(held) if out is None else out.unionByName(one_pass(held)), []
+    if held:
+        out = one_pass(held) if out is None else out.unionByName(one_pass(held))
+    return out.distinct() if out is not None else spark.createDataFrame([], f"qid {kinds[0]}, text_id {kinds[1]}")
 
 
 def hits(rows: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.functions.text import WHITE, strip, unescaped
+from marlstone.functions.markup import html_text  # noqa: F401  part of this module's face
+from marlstone.functions.text import WHITE
 
 #: Section id and the pattern of its header, in canonical order.
 HEADERS = [
@@ -20,47 +25,79 @@ HEADERS = [
     ("item_8", r"Item\s*8\.\s*Financial\s*Statements"),
 ]
 MIN_CHARS = 500
-#: Stands for markup until what adjoins is one border.
-BETWEEN = "\x01"
 
 
-def html_text(html: Column) -> Column:
-    """Text nodes on lines of their own; scripts, styles, comments and tags go; character references are decoded; three line
-    ends or more become two."""
-    x = F.coalesce(html, F.lit(""))
-    for markup in (r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>", r"(?s)<!--.*?-->", r"<[a-zA-Z/!][^>]*>"):
-        x = F.regexp_replace(x, markup, BETWEEN)
-    x = unescaped(F.regexp_replace(x, f"{BETWEEN}+", "\n"))  # markup without text between is one border
-    return strip(F.regexp_replace(x, r"\n{3,}", "\n\n"))
+class Headers:
+    """Patterns of headers, matched in one pass: positions where any of them begins are found by their alternation, and each is
+    tried there alone. Matches of one pattern don't overlap, those of different ones may."""
 
+    def __init__(self, headers: list[tuple[str, str]]):
+        plain = [p.replace(r"\s", f"[{WHITE}]") for _, p in headers]
+        self.names = [sid for sid, _ in headers]
+        self.each = [re.compile(p, re.I | re.A) for p in plain]
+        self.any = re.compile("|".join(f"(?:{p})" for p in plain), re.I | re.A)
 
-def markers(docs: DataFrame, headers: list[tuple[str, str]] = HEADERS) -> DataFrame:
-    """doc_key, sid, order, pos (1-based), header: every match of every header pattern.
+    def matches(self, text: str) -> list[tuple[int, int, int]]:
+        """(start, end, which) of every match, by place; empty ones don't count."""
+        out, free = [], [0] * len(self.each)
+        m = self.any.search(text) if self.each else None
+        while m:
+            at = m.start()
+            for k, pattern in enumerate(self.each):
+                if at >= free[k] and (own := pattern.match(text, at)) and own.end() > at:
+                    out.append((at, own.end(), k))
+                    free[k] = own.end()
+            m = self.any.search(text, at + 1)
+        return out
+
+    def sections(self, text: str, min_chars: int) -> list[tuple[int, str, str]]:
+        """(which, header, body) of what parse() keeps of a text."""
+        found = sorted((a, self.names[k], text[a:z], k) for a, z, k in self.matches(text))
+        best: dict[str, tuple[int, str, str]] = {}
+        for (at, sid, header, k), end in zip(found, [f[0] for f in found[1:]] + [len(text)]):
+            body = text[at:end].strip()[len(header) :].strip()
+            if len(body) >= min_chars and (sid not in best or len(body) > len(best[sid][2])):
+                best[sid] = k, header, body
+        return list(best.values())
+
+
+def _by_text(docs: DataFrame, rows_of, out: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """One pass over docs (doc_key, text): rows_of(text) gives the other columns' values for each row."""
+    docs = docs.select("doc_key", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, rows = [], []
+            for i, text in enumerate(b.column(1)):
+                made = rows_of(text.as_py() or "")
+                place += [i] * len(made)
+                rows += made
+            cols = list(zip(*rows)) or [[] for _ in out]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(place, pa.int64())), *[pa.array(c, t) for c, (_, _, t) in zip(cols, out)]], names=["doc_key", *[n for n, _, _ in out]])
 
-    The text between matches is what split() leaves, so positions are running lengths: no Python is needed."""
-    out = None
-    for rank, (sid, pattern) in enumerate(headers):
-        p = "(?i)" + pattern.replace(r"\s", f"[{WHITE}]")
-        found = docs.select("doc_key", F.regexp_extract_all("text", F.lit(p), F.lit(0)).alias("found"), F.split("text", p).alias("gaps")).filter(F.size("found") > 0)
-        each = F.transform("found", lambda h, i: F.struct(h.alias("header"), i.alias("i")))
-        before = F.aggregate(F.slice("gaps", F.lit(1), F.col("x.i") + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("found", F.lit(1), F.col("x.i")), F.lit(0), lambda a, g: a + F.length(g))
-        rows = found.select("doc_key", "found", "gaps", F.explode(each).alias("x")).select("doc_key", F.lit(sid).alias("sid"), F.lit(rank).alias("rank"), (before + 1).alias("pos"), F.col("x.header").alias("header"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    return docs.mapInArrow(run, f"doc_key {docs.dtypes[0][1]}, " + ", ".join(f"{n} {t}" for n, t, _ in out))
+
+
+def markers(docs: DataFrame, headers: list[tuple[str, str]] = HEADERS) -> DataFrame:
+    """doc_key, sid, rank, pos (1-based), header: every match of every header pattern, each text read once."""
+    known = Headers(headers)
+    return _by_text(
+        docs,
+        lambda text: [(known.names[k], k, a + 1, text[a:z]) for a, z, k in known.matches(text)],
+        [("sid", "string", pa.string()), ("rank", "int", pa.int32()), ("pos", "int", pa.int32()), ("header", "string", pa.string())],
+    )
 
 
 def parse(docs: DataFrame, headers: list[tuple[str, str]] = HEADERS, min_chars: int = MIN_CHARS) -> DataFrame:
     """Sections (doc_key, section_id, rank, title, text, char_count) of docs (doc_key, text): a body runs from its header to
-    the next header of any id; short ones go; of each id the longest stays, the first of equal ones."""
-    order = Window.partitionBy("doc_key").orderBy("pos", "sid", "header")
-    spans = markers(docs, headers).withColumn("end", F.lead("pos").over(order))
-    rows = spans.join(docs.select("doc_key", "text"), "doc_key")
-    raw = F.when(F.col("end").isNull(), F.substr("text", F.col("pos"))).otherwise(F.substr("text", F.col("pos"), F.col("end") - F.col("pos")))
-    body = strip(F.substr(strip(raw), F.length("header") + 1))
-    rows = rows.select("doc_key", "sid", "rank", "pos", "header", body.alias("body")).filter(F.length("body") >= min_chars)
-    best = Window.partitionBy("doc_key", "sid").orderBy(F.length("body").desc(), "pos")
-    rows = rows.withColumn("r", F.row_number().over(best)).filter("r = 1")
-    return rows.select("doc_key", F.col("sid").alias("section_id"), F.col("rank").cast("long").alias("rank"), F.col("header").alias("title"), F.col("body").alias("text"), F.length("body").cast("long").alias("char_count"))
+    the next header of any id; short ones go; of each id the longest stays, the first of equal ones. Each row of docs is a
+    document, read once; nothing is shuffled."""
+    known = Headers(headers)
+    return _by_text(
+        docs,
+        lambda text: [(known.names[k], k, header, body, len(body)) for k, header, body in known.sections(text, min_chars)],
+        [("section_id", "string", pa.string()), ("rank", "long", pa.int64()), ("title", "string", pa.string()), ("text", "string", pa.string()), ("char_count", "long", pa.int64())],
+    )
 
 
 def parse_rate(docs: DataFrame, sections: DataFrame, headers: list[tuple[str, str]] = HEADERS) -> DataFrame:

@@ -105,14 +105,23 @@ def bundle_for(qa: DataFrame, manifest: DataFrame, settings: Settings) -> retrie
     Filings that are missing there, and those without a section, are warned of and passed by; without a chunk it raises."""
     spark = qa.sparkSession
     keys = qa.select(F.concat_ws("_", "source_ticker", "source_filing_date").alias("doc_key")).distinct()
-    known = manifest.select(F.concat_ws("_", "ticker", "filing_date").alias("doc_key"), "local_path").dropDuplicates(["doc_key"])
+    known = manifest.select(F.concat_ws("_", "ticker", "filing_date").alias("doc_key"), "local_path").groupBy("doc_key").agg(F.min("local_path").alias("local_path"))
     for r in keys.join(known, "doc_key", "left_anti").collect():  # a question set's filings at most, as below
         log.warning("no filing %s in the manifest", r.doc_key)
-    paths = {r.local_path: r.doc_key for r in known.join(keys, "doc_key", "left_semi").collect()}
+    paths: dict[str, str] = {}
+    for r in known.join(keys, "doc_key", "left_semi").orderBy("doc_key").collect():
+        if r.local_path in paths:
+            raise ValueError(f"{paths[r.local_path]} and {r.doc_key} share the file {r.local_path}")
+        paths[r.local_path] = r.doc_key
     if not paths:
         raise RuntimeError("no filing of the question set is in the manifest")
-    named = spark.createDataFrame([(p.rsplit("/", 1)[-1], k) for p, k in paths.items()], "file string, own string")
-    pages = filings.raw_html(spark, list(paths)).withColumn("file", F.element_at(F.split("doc_key", "/"), -1))
+    own: dict[str, str] = {}
+    for p, k in paths.items():
+        if (q := filings.qualified(spark, p)) in own:
+            raise ValueError(f"{own[q]} and {k} share the file {p}")
+        own[q] = k
+    named = spark.createDataFrame(list(own.items()), "file string, own string")
+    pages = filings.raw_html(spark, list(paths)).withColumn("file", filings.plain_path(F.col("doc_key")))
     sections = sections_of(pages.join(named, "file").select(F.col("own").alias("doc_key"), "html")).persist()
     for r in named.join(sections, named["own"] == sections["doc_key"], "left_anti").collect():
         log.warning("no section in filing %s", r.own)

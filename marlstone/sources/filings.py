@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import os
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -75,6 +76,17 @@ def raw_html(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.input_file_name().alias("doc_key"), F.col("value").alias("html"))
 
 
+def plain_path(path: Column) -> Column:
+    """A file's path as qualified() has it: one stroke after `file:`."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system, as the reader of files names it."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return re.sub("^file:/+", "file:/", where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString())
+
+
 def write_manifest(filings: DataFrame, path: str) -> None:
     filings.write.mode("overwrite").parquet(path)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import point_id
 from marlstone.operators.retrieval import dense
-from marlstone.operators.streams import ROUND, Best, ranking_schema
+from marlstone.operators.streams import ROUND, Best
 
 
 def unit_rows(x: np.ndarray) -> np.ndarray:
@@ -28,24 +28,34 @@ def upserted(base: DataFrame, changes: DataFrame, key: str = "id", order: str =
 class VectorStore:
     """upsert, query, len, close over versions of a Parquet table.
 
-    Rows lie in `buckets` by a hash of their id, and `current` names the folder of each. An upsert writes its own rows, and
-    again only those buckets that it touches and that held rows before; the others stay where they are. Folders that a
-    version names are never changed. The number of buckets is fixed when a store is made.
-    `recreate` starts empty; without it a store attaches to what is there, so that nothing need be embedded again."""
+    Rows lie in `buckets` by a hash of their id, and a pointer `current-<version>` names the folder of each. An upsert writes its
+    own rows, and again only those buckets that it touches and that held rows before; the others stay where they are. Folders
+    that a version names are never changed. A pointer is written aside and comes to be by one rename, so a crash leaves the
+    version before; the highest one counts. `vacuum` removes what the latest versions don't name. The number of buckets is
+    fixed when a store is made. `recreate` starts empty; without it a store attaches to what is there, so that nothing need be
+    embedded again."""
 
     def __init__(self, spark: SparkSession, path: str, recreate: bool = False, buckets: int = 64):
         self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
         self.table: DataFrame | None = None
         self.held: tuple[list, np.ndarray] | None = None
         self.version, self.folders = 0, {}
-        if not recreate and self._fs().exists(self._at("current")):  # what is there must be readable
+        versions = self._versions()
+        if recreate:
+            self.version = versions[-1] if versions else 0
+        elif versions:  # what is there must be readable
+            now = json.loads(self.spark.read.text(f"{self.path}/{self._pointer(versions[-1])}").first()[0])
+            self.version, self.buckets = now["version"], now["buckets"]
+            self.folders = {int(b): name for b, name in now["folders"].items()}
+            self.table = self._read(self.folders)
+        elif self._fs().exists(self._at("current")):  # a store of earlier make
             head = spark.read.text(f"{self.path}/current").first()[0]
             if head.startswith("{"):
                 now = json.loads(head)
                 self.version, self.buckets = now["version"], now["buckets"]
                 self.folders = {int(b): name for b, name in now["folders"].items()}
                 self.table = self._read(self.folders)
-            else:  # a store of one folder, without buckets: the next upsert deals it out
+            else:  # of one folder, without buckets: the next upsert deals it out
                 self.version, name = int(head.split()[0]), head.split()[1]
                 self.table = spark.read.parquet(f"{self.path}/{name}")
 
@@ -55,6 +65,39 @@ class VectorStore:
     def _fs(self):
         return self._at("current").getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return [x.getPath().getName() for x in self._fs().listStatus(where)] if self._fs().exists(where) else []
+
+    @staticmethod
+    def _pointer(version: int) -> str:
+        return f"current-{version:012d}"
+
+    def _versions(self) -> list[int]:
+        return sorted(int(n[8:]) for n in self._names() if n.startswith("current-"))
+
+    def _point(self) -> None:
+        """The present version's pointer, whole or not at all."""
+        now = json.dumps({"version": self.version, "buckets": self.buckets, "folders": self.folders})
+        aside = f"pending-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.text(f"{self.path}/{aside}")
+        if self._fs().exists(self._at(self._pointer(self.version))) or not self._fs().rename(self._at(aside), self._at(self._pointer(self.version))):
+            raise RuntimeError(f"version {self.version} was made by another writer")
+
+    def vacuum(self, keep: int = 1) -> int:
+        """Remove folders that none of the latest `keep` versions names, and the pointers before them: how many names went."""
+        if keep < 1:
+            raise ValueError("the latest version stays")
+        kept = self._versions()[-keep:]
+        named = {self._pointer(v) for v in kept}
+        for v in kept:
+            folders = json.loads(self.spark.read.text(f"{self.path}/{self._pointer(v)}").first()[0])["folders"]
+            named |= {f.split("/")[0] for f in folders.values()}
+        gone = [n for n in self._names() if n not in named] if kept else []
+        for n in gone:
+            self._fs().delete(self._at(n), True)
+        return len(gone)
+
     def _read(self, folders: dict[int, str]) -> DataFrame | None:
         return self.spark.read.parquet(*[f"{self.path}/{folders[b]}" for b in sorted(folders)]) if folders else None
 
@@ -66,33 +109,37 @@ class VectorStore:
         found = [x.getPath().getName() for x in self._fs().listStatus(self._at(name))]
         return {int(n[7:]): f"{name}/{n}" for n in found if n.startswith("bucket=")}
 
-    def upsert(self, ids_and_vectors: DataFrame) -> None:
-        """Rows (id, v); the same id again overwrites."""
+    def upsert(self, ids_and_vectors: DataFrame, order: str | None = None) -> int:
+        """Rows (id, v): how many ids were written. The same id again overwrites; within one batch the last row of an id counts, by
+        the column `order` or else as rows come."""
         self.version += 1
-        new = ids_and_vectors.select("id", F.col("v").cast("array<double>").alias("v"), point_id(F.col("id").cast("string")).alias("point"), F.lit(self.version).cast("long").alias("version"))
-        new = new.dropDuplicates(["id"])
+        last = F.col(order) if order else F.monotonically_increasing_id()
+        new = ids_and_vectors.select("id", F.col("v").cast("array<double>").alias("v"), point_id(F.col("id").cast("string")).alias("point"), F.lit(self.version).cast("long").alias("version"), last.alias("__at"))
+        latest = Window.partitionBy("id").orderBy(F.col("__at").desc())
+        new = new.withColumn("__r", F.row_number().over(latest)).filter("__r = 1").drop("__r", "__at")
         if self.table is not None and not self.folders:
             new = upserted(self.table, new)
         made = self._dealt(new)
+        written = self._read(made).filter(F.col("version") == self.version).count() if made else 0
         if again := {b: f for b, f in made.items() if b in self.folders}:
             made |= self._dealt(upserted(self._read({b: self.folders[b] for b in again}), self._read(again)))
         self.folders = {**self.folders, **made}
-        now = json.dumps({"version": self.version, "buckets": self.buckets, "folders": self.folders})
-        self.spark.createDataFrame([(now,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/current")
+        self._point()
         self.table, self.held = self._read(self.folders) if self.folders else self.spark.createDataFrame([], new.schema), None
+        return written
 
-    def upsert_lists(self, ids: list[str], vectors: list[list[float]]) -> None:
+    def upsert_lists(self, ids: list[str], vectors: list[list[float]]) -> int:
         if len(ids) != len(vectors):
             raise ValueError(f"{len(ids)} ids for {len(vectors)} vectors")
-        if ids:
-            self.upsert(self.spark.createDataFrame(list(zip(ids, vectors)), "id string, v array<double>"))
+        if not ids:
+            return 0
+        rows = [(i, v, n) for n, (i, v) in enumerate(zip(ids, vectors))]
+        return self.upsert(self.spark.createDataFrame(rows, "id string, v array<double>, n long"), "n")
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
         """Rankings for queries (qid, v); none for k <= 0 or an empty store."""
         if self.table is None or k <= 0:
             return self.spark.createDataFrame([], "qid string, chunk_id string, rank long, score double")
-        if self.held is not None:
-            return self._answered(queries, k)
         return dense(self.table, queries, k)
 
     def attach(self, least_bytes: int = 256 << 20) -> bool:
@@ -112,11 +159,6 @@ class VectorStore:
         best.see(ids, x @ unit_rows(np.array([v], np.float64)).T)
         return [(i, s / 10**ROUND) for i, s in zip(best.ids[0], best.scores[0])]
 
-    def _answered(self, queries: DataFrame, k: int) -> DataFrame:
-        kinds = dict(queries.dtypes)["qid"], dict(self.table.dtypes)["id"]
-        rows = [(r.qid, i, n + 1, s) for r in queries.select("qid", "v").toLocalIterator() for n, (i, s) in enumerate(self.nearest(r.v, k))]
-        return self.spark.createDataFrame(rows, ranking_schema(*kinds, rank=True))
-
     def attachable(self, n: int) -> bool:
         """Whether it already holds n rows or more."""
         return len(self) >= n

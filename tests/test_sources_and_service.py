@@ -277,3 +277,42 @@ def test_ingest_and_index_for_a_question_set(spark, tmp_path, caplog):
     assert {r.doc_key for r in bundle.chunks.collect()} == {"AAPL_2024-02-01"} and "PG_2024-01-01" in caplog.text
     with pytest.raises(RuntimeError):
         service.bundle_for(qa.filter("source_ticker = 'PG'"), man, service.Settings())
+
+
+def test_filings_of_one_name_in_other_folders(spark, tmp_path):
+    rows, man = [], "ticker string, cik string, filing_date string, fiscal_year int, accession_number string, form_type string, url string, local_path string"
+    for ticker, date, word in (("A", "2024-01-01", "alpha"), ("B", "2024-01-02", "beta"), ("C", "2024 x", "gamma")):
+        folder = tmp_path / "raw" / ticker / date
+        folder.mkdir(parents=True)
+        (folder / "10k.html").write_text(f"<h1>Item 1. Business</h1><p>{' '.join([word] * 300)}</p>")
+        rows.append((ticker, None, date, 2024, None, "10-K", None, f"{folder}/10k.html"))
+    manifest = spark.createDataFrame(rows, man)
+    qa = spark.createDataFrame([("A", "2024-01-01"), ("B", "2024-01-02"), ("C", "2024 x")], "source_ticker string, source_filing_date string")
+    chunks = service.bundle_for(qa, manifest, service.Settings()).chunks.collect()
+    assert {(r.doc_key, *set(r.text.split())) for r in chunks} == {("A_2024-01-01", "alpha"), ("B_2024-01-02", "beta"), ("C_2024 x", "gamma")}
+    shared = spark.createDataFrame([(*rows[0][:-1], rows[1][-1]), rows[1]], man)
+    with pytest.raises(ValueError):
+        service.bundle_for(qa, shared, service.Settings())
+
+
+def test_store_survives_a_crash_and_is_vacuumed(spark, tmp_path):
+    path = f"file://{tmp_path}/store"
+    store = vectors.VectorStore(spark, path, buckets=4)
+    assert store.upsert_lists(["a", "b", "a"], [[1.0], [2.0], [3.0]]) == 2
+    assert {r.id: list(r.v) for r in store.table.collect()} == {"a": [3.0], "b": [2.0]}
+    assert store.upsert(spark.createDataFrame([("a", [7.0], 2), ("a", [8.0], 1)], "id string, v array<double>, at int"), "at") == 1
+    crashed = vectors.VectorStore(spark, path)
+    crashed._point = lambda: (_ for _ in ()).throw(OSError("killed"))
+    with pytest.raises(OSError):
+        crashed.upsert_lists(["c"], [[9.0]])
+    again = vectors.VectorStore(spark, path)
+    assert again.version == 2 and {r.id: list(r.v) for r in again.table.collect()} == {"a": [7.0], "b": [2.0]}
+    late = vectors.VectorStore(spark, path)
+    assert again.upsert_lists(["d"], [[4.0]]) == 1
+    with pytest.raises(RuntimeError):  # another writer was first
+        late.upsert_lists(["e"], [[5.0]])
+    assert again.vacuum() > 2 and again.vacuum() == 0
+    assert {r.id for r in vectors.VectorStore(spark, path).table.collect()} == {"a", "b", "d"}
+    fresh = vectors.VectorStore(spark, path, recreate=True)
+    assert len(fresh) == 0 and fresh.upsert_lists(["z"], [[1.0]]) == 1
+    assert [r.id for r in vectors.VectorStore(spark, path).table.collect()] == ["z"]
