@@ -52,6 +52,8 @@ class Best:
 
     #: Rows at a time: a score (in units of 1e-9) and a row's place among the ids are compared as one number.
     ROWS = 1 << 14
+    #: Scores of that size, in units of 1e-9, are no 64-bit integers.
+    LARGEST = 9e9
 
     def __init__(self, qids: list, k: int):
         self.qids, self.k = qids, k
@@ -69,10 +71,15 @@ class Best:
         order = sorted(range(len(ids)), key=ids.__getitem__)
         place = np.zeros(len(ids), np.int64)
         place[order] = np.arange(len(ids))
+        if np.abs(scores).max(initial=0.0) >= self.LARGEST:
+            raise OverflowError(f"scores from {self.LARGEST:.0f} on can't be told apart to {ROUND} places")
         whole = np.rint(scores * 10**ROUND).astype(np.int64)
-        both = whole * self.ROWS + (self.ROWS - 1 - place)[:, None]  # the lowest id is best
         k = min(self.k, len(ids))
-        top = np.argpartition(both, len(ids) - k, axis=0)[len(ids) - k :]
+        if np.abs(whole).max(initial=0) < np.iinfo(np.int64).max // self.ROWS - 1:
+            both = whole * self.ROWS + (self.ROWS - 1 - place)[:, None]  # the lowest id is best
+            top = np.argpartition(both, len(ids) - k, axis=0)[len(ids) - k :]
+        else:
+            top = np.stack([np.lexsort((place, -whole[:, c]))[:k] for c in range(whole.shape[1])], axis=1)
         held = np.take_along_axis(whole, top, axis=0)
         for c in np.flatnonzero(held.max(axis=0) >= self.least[queries]):
             i = int(queries[c])
