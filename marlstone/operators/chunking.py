@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marlstone.functions.bpe import Vocabulary
 from marlstone.functions.text import SENTENCE_END, TOKEN, sentences, white_tokens
 
 #: Characters for each section, and for all others.
@@ -60,13 +61,38 @@ def chunk_id(key: Column, section: Column, index: Column) -> Column:
     return F.format_string("%s_%s::%04d", key, section, index)
 
 
-def naive(sections: DataFrame, size: int = 512, overlap: int = 50, tokens: Callable[[Column], Column] = white_tokens) -> DataFrame:
-    """Windows of `size` tokens: chunk_id, doc_key, section_id, chunk_index, text, chunker."""
+def naive(sections: DataFrame, size: int = 512, overlap: int = 50, tokens: Callable[[Column], Column] = white_tokens, vocabulary: Vocabulary | None = None) -> DataFrame:
+    """Windows of `size` tokens: chunk_id, doc_key, section_id, chunk_index, text, chunker. With a vocabulary they are windows of
+    its ids, cut from the text's bytes, whose places are start_byte and end_byte."""
+    if vocabulary is not None:
+        rows = id_windows(not_blank(sections), ["doc_key", "section_id"], vocabulary, size, overlap)
+        return _named(rows, "naive")
     rows = not_blank(sections).select("doc_key", "section_id", tokens(F.col("text")).alias("w"))
     rows = rows.select("doc_key", "section_id", F.posexplode(windows(F.col("w"), size, overlap)).alias("chunk_index", "piece"))
     return _named(rows.select("doc_key", "section_id", "chunk_index", F.array_join("piece", " ").alias("text")), "naive")
 
 
+def id_windows(rows: DataFrame, keep: list[str], vocabulary: Vocabulary, size: int, overlap: int) -> DataFrame:
+    """The columns to keep, chunk_index, text, start_byte, end_byte: windows over a vocabulary's ids, text by text."""
+    check_window(size, overlap)
+    rows = rows.select(*keep, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            place, out = [], []
+            for i, text in enumerate(b.column("text")):
+                made = vocabulary.windows(text.as_py() or "", size, overlap)
+                place += [i] * len(made)
+                out += [(k, *w) for k, w in enumerate(made)]
+            cols = list(zip(*out)) or [[]] * 4
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            at = pa.array(place, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(at) for c in keep], *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=[*keep, "chunk_index", "text", "start_byte", "end_byte"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", chunk_index int, text string, start_byte long, end_byte long")
+
+
 def _named(rows: DataFrame, chunker: str) -> DataFrame:
     return rows.select(
         chunk_id(F.col("doc_key"), F.col("section_id"), F.col("chunk_index")).alias("chunk_id"),
@@ -163,7 +189,7 @@ def semantic_runs(sizes: np.ndarray, opening: np.ndarray, budget: int) -> list[t
             out.append((first, cut - 1))
             if cut == high:
                 break
-            if cut in opening and sizes[cut - 1] + sizes[cut] > budget:
+            if cut < n and opens[np.searchsorted(opens, cut)] == cut and sizes[cut - 1] + sizes[cut] > budget:
                 out.append((cut - 1, cut - 1))
             first, new = cut - 1, cut + 1
         if high < n:
@@ -171,21 +197,24 @@ def semantic_runs(sizes: np.ndarray, opening: np.ndarray, budget: int) -> list[t
     return out
 
 
-def split_semantic(text: str, embed: Callable[[list[str]], np.ndarray], tokens: Callable[[str], list[str]], size: int = 512, overlap: int = 50, percentile: float = 95.0) -> list[str]:
+def split_semantic(text: str, embed: Callable[[list[str]], np.ndarray], tokens: Callable[[str], list[str]] | Vocabulary, size: int = 512, overlap: int = 50, percentile: float = 95.0) -> list[str]:
     """Chunks of whole sentences, cut where meaning jumps and at the budget of tokens, each but the first after its cut opening
     with the last sentence before it. A sentence over the budget is cut into windows."""
     check_window(size, overlap)
     said = [x for x in map(str.strip, re.split(SENTENCE_END, text.strip())) if x]
-    words = [tokens(x) for x in said]
+    by_ids = isinstance(tokens, Vocabulary)
+    words = [tokens.ids(x) if by_ids else tokens(x) for x in said]
     sizes = np.array([len(w) for w in words], np.int64)
     opening = jumps(neighbour_distances(embed(said)), percentile) + 1 if len(said) > 1 else np.zeros(0, np.int64)
     out = []
     for first, last in semantic_runs(sizes, opening, size):
-        if sizes[first] > size:
+        if sizes[first] <= size:
+            out.append(" ".join(said[first : last + 1]))
+        elif by_ids:
+            out += [w for w, _, _ in tokens.windows(said[first], size, overlap)]
+        else:
             starts = range(0, max(1, int(sizes[first]) - overlap), size - overlap)
             out += [" ".join(words[first][k : k + size]) for k in starts]
-        else:
-            out.append(" ".join(said[first : last + 1]))
     return out
 
 
@@ -209,10 +238,10 @@ def recursive(sections: DataFrame, size: int = 2000, overlap: int = 200) -> Data
     return _stateful(sections.select("doc_key", "section_id", "text"), lambda r: split_recursive(r["text"], size, overlap), "recursive")
 
 
-def semantic(sections: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, size: int = 512, overlap: int = 50, percentile: float = 95.0) -> DataFrame:
+def semantic(sections: DataFrame, embed: Callable[[list[str]], np.ndarray] | None = None, size: int = 512, overlap: int = 50, percentile: float = 95.0, vocabulary: Vocabulary | None = None) -> DataFrame:
     how = embed or _hashed()
     check_window(size, overlap)
-    return _stateful(sections.select("doc_key", "section_id", "text"), lambda r: split_semantic(r["text"], how, str.split, size, overlap, percentile), "semantic")
+    return _stateful(sections.select("doc_key", "section_id", "text"), lambda r: split_semantic(r["text"], how, vocabulary or str.split, size, overlap, percentile), "semantic")
 
 
 def budgets(sections: DataFrame, table: dict[str, int] | None = None, default: int = DEFAULT_BUDGET) -> DataFrame:
@@ -227,14 +256,16 @@ def structural(sections: DataFrame, table: dict[str, int] | None = None, default
     return _stateful(rows, lambda r: split_recursive(r["text"], r["section_budget"], overlap), "structural", "section_budget")
 
 
-def parent_child(sections: DataFrame, size: int = 512, overlap: int = 50, child: int = 256, child_overlap: int = 25) -> tuple[DataFrame, DataFrame]:
+def parent_child(sections: DataFrame, size: int = 512, overlap: int = 50, child: int = 256, child_overlap: int = 25, vocabulary: Vocabulary | None = None) -> tuple[DataFrame, DataFrame]:
     """(parents, children): windows, and windows within each parent's text with ids {parent}:c00 and up."""
-    parents = naive(sections, size, overlap)
-    rows = parents.select(F.col("chunk_id").alias("parent_id"), "doc_key", "section_id", white_tokens(F.col("text")).alias("w"))
-    rows = rows.select("parent_id", "doc_key", "section_id", F.posexplode(windows(F.col("w"), child, child_overlap)).alias("i", "piece"))
-    children = rows.select(
-        F.format_string("%s:c%02d", "parent_id", "i").alias("chunk_id"), "doc_key", "section_id", F.col("i").cast("long").alias("child_index"), F.array_join("piece", " ").alias("text"), "parent_id"
-    )
+    parents = naive(sections, size, overlap, vocabulary=vocabulary)
+    rows = parents.withColumnRenamed("chunk_id", "parent_id")
+    if vocabulary is not None:
+        rows = id_windows(rows, ["parent_id", "doc_key", "section_id"], vocabulary, child, child_overlap).withColumnsRenamed({"chunk_index": "i"})
+    else:
+        rows = rows.select("parent_id", "doc_key", "section_id", F.posexplode(windows(white_tokens(F.col("text")), child, child_overlap)).alias("i", "piece"))
+        rows = rows.withColumn("text", F.array_join("piece", " "))
+    children = rows.select(F.format_string("%s:c%02d", "parent_id", "i").alias("chunk_id"), "doc_key", "section_id", F.col("i").cast("long").alias("child_index"), "text", "parent_id")
     return parents, children
 
 

@@ -175,7 +175,7 @@ def parity(a: DataFrame, b: DataFrame) -> DataFrame:
     )
 
 
-def approximate(vectors: DataFrame, queries: DataFrame, k: int, centres: int = 64, probes: int = 24, sample: int = 20_000, seed: int = 1) -> DataFrame:
+def approximate(vectors: DataFrame, queries: DataFrame, k: int, centres: int = 64, probes: int = 36, sample: int = 20_000, seed: int = 1) -> DataFrame:
     """Approximate cosine top-k by an inverted file, for vectors of length one: those nearest to one of the centres are a cell,
     and a query looks into the `probes` cells whose centres are nearest to it, each read by the query's own exact scan.
 

@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.functions import numbers, text
-from marlstone.operators import chats, chunking, embedding, generation, ledger, lexical, metrics, parsing, rerank, retrieval, routing, sampling
+from marlstone.functions.bpe import Vocabulary
+from marlstone.operators import chats, chunking, embedding, generation, ledger, lexical, metrics, parsing, quantiles, rerank, retrieval, routing, sampling
 from marlstone.plans import fixtures as fx
 from marlstone.plans.fixtures import (
     DIM,
@@ -31,6 +32,8 @@ from marlstone.plans.fixtures import (
     table,
 )
 from marlstone.sources import filings, vectors
+from marlstone.sources.cells import CellIndex
+from marlstone.sources.shared import shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -186,6 +189,13 @@ def qa_build(s, d):
     return b.select(F.col("item_id").alias("qid"), *[c.alias(n) for n, c in made.items()])
 
 
+@query()
+def ann_stored_topk(s, d):
+    v = _vectors(s, d)
+    index = CellIndex.build(v, shared_folder(s, "cells"), cells=32)
+    return ranked(index.search(v.filter("id % 50 = 0").withColumnRenamed("id", "qid"), 5, probes=24, shortlist=1000))
+
+
 # ---- parsing and chunking ------------------------------------------------------------------------------------------
 
 _HTML = "coalesce(html, '')"
@@ -246,6 +256,12 @@ def chunk_naive(s, d):
     return fx.chunks(s, d).select("doc_key", "chunk_index", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
+@query()
+def chunk_ids_of_vocabulary(s, d):
+    made = chunking.naive(fx.sections(s, d), 512, 50, vocabulary=Vocabulary.public())
+    return made.select("chunk_id", "start_byte", "end_byte", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @query(f"WITH {SQL_CHUNKS} SELECT chunk_id, doc_key, section_id, chunk_index, 'naive' AS chunker FROM chunks")
 def chunk_ids(s, d):
     return fx.chunks(s, d).select("chunk_id", "doc_key", "section_id", "chunk_index", "chunker")
@@ -369,7 +385,8 @@ def bm25_scores(s, d):
 
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def percentile_latency(s, d):
-    return table(s, d, "events").groupBy("event_type").agg(F.round(F.coalesce(F.percentile("value", F.lit(0.5)), F.lit(0.0)), 6).alias("p50"), F.round(F.coalesce(F.percentile("value", F.lit(0.95)), F.lit(0.0)), 6).alias("p95"))
+    p = quantiles.percentiles(table(s, d, "events"), "value", [0.5, 0.95], ["event_type"])
+    return p.select("event_type", *[F.round(F.coalesce(F.get("p", F.lit(i)), F.lit(0.0)), 6).alias(n) for i, n in enumerate(("p50", "p95"))])
 
 
 @query("SELECT doc_id, CAST(greatest(1, length(text) // 4) AS BIGINT) AS tokens FROM documents")
@@ -692,8 +709,8 @@ def qa_counts(s, d):
 
 @query("SELECT user_id, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 def latency_percentiles(s, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return table(s, d, "events").groupBy("user_id").agg(p.alias("p")).select("user_id", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
+    p = quantiles.percentiles(table(s, d, "events"), "value", [0.5, 0.95], ["user_id"])
+    return p.select("user_id", F.round(F.get("p", F.lit(0)), 6).alias("p50"), F.round(F.get("p", F.lit(1)), 6).alias("p95"))
 
 
 @query(_RUN + f" SELECT qa_type, count(*) AS n_questions, {_RATES} FROM run GROUP BY 1")
