@@ -48,16 +48,20 @@ _WORD = r"[A-Za-z0-9_.\-]"
 #: Shapes that are told by their beginning, with a digit or without.
 _KNOWN = r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|(?:gh[pousr]_|npm_)[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})"
 _PEM = r"-----BEGIN [A-Z0-9 ]*?PRIVATE KEY-----[^\-]*+(?:-(?!----)[^\-]*+){0,1000}+-----END [A-Z0-9 ]*?PRIVATE KEY-----"
-_URL = rf"(?<!{_WORD})[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/@\"'<>]*+@"
+_URL = r"[A-Za-z][A-Za-z0-9+.\-]*+://[^\s/@\"'<>]*+@"
 _SIGN = r"[\"'`]?+\s*+(?::=|=>|={1,2}|:)\s*+"
 #: Quoted without blanks; quoted with blanks, unless a long token stands within, which is a unit of its own then; not quoted.
 _VALUE = "(?:" + "|".join(rf"{q}[^{q}\s]*+{q}|{q}(?![^{q}\n]*?{_MARK}{{14}})[^{q}\n]*+{q}" for q in "\"'`") + r"|[\"'`]?+[^\s\"'`,;<>()\[\]{}]++)"
 _HEAD = rf"{_WORD}++(?={_SIGN})(?<={_NAMES}){_SIGN}(?![\"'`]?+-----BEGIN )"
-_SET = rf"(?<!{_WORD}){_HEAD}{_VALUE}"
-_TOKEN = rf"(?<!{_MARK})(?={_MARK}{{14}}){_MARK}++(?!(?<={_NAMES})=)(?:={{1,2}}+(?![=A-Za-z0-9_+/.\-]))?+"
+_SET = f"{_HEAD}{_VALUE}"
+#: A digit, 32 characters or a known shape.
+_ODD = rf"(?:(?=[A-Za-z_+/.\-]*+[0-9])|(?={_MARK}{{32}})|(?={_KNOWN}))"
+_TOKEN = rf"(?<![+/])(?={_MARK}{{14}}){_ODD}{_MARK}++(?!(?<={_NAMES})=)(?:={{1,2}}+(?![=A-Za-z0-9_+/.\-]))?+"
 #: Short tokens joined by signs of equality, none of them the name of a secret.
-_RUN = rf"(?<![=A-Za-z0-9_+/.\-])(?=[=A-Za-z0-9_+/.\-]{{16}})(?![=A-Za-z0-9_+/.\-]*?(?:{_MARK}{{14}}|{_NAMES}=))[=A-Za-z0-9_+/.\-]++"
-UNIT = f"{_PEM}|{_URL}|{_SET}|{_TOKEN}|{_RUN}"
+_RUN = rf"(?<![=+/])(?=[=A-Za-z0-9_+/.\-]{{16}})(?![=A-Za-z0-9_+/.\-]*?(?:{_MARK}{{14}}|{_NAMES}=))[=A-Za-z0-9_+/.\-]++"
+#: All but PEM blocks begin where no word goes on, with a long run or a word before a sign: that alone is looked at in plain prose.
+_START = rf"(?<!{_WORD})(?=[=A-Za-z0-9_+/.\-]{{14}}|[A-Za-z0-9_+.\-]++[\"'`]?+\s*+[:=])"
+UNIT = f"{_PEM}|{_START}(?:{_URL}|{_SET}|{_TOKEN}|{_RUN})"
 
 #: Words that a placeholder or an identifier is made of.
 DICTIONARY = "account admin array async base build button change changeme check class client cluster color column commit config content count create data date debug default delete demo digest document dummy email error example false field file filter float fake foo bar function global group guest handle hash header hello here html http https image index input insert item json key label length level line link list local login main master message method mock model module name node none null number object option order page panel param parent pass password path placeholder plain point port public query random read redacted release replace request response result root sample scale script secret select server service session setting size source start state status string style sub table target temp test text time title token true type undefined update upload user value version view west east north south www xxx your".split()
@@ -112,8 +116,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """doc_id, k1, k2, no (4 for each unit, and the piece), start (code points before it), cand, left, right, path of each candidate."""
     path = F.coalesce(F.col(path_col), F.lit("")) if path_col else F.lit("")
     units, gaps = units_of(F.col(text_col))
-    found = docs.select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), path.alias("path"), units.alias("units"), gaps.alias("gaps"))
-    found = found.filter(F.size("units") > 0).withColumn("row", F.monotonically_increasing_id())
+    found = docs.filter(F.col(text_col).rlike(UNIT)).select(F.col(id_col).alias("doc_id"), *row_keys(id_col, text_col), path.alias("path"), units.alias("units"), gaps.alias("gaps"))
+    found = found.withColumn("row", F.monotonically_increasing_id())
     each = F.transform(
         F.col("units"),
         lambda u, i: F.struct(
@@ -355,7 +359,7 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_
 def redact(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, mask: str = MASK) -> DataFrame:
     """docs, all columns and rows, with confirmed secrets replaced by the mask."""
     has = F.coalesce(F.col(text_col).rlike(UNIT), F.lit(False))
-    found = scan(docs.filter(has), findings, id_col, text_col, path_col)
+    found = scan(docs, findings, id_col, text_col, path_col)
     flags = found.filter("is_secret").groupBy("k1", "k2").agg(F.collect_set("no").alias("__flags"))  # of one document's text
     k1, k2 = row_keys(id_col, text_col)
     touched = docs.filter(has).withColumns({"__k1": k1, "__k2": k2})
