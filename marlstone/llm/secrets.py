@@ -140,7 +140,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     so_far = Window.partitionBy("row").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("first", F.sum(F.col("before") + F.col("length")).over(so_far) - F.col("length")).filter(F.size("pieces") > 0)
     rows = rows.select("doc_id", "k1", "k2", "path", "row", "no", "first", F.explode("pieces").alias("p"))
-    return rows.select("doc_id", "k1", "k2", "path", "row", (F.col("no") * 4 + F.col("p.piece")).alias("no"), (F.col("first") + F.col("p.at")).alias("start"), "p.cand", "p.left", "p.right")
+    return rows.select("doc_id", "k1", "k2", "path", "row", (F.col("no") * 4 + F.col("p.piece")).alias("no"), (F.col("first") + F.col("p.at")).alias("start"), "p.at", "p.cand", "p.left", "p.right")
 
 
 def _share(c: Column, keep: str) -> Column:
@@ -360,19 +360,18 @@ def redact(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "do
     """docs, all columns and rows, with confirmed secrets replaced by the mask."""
     has = F.coalesce(F.col(text_col).rlike(UNIT), F.lit(False))
     found = scan(docs, findings, id_col, text_col, path_col)
-    flags = found.filter("is_secret").groupBy("k1", "k2").agg(F.collect_set("no").alias("__flags"))  # of one document's text
+    flags = found.filter("is_secret").groupBy("k1", "k2").agg(F.array_sort(F.collect_set(F.struct(F.expr("no div 4").alias("unit"), "at", F.length("cand").alias("n")))).alias("__flags"))  # of one document's text
     k1, k2 = row_keys(id_col, text_col)
     touched = docs.filter(has).withColumns({"__k1": k1, "__k2": k2})
     touched = touched.join(flags.withColumnsRenamed({"k1": "__k1", "k2": "__k2"}), ["__k1", "__k2"], "left")
     units, gaps = units_of(F.col(text_col))
 
-    def masked(u: Column, i: Column) -> Column:
-        gone = F.filter(places(u), lambda p: F.array_contains("__flags", i * 4 + p["piece"]))
-        first, last = F.get(gone, F.lit(0)), F.get(gone, F.size(gone) - 1)
-        between = F.when(F.size(gone) > 1, F.concat(F.lit(mask), F.substr(u, first["at"] + first["n"] + 1, last["at"] - first["at"] - first["n"]), F.lit(mask))).otherwise(F.lit(mask))
-        return F.when(F.size(gone) == 0, u).otherwise(F.concat(F.substr(u, F.lit(1), first["at"]), between, F.substr(u, last["at"] + last["n"] + 1)))
+    def masked(unit: Column, number: Column) -> Column:
+        """A unit with its confirmed candidates replaced, the last one first."""
+        gone = F.reverse(F.filter("__flags", lambda f: f["unit"] == number))
+        return F.aggregate(gone, unit, lambda u, f: F.concat(F.substr(u, F.lit(1), f["at"]), F.lit(mask), F.substr(u, f["at"] + f["n"] + 1)))
 
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.when(i >= F.size(units), F.lit("")).otherwise(F.coalesce(masked(F.get(units, i), i), F.lit("")))))
+    pieces = F.zip_with(gaps, F.transform(units, masked), lambda g, u: F.concat(g, F.coalesce(u, F.lit(""))))
     rebuilt = F.when(F.col("__flags").isNull(), F.col(text_col)).otherwise(F.array_join(pieces, ""))
     return docs.filter(~has).unionByName(touched.withColumn(text_col, rebuilt).select(*docs.columns))
 
