@@ -33,6 +33,7 @@ from marlstone.plans.fixtures import (
 )
 from marlstone.sources import filings, vectors
 from marlstone.sources.cells import CellIndex
+from marlstone.sources.postings import PostingIndex
 from marlstone.sources.shared import shared_folder
 
 QUERIES: dict = {}
@@ -426,6 +427,11 @@ def bm25_topk(s, d):
     return ranked(fx.bm25(s, d, 5))
 
 
+@query(_BASE + sql_bm25("bm", "questions", "chunks", 5) + _SELECT + "bm")
+def bm25_stored_topk(s, d):
+    return ranked(PostingIndex.build(fx.chunks(s, d), shared_folder(s, "postings")).topk(fx.questions(s, d), 5))
+
+
 @query(_BASE + _BOTH + ",\n" + sql_fuse("rr", ["de", "bm"], "first", 40) + _SELECT + "rr")
 def rrf_fuse(s, d):
     b, q = fx.bundle(s, d), fx.questions(s, d)
