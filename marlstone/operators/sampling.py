@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import NO_SPAN, comparable, span_in, strip
+from marlstone.operators.numbering import numbered
 
 #: Shares of question types, and sections in order of priority.
 SHARES = {"lookup": 0.40, "section": 0.30, "synthesis": 0.20, "out_of_scope": 0.10}
@@ -96,8 +97,5 @@ def question_set(chunks: DataFrame, per_key: int, write: Callable[[str, str], tu
 
     rows = picked.withColumn("qa_type", kind).withColumn("made", made("text", "qa_type")).filter("made.question is not null")
     rows = rows.select(key, "chunk_id", "pick", "qa_type", F.col("made.question").alias("question"), F.when(F.col("qa_type") == "out_of_scope", F.lit(NO_SPAN)).otherwise(F.col("made.span")).alias("source_span"))
-    # ids without gaps: counts by key give each key's base, so no window spans all rows
-    per = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    base = per.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy(key).orderBy("pick"))
-    return rows.withColumn("at", at).join(base.drop("n"), key).select(F.format_string("q_%04d", F.col("base") + F.col("at")).alias("id"), key, "chunk_id", "qa_type", "question", "source_span")
+    rows = numbered(rows, "__n", [key, "pick"])
+    return rows.select(F.format_string("q_%04d", "__n").alias("id"), key, "chunk_id", "qa_type", "question", "source_span")

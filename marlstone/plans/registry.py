@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import numbers, text
 from marlstone.functions.bpe import Vocabulary
-from marlstone.operators import chats, chunking, embedding, generation, ledger, lexical, metrics, parsing, quantiles, rerank, retrieval, routing, sampling
+from marlstone.operators import chats, chunking, draws, embedding, generation, ledger, lexical, metrics, parsing, quantiles, rerank, retrieval, routing, sampling
 from marlstone.plans import fixtures as fx
 from marlstone.plans.fixtures import (
     DIM,
@@ -791,6 +791,52 @@ def verify_spans(s, d):
     return table(s, d, "documents").select("doc_id", sampling.verified(F.replace(span, F.lit("|"), F.lit(" ")), F.array(F.replace("text", F.lit("|"), F.lit(" "))), F.lit("lookup")).alias("verified"))
 
 
+def _sql_u(seed: int, *columns: str) -> str:
+    return f"((CAST(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(columns)})), 1, 13)) AS BIGINT) + 0.5) / {2.0**52})"
+
+
+@query(
+    f"SELECT source, doc_id, draw FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY -ln({_sql_u(11, 'source', 'doc_id')}) / n_chars, doc_id) AS draw FROM documents WHERE n_chars > 0) WHERE draw <= 20"
+)
+def weighted_draw(s, d):
+    """Twenty documents of each source, the longer the likelier."""
+    return draws.weighted(table(s, d, "documents").select("source", "doc_id", "n_chars"), "n_chars", 20, ["source"], ["source", "doc_id"], 11).select("source", "doc_id", "draw")
+
+
+@query(f"SELECT o_orderkey, draw FROM (SELECT o_orderkey, row_number() OVER (ORDER BY -ln({_sql_u(5, 'o_orderkey')}) / o_totalprice, o_orderkey) AS draw FROM orders WHERE o_totalprice > 0) WHERE draw <= 1200")
+def weighted_draw_large(s, d):
+    """Orders by price over the whole table, more of them than Spark limits a window to."""
+    return draws.weighted(table(s, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 1200, [], ["o_orderkey"], 5).select("o_orderkey", "draw")
+
+
+_DRAW_BUCKETS = ["en", "fr", "de", "es", "it"]
+_SPLIT = "regexp_extract_all(coalesce(text, ''), '\\S+')"
+_QUOTA_PICKS = f"""few AS (SELECT source, lang, doc_id, {_SPLIT} AS w, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS i, count(*) OVER (PARTITION BY source, lang) AS n FROM documents WHERE lang IN ('en', 'fr', 'de', 'es', 'it')),
+picks AS (SELECT source, lang, doc_id, w, row_number() OVER (PARTITION BY source ORDER BY {_sql_u(3, 'source', 'doc_id')}, CAST(doc_id AS VARCHAR)) AS pick, {_sql_u(4, 'source', 'doc_id')} AS u, {_sql_u(3, 'source', 'lang')} AS v,
+  array_to_string(w[1:20], ' ') AS span FROM few WHERE i > CASE WHEN n > 3 THEN 1 ELSE 0 END AND i <= CASE WHEN n > 3 THEN 1 ELSE 0 END + 2)"""
+# what is left of lookup, section and out of scope (4, 3 and 1 at first), pick by pick; kind 0 to 2
+_KIND = "CASE WHEN a > 0 THEN CASE WHEN u * (a + b + c) < a THEN 0 WHEN u * (a + b + c) < a + b THEN 1 ELSE 2 END WHEN b > 0 THEN 1 WHEN c > 0 THEN 2 END"
+_DRAWN = f"""WITH RECURSIVE {_QUOTA_PICKS},
+step AS (SELECT source, CAST(0 AS BIGINT) AS pick, 4 AS a, 3 AS b, 1 AS c, CAST(NULL AS INTEGER) AS kept FROM (SELECT DISTINCT source FROM picks)
+  UNION ALL SELECT source, pick, a - CASE WHEN kept = 0 THEN 1 ELSE 0 END, b - CASE WHEN kept = 1 THEN 1 ELSE 0 END, c - CASE WHEN kept = 2 THEN 1 ELSE 0 END, kept
+  FROM (SELECT *, CASE WHEN len(w) >= 6 AND (kind = 2 OR length(span) % 3 <> 0) THEN kind END AS kept
+    FROM (SELECT s.source, p.pick, a, b, c, w, span, {_KIND} AS kind FROM step s JOIN picks p ON p.source = s.source AND p.pick = s.pick + 1))),
+single AS (SELECT source, pick AS ord, lang, doc_id, ['lookup', 'section', 'out_of_scope'][kept + 1] AS qa_type, 'What is said about ' || lower(trim(w[1], '.,')) || ' (' || ['lookup', 'section', 'out_of_scope'][kept + 1] || ')?' AS question,
+  CASE WHEN kept = 2 THEN '<no relevant span>' ELSE span END AS source_span FROM step JOIN picks USING (source, pick) WHERE kept IS NOT NULL),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY v, lang) AS r FROM (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY pick) AS own FROM picks) WHERE own = 1),
+joined AS (SELECT source, count(*) AS n, min(len(w)) AS least, string_agg(lang, ',' ORDER BY r) FILTER (r <= 2) AS lang, arg_min(doc_id, r) AS doc_id, string_agg(lower(trim(w[1], '.,')), ' and ' ORDER BY r) AS names, string_agg(array_to_string(w[1:8], ' '), ' | ' ORDER BY r) AS span, list(lower(array_to_string(w, ' ')) ORDER BY r) AS texts FROM firsts WHERE r <= 3 GROUP BY 1),
+asked AS (SELECT * FROM single UNION ALL SELECT source, 1000000, lang, doc_id, 'synthesis', 'How do ' || names || ' relate?', span FROM joined WHERE n >= 2 AND least >= 4
+  AND len([x FOR x IN list_zip(string_split(lower(span), '|')[1:len(texts)], texts) IF trim(x[1]) = '' OR NOT contains(x[2], trim(x[1]))]) = 0)
+SELECT printf('q_%04d', row_number() OVER (ORDER BY source, ord)) AS id, source, lang, CAST(doc_id AS VARCHAR) AS chunk_id, qa_type, question, source_span FROM asked"""
+
+
+@query(_DRAWN)
+def qa_by_quota(s, d):
+    """Questions on each source's documents, languages as its sections; the verifier turns some down."""
+    rows = table(s, d, "documents").select("source", "lang", "text", F.col("doc_id").alias("n"), F.col("doc_id").cast("string").alias("chunk_id"))
+    return draws.question_set_by_quota(rows, 10, verify=lambda q, span: len(span) % 3 != 0, seed=3, key="source", section="lang", order=("n",), buckets=_DRAW_BUCKETS).drop("verification_reason")
+
+
 @query()
 def qa_generate(s, d):
     return sampling.question_set(fx.chunks(s, d), 10)
