@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import strip, token_estimate
+from marlstone.operators.remote import Limits, Pool
 
 #: Fixed values.
 SNIPPET = 240
@@ -49,38 +50,34 @@ def generate(questions: DataFrame, ranking: DataFrame, chunks: DataFrame) -> Dat
     )
 
 
-def structured(call: Callable[[str], str], tries: int = 3):
-    """A model that answers in JSON as a column function of prompts: the object as JSON text, null if no try gives one."""
+def structured(call: Callable[[str], str], tries: int = 3, limits: Limits | None = None):
+    """A model that answers in JSON as a column function of prompts: the object as JSON text, null if no try gives one. A pool
+    asks within `limits`, whose `tries` go before."""
 
-    @pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
-        def one(p):
-            for _ in range(tries):
-                try:
-                    found = json.loads(call(p))
-                    if isinstance(found, dict):
-                        return json.dumps(found)
-                except Exception:
-                    continue
-            return None
-
-        return prompts.map(one)
+    def parsed(prompt: str) -> str:
+        found = json.loads(call(prompt))
+        if not isinstance(found, dict):
+            raise ValueError("no object")
+        return json.dumps(found)
 
-    return run
+    return _asked(parsed, limits or Limits(tries=tries), None)
 
 
-def spoken(call: Callable[[str], str | list[str]]):
+def spoken(call: Callable[[str], str | list[str]], limits: Limits | None = None):
     """A remote text model as a column function of prompts; parts of an answer are joined, failures give an empty one."""
 
+    def whole(prompt: str) -> str:
+        said = call(prompt)
+        return said if isinstance(said, str) else "".join(said)
+
+    return _asked(whole, limits or Limits(tries=1), "")
+
+
+def _asked(call: Callable[[str], str], limits: Limits, missing: str | None):
     @pandas_udf("string")
-    def run(prompts: pd.Series) -> pd.Series:
-        def one(p):
-            try:
-                said = call(p)
-                return said if isinstance(said, str) else "".join(said)
-            except Exception:
-                return ""
-
-        return prompts.map(one)
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        with Pool(limits) as pool:
+            for prompts in parts:
+                yield pd.Series([missing if a.error else a.value for a in pool.each(call, list(prompts))], dtype="object")
 
     return run

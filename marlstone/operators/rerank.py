@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from marlstone.functions.text import lexical_tokens
+from marlstone.operators.remote import Limits, Pool
 
 CANDIDATES, LLM_CHARS, CROSS_CHARS, PARAPHRASES = 10, 4000, 2000, 3
 
@@ -28,35 +29,39 @@ def overlap_score(question, text):
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, t)) / F.size(q))
 
 
-def guarded(score: Callable[[str, str], float | None], chars: int = LLM_CHARS, tries: int = 3, low: float = 0.0, high: float = 10.0):
-    """A scorer (question, text) -> number as a column function: texts cut, scores clamped, null after `tries` failures."""
+def guarded(score: Callable[[str, str], float | None], chars: int = LLM_CHARS, tries: int = 3, low: float = 0.0, high: float = 10.0, limits: Limits | None = None):
+    """A scorer (question, text) -> number as a column function: texts cut, scores clamped, null after `tries` failures. It is
+    asked by a pool within `limits`, whose `tries` go before; refusals for quota wait and don't count."""
+    limits = limits or Limits(tries=tries)
 
     @pandas_udf("double")
-    def run(question: pd.Series, text: pd.Series) -> pd.Series:
-        out = []
-        for q, t in zip(question, text):
-            got = None
-            for _ in range(tries):
-                try:
-                    got = score(q, (t or "")[:chars])
-                    break
-                except Exception:
-                    continue
-            out.append(None if got is None else min(high, max(low, float(got))))
-        return pd.Series(out, dtype="float64")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        with Pool(limits) as pool:
+            for question, text in parts:
+                got = pool.each(lambda x: _number(score(*x)), [(q, (t or "")[:chars]) for q, t in zip(question, text)])
+                yield pd.Series([None if a.value is None else min(high, max(low, a.value)) for a in got], dtype="float64")
 
     return run
 
 
-def batched(score: Callable[[list[tuple[str, str]]], list[float]], chars: int = CROSS_CHARS):
-    """A batch scorer as a column function; a failing batch has no scores."""
+def _number(x) -> float | None:
+    return None if x is None else float(x)
+
+
+def batched(score: Callable[[list[tuple[str, str]]], list[float]], chars: int = CROSS_CHARS, size: int | None = None, limits: Limits | None = None):
+    """A batch scorer as a column function. A failing batch has no scores; with `size` it gets lists of up to that many, a pool
+    asks within `limits`, and a failing list is halved until only the pairs that fail by themselves have none."""
 
     @pandas_udf("double")
-    def run(question: pd.Series, text: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(score([(q, (t or "")[:chars]) for q, t in zip(question, text)]), dtype="float64")
-        except Exception:
-            return pd.Series([None] * len(question), dtype="float64")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        with Pool(limits or Limits(concurrent=1, tries=1)) as pool:
+            for question, text in parts:
+                pairs = [(q, (t or "")[:chars]) for q, t in zip(question, text)]
+                if size is not None:
+                    yield pd.Series([a.value for a in pool.blocks(score, pairs, size)], dtype="float64")
+                    continue
+                got = pool.one(lambda x: pd.Series(score(x), index=range(len(x)), dtype="float64"), pairs)
+                yield pd.Series([None] * len(pairs), dtype="float64") if got.value is None else got.value
 
     return run
 

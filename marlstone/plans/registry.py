@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions import numbers, text
 from marlstone.functions.bpe import Vocabulary
-from marlstone.operators import chats, chunking, draws, embedding, generation, ledger, lexical, metrics, parsing, quantiles, rerank, retrieval, routing, sampling
+from marlstone.operators import chats, chunking, draws, embedding, generation, ledger, lexical, metrics, parsing, quantiles, remote, rerank, retrieval, routing, sampling
 from marlstone.plans import fixtures as fx
 from marlstone.plans.fixtures import (
     DIM,
@@ -759,6 +759,30 @@ def latest_per_key(s, d):
     return sampling.latest(table(s, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", tie="o_orderkey")
 
 
+def _flaky_service():
+    """A stand-in for a remote scorer: refuses each prompt once for quota, knows no answer for every thirteenth length, and else
+    answers with the number of words, ten at most."""
+    seen: set = set()
+
+    def call(x: tuple) -> str:
+        prompt = x[0] or ""
+        if x not in seen:
+            seen.add(x)
+            raise remote.QuotaExceeded("Quota exceeded")
+        if len(prompt) % 13 == 0:
+            raise ValueError("no answer")
+        return str(min(10, len(prompt.split())))
+
+    return call
+
+
+@query("SELECT doc_id, CASE WHEN length(coalesce(text, '')) % 13 <> 0 THEN CAST(least(10, len(regexp_extract_all(coalesce(text, ''), '\\S+'))) AS VARCHAR) END AS said, CASE WHEN length(coalesce(text, '')) % 13 = 0 THEN 'ValueError: no answer' END AS said_error FROM documents")
+def remote_calls(s, d):
+    """Every document asked about through the pool of a service with a quota; no row is lost."""
+    rows = table(s, d, "documents").select("doc_id", "text")
+    return remote.called(rows, ["text"], "said", _flaky_service(), remote.Limits(concurrent=8, base=0.001)).select("doc_id", "said", "said_error")
+
+
 _FLAGS = ["A", "N", "R"]
 
 
