@@ -32,9 +32,11 @@ from marlstone.plans.fixtures import (
     table,
 )
 from marlstone.sources import filings, vectors
+from marlstone.sources.blocks import BlockSink
 from marlstone.sources.cells import CellIndex
 from marlstone.sources.postings import PostingIndex
 from marlstone.sources.shared import shared_folder
+from marlstone.streaming import answers
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -759,6 +761,18 @@ def latest_per_key(s, d):
     return sampling.latest(table(s, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", tie="o_orderkey")
 
 
+@query("SELECT item_id AS qid, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS n_words, CASE WHEN regexp_matches(lower(coalesce(text, '')), '\\bitem\\s+\\d+[a-z]?\\b') OR contains(lower(coalesce(text, '')), 'section') OR len(regexp_extract_all(coalesce(text, ''), '\\S+')) <= 5 THEN 'bm25' ELSE 'hybrid' END AS strategy FROM benchmark")
+def answers_in_blocks(s, d):
+    """The items as a stream, routed block by block into a sink of whole blocks."""
+    items = table(s, d, "benchmark")
+    stream = s.readStream.schema(items.schema).parquet(f"{d}/benchmark.parque[t]")
+    sink = BlockSink(s, shared_folder(s, "answers"), "parquet")
+    route = lambda rows: rows.select(F.col("item_id").alias("qid"), F.size(text.white_tokens(F.col("text"))).cast("long").alias("n_words"), text.route(F.col("text")).alias("strategy"))
+    answers.answering(stream, route, sink, shared_folder(s, "answers-checkpoint")).awaitTermination()
+    out = sink.read()
+    return route(items.limit(0)) if out is None else out
+
+
 def _flaky_service():
     """A stand-in for a remote scorer: refuses each prompt once for quota, knows no answer for every thirteenth length, and else
     answers with the number of words, ten at most."""

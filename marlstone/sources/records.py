@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators.ledger import COLUMNS, coerced
+from marlstone.sources.blocks import BlockSink
 
 QA_SCHEMA = (
     "id string, question string, ground_truth_answer string, source_ticker string, source_filing_date string, source_fiscal_year int, "
@@ -66,25 +67,30 @@ def write_per_question(rows: DataFrame, path: str, experiment: str) -> None:
     rows.write.mode("overwrite").json(f"{path}/exp_name={experiment}")
 
 
+def per_question_sink(spark: SparkSession, path: str, experiment: str) -> BlockSink:
+    """An experiment's folder as a sink of blocks: what was written stays whatever happens, and a block is whole or not there."""
+    return BlockSink(spark, f"{path}/exp_name={experiment}")
+
+
 def append_per_question(rows: DataFrame, path: str, experiment: str) -> None:
-    """Adds scored questions to an experiment's folder as they are done: what was written before stays whatever happens."""
-    rows.write.mode("append").json(f"{path}/exp_name={experiment}")
+    """Adds a block of scored questions to an experiment's folder. One writer at a time."""
+    sink = per_question_sink(rows.sparkSession, path, experiment)
+    number = sink.next()
+    if not sink.write(rows, number):
+        raise RuntimeError(f"block {number} of {experiment} was made by another writer")
 
 
 def read_per_question(spark: SparkSession, path: str, experiment: str, columns: list[str] = ()) -> DataFrame:
     """An experiment's scored questions; `columns` that no line has are null."""
-    rows = spark.read.json(f"{path}/exp_name={experiment}")
+    rows = per_question_sink(spark, path, experiment).read()
+    if rows is None:
+        raise ValueError(f"nothing was written for {experiment}")
     return rows.withColumns({c: F.lit(None).cast("string") for c in columns if c not in rows.columns})
 
 
 def unanswered(questions: DataFrame, path: str, experiment: str) -> DataFrame:
     """Questions (qid) that the experiment's folder does not have yet."""
-    spark = questions.sparkSession
-    folder = f"{path}/exp_name={experiment}"
-    if not _listed(spark, folder):
-        return questions
-    kind = dict(questions.dtypes)["qid"]
-    return questions.join(spark.read.schema(f"qid {kind}").json(folder).distinct(), "qid", "left_anti")
+    return per_question_sink(questions.sparkSession, path, experiment).missing(questions, "qid")
 
 
 def write_chunks(chunks: DataFrame, path: str) -> None:
