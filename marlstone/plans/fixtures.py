@@ -217,3 +217,18 @@ SQL_LEDGER = """ledger AS (SELECT s_name AS exp_name, s_suppkey AS ord, strftime
     for k, m in enumerate(("context_recall", "faithfulness", "answer_relevancy", "hit_at_5", "citation_accuracy", "hit_at_5_content", "citation_accuracy_content"), 2)
 ) + ", abs(s_acctbal) AS mean_latency_ms FROM supplier)"
 
+
+def sql_recursive(name: str, rows: str, overlap: int, separators: tuple[str, ...] = chunking.SEPARATORS) -> str:
+    """CTEs that end in `name`(id, size, i, text); rows is a query of (id, size, text). One level of separators after the other:
+    too long pieces are split there and packed again by a fold."""
+    out = f"{name}_0 AS (SELECT id, size, CASE WHEN regexp_matches(text, '\\S') THEN [text] ELSE [] END AS c FROM ({rows}))"
+    for k, sep in enumerate(separators, 1):
+        cut = f"e'{sep}'".replace("\n", "\\n")
+        fold = (
+            f"list_reduce(list_transform(string_split(x, {cut}), lambda p: [p]), lambda acc, p: CASE WHEN len(acc) > 0 AND length(acc[-1]) + {len(sep)} + length(p[1]) <= size THEN acc[1:len(acc) - 1] || [acc[-1] || {cut} || p[1]] "
+            "WHEN p[1] = '' THEN acc ELSE acc || p END, CAST([] AS VARCHAR[]))"
+        )
+        out += f",\n{name}_{k} AS (SELECT id, size, flatten(list_transform(c, lambda x: CASE WHEN length(x) > size AND contains(x, {cut}) THEN {fold} ELSE [x] END)) AS c FROM {name}_{k - 1})"
+    slices = f"[x[low + 1 : low + size] FOR low IN range(0, length(x), size - {overlap})]"
+    out += f",\n{name}_s AS (SELECT id, size, list_filter(flatten(list_transform(c, lambda x: CASE WHEN length(x) > size THEN {slices} ELSE [x] END)), lambda x: regexp_matches(x, '\\S')) AS c FROM {name}_{len(separators)})"
+    return out + f",\n{name} AS (SELECT id, size, i - 1 AS i, c[i] AS text FROM (SELECT id, size, c, unnest(range(1, len(c) + 1)) AS i FROM {name}_s))"

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from marlstone.functions import numbers, text
+from marlstone.functions import numbers, tables, text
 from marlstone.functions.bpe import Vocabulary
 from marlstone.operators import chats, chunking, draws, embedding, generation, ledger, lexical, metrics, parsing, quantiles, remote, rerank, retrieval, routing, sampling
 from marlstone.plans import fixtures as fx
@@ -27,6 +27,7 @@ from marlstone.plans.fixtures import (
     sql_fuse_of,
     sql_match,
     sql_parents,
+    sql_recursive,
     sql_run,
     sql_sparse,
     table,
@@ -270,7 +271,13 @@ def chunk_ids(s, d):
     return fx.chunks(s, d).select("chunk_id", "doc_key", "section_id", "chunk_index", "chunker")
 
 
-@query()
+_ID = "lpad(CAST(doc_id AS VARCHAR), 8, '0') || '_' || lang"
+_RECURSIVE = f"WITH {sql_recursive('rec', f'SELECT {_ID} AS id, 600 AS size, text FROM documents', 60)}"
+_BUDGET = "CASE lang WHEN 'fr' THEN 900 WHEN 'de' THEN 700 ELSE 1200 END"
+_STRUCTURAL = f"WITH {sql_recursive('rec', f'SELECT {_ID} AS id, {_BUDGET} AS size, text FROM documents', 100)}"
+
+
+@query(f"{_RECURSIVE} SELECT printf('%s::%04d', id, i) AS chunk_id, i AS chunk_index, text FROM rec")
 def chunk_recursive(s, d):
     return chunking.recursive(fx.sections(s, d), 600, 60).select("chunk_id", "chunk_index", "text")
 
@@ -280,11 +287,55 @@ def chunk_semantic(s, d):
     return chunking.semantic(fx.sections(s, d), None, SIZE, OVERLAP).select("chunk_id", "chunk_index", "text")
 
 
-@query()
+@query(f"{_STRUCTURAL} SELECT printf('%s::%04d', id, i) AS chunk_id, i AS chunk_index, size AS section_budget, text FROM rec")
 def chunk_structural(s, d):
     return chunking.structural(fx.sections(s, d), {"fr": 900, "de": 700}, 1200, 100).select("chunk_id", "chunk_index", "section_budget", "text")
 
 
+def _lateral(s, d, statement: str):
+    """A statement over {sections} that uses the chunkers as table functions."""
+    tables.register(s)
+    return s.sql(statement, sections=fx.sections(s, d))
+
+
+@query(f"WITH {SQL_CHUNKS} SELECT doc_key, chunk_index, text FROM chunks")
+def sql_chunk_naive(s, d):
+    return _lateral(s, d, f"SELECT s.doc_key, CAST(c.chunk_index AS BIGINT) AS chunk_index, c.text FROM {{sections}} s, LATERAL chunk_naive(s.text, {SIZE}, {OVERLAP}) c")
+
+
+@query(f"WITH {SQL_CHILDREN} SELECT split_part(chunk_id, '_', 1) AS doc_key, CAST(regexp_extract(chunk_id, '::([0-9]+):', 1) AS BIGINT) AS parent_index, CAST(regexp_extract(chunk_id, ':c([0-9]+)$', 1) AS BIGINT) AS child_index, text FROM children")
+def sql_chunk_parent_child(s, d):
+    return _lateral(
+        s,
+        d,
+        f"SELECT s.doc_key, CAST(p.chunk_index AS BIGINT) AS parent_index, CAST(c.chunk_index AS BIGINT) AS child_index, c.text FROM {{sections}} s, LATERAL chunk_naive(s.text, {SIZE}, {OVERLAP}) p, LATERAL chunk_naive(p.text, 48, 8) c",
+    )
+
+
+@query(f"{_RECURSIVE} SELECT split_part(id, '_', 1) AS doc_key, i AS chunk_index, text FROM rec")
+def sql_chunk_recursive(s, d):
+    return _lateral(s, d, "SELECT s.doc_key, CAST(c.chunk_index AS BIGINT) AS chunk_index, c.text FROM {sections} s, LATERAL chunk_recursive(s.text, 600, 60) c")
+
+
+@query(f"{_STRUCTURAL} SELECT split_part(id, '_', 1) AS doc_key, i AS chunk_index, text FROM rec")
+def sql_chunk_structural(s, d):
+    return _lateral(
+        s,
+        d,
+        "SELECT s.doc_key, CAST(c.chunk_index AS BIGINT) AS chunk_index, c.text FROM {sections} s, LATERAL chunk_recursive(s.text, CASE section_id WHEN 'fr' THEN 900 WHEN 'de' THEN 700 ELSE 1200 END, 100) c",
+    )
+
+
+@query("SELECT lpad(CAST(doc_id AS VARCHAR), 8, '0') AS doc_key, CAST(k AS BIGINT) AS chunk_index, substr(text, k * 540 + 1, 600) AS text FROM (SELECT doc_id, text, unnest(range(0, CAST((length(text) - 1) // 540 AS BIGINT) + 1)) AS k FROM documents WHERE length(text) > 0)")
+def sql_chunk_slices(s, d):
+    return _lateral(s, d, "SELECT s.doc_key, CAST(c.chunk_index AS BIGINT) AS chunk_index, c.text FROM {sections} s, LATERAL chunk_slices(s.text, 600, 60) c")
+
+
+@query()
+def sql_chunk_semantic(s, d):
+    return _lateral(s, d, f"SELECT s.doc_key, c.chunk_index, c.text FROM {{sections}} s, LATERAL chunk_semantic(s.text, {SIZE}, {OVERLAP}, 95) c")
+
+
 @query(
     "WITH RECURSIVE s AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), "
     "r AS (SELECT doc_id, p, 1 AS i, length(p[1]) AS held, 0 AS chunk FROM s UNION ALL SELECT doc_id, p, i + 1, CASE WHEN held + 1 + length(p[i + 1]) <= 600 THEN held + 1 + length(p[i + 1]) ELSE length(p[i + 1]) END, CASE WHEN held + 1 + length(p[i + 1]) <= 600 THEN chunk ELSE chunk + 1 END FROM r WHERE i < len(p)) "
