@@ -27,19 +27,17 @@ def family(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return chunking.parent_child(sections(spark, d), SIZE, OVERLAP, 48, 8)
 
 
-def first_words(c, n: int):
-    return F.array_join(F.slice(white_tokens(c), 1, n), " ")
-
-
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), first_words(F.col("text"), 12).alias("question"), F.col("text").alias("span"))
+    """Every item as a question, its whole text."""
+    return table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(white_tokens(F.col("text")), " ").alias("question"), F.col("text").alias("span"))
 
 
 def formulations(spark: SparkSession, d: str) -> DataFrame:
-    """The question, its first six words, and its last six, as three formulations."""
+    """The question, the first half of its words, and the second, as three formulations."""
     q = questions(spark, d)
     w = white_tokens(F.col("question"))
-    texts = F.array(F.col("question"), F.array_join(F.slice(w, 1, 6), " "), F.array_join(F.slice(w, 7, 6), " "))
+    half = F.floor((F.size(w) + 1) / 2).cast("int")
+    texts = F.array(F.col("question"), F.array_join(F.slice(w, F.lit(1), half), " "), F.array_join(F.slice(w, half + 1, F.size(w)), " "))
     return q.select("qid", F.posexplode(texts).alias("list_no", "question"))
 
 
@@ -121,10 +119,10 @@ SQL_CHILDREN = (
     + ",\nptok AS (SELECT chunk_id AS parent_id, doc_key, section_id, regexp_extract_all(text, '\\S+') AS w FROM chunks),\n"
     + sql_windows("ptok", "parent_id, ", 48, 8, "children", "printf('%s:c%02d', parent_id, k)")
 )
-SQL_QUESTIONS = """questions AS (SELECT item_id AS qid, array_to_string((regexp_extract_all(text, '\\S+'))[1:12], ' ') AS question, text AS span FROM benchmark)"""
+SQL_QUESTIONS = """questions AS (SELECT item_id AS qid, array_to_string(regexp_extract_all(coalesce(text, ''), '\\S+'), ' ') AS question, text AS span FROM benchmark)"""
 SQL_FORMS = """forms AS (SELECT qid, 0 AS list_no, question FROM questions UNION ALL
-  SELECT qid, 1, array_to_string((regexp_extract_all(question, '\\S+'))[1:6], ' ') FROM questions UNION ALL
-  SELECT qid, 2, array_to_string((regexp_extract_all(question, '\\S+'))[7:12], ' ') FROM questions)"""
+  SELECT qid, 1, array_to_string((regexp_extract_all(question, '\\S+'))[1:(len(regexp_extract_all(question, '\\S+')) + 1) // 2], ' ') FROM questions UNION ALL
+  SELECT qid, 2, array_to_string((regexp_extract_all(question, '\\S+'))[(len(regexp_extract_all(question, '\\S+')) + 1) // 2 + 1:], ' ') FROM questions)"""
 
 
 def sql_sparse(name: str, rows: str, dim: int = DIM) -> str:
