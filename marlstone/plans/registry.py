@@ -32,7 +32,7 @@ from marlstone.plans.fixtures import (
     sql_sparse,
     table,
 )
-from marlstone.sources import filings, vectors
+from marlstone.sources import filings, records, vectors
 from marlstone.sources.blocks import BlockSink
 from marlstone.sources.cells import CellIndex
 from marlstone.sources.postings import PostingIndex
@@ -812,6 +812,25 @@ def latest_per_key(s, d):
     return sampling.latest(table(s, d, "orders"), "o_custkey", "o_orderdate", "o_orderkey", "o_totalprice", tie="o_orderkey")
 
 
+_CALL_MODELS = {"click": "gemini-2.5-flash", "error": "gemini-2.5-pro", "purchase": "text-embedding-005"}
+_CALL_MODEL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _CALL_MODELS.items()) + " END"
+_RATED = f"(VALUES {', '.join(f"('{m}', {a}, {b})" for m, a, b in numbers.PRICES)}) AS p(model, a, b)"
+
+
+@query(
+    f"WITH calls AS (SELECT strftime(ts, '%Y-%m-%d') AS day, coalesce({_CALL_MODEL}, 'other') AS model, event_id % 997 AS i, event_id % 101 AS o FROM events) "
+    f"SELECT day, model, count(*) AS n, CAST(sum(i) AS BIGINT) AS input_tokens, round(sum(i / 1e6 * coalesce(a, 0) + o / 1e6 * coalesce(b, 0)), 6) AS cost_usd FROM calls LEFT JOIN {_RATED} USING (model) GROUP BY 1, 2"
+)
+def cost_log(s, d):
+    """Events as calls, priced, appended to a cost log as a block, read back and summed by day and model."""
+    kind = F.create_map(*[F.lit(x) for kv in _CALL_MODELS.items() for x in kv])
+    calls = table(s, d, "events").select("ts", F.lit("generate").alias("operation"), F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("other")).alias("model"), (F.col("event_id") % 997).alias("input_tokens"), (F.col("event_id") % 101).alias("output_tokens"), F.lit(0.0).alias("latency_ms"))
+    folder = shared_folder(s, "costs")
+    records.append_costs(calls, folder)
+    rows = records.read_costs(s, folder)
+    return rows.groupBy(F.substring("ts", 1, 10).alias("day"), "model").agg(F.count(F.lit(1)).alias("n"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("cost_usd"), 6).alias("cost_usd"))
+
+
 @query("SELECT item_id AS qid, CAST(len(regexp_extract_all(coalesce(text, ''), '\\S+')) AS BIGINT) AS n_words, CASE WHEN regexp_matches(lower(coalesce(text, '')), '\\bitem\\s+\\d+[a-z]?\\b') OR contains(lower(coalesce(text, '')), 'section') OR len(regexp_extract_all(coalesce(text, ''), '\\S+')) <= 5 THEN 'bm25' ELSE 'hybrid' END AS strategy FROM benchmark")
 def answers_in_blocks(s, d):
     """The items as a stream, routed block by block into a sink of whole blocks."""

@@ -12,6 +12,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions.numbers import PRICES, cost
 from marlstone.operators.ledger import COLUMNS, coerced
 from marlstone.sources.blocks import BlockSink
 
@@ -107,8 +108,25 @@ def log_cost(path: str, operation: str, model: str, tokens_in: int, tokens_out:
         log.warning("cost log: %s", e)
 
 
+def append_costs(calls: DataFrame, path: str) -> int:
+    """Adds a block of calls (operation, model, input_tokens, output_tokens, latency_ms, and ts if known) to a cost log on any file
+    system, priced by model, and returns its number. Unknown models and missing tokens cost nothing; without a time, calls are
+    of now. Whole blocks only: a job that dies leaves none of its lines, and one that is repeated adds a block of its own. One
+    writer at a time."""
+    per = F.create_map(*[F.lit(x) for m, a, b in PRICES for x in (m, F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")))])
+    rate = F.try_element_at(per, F.coalesce("model", F.lit("")))
+    when = F.date_format(F.coalesce(F.col("ts").cast("timestamp") if "ts" in calls.columns else F.lit(None).cast("timestamp"), F.current_timestamp()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    rows = calls.select(when.alias("ts"), "operation", "model", *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens")], cost(F.col("input_tokens"), F.col("output_tokens"), rate["a"], rate["b"]).alias("cost_usd"), F.col("latency_ms").cast("double").alias("latency_ms"))
+    sink = BlockSink(calls.sparkSession, path)
+    number = sink.next()
+    if not sink.write(rows, number):
+        raise RuntimeError(f"block {number} of the cost log was made by another writer")
+    return number
+
+
 def read_costs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COST_SCHEMA).json(path)
+    """A cost log: a file of lines, or a folder of blocks."""
+    return spark.read.schema(COST_SCHEMA).option("recursiveFileLookup", "true").json(path)
 
 
 def write_leaderboard(board: dict, folder: str) -> str:

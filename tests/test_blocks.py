@@ -112,3 +112,13 @@ def test_an_experiment_goes_on_after_a_judge_died(spark, tmp_path):
     assert sorted(r.qid for r in done.collect()) == list(range(6)) and total.first().exp_name == "e"
     with pytest.raises(ValueError):
         records.read_per_question(spark, f"{tmp_path}/sink", "other")
+
+
+def test_costs_on_any_file_system(spark, tmp_path):
+    calls = [("a", "gemini-2.5-pro", 1_000_000, 1_000_000, 2.0), ("b", None, None, 5, None), ("c", "unknown", 9, 9, 1.0)]
+    rows = spark.createDataFrame(calls, "operation string, model string, input_tokens long, output_tokens long, latency_ms double")
+    path = f"file://{tmp_path}/costs"
+    assert [records.append_costs(rows, path), records.append_costs(rows, path)] == [0, 1]
+    got = records.read_costs(spark, path).collect()
+    assert len(got) == 6 and sum(r.cost_usd for r in got) == 12.5 and all(r.ts for r in got)
+    assert records.append_costs(rows.limit(0), path) == 2 and records.read_costs(spark, path).count() == 6
