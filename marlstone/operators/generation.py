@@ -36,10 +36,17 @@ def answer(ctx):
     return F.when(F.coalesce(F.size(ctx), F.lit(0)) == 0, F.lit(REFUSAL)).otherwise(F.concat(F.lit("Based on the retrieved filings: "), snippet, F.lit("\n\nSources:\n"), sources))
 
 
-def generate(questions: DataFrame, ranking: DataFrame, chunks: DataFrame) -> DataFrame:
-    """qid, answer, cited (ids in order), input_tokens, output_tokens for every question."""
+def generate(questions: DataFrame, ranking: DataFrame, chunks: DataFrame, model: Callable[[str], str] | None = None) -> DataFrame:
+    """qid, answer, cited (ids in order), input_tokens, output_tokens for every question. A model is asked with the contexts
+    and the question, and not at all where there is no context."""
     rows = questions.select("qid", "question").join(contexts(ranking, chunks), "qid", "left")
-    rows = rows.withColumn("answer", answer(F.col("ctx")))
+    if model is None:
+        rows = rows.withColumn("answer", answer(F.col("ctx")))
+    else:
+        asked = F.concat(F.lit("Context:\n"), prompt(F.col("ctx")), F.lit("\n\nQuestion: "), F.coalesce("question", F.lit("")), F.lit("\n\nAnswer:"))
+        some = F.coalesce(F.size("ctx"), F.lit(0)) > 0
+        ran = rows.filter(some).withColumn("answer", spoken(model)(asked))
+        rows = ran.unionByName(rows.filter(~some).withColumn("answer", F.lit(REFUSAL)))
     text = F.concat(F.col("question"), F.coalesce(F.array_join(F.transform("ctx", lambda c: c["text"]), ""), F.lit("")))
     return rows.select(
         "qid",

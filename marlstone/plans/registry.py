@@ -35,6 +35,7 @@ from marlstone.plans.fixtures import (
 from marlstone.sources import filings, records, vectors
 from marlstone.sources.blocks import BlockSink
 from marlstone.sources.cells import CellIndex
+from marlstone.sources.chatlog import ChatLog
 from marlstone.sources.postings import PostingIndex
 from marlstone.sources.shared import shared_folder
 from marlstone.streaming import answers
@@ -974,6 +975,16 @@ def chat_first_question(s, d):
     return chats.first_questions(table(s, d, "conversations"))
 
 
+@query("SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, role, text FROM conversations WHERE conv_id % 5 <> 1 AND (conv_id % 3 <> 0 OR turn < 2)")
+def chat_log(s, d):
+    turns, kept = table(s, d, "conversations"), ChatLog(s, shared_folder(s, "chat-log"))
+    kept.save(turns)
+    kept.save(turns.filter("conv_id % 3 = 0 AND turn < 2"))  # these chats begin anew
+    kept.delete(turns.filter("conv_id % 5 = 1").select("conv_id"))
+    kept.compact()
+    return kept.turns()
+
+
 _CTX = _BASE + sql_bm25("bm", "questions", "chunks", 3) + ", ctx AS (SELECT qid, list(text ORDER BY rank) AS t, list(chunk_id ORDER BY rank) AS i, list(score ORDER BY rank) AS s FROM bm JOIN chunks USING (chunk_id) GROUP BY 1)"
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import PRICES
 from marlstone.operators import chunking, generation, ledger, metrics, parsing, rerank, retrieval, streams
+from marlstone.plans.components import Parts
 from marlstone.sources import filings, records, vectors
 
 
@@ -91,16 +92,16 @@ def sections_of(html: DataFrame) -> DataFrame:
     return parsing.parse(html.select("doc_key", parsing.html_text(F.col("html")).alias("text"))).select("doc_key", "section_id", "text")
 
 
-def bundle_of(sections: DataFrame, settings: Settings) -> retrieval.Bundle:
+def bundle_of(sections: DataFrame, settings: Settings, parts: Parts = Parts()) -> retrieval.Bundle:
     """Parent strategies need windows within windows, so they fix the chunker."""
     if settings.strategy in ("parent_doc", "hybrid_parent"):
         parents, children = chunking.parent_child(sections, settings.size, settings.overlap, settings.child_size, settings.child_overlap)
-        return retrieval.Bundle(parents, children, settings.dim)
+        return retrieval.Bundle(parents, children, settings.dim, parts.embed)
     how = {"size": settings.size, "overlap": settings.overlap} if settings.chunker in ("naive", "semantic") else {}
-    return retrieval.Bundle(chunking.chunk(sections, settings.chunker, **how), None, settings.dim)
+    return retrieval.Bundle(chunking.chunk(sections, settings.chunker, **how), None, settings.dim, parts.embed)
 
 
-def bundle_for(qa: DataFrame, manifest: DataFrame, settings: Settings) -> retrieval.Bundle:
+def bundle_for(qa: DataFrame, manifest: DataFrame, settings: Settings, parts: Parts = Parts()) -> retrieval.Bundle:
     """What a question set (source_ticker, source_filing_date) needs, and no other filing: those of the manifest that it names.
     Filings that are missing there, and those without a section, are warned of and passed by; without a chunk it raises."""
     spark = qa.sparkSession
@@ -125,20 +126,20 @@ def bundle_for(qa: DataFrame, manifest: DataFrame, settings: Settings) -> retrie
     sections = sections_of(pages.join(named, "file").select(F.col("own").alias("doc_key"), "html")).persist()
     for r in named.join(sections, named["own"] == sections["doc_key"], "left_anti").collect():
         log.warning("no section in filing %s", r.own)
-    bundle = bundle_of(sections, settings)
+    bundle = bundle_of(sections, settings, parts)
     if bundle.chunks.isEmpty():
         raise RuntimeError("no chunk for the question set")
     return bundle
 
 
-def rankings(bundle: retrieval.Bundle, questions: DataFrame, settings: Settings) -> DataFrame:
+def rankings(bundle: retrieval.Bundle, questions: DataFrame, settings: Settings, parts: Parts = Parts()) -> DataFrame:
     k = max(settings.top_k, settings.candidates) if settings.rerank else settings.top_k
     if settings.multi_query:
-        out = retrieval.retrieve_many(bundle, rerank.expand(questions), settings.strategy, k)
+        out = retrieval.retrieve_many(bundle, rerank.expand(questions, parts.expand), settings.strategy, k)
     else:
         out = retrieval.retrieve(bundle, questions, settings.strategy, k)
     if settings.hypothetical:
-        out = retrieval.with_hypothetical(out, retrieval.retrieve(bundle, rerank.hypothetical(questions), settings.strategy, k), k)
+        out = retrieval.with_hypothetical(out, retrieval.retrieve(bundle, rerank.hypothetical(questions, parts.write), settings.strategy, k), k)
     if settings.rerank:
         out = rerank.rerank(out, questions, bundle.chunks, settings.top_k).drop("model_score")
     return out
@@ -152,7 +153,7 @@ def no_judge(rows: DataFrame) -> DataFrame:
     return rows.select("qid", *[F.lit(None).cast("double").alias(c) for c in JUDGED])
 
 
-def run_experiment(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings, name: str, judge=no_judge, sink: str | None = None, block: int = 512) -> tuple[DataFrame, DataFrame]:
+def run_experiment(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings, name: str, judge=no_judge, sink: str | None = None, block: int = 512, parts: Parts = Parts()) -> tuple[DataFrame, DataFrame]:
     """(per question, experiment row) for qa (qid, question, qa_type, source_id, span, filing).
 
     Questions are answered in blocks of `block`, whose time is measured and shared evenly by its questions; cost is that of
@@ -166,8 +167,8 @@ def run_experiment(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings,
     for part in streams.blocks_of(todo, block):
         began = time.monotonic()
         asked = spark.createDataFrame(part, todo.schema)
-        top = rankings(bundle, asked.select("qid", "question"), settings)
-        made = generation.generate(asked, top, bundle.chunks)
+        top = rankings(bundle, asked.select("qid", "question"), settings, parts)
+        made = generation.generate(asked, top, bundle.chunks, parts.generate)
         texts = generation.contexts(top, bundle.chunks).select("qid", F.transform("ctx", lambda c: c["chunk_id"]).alias("retrieved"), F.transform("ctx", lambda c: c["text"]).alias("retrieved_texts"))
         rows = asked.join(made, "qid").join(texts, "qid", "left")
         for c in ("retrieved", "retrieved_texts"):
@@ -192,9 +193,10 @@ def run_experiment(bundle: retrieval.Bundle, qa: DataFrame, settings: Settings,
 class Engine:
     """Questions against indexed sections; one long-lived object."""
 
-    def __init__(self, sections: DataFrame, settings: Settings = Settings(), cache_size: int = 512):
+    def __init__(self, sections: DataFrame, settings: Settings = Settings(), cache_size: int = 512, parts: Parts = Parts()):
+        self.parts = parts
         self.spark, self.settings, self.cache = sections.sparkSession, settings, AnswerCache(cache_size)
-        self.bundle = bundle_of(sections, settings)
+        self.bundle = bundle_of(sections, settings, parts)
 
     def ask(self, question: str, top_k: int | None = None) -> dict:
         k = self.settings.top_k if top_k is None else top_k
@@ -209,8 +211,8 @@ class Engine:
         began = time.monotonic()
         q = self.spark.createDataFrame([(0, question)], "qid long, question string")
         s = Settings(**{**self.settings.__dict__, "top_k": k})
-        top = rankings(self.bundle, q, s)
-        made = generation.generate(q, top, self.bundle.chunks).first()
+        top = rankings(self.bundle, q, s, self.parts)
+        made = generation.generate(q, top, self.bundle.chunks, self.parts.generate).first()
         out = {"answer": made.answer, "citations": list(made.cited), "cache": "MISS", "latency_ms": (time.monotonic() - began) * 1000}
         self.cache.put(out, *key)
         return out

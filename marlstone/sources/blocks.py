@@ -71,6 +71,11 @@ class BlockSink:
         reader = self.spark.read.format(self.fmt).option("recursiveFileLookup", "true")
         return (reader.schema(schema) if schema else reader).load(self.path)
 
+    def remove(self, number: int) -> bool:
+        """Whether there was such a block."""
+        fs = self._at().getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.delete(self._at(self._name(number)), True)
+
     def missing(self, rows: DataFrame, key: str) -> DataFrame:
         """Rows whose key no block has."""
         kind = dict(rows.dtypes)[key]

@@ -5,15 +5,14 @@ from __future__ import annotations
 import datetime
 import json
 import logging
-import os
 import re
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.numbers import PRICES, cost
 from marlstone.operators.ledger import COLUMNS, coerced
+from marlstone.sources import files
 from marlstone.sources.blocks import BlockSink
 
 QA_SCHEMA = (
@@ -31,13 +30,6 @@ def read_questions(spark: SparkSession, path: str, limit: int | None = None) ->
     return rows.orderBy("id").limit(limit) if limit is not None else rows
 
 
-def _listed(spark: SparkSession, path: str) -> list:
-    """What lies in a folder, by any file system of Spark's; none where nothing is there."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
-    return list(fs.listStatus(where)) if fs.exists(where) else []
-
-
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A CSV ledger, coerced, with `ord`, the order in which its lines were appended; columns that an older one lacks are null.
 
@@ -56,7 +48,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 def append_ledger(rows: DataFrame, path: str) -> None:
     """Appends experiment rows in the locked order of columns; others are passed by. Each append has a folder with its number,
     and its rows keep their order (`ord`, where they have it). One writer at a time."""
-    numbers = [int(n[7:]) for n in (x.getPath().getName() for x in _listed(rows.sparkSession, path)) if n.startswith("append=")]
+    numbers = [int(n[7:]) for n in (x.getPath().getName() for x in files.listed(rows.sparkSession, path)) if n.startswith("append=")]
     order = ["ord"] if "ord" in rows.columns else []
     locked = rows.coalesce(1).sortWithinPartitions(*order) if order else rows.coalesce(1)
     locked = locked.select(*[F.col(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in COLUMNS])
@@ -129,28 +121,38 @@ def read_costs(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(COST_SCHEMA).option("recursiveFileLookup", "true").json(path)
 
 
+def _session() -> SparkSession:
+    return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+
+
 def write_leaderboard(board: dict, folder: str) -> str:
-    """Overwrites leaderboard.json and adds a snapshot that is never overwritten; returns the snapshot's path."""
-    top = Path(folder)
-    (top / "snapshots").mkdir(parents=True, exist_ok=True)
+    """Overwrites leaderboard.json and adds a snapshot that is never overwritten, on any file system that Spark reaches; returns
+    the snapshot's path. The snapshot is written first, so the leaderboard never shows what no snapshot has."""
+    spark, top = _session(), folder.rstrip("/")
     text = json.dumps(board, indent=2, sort_keys=True)
-    (top / "leaderboard.json").write_text(text)
     stamp = re.sub(r"[^0-9]", "", str(board.get("last_updated") or datetime.datetime.now(datetime.timezone.utc).isoformat()))[:14]
     for n in range(10_000):
-        path = top / "snapshots" / f"leaderboard_{stamp}{f'_{n}' if n else ''}.json"
-        try:
-            with path.open("x") as f:
-                f.write(text)
-            return str(path)
-        except FileExistsError:
-            continue
+        path = f"{top}/snapshots/leaderboard_{stamp}{f'_{n}' if n else ''}.json"
+        if not files.exists(spark, path) and files.write(spark, path, text):
+            files.write(spark, f"{top}/leaderboard.json", text, replace=True)
+            return path
     raise RuntimeError("too many snapshots of one moment")
 
 
+def read_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    """snapshot (file name), category, winner, winner_value, runner_up of every snapshot; broken ones are passed by."""
+    board = "categories map<string, struct<metric: string, winner: string, winner_value: double, runner_up: string>>"
+    rows = spark.read.text(f"{folder.rstrip('/')}/snapshots/*.json", wholetext=True)
+    rows = rows.select(F.element_at(F.split("_metadata.file_path", "/"), -1).alias("snapshot"), F.from_json("value", board).alias("board"))
+    return rows.select("snapshot", F.explode("board.categories").alias("category", "w")).select("snapshot", "category", "w.winner", "w.winner_value", "w.runner_up")
+
+
 def newest_run(folder: str, name: str = "per_question.jsonl") -> str | None:
-    """The run folder that changed last among those with a result file."""
-    runs = [p for p in Path(folder).glob("*") if (p / name).exists()] if os.path.isdir(folder) else []
-    return str(max(runs, key=lambda p: (p / name).stat().st_mtime)) if runs else None
+    """The run folder whose result file changed last, on any file system; of equal times the name that sorts last."""
+    spark = _session()
+    runs = [f"{folder.rstrip('/')}/{x.getPath().getName()}" for x in files.listed(spark, folder) if x.isDirectory()]
+    changed = [(r, next((x.getModificationTime() for x in files.listed(spark, r) if x.getPath().getName() == name), None)) for r in runs]
+    return max(((at, r) for r, at in changed if at is not None), default=(0, None))[1]
 
 
 def between_markers(text: str, name: str, body: str) -> str:
@@ -163,48 +165,48 @@ def between_markers(text: str, name: str, body: str) -> str:
 
 
 class ChatStore:
-    """Chats as JSON files. Loading a broken one raises; listing passes it by."""
+    """Chats as JSON files on any file system that Spark reaches, for one user's few; `ChatLog` keeps many. Loading a broken one
+    raises; listing passes it by."""
 
     IDS = re.compile(r"[A-Za-z0-9_-]{1,64}")
 
-    def __init__(self, folder: str):
-        self.folder = Path(folder)
-        self.folder.mkdir(parents=True, exist_ok=True)
+    def __init__(self, folder: str, spark: SparkSession | None = None):
+        self.spark, self.folder = spark or _session(), folder.rstrip("/")
 
-    def _path(self, chat_id: str) -> Path:
+    def _path(self, chat_id: str) -> str:
         if not self.IDS.fullmatch(chat_id):
             raise ValueError(f"bad chat id {chat_id!r}")
-        return self.folder / f"{chat_id}.json"
+        return f"{self.folder}/{chat_id}.json"
 
     def save(self, chat: dict) -> None:
         chat = {**chat, "updated_at": datetime.datetime.now(datetime.timezone.utc).isoformat()}
-        path = self._path(chat["id"])
-        part = path.with_suffix(".part")
-        part.write_text(json.dumps(chat))
-        part.replace(path)
+        files.write(self.spark, self._path(chat["id"]), json.dumps(chat), replace=True)
 
     def load(self, chat_id: str) -> dict | None:
         path = self._path(chat_id)
-        return json.loads(path.read_text()) if path.exists() else None
+        return json.loads(files.read(self.spark, path)) if files.exists(self.spark, path) else None
 
     def delete(self, chat_id: str) -> bool:
-        path = self._path(chat_id)
-        existed = path.exists()
-        path.unlink(missing_ok=True)
-        return existed
+        return files.remove(self.spark, self._path(chat_id))
+
+    def _parsed(self, schema: str) -> DataFrame | None:
+        """What parses, one row a file; None where there is no file."""
+        if not any(x.getPath().getName().endswith(".json") for x in files.listed(self.spark, self.folder)):
+            return None
+        rows = self.spark.read.text(f"{self.folder}/*.json", wholetext=True)
+        return rows.select(F.from_json("value", schema).alias("c")).filter("c.id is not null").select("c.*")
 
     def list(self) -> list[dict]:
-        out = []
-        for path in self.folder.glob("*.json"):
-            try:
-                chat = json.loads(path.read_text())
-                out.append({**{k: chat.get(k) for k in ("id", "title", "updated_at")}, "n_messages": len(chat.get("messages") or [])})
-            except (ValueError, AttributeError):
-                continue
-        return sorted(out, key=lambda c: c["updated_at"] or "", reverse=True)
-
-    def turns(self, spark: SparkSession) -> DataFrame:
+        """Newest first; only heads come to the driver."""
+        rows = self._parsed("id string, title string, updated_at string, messages array<string>")
+        if rows is None:
+            return []
+        rows = rows.select("id", "title", "updated_at", F.greatest(F.size(F.coalesce("messages", F.array().cast("array<string>"))), F.lit(0)).alias("n_messages"))
+        return [r.asDict() for r in rows.orderBy(F.col("updated_at").desc_nulls_last(), "id").collect()]
+
+    def turns(self, spark: SparkSession | None = None) -> DataFrame:
         """All chats as rows (conv_id, turn, role, text); broken files are dropped."""
-        schema = "id string, title string, messages array<struct<role:string,content:string>>"
-        rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("multiLine", "true").json(f"{self.folder}/*.json")
+        rows = self._parsed("id string, title string, messages array<struct<role:string,content:string>>")
+        if rows is None:
+            return self.spark.createDataFrame([], "conv_id string, turn long, role string, text string")
         return rows.select(F.col("id").alias("conv_id"), F.posexplode("messages").alias("turn", "m")).select("conv_id", F.col("turn").cast("long").alias("turn"), "m.role", F.col("m.content").alias("text"))

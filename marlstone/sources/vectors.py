@@ -168,3 +168,26 @@ class VectorStore:
 
     def close(self) -> None:
         self.table = self.held = None
+
+
+class InsertStore(VectorStore):
+    """A store that always begins empty, tells nearness as 1 - distance, and whose length counts what was put in, repeats and
+    all; what it holds is one vector an id, as ever."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        super().__init__(spark, path, recreate=True, buckets=buckets)
+        self.put_in = 0
+
+    def upsert(self, ids_and_vectors: DataFrame, order: str | None = None) -> int:
+        n = ids_and_vectors.count()
+        super().upsert(ids_and_vectors, order)
+        self.put_in += n
+        return n
+
+    def query(self, queries: DataFrame, k: int) -> DataFrame:
+        """Rankings with the cosine distance, and the score that it gives; a ranking without a distance scores zero."""
+        rows = super().query(queries, k).withColumn("distance", F.lit(1.0) - F.col("score"))
+        return rows.withColumn("score", F.coalesce(F.lit(1.0) - F.col("distance"), F.lit(0.0)))
+
+    def __len__(self) -> int:
+        return self.put_in
