@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.common import shared_dir, table, utf8, written
+from marlstone.llm.common import owned, shared_dir, table, utf8, written
 
 N_SLOTS = 4096
 N_SHARDS = 24
@@ -122,8 +122,9 @@ class SlotMap:
 
 
 def store(spark: SparkSession, versions: list[SlotMap], path: str | None = None) -> str:
-    """Append the versions to the map's table, by default one of its own in the shared folder; returns its path."""
-    path = path or f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    """Append the versions to the map's table; returns its path. Without a path the map has a table of its own in the shared folder,
+    which goes at the end of the process."""
+    path = path or owned(spark, f"{shared_dir(spark)}/slot-map-{uuid.uuid4().hex}")
     for m in versions:
         m.frame(spark).coalesce(1).write.mode("append").parquet(path)
     return path
