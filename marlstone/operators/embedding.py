@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import white_tokens
+from marlstone.operators.streams import small_batches
 
 DIM = 768
 
@@ -29,9 +30,24 @@ def hashed(text: str | None, dim: int = DIM) -> np.ndarray:
     return v / (np.sqrt(v @ v) or 1.0)
 
 
+def hashed_rows(texts: list[str | None], dim: int = DIM) -> np.ndarray:
+    """hashed() of each text, as a matrix: all counts at once, logarithms of the few counts that aren't zero."""
+    said = [(t or "").lower().split() for t in texts]
+    places = np.array([_place(t, dim) for own in said for t in own], np.int64)
+    at = np.repeat(np.arange(len(said)), [len(own) for own in said]) * dim + places % dim
+    v = np.bincount(at, np.where(places < dim, 1.0, -1.0), len(said) * dim).astype(np.float64) if len(at) else np.zeros(len(said) * dim)
+    some = np.flatnonzero(v)
+    v[some] = np.sign(v[some]) * np.log1p(np.abs(v[some]))
+    v = v.reshape(len(said), dim)
+    for row in v:
+        row /= np.sqrt(row @ row) or 1.0
+    return v
+
+
 def embed(texts: DataFrame, id_col: str, text_col: str = "text", dim: int = DIM, model: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
     """id, v (array<double>). `model` takes a list of texts; the default is the hashed embedder."""
-    how = model or (lambda batch: np.array([hashed(t, dim) for t in batch]))
+    how = model or functools.partial(hashed_rows, dim=dim)
+    small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,7 +5,8 @@ the order of rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -14,10 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marlstone.operators import embedding, lexical
-from marlstone.operators.streams import ROUND, Best, arrow, passes_of, ranked_by_score, ranking_schema
+from marlstone.operators.streams import ROUND, Best, arrow, few, passes_of, ranked_by_score, ranking_schema, small_batches
 
 RRF_K, SIDE_K, TOP_K = 60, 20, 5
 QUERY_BLOCK, PASS = 1024, 16
+#: Scores, or components of vectors, that a task works on at a time.
+CELLS = 1 << 20
 
 
 def rank_by(rows: DataFrame, k: int, *order, group: str = "qid") -> DataFrame:
@@ -25,12 +28,15 @@ def rank_by(rows: DataFrame, k: int, *order, group: str = "qid") -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Cosine top-k of queries (qid, v) over vectors (id, v), exact.
+def dense(vectors: DataFrame, queries: DataFrame, k: int, model: Callable[[list[str]], np.ndarray] | None = None) -> DataFrame:
+    """Cosine top-k of queries (qid, v) over vectors (id, v), exact; or over texts (id, text), whose vectors `model` makes where
+    they are scored.
 
     Queries go in blocks of bounded size to every task, each as one matrix; a task keeps k rows a query while it
-    streams its vectors once for PASS blocks, and those partial answers are merged. Vectors are never shuffled."""
+    streams its vectors once for PASS blocks, CELLS scores at a time, and those partial answers are merged. Vectors are never
+    shuffled."""
     spark = vectors.sparkSession
+    small_batches(spark)
     kinds = dict(queries.dtypes)["qid"], dict(vectors.dtypes)["id"]
     if k <= 0:
         return spark.createDataFrame([], ranking_schema(*kinds, rank=True))
@@ -45,17 +51,19 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             best = [Best(qids, k) for qids, _ in shared.value]
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                ids = b.column(0).to_pylist()
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                x /= np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None]
-                for own, (_, q) in zip(best, shared.value):
-                    own.see(ids, x @ q.T)
+            step = max(1, CELLS // max(q.size // len(q) + len(q) for _, q in shared.value))
+            for whole in batches:
+                for at in range(0, whole.num_rows, step):
+                    b = whole.slice(at, step)
+                    ids = b.column(0).to_pylist()
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False) if model is None else model([t or "" for t in b.column(1).to_pylist()])
+                    x = np.array(x, np.float64).reshape(b.num_rows, -1)
+                    x /= np.where((n := np.sqrt((x * x).sum(axis=1))) == 0, 1.0, n)[:, None]
+                    for own, (_, q) in zip(best, shared.value):
+                        own.see(ids, x @ q.T)
             yield from (own.batch(fields) for own in best)
 
-        part = vectors.select("id", "v").mapInArrow(run, schema)
+        part = vectors.select("id", "v" if model is None else "text").mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return ranked_by_score(out, k) if out is not None else spark.createDataFrame([], ranking_schema(*kinds, rank=True))
 
@@ -81,8 +89,12 @@ def hybrid(dense_rank: DataFrame, lexical_rank: DataFrame, k: int, rrf_k: int =
 
 
 def to_parents(ranking: DataFrame, children: DataFrame, parents: DataFrame, k: int) -> DataFrame:
-    """Parents of ranked children, in order of their first child, with that child's score; unresolved ones go."""
-    rows = ranking.join(children.select("chunk_id", "parent_id").filter("parent_id <> ''"), "chunk_id").join(parents.select(F.col("chunk_id").alias("parent_id")), "parent_id", "left_semi")
+    """Parents of ranked children, in order of their first child, with that child's score; unresolved ones go.
+
+    The ranking is k rows a question: it goes to the children, and what it names to the parents, where those lie."""
+    rows = few(children.select("chunk_id", "parent_id").filter("parent_id <> ''").join(few(ranking), "chunk_id"))
+    known = parents.select(F.col("chunk_id").alias("parent_id")).join(rows, "parent_id", "left_semi").distinct()
+    rows = rows.join(known, "parent_id")
     per = rows.groupBy("qid", "parent_id").agg(F.min("rank").alias("best"), F.min_by("score", "rank").alias("score"))
     return rank_by(per, k, "best").select("qid", F.col("parent_id").alias("chunk_id"), "rank", "score")
 
@@ -103,7 +115,7 @@ def with_hypothetical(base: DataFrame, extra: DataFrame, k: int, rrf_k: int = RR
 
 def citations(ranking: DataFrame, chunks: DataFrame) -> DataFrame:
     """qid, citations: array of (rank, chunk_id, score, doc_key, section_id) in order."""
-    rows = ranking.join(chunks.select("chunk_id", "doc_key", "section_id"), "chunk_id")
+    rows = chunks.select("chunk_id", "doc_key", "section_id").join(few(ranking), "chunk_id")
     return rows.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", "doc_key", "section_id"))).alias("citations"))
 
 
@@ -143,7 +155,8 @@ def retrieve(bundle: Bundle, questions: DataFrame, strategy: str = "dense", k: i
 
     def by_vector(n):
         q = embedding.embed(questions, "qid", "question", bundle.dim, bundle.model).withColumnRenamed("id", "qid")
-        return dense(bundle.vectors(of), q, n)
+        rows = (bundle.chunks if of == "chunks" else bundle.children).select(F.col("chunk_id").alias("id"), "text")
+        return dense(rows, q, n, bundle.model or functools.partial(embedding.hashed_rows, dim=bundle.dim))
 
     if strategy == "dense":
         return by_vector(k)
