@@ -39,8 +39,7 @@ def hashed_rows(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     some = np.flatnonzero(v)
     v[some] = np.sign(v[some]) * np.log1p(np.abs(v[some]))
     v = v.reshape(len(said), dim)
-    for row in v:
-        row /= np.sqrt(row @ row) or 1.0
+    v /= np.array([np.sqrt(row @ row) or 1.0 for row in v]).reshape(-1, 1)
     return v
 
 
