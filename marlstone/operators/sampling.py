@@ -14,6 +14,8 @@ from marlstone.operators.numbering import numbered
 
 #: Shares of question types, and sections in order of priority.
 SHARES = {"lookup": 0.40, "section": 0.30, "synthesis": 0.20, "out_of_scope": 0.10}
+#: Rows of a bucket that tasks keep in memory.
+HEADS = 10_000
 BUCKETS = ["item_1", "item_1a", "item_7", "item_7a", "item_8"]
 
 
@@ -24,10 +26,19 @@ def latest(rows: DataFrame, key: str, when: str, *columns: str, tie: str | None
 
 
 def stratified(rows: DataFrame, bucket: str, order: list[str], target: int, buckets: list[str] = BUCKETS) -> DataFrame:
-    """max(1, target / buckets) consecutive rows of each bucket, past the first where enough follow."""
+    """max(1, target / buckets) consecutive rows of each bucket, past the first where enough follow.
+
+    Two rows more than a bucket's share tell whether enough follow. Up to HEADS rows a bucket, tasks keep the first ones alone, by
+    one pass a bucket over its columns; beyond, a bucket is sorted as a whole, on disk where memory ends."""
     per = max(1, target // max(1, len(buckets)))
     own = Window.partitionBy(bucket)
     n = F.least(F.lit(per), F.col("all"))
+    if per + 2 <= HEADS:
+        heads = None
+        for b in dict.fromkeys(buckets):
+            head = rows.filter(F.col(bucket) == b).orderBy(*order).limit(per + 2)
+            heads = head if heads is None else heads.unionByName(head)
+        rows = rows.limit(0) if heads is None else heads
     rows = rows.filter(F.col(bucket).isin(buckets)).withColumn("all", F.count(F.lit(1)).over(own)).withColumn("i", F.row_number().over(own.orderBy(*order)) - 1)
     start = F.when(F.col("all") > n + 1, 1).otherwise(0)
     return rows.filter((F.col("i") >= start) & (F.col("i") < start + n)).drop("all", "i")

@@ -5,7 +5,9 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
-from marlstone.operators import chunking, lexical, retrieval
+from marlstone.operators import chunking, embedding, lexical, remote, retrieval, sampling
+from marlstone.plans import fixtures as fx
+from marlstone.plans import registry
 
 
 def plan(df):
@@ -78,3 +80,61 @@ def test_tokens_are_not_kept_and_scores_are_not_shuffled(spark):
         own = sorted(((round(x, 9), c) for (q, c), x in want.items() if q == i), key=lambda r: (-r[0], r[1]))[:4]
         assert [r.chunk_id for r in sorted((r for r in top if r.qid == i), key=lambda r: r.rank)] == [c for _, c in own]
     index.close()
+
+
+def test_stratified_rows_are_picked_where_they_lie(spark):
+    """stratified_slice: a bucket used to come together in one task, to be counted and sorted."""
+    rows = spark.range(2000).select((F.col("id") * 7919 % 2003).alias("k"), F.when(F.col("id") < 1500, "a").when(F.col("id") < 1504, "b").when(F.col("id") < 1505, "c").otherwise("x").alias("g")).repartition(5)
+    out = sampling.stratified(rows, "g", ["k"], 12, ["a", "b", "c", "none"])
+    keys = {g: sorted(r.k for r in rows.filter(F.col("g") == g).collect()) for g in "abc"}
+    want = [("a", k) for k in keys["a"][1:4]] + [("b", k) for k in keys["b"][:3]] + [("c", k) for k in keys["c"][:1]]
+    assert sorted((r.g, r.k) for r in out.collect()) == sorted(want)
+    assert plan(out).count("TakeOrderedAndProject") >= 4
+    large = sampling.stratified(rows, "g", ["k"], 40_000, ["a", "b"])
+    assert sorted((r.g, r.k) for r in large.collect()) == sorted(("a", k) for k in keys["a"]) + [("b", k) for k in keys["b"]]
+
+
+def test_a_service_keeps_no_prompts(spark):
+    """remote_calls: the stand-in used to keep every prompt that it was ever asked, and batches had no bound of bytes."""
+    service = registry._FlakyService()
+    with remote.Pool(remote.Limits(concurrent=4, base=0.0001)) as pool:
+        got = list(pool.each(service, [("w " * (i % 20) + "x" * 100 + str(i),) for i in range(500)]))
+    assert all(a.calls == 2 for a in got if not a.error) and all(a.error == "ValueError: no answer" and a.calls == 4 for a in got if a.error)
+    assert list(vars(service)) == ["own"]
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    remote.called(spark.range(1).select(F.lit("a").alias("p")), ["p"], "said", str)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
+
+
+def test_runs_share_questions_and_ranked_chunks(spark, data, monkeypatch):
+    """run_overlap, route_table_pivot, best_single: three runs used to look for the questions' sources and chunk all texts again."""
+    asked = []
+    monkeypatch.setattr(fx, "qa", lambda *a, own=fx.qa: asked.append("qa") or own(*a))
+    monkeypatch.setattr(fx, "chunks", lambda *a, own=fx.chunks: asked.append("chunks") or own(*a))
+    assert registry.QUERIES["route_table_pivot"](spark, data).count() > 0
+    assert sorted(asked) == ["chunks", "chunks", "qa"]  # to rank, and to pick what is ranked
+
+
+def test_vectors_of_a_long_text_are_held_in_parts():
+    """chunk_semantic, semantic_breakpoints: all sentences of a text used to be vectors at once."""
+    seen = []
+    said = [f"w{i * i % 97} w{i % 13} end" for i in range(3000)]
+    d = chunking.sentence_vectors_distances(said, lambda own: seen.append(len(own)) or embedding.hashed_rows(own, 64))
+    whole = np.array([embedding.hashed(x, 64) for x in said])
+    assert max(seen) <= chunking.SENTENCES + 1
+    assert np.array_equal(d, chunking.neighbour_distances(whole))
+    assert np.array_equal(embedding.hashed_rows([*said, "", None], 64), np.array([embedding.hashed(x, 64) for x in [*said, "", None]]))
+
+
+def test_dense_scans_have_bounded_batches(spark):
+    """dense_topk, rrf_fuse: batches had no bound of bytes, and texts went to Spark as vectors and back."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = [(f"c{i:03d}", f"alpha w{i % 7} w{i % 11} w{i}") for i in range(200)]
+    df = spark.createDataFrame(rows, "chunk_id string, text string")
+    got = retrieval.retrieve(retrieval.Bundle(df, None, 64), spark.createDataFrame([(1, "alpha w3 w5"), (2, "w199")], "qid long, question string"), "dense", 4)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "16m"
+    assert plan(got).count("MapInArrow") == 1
+    v = np.array([embedding.hashed(t, 64) for _, t in rows])
+    for qid, q in ((1, "alpha w3 w5"), (2, "w199")):
+        best = sorted((-round(float(s), 9), c) for s, (c, _) in zip(v @ embedding.hashed(q, 64), rows))[:4]
+        assert [r.chunk_id for r in got.filter(F.col("qid") == qid).orderBy("rank").collect()] == [c for _, c in best]
