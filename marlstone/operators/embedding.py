@@ -17,14 +17,28 @@ from marlstone.operators.streams import small_batches
 DIM = 768
 
 
-@functools.lru_cache(maxsize=200_000)
-def _place(token: str, dim: int) -> int:
-    return int(hashlib.md5(token.encode()).hexdigest(), 16) % (2 * dim)
+class Places(dict):
+    """Places of tokens, kept for as many as a worker may hold."""
+
+    MOST = 200_000
+
+    def __init__(self, dim: int):
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        if len(self) >= self.MOST:
+            self.clear()
+        self[token] = place = int.from_bytes(hashlib.md5(token.encode()).digest(), "big") % (2 * self.dim)
+        return place
+
+
+places_by = functools.lru_cache(maxsize=4)(Places)
 
 
 def hashed(text: str | None, dim: int = DIM) -> np.ndarray:
     """Signed counts of hashed lower-cased tokens, log-damped, length one."""
-    places = np.array([_place(t, dim) for t in (text or "").lower().split()], np.int64)
+    kept = places_by(dim)
+    places = np.array([kept[t] for t in (text or "").lower().split()], np.int64)
     counts = np.bincount(places % dim, np.where(places < dim, 1.0, -1.0), dim) if len(places) else np.zeros(dim)
     v = np.sign(counts) * np.log1p(np.abs(counts))
     return v / (np.sqrt(v @ v) or 1.0)
@@ -32,13 +46,16 @@ def hashed(text: str | None, dim: int = DIM) -> np.ndarray:
 
 def hashed_rows(texts: list[str | None], dim: int = DIM) -> np.ndarray:
     """hashed() of each text, as a matrix: all counts at once, logarithms of the few counts that aren't zero."""
-    said = [(t or "").lower().split() for t in texts]
-    places = np.array([_place(t, dim) for own in said for t in own], np.int64)
-    at = np.repeat(np.arange(len(said)), [len(own) for own in said]) * dim + places % dim
-    v = np.bincount(at, np.where(places < dim, 1.0, -1.0), len(said) * dim).astype(np.float64) if len(at) else np.zeros(len(said) * dim)
+    kept, flat, ends = places_by(dim), [], [0]
+    for t in texts:
+        flat += (t or "").lower().split()
+        ends.append(len(flat))
+    places = np.fromiter(map(kept.__getitem__, flat), np.int64, len(flat))
+    at = np.repeat(np.arange(len(texts)), np.diff(ends)) * dim + places % dim
+    v = np.bincount(at, np.where(places < dim, 1.0, -1.0), len(texts) * dim).astype(np.float64) if len(at) else np.zeros(len(texts) * dim)
     some = np.flatnonzero(v)
     v[some] = np.sign(v[some]) * np.log1p(np.abs(v[some]))
-    v = v.reshape(len(said), dim)
+    v = v.reshape(len(texts), dim)
     v /= np.array([np.sqrt(row @ row) or 1.0 for row in v]).reshape(-1, 1)
     return v
 
