@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import lexical_tokens
-from marlstone.operators.lexical import B, EPSILON, K1
-from marlstone.operators.streams import ROUND, Best, arrow, blocks_of, ranked_by_score, ranking_schema
+from marlstone.operators.lexical import B, COMMON, EPSILON, K1, words_of
+from marlstone.operators.streams import ROUND, Best, arrow, blocks_of, pieces, ranked_by_score, ranking_schema, small_batches
 
 #: Chunks of a segment, buckets of terms, questions of one pass, segments that each question reads first.
 SEGMENT, BUCKETS, QUERY_BLOCK, FIRST = 4096, 64, 256, 4
@@ -22,8 +22,8 @@ SEGMENT, BUCKETS, QUERY_BLOCK, FIRST = 4096, 64, 256, 4
 class PostingIndex:
     """build, append, topk over chunks (chunk_id, text) by BM25, with the scores of the exhaustive scan.
 
-    Chunks are dealt into segments of at most SEGMENT. `lists` holds a row for each term of each segment: its chunks' places,
-    frequencies and lengths, sorted by term in folders by the term's hash, so that a question reads the folders of its own terms,
+    Chunks are dealt into segments of at most SEGMENT. `lists` holds a row for each term of each segment: its chunks' places and
+    frequencies as pairs of 32-bit integers (`body`), sorted by term in folders by the term's hash, so that a question reads the folders of its own terms,
     and of those files the row groups that can hold them. Beside each list stand its greatest frequency and its least
     length, which together bound what the list can add to a score, whatever the average length is by then.
 
@@ -31,8 +31,8 @@ class PostingIndex:
     the FIRST segments of greatest bound are scored, which gives a k-th score, and of the others only those whose bound
     reaches it. A question with fewer than k positive scores is filled up with the lowest ids that have no term of it, at zero.
 
-    The driver holds a number for each segment and asked term of a block of questions; at very many segments, larger ones (SEGMENT)
-    keep that small. Weights come from all segments, appended ones included; an append writes new segments and leaves the others alone. A null
+    The driver holds a number for each segment and question of a block; at very many segments, larger ones (SEGMENT) keep that
+    small. Weights come from all segments, appended ones included; an append writes new segments and leaves the others alone. A null
     text has no term; repeated ids are chunks of their own, but for filling up."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -54,56 +54,69 @@ class PostingIndex:
     @staticmethod
     def _add(chunks: DataFrame, path: str, first: int) -> None:
         spark, kind = chunks.sparkSession, dict(chunks.dtypes)["chunk_id"]
-        rows = chunks.select("chunk_id", lexical_tokens(F.col("text")).alias("w")).filter("chunk_id is not null")
+        small_batches(spark)
+        rows = chunks.select("chunk_id", "text").filter("chunk_id is not null")
+        kinds = f"segment long, term string, n int, most int, least int, body binary, ids array<{kind}>, dl binary, total long"
+        fields = arrow(kinds)
 
         def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part, n = _task() << 20, 0
-            held: list[pa.RecordBatch] = []
+            held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []  # ids, words, lengths
 
             def made() -> pa.RecordBatch:
-                ids = pa.concat_arrays([b.column(0) for b in held])
-                lens = np.concatenate([np.diff(b.column(1).offsets.to_numpy()) for b in held])
-                words = pa.concat_arrays([b.column(1).flatten() for b in held]).dictionary_encode()
+                ids, lens = pa.concat_arrays([x for x, _, _ in held]), np.concatenate([x for _, _, x in held])
+                words = pa.concat_arrays([x for _, x, _ in held]).dictionary_encode()
                 names = words.dictionary
                 key = np.repeat(np.arange(len(ids), dtype=np.int64), lens) + words.indices.to_numpy().astype(np.int64) * len(ids)
                 pair, tf = np.unique(key, return_counts=True)
-                term, place = pair // max(1, len(ids)), pair % max(1, len(ids))
-                ends = np.searchsorted(term, np.arange(len(names) + 1)).astype(np.int32)
-                lists = lambda x, t: pa.ListArray.from_arrays(pa.array(ends), pa.array(x, t))
-                order = {"term": names, "places": lists(place, pa.int32()), "tf": lists(tf, pa.int32()), "dl": lists(lens[place], pa.int32())}
-                nulls = lambda t: pa.nulls(len(names), t)
-                body = pa.RecordBatch.from_arrays([pa.array(np.full(len(names), part + n)), *order.values(), nulls(pa.list_(ids.type)), nulls(pa.int64())], names=_NAMES)
-                head = pa.RecordBatch.from_arrays([pa.array([part + n]), *[pa.nulls(1, a.type) for a in order.values()], pa.array([ids.to_pylist()], pa.list_(ids.type)), pa.array([int(lens.sum())])], names=_NAMES)
-                return pa.Table.from_batches([head, body.cast(head.schema) if body.schema != head.schema else body]).combine_chunks().to_batches()[0]
-
-            for b in batches:
+                term, place = pair // len(ids), pair % len(ids)
+                ends = np.searchsorted(term, np.arange(len(names) + 1))
+                starts = ends[:-1]
+                most, least = (np.maximum.reduceat(tf, starts), np.minimum.reduceat(lens[place], starts)) if len(names) else (tf, tf)
+                bodies = np.stack([place, tf], axis=1).astype("<i4")
+                body = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer((ends * 8).astype(np.int32)), pa.py_buffer(bodies)])
+                head = {"ids": pa.array([ids.to_pylist()], fields.field("ids").type), "dl": pa.array([lens.astype("<i4").tobytes()], pa.binary()), "total": pa.array([int(lens.sum())])}
+                own = {"term": names, "n": pa.array(np.diff(ends)), "most": pa.array(most), "least": pa.array(least), "body": body}
+                cols = []
+                for f in fields:
+                    if f.name == "segment":
+                        cols.append(pa.array(np.full(len(names) + 1, part + n)))
+                    else:
+                        at = head.get(f.name, pa.nulls(1, f.type)), own.get(f.name, pa.nulls(len(names), f.type))
+                        cols.append(pa.concat_arrays([x.cast(f.type) for x in at]))
+                return pa.RecordBatch.from_arrays(cols, schema=fields)
+
+            for b in (piece for whole in batches for piece in pieces(whole, 1)):
                 for at in range(0, b.num_rows, SEGMENT):
                     piece = b.slice(at, SEGMENT)
-                    if held and sum(x.num_rows for x in held) + piece.num_rows > SEGMENT:
+                    if held and sum(len(x) for x, _, _ in held) + piece.num_rows > SEGMENT:
                         yield made()
                         held, n = [], n + 1
-                    held.append(_copied(piece))
+                    words, ends = [], [0]
+                    for text in piece.column(1):
+                        words += words_of(text.as_py())
+                        ends.append(len(words))
+                    held.append((piece.column(0).take(pa.array(np.arange(piece.num_rows))), pa.array(words, pa.binary()).cast(pa.string()), np.diff(ends)))
             if held:
                 yield made()
 
         staged = f"{path}/staged-{first}"
-        kinds = f"segment long, term string, places array<int>, tf array<int>, dl array<int>, ids array<{kind}>, total long"
         rows.mapInArrow(segments, kinds).write.mode("overwrite").parquet(staged)
         made = spark.read.schema(kinds).parquet(staged)
         numbers = [r.segment for r in made.filter("total is not null").select("segment").orderBy("segment").collect()]  # a row a segment
         order = spark.createDataFrame([(s, first + i) for i, s in enumerate(numbers)], "segment long, own int")
         made = made.join(F.broadcast(order), "segment").drop("segment").withColumnRenamed("own", "segment")  # two numbers a segment
-        heads = made.filter("total is not null").select("segment", "ids", "total")
+        heads = made.filter("total is not null").select("segment", "ids", "dl", "total")
         heads.write.mode("append").parquet(f"{path}/ids")
         lists = made.filter("term is not null").withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)))
-        lists = lists.select("bucket", "term", "segment", F.array_max("tf").alias("most"), F.array_min("dl").alias("least"), "places", "tf", "dl").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment")
+        lists = lists.select("bucket", "term", "segment", "n", "most", "least", "body").hint("rebalance", "bucket").sortWithinPartitions("bucket", "term", "segment")
         lists.write.mode("append").partitionBy("bucket").option("parquet.block.size", 4 << 20).parquet(f"{path}/lists")
         n = heads.select(F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("total")).first()
         spark.createDataFrame([(json.dumps({"n": n.n, "total": n.total, "segments": len(numbers), "kind": kind}),)], "value string").coalesce(1).write.mode("append").text(f"{path}/facts")
 
     @functools.cached_property
     def _lists(self) -> DataFrame:
-        return self.spark.read.schema("term string, segment int, most int, least int, places array<int>, tf array<int>, dl array<int>, bucket int").parquet(f"{self.path}/lists")
+        return self.spark.read.schema("term string, segment int, n int, most int, least int, body binary, bucket int").parquet(f"{self.path}/lists")
 
     def lists(self, terms: list[str]) -> DataFrame:
         """The lists of some terms: only their buckets' folders are read, and there only row groups that can hold them."""
@@ -113,7 +126,7 @@ class PostingIndex:
     @functools.cached_property
     def _mean(self) -> float:
         """The mean raw weight of all terms, from the lists' lengths."""
-        df = self._lists.groupBy("term").agg(F.sum(F.size("places")).alias("df"))
+        df = self._lists.groupBy("term").agg(F.sum("n").alias("df"))
         return df.select(F.avg(F.log(self.n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("m")).first().m or 0.0
 
     def topk(self, questions: DataFrame, k: int) -> DataFrame:
@@ -129,23 +142,12 @@ class PostingIndex:
     def _pass(self, block: list, kinds: tuple[str, str], k: int) -> DataFrame:
         terms = sorted({t for r in block for t in r.w})
         lists = self.lists(terms) if terms else self._lists.limit(0)
-        # small columns first: a row a term and segment
-        heads = lists.select("term", "segment", "most", "least", F.size("places").alias("n")).collect() if terms else []
-        df: dict[str, int] = {}
-        for r in heads:
-            df[r.term] = df.get(r.term, 0) + r.n
+        # small columns first: a row a term, then one a question and segment
+        df = {r.term: r.df for r in lists.groupBy("term").agg(F.sum("n").alias("df")).collect()} if terms else {}
         raw = {t: float(np.log(self.n - d + 0.5) - np.log(d + 0.5)) for t, d in df.items()}
         idf = {t: w if w >= 0 else EPSILON * self._mean for t, w in raw.items()}
         asked = [{t: idf[t] * r.w.count(t) for t in set(r.w) if t in idf} for r in block]
-        bounds = np.zeros((len(block), self.segments))
-        has: dict[str, list[int]] = {}
-        for i, a in enumerate(asked):
-            for t in a:
-                has.setdefault(t, []).append(i)
-        for r in heads:
-            bound = r.most * (K1 + 1) / (r.most + K1 * (1 - B + B * r.least / (self.avgdl or 1.0)))
-            for i in has.get(r.term, ()):
-                bounds[i, r.segment] += max(0.0, asked[i][r.term]) * bound
+        bounds = self._bounds(lists, asked)
         order = np.argsort(-bounds, axis=1, kind="stable")
         first = [{int(s) for s in row[:FIRST] if bounds[i, s] > 0} for i, row in enumerate(order)]
         rows = self._scored(lists, block, asked, first, k)
@@ -164,6 +166,28 @@ class PostingIndex:
             out = out.unionByName(self._filled([block[i].qid for i in short], [asked[i] for i in short], lists, kinds, k))
         return ranked_by_score(out, k)
 
+    def _bounds(self, lists: DataFrame, asked: list[dict]) -> np.ndarray:
+        """What each segment can give to each question at most."""
+        bounds = np.zeros((len(asked), self.segments))
+        if not any(asked):
+            return bounds
+        shared, avgdl, segments = self.spark.sparkContext.broadcast(_askers(asked)), self.avgdl or 1.0, self.segments
+
+        def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((len(asked), segments))
+            for b in batches:
+                segment, most, least = (b.column(i).to_numpy() for i in (1, 2, 3))
+                bound = most * (K1 + 1) / (most + K1 * (1 - B + B * least / avgdl))
+                for term, s, x in zip(b.column(0).to_pylist(), segment, bound):
+                    who, weights = shared.value[term]
+                    sums[who, s] += np.maximum(0.0, weights) * x
+            q, s = np.nonzero(sums)
+            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(s), pa.array(sums[q, s])], names=["q", "s", "x"])
+
+        rows = lists.select("term", "segment", "most", "least").mapInArrow(own, "q long, s long, x double").groupBy("q", "s").agg(F.sum("x").alias("x")).toArrow()
+        bounds[rows["q"].to_numpy(), rows["s"].to_numpy()] = rows["x"].to_numpy()
+        return bounds
+
     def _scored(self, lists: DataFrame, block: list, asked: list[dict], wanted: list[set], k: int) -> list[list[tuple]]:
         """The k best (chunk_id, score) of each question within its own segments. A segment's lists come together in one task:
         SEGMENT chunks and the block's terms at most."""
@@ -173,25 +197,28 @@ class PostingIndex:
                 by_segment.setdefault(s, []).append(i)
         if not by_segment:
             return [[] for _ in block]
-        shared = self.spark.sparkContext.broadcast((asked, by_segment, self.avgdl or 1.0))
+        shared = self.spark.sparkContext.broadcast((_askers(asked), len(asked), by_segment, self.avgdl or 1.0))
         fields = arrow(f"n int, chunk_id {self.kind}, score double")
 
         def score(key: tuple[pa.Scalar, ...], table: pa.Table, names: pa.Table) -> pa.Table:
-            asked, by_segment, avgdl = shared.value
-            ids, who = names["ids"][0].as_py(), by_segment.get(key[0].as_py(), [])
-            sums = _sums(table, asked, who, len(ids), avgdl)
+            askers, m, by_segment, avgdl = shared.value
+            ids, who = names["ids"].combine_chunks().flatten(), by_segment.get(key[0].as_py(), [])
+            sums = _sums(table, names, askers, m, who, avgdl)
             rows = []
             for j, i in enumerate(who):
                 some = np.flatnonzero(sums[j])
+                if len(some) > k:  # those from the k-th score on, equal ones too
+                    whole = np.rint(sums[j][some] * 10**ROUND)
+                    some = some[whole >= np.partition(whole, len(whole) - k)[len(whole) - k]]
                 if len(some):
                     own = Best([i], k)
-                    own.see([ids[p] for p in some], sums[j][some][:, None])
+                    own.see(ids.take(pa.array(some)).to_pylist(), sums[j][some][:, None])
                     rows += [(i, c, v / 10**ROUND) for c, v in zip(own.ids[0], own.scores[0])]
             cols = list(zip(*rows)) or [[], [], []]
             return pa.table([pa.array(c, f.type) for c, f in zip(cols, fields)], schema=fields)
 
         segments = sorted(by_segment)
-        own = lists.filter(F.col("segment").isin(segments)).select("segment", "term", "places", "tf", "dl")
+        own = lists.filter(F.col("segment").isin(segments)).select("segment", "term", "body")
         names = self._ids().filter(F.col("segment").isin(segments))
         rows = own.groupBy("segment").cogroup(names.groupBy("segment")).applyInArrow(score, f"n int, chunk_id {self.kind}, score double")
         top = rows.withColumn("r", F.row_number().over(Window.partitionBy("n").orderBy(F.desc("score"), "chunk_id"))).filter(F.col("r") <= k)
@@ -201,42 +228,61 @@ class PostingIndex:
         return out
 
     def _ids(self) -> DataFrame:
-        return self.spark.read.schema(f"segment int, ids array<{self.kind}>, total long").parquet(f"{self.path}/ids").select("segment", "ids")
+        return self.spark.read.schema(f"segment int, ids array<{self.kind}>, dl binary").parquet(f"{self.path}/ids")
 
     def _filled(self, qids: list, asked: list[dict], lists: DataFrame, kinds: tuple[str, str], k: int) -> DataFrame:
         """Questions with few positive scores: every chunk is scored, zero for those without a term."""
-        shared = self.spark.sparkContext.broadcast((asked, self.avgdl or 1.0))
+        shared = self.spark.sparkContext.broadcast((_askers(asked), self.avgdl or 1.0))
         final = arrow(ranking_schema(*kinds))
 
         def score(_key: tuple[pa.Scalar, ...], table: pa.Table, names: pa.Table) -> pa.Table:
-            asked, avgdl = shared.value
-            ids = names["ids"][0].as_py()
+            askers, avgdl = shared.value
             best = Best(qids, k)
-            best.see(ids, _sums(table, asked, range(len(asked)), len(ids), avgdl).T)
+            best.see(names["ids"][0].as_py(), _sums(table, names, askers, len(qids), range(len(qids)), avgdl).T)
             return pa.Table.from_batches([best.batch(final)])
 
-        own = lists.select("segment", "term", "places", "tf", "dl")
+        own = lists.select("segment", "term", "body")
         return own.groupBy("segment").cogroup(self._ids().groupBy("segment")).applyInArrow(score, ranking_schema(*kinds))
 
 
-_NAMES = ["segment", "term", "places", "tf", "dl", "ids", "total"]
-
-
-def _sums(table: pa.Table, asked: list[dict], who, n: int, avgdl: float) -> np.ndarray:
-    """Scores of a segment's n chunks for some questions, from its lists."""
-    sums = np.zeros((len(who), n))
-    for term, places, tf, dl in zip(*(table[c].to_pylist() for c in ("term", "places", "tf", "dl"))):
-        at, tf = np.array(places, np.int64), np.array(tf, np.float64)
-        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * np.array(dl) / avgdl))
-        for j, i in enumerate(who):
-            if w := asked[i].get(term):
+def _askers(asked: list[dict]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Each term's questions and its weights in them."""
+    own: dict[str, tuple[list, list]] = {}
+    for i, a in enumerate(asked):
+        for t, w in a.items():
+            who, weights = own.setdefault(t, ([], []))
+            who.append(i)
+            weights.append(w)
+    return {t: (np.array(who), np.array(weights)) for t, (who, weights) in own.items()}
+
+
+def _sums(table: pa.Table, names: pa.Table, askers: dict, m: int, who, avgdl: float) -> np.ndarray:
+    """Scores of a segment's chunks for some of m questions, from its lists; terms that many ask for are multiplied as a matrix."""
+    dl = np.frombuffer(names["dl"][0].as_py(), "<i4")
+    damping, n = K1 * (1 - B + B * dl / avgdl), len(dl)
+    sums, place = np.zeros((len(who), n)), np.full(m, -1)
+    place[list(who)] = np.arange(len(who))
+    often, held = [], []
+    for term, body in zip(table["term"].to_pylist(), table["body"].to_pylist()):
+        if term not in askers:
+            continue
+        own, weights = askers[term]
+        own = place[own]
+        weights, own = weights[own >= 0], own[own >= 0]
+        if not len(own):
+            continue
+        at, tf = np.frombuffer(body, "<i4").reshape(-1, 2).T
+        part = tf * (K1 + 1) / (tf + damping[at])
+        if len(own) > COMMON:
+            often.append(np.bincount(own, weights, len(who)))
+            held.append(np.bincount(at, part, n))
+            if len(often) == COMMON:
+                sums += np.array(often).T @ np.array(held)
+                often, held = [], []
+        else:
+            for j, w in zip(own, weights):
                 sums[j, at] += w * part
-    return sums
-
-
-def _copied(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """A slice without what lies around it, its lists beginning at zero."""
-    return batch.take(pa.array(np.arange(batch.num_rows)))
+    return sums + np.array(often).T @ np.array(held) if often else sums
 
 
 def _task() -> int:
