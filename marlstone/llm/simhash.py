@@ -44,7 +44,9 @@ WORDS = 16
 SIMILARITY = 0.8
 STAGE_SHINGLE = 5
 KEYS = 8
+KEPT = 4  # times KEYS
 CHUNK = 2048
+ROUNDS = 3
 
 
 def shingle_hashes(text: str | None, width: int, seed: int = SEED) -> np.ndarray:
@@ -77,7 +79,11 @@ def simhash(hashes: np.ndarray) -> int:
 
 def widened(hashes: np.ndarray, words: int) -> np.ndarray:
     """So many 64-bit words for each hash, each from a mix of the hash and the word's number."""
-    z = hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return mixed(hashes[:, None] + np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def mixed(z: np.ndarray) -> np.ndarray:
+    """Each word's bits mixed, in place."""
     z ^= z >> np.uint64(30)
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(27)
@@ -308,8 +314,32 @@ def prefix(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+class WordHashes(dict):
+    """XXH64 of words, so many short ones kept at most."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= 32:
+            if len(self) >= 1 << 17:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_hashed = WordHashes()
+
+
 def set_hashes(text: str | None, width: int) -> np.ndarray:
-    return np.unique(shingle_hashes(text, width))
+    """Of the text's distinct shingles, sorted. Each word is hashed once; a shingle's hash is made of its words'."""
+    words = (text or "").encode().lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h = np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+    width = min(width, len(h))
+    z = np.full(len(h) - width + 1, width, np.uint64)
+    for i in range(width):
+        z = z * np.uint64(0x9E3779B97F4A7C15) + h[i : i + len(z)]
+    return np.unique(mixed(z))
 
 
 def set_name(hashes: np.ndarray) -> int:
@@ -317,9 +347,9 @@ def set_name(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63)
 
 
-def wide_fingerprints(docs: DataFrame, width: int, words: int, keys: int, id_col: str, text_col: str, similarity: float = SIMILARITY) -> DataFrame:
-    """k1, k2 (the row's keys), doc_id, node (its shingle set), size, fp (words as bytes), keys (the smallest shingle hashes)
-    from each text's distinct shingles."""
+def wide_fingerprints(docs: DataFrame, width: int, words: int, kept: int, id_col: str, text_col: str) -> DataFrame:
+    """k1, k2 (the row's keys), doc_id, node (its shingle set), size, fp (words as bytes), keys (the `kept` smallest shingle
+    hashes) from each text's distinct shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -329,7 +359,7 @@ def wide_fingerprints(docs: DataFrame, width: int, words: int, keys: int, id_col
                 names.append(set_name(h))
                 sizes.append(len(h))
                 fps.append(bit_majority(widened(h, words)).tobytes())
-                ks.append(h[: min(keys, prefix(len(h), similarity))].view(np.int64).tolist())
+                ks.append(h[:kept].view(np.int64).tolist())
             made = [pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(fps, pa.binary()), pa.array(ks, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], *made], names=["k1", "k2", "doc_id", "node", "size", "fp", "keys"])
 
@@ -358,31 +388,41 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return int((b[at] == a).sum()) * (1 + similarity) >= similarity * total - 1e-9
 
 
+def shared(sets: list[np.ndarray], columns: int = 1024) -> np.ndarray:
+    """For i < j, at (i, j) how many members sets i and j share. A member of few sets counts for their pairs, a member of many is a
+    column of a 0/1 matrix, which is multiplied by its transpose."""
+    n = len(sets)
+    values, own = np.concatenate(sets), np.repeat(np.arange(n), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, own = values[order], own[order]
+    starts = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    counts = np.diff(np.append(starts, len(values)))
+    out, few = np.zeros((n, n)), max(8, n // 8)
+    for c in np.unique(counts[(counts > 1) & (counts <= few)]).tolist():
+        of, (i, j) = own[starts[counts == c][:, None] + np.arange(c)], np.triu_indices(c, 1)
+        step = max(1, (1 << 21) // len(i))
+        for k in range(0, len(of), step):
+            pairs = of[k : k + step, i] * n + of[k : k + step, j]
+            np.add.at(out.reshape(-1), pairs.ravel(), 1.0)
+    many = np.flatnonzero(counts > few)
+    for k in range(0, len(many), columns):
+        block = many[k : k + columns]
+        at = np.repeat(np.arange(len(block)), counts[block])
+        rows = own[np.repeat(starts[block] - np.cumsum(counts[block]) + counts[block], counts[block]) + np.arange(len(at))]
+        x = np.zeros((n, len(block)), np.float32)
+        x[rows, at] = 1
+        out += x @ x.T
+    return out
+
+
 def verified(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """root[i]: the first set of i's component by pairs that are alike. Pairs that share no member of their prefixes
-    can't be, and pairs already joined need no look."""
-    root, tested = np.arange(len(sets)), set()
-    heads = [h[: prefix(len(h), similarity)] for h in sets]
-    keys, own = np.concatenate(heads), np.repeat(np.arange(len(sets)), [len(h) for h in heads])
-    order = np.lexsort((own, keys))
-    keys, own = keys[order], own[order]
-    cuts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1], [True]))) if len(keys) else np.zeros(1, int)
-    for low, high in zip(cuts[:-1], cuts[1:]):
-        group = own[low:high]
-        if (root[group] == root[group[0]]).all():
-            continue
-        for k in range(1, len(group)):
-            i = int(group[k])
-            others = group[:k][root[group[:k]] != root[i]]
-            while len(others):
-                j = int(others[0])
-                others = others[1:]
-                if (j, i) in tested:
-                    continue
-                tested.add((j, i))
-                if alike(sets[j], sets[i], similarity):
-                    hook(root, np.array([j]), np.array([i]))
-                    others = others[root[others] != root[i]]
+    """root[i]: the first set of i's component by pairs that are alike."""
+    root = np.arange(len(sets))
+    if len(sets) == 2:
+        return root * (not alike(*sets, similarity))
+    sizes = np.array([len(x) for x in sets])
+    i, j = np.nonzero(np.triu(shared(sets) * (1 + similarity) >= similarity * (sizes[:, None] + sizes) - 1e-9, 1))
+    hook(root, i, j)
     return root
 
 
@@ -491,27 +531,104 @@ def exact_links(met: DataFrame, prints: DataFrame, sets_of, similarity: float, r
     return inner.unionByName(across)
 
 
+def by_rarity(docs: DataFrame, width: int, similarity: float, keys: int, common: np.ndarray) -> DataFrame:
+    """node, own (keys) of docs (text). Shingles that are common come last. So many keys that two sets that are alike share none
+    with a chance of (1 - similarity) ** keys at most, or else the whole prefix."""
+
+    def chosen(h: np.ndarray) -> np.ndarray:
+        last = np.isin(h.view(np.int64), common)
+        rare, most = len(h) - int(last.sum()), prefix(len(h), similarity)
+        apart = (1 - similarity) * len(h) / max(rare, 1)  # of the rare ones, at most so many are in one set only
+        n = math.ceil(keys * math.log(1 - similarity) / math.log(apart)) if 0 < apart < 1 else most
+        return np.concatenate((h[~last], h[last]))[: n if n <= min(rare, most) else most]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [set_hashes(t.as_py(), width) for t in b.column(0)]
+            own = pa.array([chosen(h).view(np.int64).tolist() for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array([set_name(h) for h in sets], pa.int64()), own], names=["node", "own"])
+
+    return docs.mapInArrow(run, "node long, own array<long>")
+
+
+def dealt_by_rarity(nodes: DataFrame, similarity: float, keys: int, chunk: int, texts_of, width: int) -> tuple[DataFrame, DataFrame]:
+    """(dealt, many). dealt: key, node, size, w of each key of each node; many: key, n of those that weigh n and have several nodes.
+
+    nodes: node, size, w, keys (the smallest hashes, KEPT times as many as are dealt). A node's keys are its smallest hashes. A
+    shingle of otherwise unlike texts (a line that many have) would bring all of them together, and every pair of them would have to be
+    compared. So where that would deal more rows than a quarter of the nodes, keys that weigh over `chunk` are put last in the order of
+    all sets, and nodes that had one take the next ones, twice as many, since common shingles leave fewer to tell texts apart. (1 - similarity) ** keys remains the chance that two
+    sets that are alike don't meet, while half of the kept hashes are rare; nodes with fewer have their text read again. Keys whose nodes
+    mostly share half of their keys with such groups are left: those are near copies, which exact_links compares in linear time.
+    What weighs over `chunk` in the end also goes there."""
+    most = (F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1).cast("int")
+    first = F.slice("keys", 1, F.least(F.lit(keys), most))
+    held, common, kept = nodes.select("node", "size", "w", first.alias("own"), F.lit(False).alias("late"), F.lit(False).alias("short")), None, KEPT * keys
+
+    def counted(held: DataFrame) -> tuple[DataFrame, DataFrame]:
+        dealt = held.select(F.explode("own").alias("key"), "node", "size", "w", F.size("own").alias("k"))
+        return dealt, written(dealt.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "keys")
+
+    dealt, many = counted(held)
+    all_ = nodes.count()
+    for _ in range(ROUNDS):
+        hot = many.filter(F.col("n") > chunk)
+        if common is not None:
+            hot = hot.join(common, "key", "left_anti")
+        if hot.isEmpty():
+            break
+        met = dealt.join(hot, "key").select("key", "node", "k", "n")
+        copies = met.groupBy("node").agg(F.count(F.lit(1)).alias("h"))
+        copy = (F.col("h") >= F.lit(keys / 2)) & (2 * F.col("h") >= F.col("k"))
+        votes = met.join(copies, "node").groupBy("key").agg(F.avg(copy.cast("double")).alias("copies"), F.first("n").alias("n"))
+        found = written(votes.filter("copies < 0.5").select("key", "n"), "common")
+        if (found.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0) / (chunk / 2) <= all_ / 4:
+            break
+        found = found.select("key")
+        common = found if common is None else found.union(common)
+        late = held.filter("late").select("node").union(dealt.join(common, "key", "left_semi").select("node")).distinct()
+        last = nodes.join(late, "node", "left_semi").select("node", F.explode("keys").alias("key")).join(common, "key", "left_semi")
+        last = last.groupBy("node").agg(F.collect_list("key").alias("last"))
+        is_last = lambda x: F.array_contains("last", x)
+        both = nodes.join(last, "node", "left").withColumn("rare", F.filter("keys", lambda x: ~is_last(x))).withColumn("need", F.least(F.lit(2 * keys), most))
+        late, lacks = F.col("last").isNotNull(), F.size("rare") < F.col("need")
+        own = F.when(~late, first).when(lacks & (F.col("size") <= kept), F.slice(F.concat("rare", F.filter("keys", is_last)), 1, F.col("need"))).otherwise(F.slice("rare", 1, F.col("need")))
+        held = written(both.select("node", "size", "w", own.alias("own"), late.alias("late"), (late & lacks & (F.col("size") > kept)).alias("short")), "held")
+        dropped(many)
+        dealt, many = counted(held)
+    short = held.filter("short").select("node")
+    if common is not None and not short.isEmpty():
+        last = np.sort(np.array([r.key for r in common.collect()], np.int64))  # at most one for each `chunk` of the keys
+        again = by_rarity(texts_of(short), width, similarity, keys, last).dropDuplicates(["node"])
+        held = held.drop("own").join(again, "node").unionByName(held.filter("not short"))
+        dropped(many)
+        dealt, many = counted(written(held, "held"))
+    return dealt.drop("k"), many
+
+
 def grouped(docs: DataFrame, similarity: float, width: int, words: int, keys: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(rows, groups). rows: k1, k2, doc_id, node of each row of docs; groups: node and first, the row that is kept of the
     component that the node is in, as a struct (none, doc_id, k2, k1)."""
-    prints = written(wide_fingerprints(docs, width, words, keys, id_col, text_col, similarity), "wide")
+    prints = written(wide_fingerprints(docs, width, words, KEPT * keys, id_col, text_col), "wide")
     own = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "k2", "k1")).alias("own")
     nodes = written(prints.groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("keys").alias("keys"), own), "wide-nodes")
     weight = F.greatest(F.lit(1), F.col("size") / 1024).cast("long")  # of 8 kB of hashes
-    dealt = nodes.select(F.explode("keys").alias("key"), "node", "size", weight.alias("w"))
-    many = written(dealt.groupBy("key").agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").drop("rows"), "keys")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        """One row of each node brings its text."""
+        chosen = nodes.join(some, "node", "left_semi").select(F.col("own.k1").alias("__k1"), F.col("own.k2").alias("__k2"))
+        k1, k2 = row_keys(id_col, text_col)
+        # a merge join whatever the sizes: what is chosen grows with the input
+        return docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen.hint("merge"), ["__k1", "__k2"], "left_semi").select("text")
+
+    dealt, many = dealt_by_rarity(nodes.select("node", "size", weight.alias("w"), "keys"), similarity, keys, chunk, texts_of, width)
     # sets that are so much alike have sizes in one step of a ladder or in two that adjoin: that splits frequent keys
     step = F.floor(F.log(F.greatest("size", F.lit(1))) / -math.log(similarity) + 1e-9)
     meeting = F.when(F.col("n") > chunk, F.array(F.xxhash64("key", step), F.xxhash64("key", step + 1))).otherwise(F.array("key"))
     met = dealt.join(many, "key").select(F.explode(meeting).alias("key"), "node", "w")
 
     def sets_of(some: DataFrame) -> DataFrame:
-        """One row of each node brings its text."""
-        chosen = nodes.join(some, "node", "left_semi").select(F.col("own.k1").alias("__k1"), F.col("own.k2").alias("__k2"))
-        k1, k2 = row_keys(id_col, text_col)
-        # a merge join whatever the sizes: what is chosen grows with the input
-        texts = docs.select(k1.alias("__k1"), k2.alias("__k2"), F.col(text_col).alias("text")).join(chosen.hint("merge"), ["__k1", "__k2"], "left_semi").select("text")
-        return named_sets(texts, width).groupBy("node").agg(F.first("hashes").alias("hashes"))
+        return named_sets(texts_of(some), width).groupBy("node").agg(F.first("hashes").alias("hashes"))
 
     links = exact_links(met, nodes.select("node", "fp"), sets_of, similarity, radius_of(similarity, 64 * words), chunk)
     roots = nodes.select("node", "own").join(components(links), "node", "left").select("node", "own", F.coalesce("root", "node").alias("root"))
