@@ -314,27 +314,12 @@ def prefix(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
-class WordHashes(dict):
-    """XXH64 of words, so many short ones kept at most."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(word) <= 32:
-            if len(self) >= 1 << 17:
-                self.clear()
-            self[word] = h
-        return h
-
-
-_hashed = WordHashes()
-
-
 def set_hashes(text: str | None, width: int) -> np.ndarray:
     """Of the text's distinct shingles, sorted. Each word is hashed once; a shingle's hash is made of its words'."""
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashed.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     width = min(width, len(h))
     z = np.full(len(h) - width + 1, width, np.uint64)
     for i in range(width):
